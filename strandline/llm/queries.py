@@ -8,19 +8,108 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import decontam, langid, lattice, licenses, lsh, minhash, mixing, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op5_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(_table(spark, sf_dir, "documents"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {
+    "op1_lattice": op1_lattice,
+    "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op5_lsh": op5_lsh,
+    "op6_language": op6_language,
+    "op7_licenses": op7_licenses,
+    "op8_decontamination": op8_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x FROM p),
+b AS (
+  SELECT page_id, n, x,
+    list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), 'string_agg', '') AS digest
+  FROM d),
+f AS (SELECT x, max(page_id) AS first_id, count(*) AS c FROM d GROUP BY x)
+SELECT b.page_id, b.n AS payload_bytes, b.digest AS payload_digest,
+  CASE WHEN b.page_id = f.first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN b.page_id = f.first_id THEN NULL ELSE f.first_id END AS refers_to
+FROM b JOIN f USING (x)
+"""
+
+_OP8 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS u, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+g AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, k + 1, k + least(len(w), 10)), ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)),
+n AS (SELECT DISTINCT n FROM g),
+s AS (
+  SELECT u, n, k, array_to_string(list_slice(w, k + 1, k + n), ' ') AS gram
+  FROM (SELECT u, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, n WHERE len(w) >= n)),
+h AS (SELECT s.u, s.k, s.n, g.item_id FROM s JOIN g USING (n, gram)),
+c AS (SELECT u, count(DISTINCT p) AS n_hit FROM (SELECT u, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT u, k, n FROM h)) GROUP BY u),
+m AS (
+  SELECT u, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT u, item_id FROM h) GROUP BY u)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (u) LEFT JOIN m USING (u)
+"""
+
+#: The others train models, draw at random or follow chains of links; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op4_warc": _OP4, "op8_decontamination": _OP8}
