@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import measures, motion, pixels, streams
+
+QUERIES: dict = streams.QUERIES | motion.QUERIES | pixels.QUERIES | measures.QUERIES
+ORACLE_SQL: dict[str, str] = streams.ORACLE_SQL | motion.ORACLE_SQL | pixels.ORACLE_SQL | measures.ORACLE_SQL
