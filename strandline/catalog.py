@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import measures, motion, pixels, streams
+from .plans import live, measures, motion, pixels, recon, streams
 
-QUERIES: dict = streams.QUERIES | motion.QUERIES | pixels.QUERIES | measures.QUERIES
-ORACLE_SQL: dict[str, str] = streams.ORACLE_SQL | motion.ORACLE_SQL | pixels.ORACLE_SQL | measures.ORACLE_SQL
+_PLANS = (streams, motion, pixels, measures, live, recon)
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}
