@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come near their target weights; columns of documents, pass and shard."""
+    """Sources come near their target weights; columns of documents, mix_pass and mix_shard."""
     return mixing.mixed(docs.select(COLUMNS))
 
 

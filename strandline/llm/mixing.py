@@ -96,16 +96,12 @@ def _key(source):
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The columns of docs (doc_id, text, source), and for each row size, source_size, target,
-    draws: array of (pass, shard, place) for each time that the mix takes the document."""
+    """The columns of docs (doc_id, text, source), and for each row __size, __source_size, __target,
+    __draws: array of (pass, shard, place) for each time that the mix takes the document."""
     spark = docs.sparkSession
-    added = ["size", "source_size", "target", "draws"]
-    clash = [c for c in docs.columns if c in added]
-    if clash:
-        raise ValueError(f"columns {clash} of docs have the names of results")
-    spread = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("size"))
-    sized = docs.withColumn("size", word_count(F.col("text"))).withColumn("__key", _key(F.col("source"))).withColumn("__h", spread)
-    narrow = sized.select(F.col("__key").alias("source_key"), "size", F.col("__h").alias("h"))
+    spread = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), word_count(F.col("text")))
+    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__key", _key(F.col("source").cast("string"))).withColumn("__h", spread)
+    narrow = sized.select(F.col("__key").alias("source_key"), F.col("__size").alias("size"), F.col("__h").alias("h"))
     sources = targets(narrow.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size")), weights, share, most)
     blocks = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n_rows") / BLOCK_ROWS))).cast("int")
     sources = staged(sources.withColumn("number", F.row_number().over(Window.orderBy("source_key")) - 1).withColumn("blocks", blocks), "sources")
@@ -142,21 +138,23 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     lined = lined.join(last, ["source_key", "block"], "left")
     lined = lined.withColumn("until", F.expr("case when rest is null then null when room >= words then 9223372036854775807 else upto_h end"))
     out = sized.join(few.select(F.col("source_key").alias("__key"), F.col("blocks").alias("__blocks")), "__key").withColumn("__block", F.pmod("__h", F.col("__blocks")).cast("int"))
-    plan = lined.select(F.col("source_key").alias("__key"), F.col("block").alias("__block"), "source_size", "target", F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("until").alias("__until"))
+    plan = lined.select(F.col("source_key").alias("__key"), F.col("block").alias("__block"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("until").alias("__until"))
     out = out.join(plan, ["__key", "__block"])
     taken = F.expr("if(__until is not null and __h <= __until, array_append(__whole, __rest), __whole)")
     draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), d["shard"], d["pass"], F.col("__h")).alias("place")))
-    return out.withColumn("draws", draws).select(*docs.columns, *added)
+    return out.withColumn("__draws", draws).select(*[F.col(f"`{c}`") for c in docs.columns], "__size", "__source_size", "__target", "__draws")
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs; shards: where its copies go."""
-    out = mixture(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), **options)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.col("draws.shard").alias("shards"))
+    out = mixture(docs.select("doc_id", "text", "source"), **options)
+    taken = (F.col("__size") * F.size("__draws")).alias("taken")
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken, F.col("__draws.shard").alias("shards"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix: a row of docs for each time that it is taken, with pass and shard, each shard in its shuffled order."""
-    out = mixture(docs, **options).withColumn("draw", F.explode("draws")).drop("draws", "size", "source_size", "target")
-    rows = out.select(*docs.columns, F.col("draw.pass").alias("pass"), F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place"))
-    return rows.repartition("shard").sortWithinPartitions("shard", "place").drop("place")
+    """The mix: a row of docs for each time that it is taken, with mix_pass and mix_shard (which replace columns of that name), each shard in its shuffled order."""
+    own = [c for c in docs.columns if c not in ("mix_pass", "mix_shard")]
+    out = mixture(docs, **options).withColumn("__draw", F.explode("__draws"))
+    rows = out.select(*own, F.col("__draw.pass").alias("mix_pass"), F.col("__draw.shard").alias("mix_shard"), F.col("__draw.place").alias("__place"))
+    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "__place").drop("__place")

@@ -32,6 +32,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Plan nodes that give the same rows in the same order on every pass.
+STEADY = ("Scan", "FileScan", "BatchScan", "LocalTableScan", "Project", "Filter", "ColumnarToRow", "Range")
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df if it only scans and projects, so that row numbers agree between passes; else its rows, written once."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    nodes = [line.lstrip(" :+-*()0123456789").split(" ", 1)[0].split("(", 1)[0] for line in lines if line.strip()]
+    return df if all(n.startswith(STEADY) for n in nodes) else staged(df, "rows")
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm

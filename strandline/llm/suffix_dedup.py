@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import dropped, staged
+from .staging import dropped, staged, steady
 from .textops import chunks, grams, text_bytes, words_of
 
 LEAST, KEY = 50, 25
@@ -239,7 +239,7 @@ def _across(spark, edges: DataFrame, least: int, key: int) -> DataFrame:
 def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """uid, again, lo, hi, other: disjoint regions [lo, hi) of words of each row of docs that
     stand elsewhere too; again: an earlier copy exists.  other: uid of one other copy."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, steady(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), text_bytes(F.col("text")).alias("text"))
     places = staged(rows.mapInArrow(_places(least, key), "key long, uid long, place int"), "places")
     often = places.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
@@ -266,6 +266,7 @@ def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
 def repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """doc_id, start_word, end_word, n_words, kept, other_doc_id: each repeated passage of each
     document; kept: no earlier copy of it exists.  other_doc_id holds the passage too."""
+    docs = steady(docs)
     found = passages(docs, least, key)
     ids = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id")
     own = found.join(ids, "uid").join(ids.select(F.col("uid").alias("other"), F.col("doc_id").alias("other_doc_id")), "other")
@@ -274,6 +275,7 @@ def repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
 
 def without_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """docs with later copies of passages cut from `text`, with the white space after them; rows that lose all their words go."""
+    docs = steady(docs)
     again = passages(docs, least, key).where("again").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__cut"))
     rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(again.withColumnRenamed("uid", "__uid"), "__uid", "left")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+"), F.lit(0))
