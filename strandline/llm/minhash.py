@@ -8,11 +8,12 @@ The job runs in these steps, each a Spark stage over narrow rows:
 3. Inverted lists of the retained values.  Two sets as alike as 0.75 share at least ``share``
    of their sketches but with a chance under 1e-9, so a class needs entries only for its
    rarest ``1 - share`` retained values (prefix filter); values of one class are left out.
-4. Short lists give their pairs.  A long list gives links to its first member, round after
-   round: once all its members have met in one component it is done.  What is still apart
-   after ``ROUNDS`` goes through blocks of members against blocks of members.
+4. Short lists give their pairs, long lists the pairs of each member with the first one.
 5. The union of two sketches estimates the likeness; pairs far below the limit are dropped.
-6. The rest is confirmed on the full sets of both texts, and confirmed links are joined up.
+   The rest is confirmed on the full sets of both texts, and confirmed links are joined up.
+6. A long list whose members have all met in one component is done.  The others are cut into
+   blocks of bounded size, and each pair of blocks is a task that compares all full sets in
+   numpy and gives a forest of links, so no pair is skipped and few rows are made.
 
 Nulls: a null text is an empty text; empty texts have no shingles and no links.  A null
 doc_id takes part like any other and never is a component's name unless all of its ids are null.
@@ -29,15 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import dropped, staged
+from .staging import staged, steady
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
 SHINGLE, PERCENT, SKETCH = 5, 75, 64
 SHARE = 0.42  # of a sketch; 27 of 64, over six deviations under the expected 48
 ESTIMATE = 0.48  # five deviations under 0.75 for 64 values
 SHORT = 12  # members of a list that gives all its pairs
-ROUNDS = 4
-BLOCK = 512
+BLOCK_SHINGLES, BLOCK_DOCS = 200_000, 800  # of a block of members, about
 
 
 def _sets(offsets: np.ndarray, data: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -164,51 +164,72 @@ def _keys(reps: DataFrame, share: float) -> DataFrame:
     )
 
 
-def _apart(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Entries with their component; a class without a link is its own."""
-    if labels is None:
-        return keys.withColumn("label", F.col("cid"))
-    return keys.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+def _block_links(size: int, percent: int):
+    """Links within a group of two blocks, from all pairs of full sets; a forest of them is enough."""
+
+    def linked(group: list, within: bool) -> list[tuple[int, int]]:
+        cid, label, mine = (np.array([g[k] for g in group]) for k in range(3))
+        sets = [_one(g[3], size) for g in group]
+        n = np.array([len(x) for x in sets])
+        doc, value = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+        _, value, times = np.unique(value, return_inverse=True, return_counts=True)
+        doc, value = doc[times[value] > 1], value[times[value] > 1]
+        _, value = np.unique(value, return_inverse=True)
+        order = np.argsort(value, kind="stable")
+        doc, value = doc[order], value[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(value.max(initial=-1)) + 1, 2048):  # exact: counts stay far below 2**24
+            s = slice(*np.searchsorted(value, (lo, lo + 2048)))
+            held = np.zeros((len(sets), 2048), np.float32)
+            held[doc[s], value[s] - lo] = 1
+            common += held @ held.T
+        near = 100 * common >= percent * (n[:, None] + n[None] - common)
+        np.fill_diagonal(near, False)
+        if not within:
+            near &= mine[:, None] != mine[None]
+        out = []
+        for x in range(len(sets)):
+            others = np.flatnonzero(near[x] & (label != label[x]))
+            for lab, y in dict(zip(label[others].tolist(), others.tolist(), strict=True)).items():
+                out.append((int(min(cid[x], cid[y])), int(max(cid[x], cid[y]))))
+                label[label == lab] = label[x]
+        return out
 
-
-def _in_blocks(rows: DataFrame, reps: DataFrame, percent: int, k: int, least: float, block: int) -> DataFrame:
-    """Candidate pairs of long lists that hold several components: blocks of members meet as
-    groups of two blocks, compare sketches in numpy and give only pairs that may be alike."""
-    member = rows.join(reps.select("cid", "sketch"), "cid")
-    spread = member.withColumn("k", F.ceil(F.col("c") / block).cast("int")).withColumn("mine", F.expr("cast(pmod(xxhash64(cid), k) as int)"))
-    # a member meets the blocks 0..k-1: task (least block, greatest block)
-    dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "v", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "n", "label", "sketch"
-    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(group: list) -> pa.RecordBatch:
-            out = []
-            for x in range(len(group)):
-                mx, cx, nx, lx, sx = group[x]
-                for y in range(x):
-                    my, cy, ny, ly, sy = group[y]
-                    if lx == ly or (key[1] != key[2] and mx == my) or 100 * min(nx, ny) < percent * max(nx, ny):
-                        continue
-                    union = np.union1d(sx, sy)[:k]
-                    if len(np.intersect1d(np.intersect1d(sx, sy, True), union, True)) >= least * len(union):
-                        out.append((min(cx, cy), max(cx, cy)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            out = linked(group, key[1] == key[2])
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         key, group = None, []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("v", "i", "j", "mine", "cid", "n", "label")]
-            values = b.column("sketch")
-            for r, (v, i, j, *rest) in enumerate(zip(*cols, strict=True)):
-                if key != (v, i, j):
+            cols = [b.column(c).to_pylist() for c in ("g", "i", "j", "cid", "label", "mine")]
+            texts = b.column("text")
+            for r, (g, i, j, *rest) in enumerate(zip(*cols, strict=True)):
+                if key != (g, i, j):
                     if group:
-                        yield close(group)
-                    key, group = (v, i, j), []
-                group.append((*rest, np.array(values[r].as_py(), np.int64)))
+                        yield close()
+                    key, group = (g, i, j), []
+                group.append((*rest, texts[r].as_py()))
         if group:
-            yield close(group)
+            yield close()
 
-    return dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").mapInArrow(compare, "a long, b long")
+    return run
+
+
+def _apart_links(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among members of long lists that hold several components.
+
+    Lists that share members are one group.  A group is cut into blocks of bounded size by a hash;
+    each pair of blocks is a task of its own that compares full sets, so nothing is estimated.
+    """
+    pivot = rest.groupBy("v").agg(F.min("cid").alias("b"))
+    groups = components(rest.join(pivot, "v").select(F.col("cid").alias("a"), "b").distinct())
+    members = rest.select("cid", "n", "label").distinct().join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid")
+    sizes = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("k"))
+    mine = F.expr("cast(pmod(xxhash64(cid), k) as int)")
+    spread = members.join(sizes, "g").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = spread.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "label").join(texts, "cid")
+    return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_block_links(size, percent), "a long, b long")
 
 
 def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
@@ -218,7 +239,7 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
     """
     keys = staged(_keys(reps, share), "lists")
     sizes = keys.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("pivot")).where("c > 1")
-    listed = keys.join(sizes, "v")
+    listed = staged(keys.join(sizes, "v"), "listed")
     short = listed.where(f"c <= {SHORT}").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("m"))
     pairs = (
         short.select(F.posexplode("m").alias("i", "x"), "m")
@@ -227,35 +248,21 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
         .where(_near_in_size(percent))
         .select("a", "b")
     )
-    long = staged(listed.where(f"c > {SHORT}").select("v", "cid", "n", "c"), "long")
-    first = long.join(sizes.select("v", "pivot"), "v").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
-    tested = staged(estimated(pairs.union(first).distinct(), reps, percent, k, ESTIMATE), "pairs")
-    found = staged(confirmed(tested, texts, size, percent), "found")
-    labels, rounds = components(found), 1
-    while True:
-        active = _apart(long, labels)
-        split = active.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        rest = staged(active.join(split.select("v"), "v", "left_semi"), "rest")
-        dropped(rest.sparkSession, long)
-        if not rest.limit(1).count():
-            return labels
-        if rounds < ROUNDS:
-            # the member of the component that stands first in another order each round meets the rest
-            other = rest.groupBy("v").agg(F.expr(f"min_by(struct(cid, label), xxhash64(label, {rounds}))").alias("p"))
-            new = rest.join(other, "v").where("label <> p.label").select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
-            new = estimated(new.distinct(), reps, percent, k, ESTIMATE)
-        else:
-            new = _in_blocks(rest, reps, percent, k, ESTIMATE, BLOCK).distinct()
-        new = staged(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = staged(confirmed(new, texts, size, percent), "found")
-        tested, found = tested.union(new), found.union(more)
-        labels, rounds, long = components(found), rounds + 1, rest.drop("label")
-        if rounds > ROUNDS:
-            return labels
+    long = listed.where(f"c > {SHORT}")
+    first = long.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
+    found = staged(confirmed(estimated(pairs.union(first).distinct(), reps, percent, k, ESTIMATE), texts, size, percent), "found")
+    labels = components(found)
+    active = long.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    split = active.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
+    rest = staged(active.select("v", "cid", "n", "label").join(split, "v", "left_semi"), "rest")
+    if not rest.limit(1).count():
+        return labels
+    return components(found.union(staged(_apart_links(rest, texts, size, percent), "found")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
     """uid, doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    docs = steady(docs)
     own = staged(sketches(docs, size, k), "sketches")
     some = own.where("n > 0")
     reps = staged(some.groupBy("d1", "d2", "n").agg(F.min("uid").alias("cid"), F.min_by("sketch", "uid").alias("sketch"), F.min("doc_id").alias("least")), "classes")
@@ -280,5 +287,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without those that repeat an earlier document; of rows with one doc_id and one set, one stays."""
+    docs = steady(docs)
     found = staged(near_duplicates(docs, **options).where("kept").groupBy("component_id", "doc_id").agg(F.min("uid").alias("uid"), F.max("n_shingles").alias("n")), "kept")
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(found.select(F.col("uid").alias("__uid")), "__uid", "left_semi").drop("__uid")
