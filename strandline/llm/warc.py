@@ -81,31 +81,45 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, per_fi
     records(pages, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
+HEADER_BYTES = 1 << 16  # a longer header makes no record
+
+
 class _Open:
-    """A candidate whose block has not ended yet."""
+    """A candidate whose header or block has not ended yet."""
 
     def __init__(self, offset: int, seg: bytes):
-        self.offset, self.ok = offset, False
-        head, found, rest = seg.partition(b"\r\n\r\n")
-        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n") if b": " in x) if found else {}
-        length = fields.get(b"Content-Length", b"")
-        if not length.isdigit():
-            return
-        self.ok, self.fields = True, {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in fields.items()}
-        self.need = int(length)
-        self.next = offset + len(MAGIC) + len(head) + 4 + self.need + 4
+        self.offset, self.head, self.fields, self.need, self.dead = offset, b"", None, 0, False
         self.http, self.held, self.size, self.sha = None, b"", 0, hashlib.sha1()
-        self.add(rest)
+        self.add(seg)
+
+    @property
+    def ended(self) -> bool:
+        return self.dead or (self.fields is not None and not self.need)
 
     def add(self, part: bytes) -> None:
+        if self.fields is None:
+            self.head += part
+            head, found, part = self.head.partition(b"\r\n\r\n")
+            if not found:
+                self.dead = len(self.head) > HEADER_BYTES
+                return
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n") if b": " in x)
+            length = fields.get(b"Content-Length", b"")
+            if not length.isdigit() or len(length) > 18:
+                self.dead = True
+                return
+            self.fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in fields.items()}
+            self.need, self.head = int(length), b""
+            self.next = self.offset + len(MAGIC) + len(head) + 4 + self.need + 4
         part = part[: self.need]
         self.need -= len(part)
         if self.http is None:
             self.held += part
             head, found, rest = self.held.partition(b"\r\n\r\n")
-            if not found:
+            if not found and self.need and len(self.held) <= HEADER_BYTES:
                 return
-            self.http, self.held, part = head, b"", rest
+            # a block without an HTTP header is all payload
+            self.http, part, self.held = (head, rest, b"") if found else (b"", self.held, b"")
         self.size += len(part)
         self.sha.update(part)
 
@@ -117,14 +131,13 @@ class _Open:
             size = int(stated[0]) if stated and stated[0].isdigit() else 0
             digest = self.fields.get("warc-payload-digest", "").removeprefix("sha1:")
         number = lambda v: int(v) if (v := v.removeprefix("<urn:page:").removesuffix(">")).lstrip("-").isdigit() else None
-        whole = self.need == 0 and self.http is not None
-        return (file, self.offset, self.next, whole, kind, number(self.fields.get("warc-record-id", "")), number(self.fields.get("warc-refers-to", "")), self.fields.get("warc-target-uri"), size, digest)
+        return (file, self.offset, self.next, kind, number(self.fields.get("warc-record-id", "")), number(self.fields.get("warc-refers-to", "")), self.fields.get("warc-target-uri"), size, digest)
 
 
 CANDIDATES = (
-    "file string, offset long, next long, whole boolean, record_type string, page_id long, refers_to long, uri string, payload_bytes long, payload_digest string"
+    "file string, offset long, next long, record_type string, page_id long, refers_to long, uri string, payload_bytes long, payload_digest string"
 )
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,26 +151,19 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, name in enumerate(b.column("file").to_pylist()):
             seg = values[k].as_py()
             if name != file:  # what stands before the first magic
-                done += [c.row(file) for c in open_]
                 file, place, open_ = name, len(seg), []
                 continue
             for c in open_:
                 c.add(MAGIC.encode() + seg)
-            new = _Open(place, seg)
-            done += [c.row(file) for c in open_ if not c.need]
-            open_ = [c for c in open_ if c.need]
-            if new.ok:
-                if new.need:
-                    open_.append(new)
-                else:
-                    done.append(new.row(file))
+            open_.append(_Open(place, seg))
+            done += [c.row(file) for c in open_ if c.ended and not c.dead]
+            open_ = [c for c in open_ if not c.ended]
             place += len(MAGIC) + len(seg)
         yield rows(done)
-    yield rows([c.row(file) for c in open_])
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place of the magic with what a record there would be."""
+    """Every place of the magic with what a record there would be; none where the file ends before the record does."""
     text = spark.read.option("lineSep", MAGIC).text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_candidates, CANDIDATES)
 

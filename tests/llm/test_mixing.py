@@ -28,7 +28,7 @@ def rows():
     for k in range(1500):
         source = rng.choice(["a", "a", "a", "b", "Z", None, "é", "c"])
         out.append((k, " ".join(["w"] * rng.randint(0, 60)) if k % 50 else None, source, k % 7, "x"))
-    return out + [(7, "same row", "b", 0, "x")] * 3 + [(None, "no id", "c", 0, "x"), (9000, "w " * 20000, "a", 0, "x")]
+    return out + [(8000, "same row", "b", 0, "x")] * 3 + [(None, "no id", "c", 0, "x"), (9000, "w " * 20000, "a", 0, "x")]
 
 
 def test_targets_takes_and_reruns(spark):
