@@ -102,7 +102,7 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
     beta = F.least(F.greatest((F.col("m") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
     tried = both.withColumn("gain", beta * (F.col("m") - F.col("least")) / 1000 - beta * beta)
     ok = tried.groupBy("lo", "hi").agg(F.avg("gain").alias("gain"), F.min("gain").alias("worst")).where("worst >= -0.9")
-    return ok.agg(F.max_by(F.struct("lo", "hi", "gain"), F.struct(F.col("gain"), -F.col("lo"), -F.col("hi"))).alias("b")).select("b.*")
+    return ok.agg(F.max_by(F.struct("lo", "hi", "gain"), F.struct(F.col("gain"), -F.col("lo"), -F.col("hi"))).alias("b")).where("b is not null").select("b.*")
 
 
 def beta_lookup(spark: SparkSession, d: str) -> DataFrame:
