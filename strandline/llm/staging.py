@@ -20,8 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -51,3 +55,11 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         for f in t.inputFiles()[:1]:
             p = jvm.org.apache.hadoop.fs.Path(f).getParent()
             p.getFileSystem(conf).delete(p, True)
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Deletes every table that this process has staged; results read from them before must be written first."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(conf).delete(p, True)
