@@ -9,7 +9,7 @@ from .staging import dropped, staged
 
 
 def components(links: DataFrame) -> DataFrame:
-    """For links (a long, b long): (node long, label long), the least node that each node reaches.
+    """For links (a long, b long): (node long, label long, was long), the least node that each node reaches.
 
     Each round takes the least label of the neighbours (a sum that is formed before the
     shuffle, so a node with very many links is no burden) and then the label of that label,
@@ -27,14 +27,14 @@ def components(links: DataFrame) -> DataFrame:
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("label").alias("near"))
         )
-        least = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("next"))
+        least = labels.select("node", "label").join(near, "node", "left").select("node", "label", F.least("label", "near").alias("next"))
         root = labels.select(F.col("node").alias("next"), F.col("label").alias("root"))
         after = staged(
             least.join(root, "next", "left").select("node", F.least("next", "root").alias("label"), F.col("label").alias("was")), "labels"
         )
         moved = after.where("label <> was").limit(1).count()
         dropped(spark, labels)
-        labels = after.select("node", "label")
+        labels = after
         if not moved:
             dropped(spark, both)
             return labels

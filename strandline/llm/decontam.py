@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged, steady
+from .staging import scratch, staged, steady
 from .textops import ALNUM_WORD, folded
 
 WINDOW = 10
@@ -128,7 +128,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
 def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """docs with hit words and what follows them up to the next word cut from `text`; rows that lose all words go, rows that had none stay."""
     docs = steady(docs)
-    found = staged(hits(docs, items, window, broadcast_grams).where("spans is not null").select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"), F.col("n_words").alias("__n")), "spans")
+    with scratch(docs.sparkSession) as kept:
+        spans = hits(docs, items, window, broadcast_grams).where("spans is not null")
+        found = staged(spans.select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"), F.col("n_words").alias("__n")), "spans")
+        kept.append(found)
     rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(found, "__uid", "left")
     separators = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"{separators}|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))

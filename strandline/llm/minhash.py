@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import staged, steady
+from .staging import scratch, staged, steady
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
 SHINGLE, PERCENT, SKETCH = 5, 75, 64
@@ -252,7 +252,7 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
     first = long.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
     found = staged(confirmed(estimated(pairs.union(first).distinct(), reps, percent, k, ESTIMATE), texts, size, percent), "found")
     labels = components(found)
-    active = long.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    active = long.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     split = active.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
     rest = staged(active.select("v", "cid", "n", "label").join(split, "v", "left_semi"), "rest")
     if not rest.limit(1).count():
@@ -268,8 +268,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     reps = staged(some.groupBy("d1", "d2", "n").agg(F.min("uid").alias("cid"), F.min_by("sketch", "uid").alias("sketch"), F.min("doc_id").alias("least")), "classes")
     wanted = reps.select("cid")
     texts = with_uid(docs).join(wanted.withColumnRenamed("cid", "uid"), "uid", "left_semi").select(F.col("uid").alias("cid"), text_bytes(F.col("text")).alias("text"))
-    labels = links(reps.select("cid", "n", "sketch"), texts, size, percent, k, share)
-    named = reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    with scratch(docs.sparkSession) as kept:
+        labels = links(reps.select("cid", "n", "sketch"), texts, size, percent, k, share)
+        kept.append(labels)
+    named = reps.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = named.select("d1", "d2", "n", "label").join(least, "label").select("d1", "d2", "n", "component_id")
     return (
@@ -288,5 +290,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without those that repeat an earlier document; of rows with one doc_id and one set, one stays."""
     docs = steady(docs)
-    found = staged(near_duplicates(docs, **options).where("kept").groupBy("component_id", "doc_id").agg(F.min("uid").alias("uid"), F.max("n_shingles").alias("n")), "kept")
+    with scratch(docs.sparkSession) as kept:
+        first = near_duplicates(docs, **options).where("kept").groupBy("component_id", "doc_id")
+        found = staged(first.agg(F.min("uid").alias("uid")), "kept")
+        kept.append(found)
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(found.select(F.col("uid").alias("__uid")), "__uid", "left_semi").drop("__uid")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,26 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     repeat the work and row numbers given before stay as they are."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _made.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables staged inside go at the end, but for those that the block puts into the list."""
+    start, kept = len(_made), []
+    yield kept
+    stay = {df.staged_path for df in kept}
+    _delete(spark, [p for p in _made[start:] if p not in stay])
 
 
 #: Plan nodes that give the same rows in the same order on every pass.
@@ -49,17 +70,9 @@ def steady(df: DataFrame) -> DataFrame:
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for t in tables:
-        for f in t.inputFiles()[:1]:
-            p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            p.getFileSystem(conf).delete(p, True)
+    _delete(spark, [t.staged_path for t in tables])
 
 
 def cleaned(spark: SparkSession) -> None:
     """Deletes every table that this process has staged; results read from them before must be written first."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        p.getFileSystem(conf).delete(p, True)
+    _delete(spark, list(_made))

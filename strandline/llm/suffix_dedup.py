@@ -259,7 +259,7 @@ def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     )
     out = both.groupBy("uid", "again").agg(merged.alias("m")).select("uid", "again", F.explode("m").alias("m")).select("uid", "again", "m.lo", "m.hi", "m.other")
     out = staged(out, "passages")
-    dropped(spark, places)
+    dropped(spark, places, met)
     return out
 
 

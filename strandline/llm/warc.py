@@ -179,7 +179,7 @@ def reachable(found: DataFrame) -> DataFrame:
         out = out.select("f", "offset", F.col("after").alias("next"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached"), (~F.col("reached") & F.coalesce("hit", F.lit(False))).alias("new"))
         after = staged(out, "chain")
         dropped(spark, chain)
-        chain = after.drop("new")
+        chain = after
         if not after.where("new").limit(1).count():
             return chain.where("reached").select("f", "offset")
 
