@@ -49,9 +49,12 @@ def rasterised(mvs: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
     lo = lambda c, size: F.greatest(F.col(c) - F.floor(F.col(size) / 2), F.lit(0)).cast("int")
     hi = lambda c, size, most: F.least(F.col(c) - F.floor(F.col(size) / 2) + F.col(size), F.lit(most)).cast("int")
     p = p.withColumn("x0", lo("dst_x", "w")).withColumn("x1", hi("dst_x", "w", grid_w)).withColumn("y0", lo("dst_y", "h")).withColumn("y1", hi("dst_y", "h", grid_h))
-    cells = p.where("x1 > x0 and y1 > y0").withColumn("y", F.explode(F.sequence("y0", F.col("y1") - 1))).withColumn("x", F.explode(F.sequence("x0", F.col("x1") - 1)))
-    top = cells.groupBy("frame_id", "y", "x").agg(F.max(F.struct("mv_idx", "dx", "dy")).alias("m"))
-    return top.select("frame_id", "y", "x", F.col("m.dx").alias("dx"), F.col("m.dy").alias("dy"))
+    wide = F.col("x1") - F.col("x0")
+    blocks = p.where("x1 > x0 and y1 > y0").select("frame_id", "mv_idx", "dx", "dy", "x0", "y0", wide.alias("bw"), (wide * (F.col("y1") - F.col("y0"))).alias("n"))
+    cells = blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = cells.select("frame_id", "mv_idx", "dx", "dy", F.expr("y0 + cast(k div bw as int)").alias("y"), F.expr("x0 + k % bw").alias("x"))
+    # two maxima over plain numbers stay in a hash aggregate; one over a struct would sort all cells
+    return cells.groupBy("frame_id", "y", "x").agg(F.max_by("dx", "mv_idx").alias("dx"), F.max_by("dy", "mv_idx").alias("dy"))
 
 
 def motion_signal(flow: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
