@@ -133,12 +133,11 @@ def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadc
         found = staged(spans.select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"), F.col("n_words").alias("__n")), "spans")
         kept.append(found)
     rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(found, "__uid", "left")
-    separators = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(rf"{separators}|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    ahead = F.when(F.regexp_like(F.col("text"), F.lit(rf"^{separators}")), F.lit(1)).otherwise(F.lit(0))
-    clean = F.expr(
-        "array_join(filter(__pieces, (p, j) -> j < __ahead or not exists(__spans, s -> (j - __ahead) div 2 >= s.lo and (j - __ahead) div 2 < s.hi)), '')"
-    )
+    separator, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    # a word with what follows it; no expression over the whole text may stand inside the filter
+    units = F.regexp_extract_all(F.col("text"), F.lit(f"{word}+{separator}*"), F.lit(0))
+    ahead = F.regexp_extract("text", f"^{separator}*", 0)
+    clean = F.concat(ahead, F.array_join(F.expr("filter(__words, (w, j) -> not exists(__spans, s -> j >= s.lo and j < s.hi))"), ""))
     left = F.expr("__spans is null or aggregate(__spans, 0, (s, x) -> s + x.hi - x.lo) < __n")
-    cut = rows.where(left).withColumn("__pieces", F.when(F.col("__spans").isNotNull(), pieces)).withColumn("__ahead", ahead)
+    cut = rows.where(left).withColumn("__words", F.when(F.col("__spans").isNotNull(), units))
     return cut.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)

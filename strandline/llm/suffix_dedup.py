@@ -278,9 +278,10 @@ def without_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> Data
     docs = steady(docs)
     again = passages(docs, least, key).where("again").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__cut"))
     rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(again.withColumnRenamed("uid", "__uid"), "__uid", "left")
-    pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+"), F.lit(0))
-    ahead = F.when(F.regexp_like(F.col("text"), F.lit(r"^[\x20\x09-\x0D]")), F.lit(1)).otherwise(F.lit(0))
-    rows = rows.withColumn("__pieces", F.when(F.col("__cut").isNotNull(), pieces)).withColumn("__ahead", ahead)
-    kept = F.expr("filter(__pieces, (p, j) -> j < __ahead or not exists(__cut, s -> (j - __ahead) div 2 >= s.lo and (j - __ahead) div 2 < s.hi))")
-    text = rows.withColumn("__kept", F.when(F.col("__cut").isNotNull(), F.array_join(kept, "")).otherwise(F.col("text")))
+    # a word with the white space after it; no expression over the whole text may stand inside the filter
+    space = r"[\x20\x09-\x0D]"
+    rows = rows.withColumn("__words", F.when(F.col("__cut").isNotNull(), F.regexp_extract_all(F.col("text"), F.lit(rf"[^\x20\x09-\x0D]+{space}*"), F.lit(0))))
+    ahead = F.regexp_extract("text", rf"^{space}*", 0)
+    kept = F.concat(ahead, F.array_join(F.expr("filter(__words, (w, j) -> not exists(__cut, s -> j >= s.lo and j < s.hi))"), ""))
+    text = rows.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept).otherwise(F.col("text")))
     return text.where(F.col("__cut").isNull() | F.regexp_like(F.col("__kept"), F.lit(r"[^\x20\x09-\x0D]"))).withColumn("text", F.col("__kept")).select(*docs.columns)
