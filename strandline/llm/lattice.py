@@ -65,71 +65,93 @@ def vocabulary(path: str = VOCABULARY) -> dict[str, float]:
 
 
 class Lattice:
-    """All segmentations of a word into scored pieces."""
+    """All segmentations of a word into scored pieces, found by walking a tree of the pieces."""
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max((len(p) for p in scores if p[0] != "\0"), default=1)
         self.chars = {p for p in scores if len(p) == 1}
-        heads: dict[str, set[int]] = {}
-        for p in scores:
-            if p[0] != "\0":
-                heads.setdefault(p[:2], set()).add(len(p))
-        self.lengths = {h: tuple(sorted(n)) for h, n in heads.items()}
-
-    def edges(self, word: str) -> list[list[tuple[int, float, str]]]:
-        """For each end the (start, score, piece) of the pieces that end there; a character without a piece is its bytes."""
-        n, get = len(word), self.scores.get
-        into: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            c = word[i]
-            if c in self.chars:
-                into[i + 1].append((i, self.scores[c], c))
-            else:
-                own = "".join(f"\0{b:02x}" for b in c.encode("utf-8", "surrogatepass"))
-                into[i + 1].append((i, sum(self.scores[own[k : k + 3]] for k in range(0, len(own), 3)), own))
-            for length in self.lengths.get(word[i : i + 2], ()):
-                if length > 1 and i + length <= n:
-                    s = get(p := word[i : i + length])
-                    if s is not None:
-                        into[i + length].append((i, s, p))
-        return into
-
-    def forward(self, into: list) -> list[float]:
-        alpha = [0.0]
-        for edges in into[1:]:
-            terms = [alpha[e[0]] + e[1] for e in edges]
-            if len(terms) == 1:
-                alpha.append(terms[0])
-            else:
-                top = max(terms)
-                alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
-        return alpha
+        self.root: dict = {}  # character -> (children, piece, score); piece is "" where none ends
+        for piece in sorted((p for p in scores if p[0] != "\0"), key=len):
+            node = self.root
+            for c in piece[:-1]:
+                node = node.setdefault(c, [{}, "", 0.0])[0]
+            node.setdefault(piece[-1], [{}, "", 0.0])[1:] = piece, scores[piece]
+
+    def _bytes(self, c: str) -> tuple[str, float]:
+        """Byte pieces of a character that has no piece of its own, and their score."""
+        own = "".join(f"\0{b:02x}" for b in c.encode("utf-8", "surrogatepass"))
+        return own, sum(self.scores[own[k : k + 3]] for k in range(0, len(own), 3))
 
     def log_probability(self, word: str) -> float:
         """Natural logarithm of the sum over segmentations of the word with its word mark."""
-        return self.forward(self.edges(SPACE + word))[-1]
+        text = SPACE + word
+        n, chars, exp, log = len(text), self.chars, math.exp, math.log
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        alpha = 0.0
+        for i in range(n):
+            if i:
+                t = terms[i]
+                if len(t) == 1:
+                    alpha = t[0]
+                else:
+                    top = max(t)
+                    alpha = top + log(sum([exp(x - top) for x in t]))
+                terms[i] = t = None
+            if (c := text[i]) not in chars:
+                terms[i + 1].append(alpha + self._bytes(c)[1])
+            node, j = self.root, i
+            while j < n and (found := node.get(text[j])) is not None:
+                node, piece, score = found
+                j += 1
+                if piece:
+                    terms[j].append(alpha + score)
+        top = max(terms[n])
+        return top + log(sum([exp(x - top) for x in terms[n]]))
 
     def expected(self, word: str, weight: float, out: dict[str, float]) -> None:
-        """Adds weight times the expected counts of pieces in the word."""
-        into = self.edges(SPACE + word)
-        alpha = self.forward(into)
-        whole = alpha[-1]
-        beta = [-math.inf] * len(alpha)
-        beta[-1] = 0.0
-        for end in range(len(into) - 1, 0, -1):
-            b = beta[end]
-            if b == -math.inf:
+        """Adds weight times the expected counts of pieces in the word.
+
+        The chance of an edge given that its end is on the path is what it gives to the sum at that
+        end, so the backward pass needs the forward sums alone.
+        """
+        text = SPACE + word
+        n, chars, exp, log = len(text), self.chars, math.exp, math.log
+        into: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+        alpha = [0.0] * (n + 1)
+        for i in range(n + 1):
+            if i:
+                t = into[i]
+                if len(t) == 1:
+                    alpha[i] = t[0][1]
+                else:
+                    top = max([x[1] for x in t])
+                    alpha[i] = top + log(sum([exp(x[1] - top) for x in t]))
+                if i == n:
+                    break
+            a = alpha[i]
+            if (c := text[i]) not in chars:
+                own, score = self._bytes(c)
+                into[i + 1].append((i, a + score, own))
+            node, j = self.root, i
+            while j < n and (found := node.get(text[j])) is not None:
+                node, piece, score = found
+                j += 1
+                if piece:
+                    into[j].append((i, a + score, piece))
+        on_path = [0.0] * n + [weight]
+        for end in range(n, 0, -1):
+            g = on_path[end]
+            if g < 1e-12:
                 continue
-            for start, s, piece in into[end]:
-                p = weight * math.exp(alpha[start] + s + b - whole)
+            t = into[end]
+            for start, total, piece in t:
+                p = g if len(t) == 1 else g * exp(total - alpha[end])
+                on_path[start] += p
                 if piece[0] == "\0":
                     for k in range(0, len(piece), 3):
                         out[piece[k : k + 3]] = out.get(piece[k : k + 3], 0.0) + p
                 else:
                     out[piece] = out.get(piece, 0.0) + p
-                x, y = beta[start], s + b
-                beta[start] = y if x == -math.inf else (x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y)))
 
 
 def _text(word: bytes) -> str:
