@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .textops import ALNUM_FOLD, text_bytes
 
-MOST_FEATURES, SAMPLE, SAMPLE_CHARS = 5000, 2000, 6000
+MOST_FEATURES, SAMPLE, SAMPLE_CHARS = 5000, 2000, 3000
+BROADCAST_LABELS = 1_000_000  # labelled rows that go to every task (about 20 MB); more meet the texts in a shuffle
 HEADS = (4, 5, 6, 7, 8)
 LEAST_RATIO, PRECISE = 12.0, 0.8
 WINDOW, STEPS, RATE, PENALTY = 96, 60, 0.4, 1e-3
@@ -160,8 +161,10 @@ def fitted(texts: list[list[str]], labels: list[list[int]], features: list[str])
             beta[t] = np.where(mask[t + 1][:, None], b / b.sum(1, keepdims=True), 1.0)
         p = alpha * beta
         p = (p / p.sum(2, keepdims=True))[:, :, 1] * mask
-        xi = alpha[:-1, :, :, None] * trans * (local[1:] * beta[1:])[:, :, None, :]
-        xi = (xi / xi.sum((2, 3), keepdims=True) * both[:, :, None, None]).sum((0, 1))
+        xi = np.zeros((2, 2))
+        for t in range(1, longest):
+            x = alpha[t - 1][:, :, None] * trans * (local[t] * beta[t])[:, None, :]
+            xi += (x / x.sum((1, 2), keepdims=True))[both[t - 1]].sum(0)
         theta += RATE * 4 * ((seen_f - np.bincount(which, weights=p.ravel()[at], minlength=len(features))) / scale_f - PENALTY * theta)
         bias += RATE * 4 * (seen - p.sum()) / max(seen, 0.002 * tokens_)
         bias = float(np.clip(bias, -12, 4))
@@ -190,41 +193,48 @@ def calibrated(x: np.ndarray, y: np.ndarray, penalty: float = 0.02) -> np.ndarra
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[Field, np.ndarray]:
     """The field and the calibration from labelled rows; docs: doc_id, text; labels: doc_id, toxic."""
     told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    side = F.broadcast(told) if told.count() <= BROADCAST_LABELS else told
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text")).where(rest != 0)
-    known = own.join(told, "doc_id").withColumn("fold", rest.cast("int")).persist()
-    try:
-        count = {(bool(r["toxic"]), r["fold"] == 1): 0 for r in ()}
-        for r in known.groupBy("toxic", "fold").count().collect():
-            key = bool(r["toxic"]), r["fold"] == 1
-            count[key] = count.get(key, 0) + r["count"]
-        n1, n0 = count.get((True, False), 0), count.get((False, False), 0)
-        every1 = n1 + count.get((True, True), 0)
-        every = every1 + n0 + count.get((False, True), 0)
-        base = np.array([np.log((every1 + 0.5) / (every - every1 + 0.5)), 0.0, 0.0, 0.0])
-        if not n1 or not n0:
-            return Field({}, -4.0, np.zeros((2, 2))), base
-        counts = known.where("fold <> 1").select("text", "toxic").mapInArrow(_counted, "feature string, toxic long, clean long")
-        sums = counts.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where("a >= 2")
-        n, m = F.col("a") + F.col("b"), float(n1 + n0)
-        part = lambda x, share: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * F.lit(share)))).otherwise(0.0)
-        rated = sums.withColumn("g", 2 * (part("a", n1 / m) + part("b", n0 / m))).where((F.col("g") >= LEAST_RATIO) & (F.col("a") / n > n1 / m))
-        best = rated.orderBy(F.desc("g"), "feature").limit(MOST_FEATURES).collect()
-        precise = {r["feature"] for r in best if r["a"] >= PRECISE * (r["a"] + r["b"])}
-        features = [r["feature"] for r in best]
-        pick = lambda rows, k: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(k).select("toxic", F.expr(f"substring(text, 1, {SAMPLE_CHARS}) as text")).collect()
-        train = pick(known.where("fold <> 1 and toxic = 1"), SAMPLE // 2) + pick(known.where("fold <> 1 and toxic <> 1"), SAMPLE // 2)
-        texts = [tokens(bytes(r["text"])) for r in train]
-        marks = [[int(bool(r["toxic"]) and any(f in precise for f in features_of(w))) for w in t] for r, t in zip(train, texts, strict=True)]
-        field = fitted(texts, marks, features)
-        held = known.where("fold = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        x = held.select("toxic", "text").mapInArrow(_gathered(field), "toxic int, total double, share double, top double").collect()
-        if not x or len({r["toxic"] for r in x}) < 2:
-            return field, base
-        w = calibrated(np.array([[r["total"], r["share"], r["top"]] for r in x]), np.array([float(r["toxic"] > 0) for r in x]))
-        return field, w
-    finally:
-        known.unpersist()
+    known = own.join(side, "doc_id").withColumn("fold", rest.cast("int"))
+    names = own.select("doc_id").join(side, "doc_id").distinct().withColumn("fold", rest.cast("int"))
+    count: dict[tuple[bool, bool], int] = {}
+    for r in names.groupBy("toxic", "fold").count().collect():
+        key = r["toxic"] > 0, r["fold"] == 1
+        count[key] = count.get(key, 0) + r["count"]
+    n1, n0 = count.get((True, False), 0), count.get((False, False), 0)
+    every1 = n1 + count.get((True, True), 0)
+    every = every1 + n0 + count.get((False, True), 0)
+    base = np.array([np.log((every1 + 0.5) / (every - every1 + 0.5)), 0.0, 0.0, 0.0])
+    if not n1 or not n0:
+        return Field({}, -4.0, np.zeros((2, 2))), base
+    counts = known.where("fold <> 1").select("text", "toxic").mapInArrow(_counted, "feature string, toxic long, clean long")
+    sums = counts.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where("a >= 2")
+    n, m = F.col("a") + F.col("b"), float(n1 + n0)
+    part = lambda x, share: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * F.lit(share)))).otherwise(0.0)
+    rated = sums.withColumn("g", 2 * (part("a", n1 / m) + part("b", n0 / m))).where((F.col("g") >= LEAST_RATIO) & (F.col("a") / n > n1 / m))
+    best = rated.orderBy(F.desc("g"), "feature").limit(MOST_FEATURES).collect()
+    precise = {r["feature"] for r in best if r["a"] >= PRECISE * (r["a"] + r["b"])}
+    features = [r["feature"] for r in best]
+
+    def sample(rows: DataFrame, k: int) -> DataFrame:
+        """doc_id, text and toxic of the k rows that stand first by a hash: ids first, then their texts."""
+        ids = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(k).select("doc_id", F.col("toxic").cast("int").alias("toxic")).collect()
+        few = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "doc_id long, toxic int")
+        return own.join(F.broadcast(few), "doc_id")  # k rows
+
+    train = []
+    for toxic in (True, False):
+        rows = sample(names.where("fold <> 1").where(F.col("toxic") > 0 if toxic else F.col("toxic") <= 0), SAMPLE // 2)
+        train += rows.groupBy("doc_id", "toxic").agg(F.min(F.expr(f"substring(text, 1, {SAMPLE_CHARS})")).alias("text")).orderBy("doc_id").collect()
+    texts = [tokens(bytes(r["text"])) for r in train]
+    marks = [[int(r["toxic"] > 0 and any(f in precise for f in features_of(w))) for w in t] for r, t in zip(train, texts, strict=True)]
+    field = fitted(texts, marks, features)
+    held = sample(names.where("fold = 1"), SAMPLE).select("doc_id", "toxic", "text").mapInArrow(_gathered(field), "doc_id long, toxic int, total double, share double, top double")
+    x = held.groupBy("doc_id", "toxic").agg(*[F.max(c).alias(c) for c in ("total", "share", "top")]).orderBy("doc_id").collect()
+    if not x or len({r["toxic"] > 0 for r in x}) < 2:
+        return field, base
+    return field, calibrated(np.array([[r["total"], r["share"], r["top"]] for r in x]), np.array([float(r["toxic"] > 0) for r in x]))
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -253,7 +263,8 @@ def _gathered(field: Field):
         for b in batches:
             for lo, texts in _runs(b.column("text")):
                 x = np.array([gathered(p) for p in _marginals(field, texts, memo)])
-                yield pa.RecordBatch.from_arrays([b.column("toxic").slice(lo, len(texts)).cast(pa.int32()), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "total", "share", "top"])
+                own = [b.column(c).slice(lo, len(texts)) for c in ("doc_id", "toxic")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x[:, k]) for k in range(3))], ["doc_id", "toxic", "total", "share", "top"])
 
     return run
 
