@@ -34,6 +34,7 @@ SHARE, MOST = 1.5, 2.0
 BLOCK_ROWS, MOST_BLOCKS = 64, 4096  # rows a block where blocks are few, blocks a source where rows are many
 SHARDS, SEED = 64, 20240607
 MOST_SOURCES = 100_000
+BROADCAST_BLOCKS = 200_000  # rows of the draws by block that go to every task; more meet the documents in a shuffle
 
 
 def word_count(text):
@@ -119,6 +120,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     lined = lined.withColumn("passes", passes).withColumn("left", F.col("target") - F.col("passes") * F.col("source_size"))
     # words of this block in the pass that is not whole: all, none or the first `room` of them
     lined = staged(lined.withColumn("room", F.greatest(F.lit(0.0), F.col("left") - F.col("ahead"))).select("source_key", "number", "block", "words", "turn", "used", "passes", "room", "source_size", "target"), "blocks")
+    lines = lined.count()
     part = lined.where("room > 0 and room < words")  # one block a source at most
     drawn = lined.groupBy("number").agg(F.sum(F.col("passes") + (F.col("room") > 0).cast("int")).cast("long").alias("draws")).collect()  # a row a source
     dealt = quotas({r["number"]: r["draws"] for r in drawn}, shards, seed)
@@ -139,6 +141,8 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     lined = lined.withColumn("until", F.expr("case when rest is null then null when room >= words then 9223372036854775807 else upto_h end"))
     out = sized.join(few.select(F.col("source_key").alias("__key"), F.col("blocks").alias("__blocks")), "__key").withColumn("__block", F.pmod("__h", F.col("__blocks")).cast("int"))
     plan = lined.select(F.col("source_key").alias("__key"), F.col("block").alias("__block"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("until").alias("__until"))
+    if lines <= BROADCAST_BLOCKS:
+        plan = F.broadcast(plan)  # so texts are shuffled only on their way to the output shards
     out = out.join(plan, ["__key", "__block"])
     taken = F.expr("if(__until is not null and __h <= __until, array_append(__whole, __rest), __whole)")
     draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), d["shard"], d["pass"], F.col("__h")).alias("place")))
