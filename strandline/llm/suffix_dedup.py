@@ -6,7 +6,8 @@ words therefore holds a kept place, the same one in each of its copies, with ``k
 words after it.  The steps:
 
 1. Every text gives (hash of the key words, document, place) for its kept places; hashes
-   that occur once go, by a count that is formed before the shuffle.
+   that occur once go, by a count that is formed before the shuffle; very frequent ones are
+   told by a broadcast of bounded size, so their places stay spread.
 2. The remaining suffixes fetch their contexts: ``least - key`` words to the left and as many
    beyond the key, as 32-bit word hashes.
 3. They are sorted by key, right context, left context, document and place (a range
@@ -34,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import with_counts
 from .staging import dropped, staged, steady
 from .textops import chunks, grams, text_bytes, words_of
 
@@ -242,8 +244,7 @@ def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     spark, docs = docs.sparkSession, steady(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), text_bytes(F.col("text")).alias("text"))
     places = staged(rows.mapInArrow(_places(least, key), "key long, uid long, place int"), "places")
-    often = places.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    by_doc = places.join(often, "key", "left_semi").groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("p"))
+    by_doc = with_counts(places, "key", "c").groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("p"))
     by_doc = by_doc.select("uid", F.col("p.key").alias("keys"), F.col("p.place").alias("places"))
     suffixes = rows.join(by_doc, "uid").mapInArrow(_contexts(least, key), "key long, right binary, left binary, uid long, place int")
     order = ["key", "right", "left", "uid", "place"]
