@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .skew import with_counts
 from .staging import scratch, staged, steady
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
@@ -153,8 +154,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 def _keys(reps: DataFrame, share: float) -> DataFrame:
     """(v, cid, n): entries of the inverted lists, for each class its rarest retained values."""
     entries = reps.select("cid", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
-    counts = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = entries.join(counts, "v").groupBy("cid", "n", "held").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    common = with_counts(entries, "v", "df").groupBy("cid", "n", "held").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     room = F.expr(f"held - cast(floor({share} * held) as int) + 1 - (held - size(vs))")
     return (
         common.withColumn("room", room)
@@ -238,8 +238,7 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
     reps: cid, n, sketch of each class; texts: cid and text of its representative.
     """
     keys = staged(_keys(reps, share), "lists")
-    sizes = keys.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("pivot")).where("c > 1")
-    listed = staged(keys.join(sizes, "v"), "listed")
+    listed = staged(with_counts(keys, "v", "c", F.min("cid").alias("pivot")), "listed")
     short = listed.where(f"c <= {SHORT}").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("m"))
     pairs = (
         short.select(F.posexplode("m").alias("i", "x"), "m")

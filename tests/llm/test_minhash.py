@@ -80,3 +80,14 @@ def test_empty_table(spark):
 def test_a_hot_value_in_unlike_documents_makes_no_link(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("a very common first line "), F.expr("array_join(transform(sequence(0, 40), k -> sha(cast(id * 100 + k as string))), ' ')")).alias("text"))
     assert minhash.near_duplicates(docs).where("not kept").count() == 0
+
+
+def test_counts_of_hot_and_other_keys(spark):
+    from strandline.llm.skew import with_counts
+
+    keys = [1] * 50 + [2, 2, 3, None, None] + [k for k in range(10, 30) for _ in range(2)]
+    rows = spark.createDataFrame(list(enumerate(keys)), "uid long, key long").repartition(4, "uid")
+    want = sorted((k, u, keys.count(k)) for u, k in enumerate(keys) if k is not None and keys.count(k) > 1)
+    for most in (1, 5, 10_000):  # no key is hot, one is, all are
+        got = with_counts(rows, "key", "c", most_hot=most)
+        assert sorted((r.key, r.uid, r.c) for r in got.collect()) == want
