@@ -38,6 +38,7 @@ SHINGLE, PERCENT, SKETCH = 5, 75, 64
 SHARE = 0.42  # of a sketch; 27 of 64, over six deviations under the expected 48
 ESTIMATE = 0.48  # five deviations under 0.75 for 64 values
 SHORT = 12  # members of a list that gives all its pairs
+BROADCAST_IDS = 1_000_000  # classes whose texts are asked for by a broadcast; more meet the texts in a shuffle
 BLOCK_SHINGLES, BLOCK_DOCS = 200_000, 800  # of a block of members, about
 
 
@@ -144,6 +145,12 @@ def _one(text: bytes, size: int) -> np.ndarray:
     return _sets(np.array([0, len(text)], np.int64), np.frombuffer(text, np.uint8), size)[1]
 
 
+def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts (cid, text) whose cid is among ids (cid), so that no other text is shuffled."""
+    ids = ids.distinct()
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "cid", "left_semi")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are alike enough; texts: cid, text."""
     side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}"))
@@ -235,7 +242,7 @@ def _apart_links(rest: DataFrame, texts: DataFrame, size: int, percent: int) ->
 def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
     """Components over classes: (node, label) for each class with a link to another.
 
-    reps: cid, n, sketch of each class; texts: cid and text of its representative.
+    reps: cid, n, sketch of each class; texts: cid and text of its representative, and of others.
     """
     keys = staged(_keys(reps, share), "lists")
     listed = staged(with_counts(keys, "v", "c", F.min("cid").alias("pivot")), "listed")
@@ -249,14 +256,16 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
     )
     long = listed.where(f"c > {SHORT}")
     first = long.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
-    found = staged(confirmed(estimated(pairs.union(first).distinct(), reps, percent, k, ESTIMATE), texts, size, percent), "found")
+    likely = staged(estimated(pairs.union(first).distinct(), reps, percent, k, ESTIMATE), "likely")
+    wanted = narrowed(texts, likely.select(F.col("a").alias("cid")).union(likely.select("b")))
+    found = staged(confirmed(likely, wanted, size, percent), "found")
     labels = components(found)
     active = long.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     split = active.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
     rest = staged(active.select("v", "cid", "n", "label").join(split, "v", "left_semi"), "rest")
     if not rest.limit(1).count():
         return labels
-    return components(found.union(staged(_apart_links(rest, texts, size, percent), "found")))
+    return components(found.union(staged(_apart_links(rest, narrowed(texts, rest.select("cid")), size, percent), "found")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
@@ -265,8 +274,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     own = staged(sketches(docs, size, k), "sketches")
     some = own.where("n > 0")
     reps = staged(some.groupBy("d1", "d2", "n").agg(F.min("uid").alias("cid"), F.min_by("sketch", "uid").alias("sketch"), F.min("doc_id").alias("least")), "classes")
-    wanted = reps.select("cid")
-    texts = with_uid(docs).join(wanted.withColumnRenamed("cid", "uid"), "uid", "left_semi").select(F.col("uid").alias("cid"), text_bytes(F.col("text")).alias("text"))
+    texts = with_uid(docs).select(F.col("uid").alias("cid"), text_bytes(F.col("text")).alias("text"))
     with scratch(docs.sparkSession) as kept:
         labels = links(reps.select("cid", "n", "sketch"), texts, size, percent, k, share)
         kept.append(labels)
