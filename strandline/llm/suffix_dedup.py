@@ -8,21 +8,23 @@ words after it.  The steps:
 1. Every text gives (hash of the key words, document, place) for its kept places; hashes
    that occur once go, by a count that is formed before the shuffle; very frequent ones are
    told by a broadcast of bounded size, so their places stay spread.
-2. The remaining suffixes fetch their contexts: ``least - key`` words to the left and as many
-   beyond the key, as 32-bit word hashes.
+2. The remaining suffixes fetch their contexts: up to ``least - key`` words to the left and as
+   many beyond the key, as 32-bit word hashes.  They end where a lesser hash comes, so that a
+   window is seen only from the kept place that is least in it, the same one in all copies.
 3. They are sorted by key, right context, left context, document and place (a range
    partitioning, so a passage that stands in a third of all documents spreads over tasks).
-4. A stream over each partition compares neighbours, in suffix order and once more in the
-   order of the left contexts; suffixes with one key that are few are all compared.  The
-   first and last suffix of each partition (two rows a partition) are compared on the driver.
-5. A match is extended left and right, and counts from ``least`` words on.  Of two copies
-   the later one (by row number, then place) repeats, the earlier one is first.  The pieces of
-   a document are merged, which covers passages of any length.
+4. A stream over each partition hashes the windows of ``least`` words that hold the key of
+   each suffix and looks for equal ones.  Of a key whose suffixes lie in several slabs or
+   partitions, each piece sends every window that has no earlier copy in it on by its hash,
+   once, with its last copy; the first and the last copy of all decide there.
+5. A window repeats (``again``) if an earlier copy exists, by row number, then place; it is
+   first if only later ones do.  The windows of a document are merged, which covers passages
+   of any length.
 
 Words are separated by ASCII white space and compared with A-Z in lower case.
 
 Nulls and texts under ``least`` words have no passages.  Repeated rows repeat each other.
-Copies within a document count when they don't overlap.  Other columns are ignored.
+Windows of a document are copies of each other when they don't overlap.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import with_counts
 from .staging import dropped, staged, steady
-from .textops import chunks, grams, text_bytes, words_of
+from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
 LEAST, KEY = 50, 25
-FEW = 32  # suffixes of one key that are all compared with each other
 SLAB = 20_000  # suffixes that a task holds at a time
 
 
@@ -63,6 +63,17 @@ def _selected(g: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((_slide(np.maximum, np.concatenate((edge, least, edge)), w) == v) & valid)
 
 
+def _reach(g: np.ndarray, valid: np.ndarray, at: np.ndarray, width: int, step: int) -> np.ndarray:
+    """Places in a row beside each of `at`, width at most, whose hashes are not less than its own."""
+    out, alive = np.zeros(len(at), np.int16), np.ones(len(at), bool)
+    for d in range(1, width + 1):
+        x = at + step * d
+        y = np.clip(x, 0, len(g) - 1)
+        alive &= (x == y) & valid[y] & (g[y] >= g[at])
+        out += alive
+    return out
+
+
 def _places(least: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,7 +86,8 @@ def _places(least: int, key: int):
                 at = _selected(g, valid, least - key + 1)
                 doc = w.doc[at]
                 place = at - (np.cumsum(count) - count)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(uid[lo:hi][doc]), pa.array(place.astype(np.int32))], ["key", "uid", "place"])
+                reach = _reach(g, valid, at, least - key, -1) * np.int16(128) + _reach(g, valid, at, least - key, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(uid[lo:hi][doc]), pa.array(place.astype(np.int32)), pa.array(reach)], ["key", "uid", "place", "reach"])
 
     return run
 
@@ -85,7 +97,7 @@ def _contexts(least: int, key: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uid, keys, places = b.column("uid"), b.column("keys"), b.column("places")
+            uid, keys, places, reaches = (b.column(c) for c in ("uid", "keys", "places", "reaches"))
             for lo, hi, offsets, data in chunks(b.column("text")):
                 w = words_of(offsets, data)
                 short = (w.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -94,12 +106,12 @@ def _contexts(least: int, key: int):
                 each = np.diff(places.offsets.to_numpy()[lo : hi + 1])
                 doc = np.repeat(np.arange(hi - lo), each)
                 place = places.slice(lo, hi - lo).flatten().to_numpy().astype(np.int64)
-                at, end = first[doc] + place, (first + count)[doc]
+                at, reach = first[doc] + place, reaches.slice(lo, hi - lo).flatten().to_numpy()
                 for s in range(0, len(at), SLAB):
-                    a, d = at[s : s + SLAB, None], doc[s : s + SLAB]
-                    right, left = a + key + np.arange(width), a - 1 - np.arange(width)
-                    r = np.where(right < end[s : s + SLAB, None], short[np.minimum(right, len(short) - 1)], 0).astype(">u4")
-                    ll = np.where(left >= first[d][:, None], short[np.maximum(left, 0)], 0).astype(">u4")
+                    a, d, near = at[s : s + SLAB, None], doc[s : s + SLAB], reach[s : s + SLAB, None]
+                    right, left, k = a + key + np.arange(width), a - 1 - np.arange(width), np.arange(width)
+                    r = np.where(k < near % 128, short[np.minimum(right, len(short) - 1)], 0).astype(">u4")
+                    ll = np.where(k < near // 128, short[np.maximum(left, 0)], 0).astype(">u4")
                     fixed = pa.binary(4 * width)
                     cut = lambda x: pa.FixedSizeBinaryArray.from_buffers(fixed, len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays(
@@ -133,109 +145,109 @@ class _Slab:
         return _Slab(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("key", "right", "left", "uid", "place")))
 
 
-def _pairs(s: _Slab) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes with one key to compare: all pairs of few, else neighbours in both orders and each with the first."""
-    edges = np.flatnonzero(np.concatenate(([True], s.key[1:] != s.key[:-1], [True])))
-    size = np.repeat(np.diff(edges), np.diff(edges))
-    i, j = [], []
-    for d in range(1, FEW):
-        x = np.flatnonzero((s.key[:-d] == s.key[d:]) & ((size[:-d] <= FEW) | (d == 1))) if len(s) > d else np.zeros(0, np.int64)
-        if not len(x) and d > 1:
-            break
-        i.append(x)
-        j.append(x + d)
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        if hi - lo > FEW:
-            order = lo + np.lexsort([*s.left[lo:hi].T[::-1]])
-            whole = np.arange(lo, hi)
-            first = lo + np.lexsort((s.place[lo:hi], s.uid[lo:hi]))[0]
-            i += [order[:-1], np.full(len(whole) - 1, first)]
-            j += [order[1:], whole[whole != first]]
-    return np.concatenate(i), np.concatenate(j)
-
-
-def _matches(s: _Slab, i: np.ndarray, j: np.ndarray, least: int, key: int) -> tuple:
-    """For each suffix with a match: uid, lo, hi, uid of the other copy, whether it repeats."""
-    step, out = 1 << 17, []
-    for k in range(0, len(i), step):
-        a, b = i[k : k + step], j[k : k + step]
-        l, r = _lce(s.left[a], s.left[b]), _lce(s.right[a], s.right[b])  # noqa: E741
-        total = l + key + r
-        apart = (s.uid[a] != s.uid[b]) | (np.abs(s.place[a] - s.place[b]) >= total)
-        ok = (total >= least) & apart
-        a, b, l, r = a[ok], b[ok], l[ok], r[ok]  # noqa: E741
-        later = (s.uid[a] > s.uid[b]) | ((s.uid[a] == s.uid[b]) & (s.place[a] > s.place[b]))
-        out += [(a, l, r, b, later), (b, l, r, a, ~later)]
-    if not out:
-        return None
-    x, l, r, y, again = (np.concatenate(c) for c in zip(*out, strict=True))  # noqa: E741
-    # one row for each suffix and kind: the regions all hold the key, so their union is one region
-    order = np.lexsort((s.uid[y], again, x))
-    x, l, r, y, again = x[order], l[order], r[order], y[order], again[order]  # noqa: E741
-    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (again[1:] != again[:-1])))) if len(x) else np.zeros(0, np.int64)
-    if not len(new):
-        return None
-    lo, hi = np.maximum.reduceat(l, new), np.maximum.reduceat(r, new)
-    x = x[new]
-    return s.uid[x], s.place[x] - lo, s.place[x] + key + hi, s.uid[y[new]], again[new]
-
-
-NEIGHBOURS = "part int, edge int, uid long, lo long, hi long, other long, again boolean, key long, right binary, left binary, place long"
-
-
-def _neighbours(least: int, key: int):
-    width = least - key
+def _right_most(s: _Slab, open_: np.ndarray) -> np.ndarray:
+    """Words to the right that a suffix may share with another one of its key.  Suffixes come in right order, so
+    its neighbours share the most; an open key's first and last suffix here may have neighbours elsewhere."""
+    out = np.zeros(len(s), np.int64)
+    same = s.key[1:] == s.key[:-1]
+    near = np.where(same, _lce(s.right[1:], s.right[:-1]), 0)
+    out[:-1] = near
+    out[1:] = np.maximum(out[1:], near)
+    edge = open_ & (np.concatenate(([True], ~same)) | np.concatenate((~same, [True])))
+    out[edge] = _lce(s.right[edge], s.right[edge])
+    return out
 
-    def rows(part: int, edge: int, found: tuple | None, slab: _Slab | None = None) -> pa.RecordBatch:
-        n = len(found[0]) if found else len(slab)
-        none = lambda t: pa.nulls(n, t)
-        head = [pa.array(np.full(n, v, np.int32)) for v in (part, edge)]
-        if found:
-            body = [pa.array(np.asarray(c).astype(np.int64)) for c in found[:4]] + [pa.array(found[4])]
-            tail = [none(pa.int64()), none(pa.binary()), none(pa.binary()), none(pa.int64())]
-        else:
-            body = [pa.array(slab.uid), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.bool_())]
-            tail = [pa.array(slab.key), pa.array([r.astype(">u4").tobytes() for r in slab.right]), pa.array([r.astype(">u4").tobytes() for r in slab.left]), pa.array(slab.place.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(head + body + tail, [c.split()[0] for c in NEIGHBOURS.split(", ")])
+
+def _windows(s: _Slab, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, words left of the key and hash of each window of the suffixes that may have a copy, in row order."""
+    width = s.right.shape[1]
+    scale = powers(2 * width + 1)[1:]
+    ahead, after = (np.zeros((len(s), width + 1), np.uint64) for _ in range(2))
+    np.cumsum(s.left * scale[:width], axis=1, out=ahead[:, 1:])
+    np.cumsum(s.right * scale[width:], axis=1, out=after[:, 1:])
+    held = _lce(s.left, s.left)
+    l = np.arange(width + 1)  # noqa: E741
+    row, l = np.nonzero((l >= (width - most)[:, None]) & (l <= held[:, None]))  # noqa: E741
+    return row, l, mix(mix(s.key.view(np.uint64)[row] + l.astype(np.uint64)) + ahead[row, l] + after[row, width - l])
+
+
+FOUND = "uid long, lo long, hi long, other long, again boolean, window long, last long"
+
+
+def _resolved(s: _Slab, open_: np.ndarray, least: int, key: int) -> Iterator[pa.RecordBatch]:
+    """Regions of suffixes with copies; windows of open keys that have no earlier copy here go on by their hash, one for each piece."""
+    most = _right_most(s, open_)
+    order = np.lexsort((s.place, s.uid))
+    s, open_, most = s.part(order), open_[order], most[order]
+    row, l, h = _windows(s, most)  # noqa: E741
+    order = np.argsort(h, kind="stable")  # copies of a window come by uid and place
+    row, l, h = row[order], l[order], h[order]  # noqa: E741
+    if not len(h):
+        return
+    uid, at = s.uid[row], s.place[row] - l
+    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    n = np.diff(np.append(start, len(h)))
+    first, last = np.repeat(start, n), np.repeat(start + n - 1, n)
+    again = (uid != uid[first]) | (at - at[first] >= least)
+    later = (uid != uid[last]) | (at[last] - at >= least)
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    for kind, mine, other in ((True, again, first), (False, later & ~again & ~open_[row], last)):
+        x = np.flatnonzero(mine)
+        if not len(x):
+            continue
+        # all windows of a suffix hold its key, so their union is one region
+        x = x[np.argsort(row[x], kind="stable")]
+        new = np.flatnonzero(np.concatenate(([True], row[x][1:] != row[x][:-1])))
+        lo = np.minimum.reduceat(at[x], new)
+        hi = np.maximum.reduceat(at[x], new) + least
+        k = len(new)
+        cols = [uid[x[new]], lo, hi, uid[other[x[new]]]]
+        none = pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.full(k, kind)), none, none], names)
+    x = np.flatnonzero(open_[row] & ~again)
+    if len(x):
+        y = last[x]
+        cols = [uid[x], at[x], at[x] + least, uid[y]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(x), pa.bool_()), pa.array(h[x].view(np.int64)), pa.array(at[y])], names)
+
+
+def _copies(least: int, key: int):
+    width = least - key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, last = TaskContext.get().partitionId(), None, None
+        # open: a key that may have suffixes elsewhere, as the first and last of a partition and those beyond a slab
+        held, open_key = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            words = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u4").reshape(-1, width).astype(np.uint32)
+            words = lambda c: np.frombuffer(b"".join(c.to_pylist()), ">u4").reshape(-1, width).astype(np.uint32)  # noqa: E731, B023
             own = _Slab(b.column("key").to_numpy(), words(b.column("right")), words(b.column("left")), b.column("uid").to_numpy(), b.column("place").to_numpy().astype(np.int64))
-            if last is None:
-                yield rows(part, 0, None, own.part(slice(0, 1)))
-            last = own.part(slice(len(own) - 1, len(own)))
-            held = own if held is None else _Slab.joined([held, own])
-            # whole groups leave at once; a group that outgrows the slab goes on with its last suffix
-            cut = int(np.searchsorted(held.key, held.key[-1])) if held.key[0] != held.key[-1] else 0
+            if open_key is None:
+                open_key = own.key[0]
+            held = own if held is None or not len(held) else _Slab.joined([held, own])
+            cut = int(np.searchsorted(held.key, held.key[-1]))
             if not cut and len(held) > SLAB:
-                done, held = held, held.part(slice(len(held) - 1, len(held)))
-            elif cut:
-                done, held = held.part(slice(0, cut)), held.part(slice(cut, None))
-            else:
-                continue
-            if found := _matches(done, *_pairs(done), least, key):
-                yield rows(part, 2, found)
-        if held is not None:
-            if found := _matches(held, *_pairs(held), least, key):
-                yield rows(part, 2, found)
-            yield rows(part, 1, None, last)
+                cut, open_key = len(held), held.key[0]
+            done, held = held.part(slice(0, cut)), held.part(slice(cut, None))
+            if len(done):
+                yield from _resolved(done, done.key == open_key, least, key)
+        if held is not None and len(held):
+            yield from _resolved(held, np.ones(len(held), bool), least, key)
 
     return run
 
 
-def _across(spark, edges: DataFrame, least: int, key: int) -> DataFrame:
-    """Matches between the last suffix of a partition and the first of the next: two rows a partition."""
-    width, out = least - key, []
-    own = sorted(edges.collect(), key=lambda r: (r["part"], r["edge"]))
-    slab = lambda rs: _Slab(*(np.array([r[f] for r in rs], np.int64) if f in ("key", "uid", "place") else np.frombuffer(b"".join(r[f] for r in rs), ">u4").reshape(-1, width).astype(np.uint32) for f in ("key", "right", "left", "uid", "place")))
-    for x, y in zip(own[1::2], own[2::2], strict=False):
-        if x["key"] == y["key"] and (found := _matches(slab([x, y]), np.array([0]), np.array([1]), least, key)):
-            out += zip(*(c.tolist() for c in found), strict=True)
-    return spark.createDataFrame(out, "uid long, lo long, hi long, other long, again boolean")
+def _met(found: DataFrame, least: int) -> DataFrame:
+    """Windows of keys that lie in several pieces: an earlier or else a later copy makes a region.
+
+    A piece gives a window once (and where a document's own copies overlap), so the rows of one hash are few."""
+    by = Window.partitionBy("window")
+    rows = found.where("window is not null").select(
+        "uid", "lo", "hi", F.min(F.struct("uid", "lo")).over(by).alias("first"), F.max(F.struct(F.col("other").alias("uid"), F.col("last").alias("lo"))).over(by).alias("last")
+    )
+    again = F.expr(f"uid <> first.uid or lo - first.lo >= {least}")
+    later = F.expr(f"uid <> last.uid or last.lo - lo >= {least}")
+    return rows.where(again | later).select("uid", "lo", "hi", F.when(again, F.col("first.uid")).otherwise(F.col("last.uid")).alias("other"), again.alias("again"))
 
 
 def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
@@ -243,15 +255,14 @@ def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     stand elsewhere too; again: an earlier copy exists.  other: uid of one other copy."""
     spark, docs = docs.sparkSession, steady(docs)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), text_bytes(F.col("text")).alias("text"))
-    places = staged(rows.mapInArrow(_places(least, key), "key long, uid long, place int"), "places")
-    by_doc = with_counts(places, "key", "c").groupBy("uid").agg(F.collect_list(F.struct("key", "place")).alias("p"))
-    by_doc = by_doc.select("uid", F.col("p.key").alias("keys"), F.col("p.place").alias("places"))
+    places = staged(rows.mapInArrow(_places(least, key), "key long, uid long, place int, reach short"), "places")
+    by_doc = with_counts(places, "key", "c").groupBy("uid").agg(F.collect_list(F.struct("key", "place", "reach")).alias("p"))
+    by_doc = by_doc.select("uid", F.col("p.key").alias("keys"), F.col("p.place").alias("places"), F.col("p.reach").alias("reaches"))
     suffixes = rows.join(by_doc, "uid").mapInArrow(_contexts(least, key), "key long, right binary, left binary, uid long, place int")
     order = ["key", "right", "left", "uid", "place"]
-    met = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours(least, key), NEIGHBOURS)
+    met = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_copies(least, key), FOUND)
     met = staged(met, "matches")
-    inner = met.where("edge = 2").select("uid", "lo", "hi", "other", "again")
-    both = inner.union(_across(spark, met.where("edge < 2"), least, key))
+    both = met.where("window is null").select("uid", "lo", "hi", "other", "again").union(_met(met, least))
     merged = F.expr(
         """aggregate(array_sort(collect_list(struct(lo, hi, other))), cast(array() as array<struct<lo:bigint,hi:bigint,other:bigint>>),
            (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).hi >= x.lo,

@@ -78,3 +78,46 @@ def test_selected_places_hold_in_every_window():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.repeats(docs).count() == 0 and sd.without_repeats(docs).count() == 0
+
+
+def first_and_later(rows, least=50):
+    """Words of each row in windows with no earlier but a later copy, and in windows with an earlier one."""
+    seen = {}
+    split = [(t or "").lower().split() for t in rows]
+    for k, w in enumerate(split):
+        for i in range(len(w) - least + 1):
+            seen.setdefault(tuple(w[i : i + least]), []).append((k, i))
+    kept, again = [set() for _ in rows], [set() for _ in rows]
+    for places in seen.values():
+        (fk, fi), (lk, li) = places[0], places[-1]
+        for k, i in places:
+            if k != fk or i - fi >= least:
+                again[k] |= set(range(i, i + least))
+            elif k != lk or li - i >= least:
+                kept[k] |= set(range(i, i + least))
+    return kept, again
+
+
+@pytest.mark.parametrize(("slab", "parts"), [(sd.SLAB, 1), (37, 1), (37, 13), (sd.SLAB, 13)])
+def test_kept_words_equal_brute_force(spark, monkeypatch, slab, parts):
+    monkeypatch.setattr(sd, "SLAB", slab)
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choices([f"v{k}" for k in range(3000)], k=n))
+    hot, period = text(60), text(60)
+    rows = corpus() + [f"{text(30)} {hot} {text(30)}" for _ in range(150)] + [f"{period} {period} {period}"]
+    # copies whose partner is next to them in neither order: words shared on both sides of a hot key
+    line, sides = text(30), [(text(12), text(12)) for _ in range(40)]
+    rows += [f"{text(30)} {a} {line} {b} {text(30)}" for a, _ in sides for _, b in rng.sample(sides, 4)]
+    docs = frame(spark, rows).coalesce(1)  # so that rows are numbered in order
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for c, v in zip(before, ("false", str(parts), "50"), strict=True):
+            spark.conf.set(c, v)
+        found = sd.repeats(docs).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    kept, again = [set() for _ in rows], [set() for _ in rows]
+    for r in found:
+        (kept if r.kept else again)[r.doc_id].update(range(r.start_word, r.end_word))
+    assert (kept, again) == first_and_later(rows)
