@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import scratch, staged, steady
+from .staging import numbered, scratch, staged
 from .textops import ALNUM_WORD, folded
 
 WINDOW = 10
@@ -71,7 +71,8 @@ def candidates(docs: DataFrame, lengths: list[int], bit_words: list[int]) -> Dat
     bits = 64 * len(bit_words)
     held = F.split(F.lit(",".join(map(str, bit_words))), ",").cast("array<bigint>")
     w = F.col("w")
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), words(F.col("text")).alias("w"))
+    uid = F.col("__uid") if "__uid" in docs.columns else F.monotonically_increasing_id()  # written with its places
+    base = docs.select(uid.alias("uid"), F.col("doc_id"), words(F.col("text")).alias("w"))
 
     found = None
     for length in lengths:
@@ -127,12 +128,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, broad
 
 def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """docs with hit words and what follows them up to the next word cut from `text`; rows that lose all words go, rows that had none stay."""
-    docs = steady(docs)
+    columns, docs = docs.columns, numbered(docs)
     with scratch(docs.sparkSession) as kept:
         spans = hits(docs, items, window, broadcast_grams).where("spans is not null")
         found = staged(spans.select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"), F.col("n_words").alias("__n")), "spans")
         kept.append(found)
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(found, "__uid", "left")
+    rows = docs.join(found, "__uid", "left")
     separator, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     # a word with what follows it; no expression over the whole text may stand inside the filter
     units = F.regexp_extract_all(F.col("text"), F.lit(f"{word}+{separator}*"), F.lit(0))
@@ -140,4 +141,4 @@ def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadc
     clean = F.concat(ahead, F.array_join(F.expr("filter(__words, (w, j) -> not exists(__spans, s -> j >= s.lo and j < s.hi))"), ""))
     left = F.expr("__spans is null or aggregate(__spans, 0, (s, x) -> s + x.hi - x.lo) < __n")
     cut = rows.where(left).withColumn("__words", F.when(F.col("__spans").isNotNull(), units))
-    return cut.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text"))).select(*docs.columns)
+    return cut.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text"))).select(*columns)

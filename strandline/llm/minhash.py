@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .skew import with_counts
-from .staging import scratch, staged, steady
+from .staging import numbered, scratch, staged
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
 SHINGLE, PERCENT, SKETCH = 5, 75, 64
@@ -95,8 +95,8 @@ def _sketch(size: int, k: int):
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    """A number for every row; the same on each pass over files that don't change."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
+    """A number for every row; the same on each pass."""
+    return numbered(docs).select(F.col("__uid").alias("uid"), "doc_id", "text")
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame:
@@ -270,7 +270,7 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
     """uid, doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    docs = steady(docs)
+    docs = numbered(docs)
     own = staged(sketches(docs, size, k), "sketches")
     some = own.where("n > 0")
     reps = staged(some.groupBy("d1", "d2", "n").agg(F.min("uid").alias("cid"), F.min_by("sketch", "uid").alias("sketch"), F.min("doc_id").alias("least")), "classes")
@@ -296,9 +296,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without those that repeat an earlier document; of rows with one doc_id and one set, one stays."""
-    docs = steady(docs)
+    docs = numbered(docs)
     with scratch(docs.sparkSession) as kept:
         first = near_duplicates(docs, **options).where("kept").groupBy("component_id", "doc_id")
         found = staged(first.agg(F.min("uid").alias("uid")), "kept")
         kept.append(found)
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(found.select(F.col("uid").alias("__uid")), "__uid", "left_semi").drop("__uid")
+    return docs.join(found.select(F.col("uid").alias("__uid")), "__uid", "left_semi").drop("__uid")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,17 +58,30 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     _delete(spark, [p for p in _made[start:] if p not in stay])
 
 
-#: Plan nodes that give the same rows in the same order on every pass.
-STEADY = ("Scan", "FileScan", "BatchScan", "LocalTableScan", "Project", "Filter", "ColumnarToRow", "Range")
+#: Plan nodes over a scan of parquet files that leave each row its file and place.
+STEADY = ("FileScan parquet", "Project", "Filter", "ColumnarToRow")
 
 
 def steady(df: DataFrame) -> DataFrame:
-    """df if it only scans and projects, so that row numbers agree between passes; else its rows, written once."""
+    """df if it only scans parquet files and projects, so that a row has a file and a place in it; else its rows, written once."""
     lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
-    nodes = [line.lstrip(" :+-*()0123456789").split(" ", 1)[0].split("(", 1)[0] for line in lines if line.strip()]
+    nodes = [line.lstrip(" :+-*()0123456789") for line in lines if line.strip()]
     return df if all(n.startswith(STEADY) for n in nodes) else staged(df, "rows")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a number `__uid` of each row, from its file (in order of paths) and its place in the file.
+
+    How a scan is split depends on the cores of that moment; file and place don't."""
+    if "__uid" in df.columns:
+        return df
+    df = steady(df)
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    paths = sorted(r[0] for r in rows.select("__file").distinct().collect())  # a row for each file
+    files = df.sparkSession.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], "__file string, __base long")
+    return rows.join(F.broadcast(files), "__file").select(*df.columns, (F.col("__base") + F.col("__row")).alias("__uid"))
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     _delete(spark, [t.staged_path for t in tables])

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .skew import with_counts
-from .staging import dropped, staged, steady
+from .staging import dropped, numbered, staged
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
 LEAST, KEY = 50, 25
@@ -253,8 +253,8 @@ def _met(found: DataFrame, least: int) -> DataFrame:
 def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """uid, again, lo, hi, other: disjoint regions [lo, hi) of words of each row of docs that
     stand elsewhere too; again: an earlier copy exists.  other: uid of one other copy."""
-    spark, docs = docs.sparkSession, steady(docs)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), text_bytes(F.col("text")).alias("text"))
+    spark, docs = docs.sparkSession, numbered(docs)
+    rows = docs.select(F.col("__uid").alias("uid"), text_bytes(F.col("text")).alias("text"))
     places = staged(rows.mapInArrow(_places(least, key), "key long, uid long, place int, reach short"), "places")
     by_doc = with_counts(places, "key", "c").groupBy("uid").agg(F.collect_list(F.struct("key", "place", "reach")).alias("p"))
     by_doc = by_doc.select("uid", F.col("p.key").alias("keys"), F.col("p.place").alias("places"), F.col("p.reach").alias("reaches"))
@@ -278,22 +278,22 @@ def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
 def repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """doc_id, start_word, end_word, n_words, kept, other_doc_id: each repeated passage of each
     document; kept: no earlier copy of it exists.  other_doc_id holds the passage too."""
-    docs = steady(docs)
+    docs = numbered(docs)
     found = passages(docs, least, key)
-    ids = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id")
+    ids = docs.select(F.col("__uid").alias("uid"), "doc_id")
     own = found.join(ids, "uid").join(ids.select(F.col("uid").alias("other"), F.col("doc_id").alias("other_doc_id")), "other")
     return own.select("doc_id", F.col("lo").alias("start_word"), F.col("hi").alias("end_word"), (F.col("hi") - F.col("lo")).alias("n_words"), (~F.col("again")).alias("kept"), "other_doc_id")
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """docs with later copies of passages cut from `text`, with the white space after them; rows that lose all their words go."""
-    docs = steady(docs)
+    columns, docs = docs.columns, numbered(docs)
     again = passages(docs, least, key).where("again").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__cut"))
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(again.withColumnRenamed("uid", "__uid"), "__uid", "left")
+    rows = docs.join(again.withColumnRenamed("uid", "__uid"), "__uid", "left")
     # a word with the white space after it; no expression over the whole text may stand inside the filter
     space = r"[\x20\x09-\x0D]"
     rows = rows.withColumn("__words", F.when(F.col("__cut").isNotNull(), F.regexp_extract_all(F.col("text"), F.lit(rf"[^\x20\x09-\x0D]+{space}*"), F.lit(0))))
     ahead = F.regexp_extract("text", rf"^{space}*", 0)
     kept = F.concat(ahead, F.array_join(F.expr("filter(__words, (w, j) -> not exists(__cut, s -> j >= s.lo and j < s.hi))"), ""))
     text = rows.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept).otherwise(F.col("text")))
-    return text.where(F.col("__cut").isNull() | F.regexp_like(F.col("__kept"), F.lit(r"[^\x20\x09-\x0D]"))).withColumn("text", F.col("__kept")).select(*docs.columns)
+    return text.where(F.col("__cut").isNull() | F.regexp_like(F.col("__kept"), F.lit(r"[^\x20\x09-\x0D]"))).withColumn("text", F.col("__kept")).select(*columns)
