@@ -268,8 +268,8 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
     return components(found.union(staged(_apart_links(rest, narrowed(texts, rest.select("cid")), size, percent), "found")))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+def _labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
+    """near_duplicates with label, the row number that stands for the component; null without shingles."""
     docs = numbered(docs)
     own = staged(sketches(docs, size, k), "sketches")
     some = own.where("n > 0")
@@ -280,7 +280,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         kept.append(labels)
     named = reps.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = named.select("d1", "d2", "n", "label").join(least, "label").select("d1", "d2", "n", "component_id")
+    classes = named.select("d1", "d2", "n", "label").join(least, "label").select("d1", "d2", "n", "label", "component_id")
     return (
         own.select("uid", "doc_id", "n", "d1", "d2")
         .join(classes, ["d1", "d2", "n"], "left")
@@ -289,16 +289,27 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+            "label",
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
+    return _labelled(docs, **options).drop("label")
+
+
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without those that repeat an earlier document; of rows with one doc_id and one set, one stays."""
+    """The rows of docs without those that repeat an earlier document; of each component the row with least (doc_id, uid) stays, null ids last.
+
+    Rows without shingles have no links: of those with one doc_id one stays, and all with a null one."""
     docs = numbered(docs)
     with scratch(docs.sparkSession) as kept:
-        first = near_duplicates(docs, **options).where("kept").groupBy("component_id", "doc_id")
-        found = staged(first.agg(F.min("uid").alias("uid")), "kept")
+        rows = _labelled(docs, **options).where("kept")
+        alone = F.col("label").isNull()
+        by = [F.coalesce("label", F.when(F.col("doc_id").isNull(), F.col("uid"))).alias("label"), F.when(alone, F.col("doc_id")).alias("own")]
+        # kept rows of a component all have its least id
+        found = staged(rows.groupBy(*by).agg(F.min("uid").alias("uid")), "kept")
         kept.append(found)
     return docs.join(found.select(F.col("uid").alias("__uid")), "__uid", "left_semi").drop("__uid")

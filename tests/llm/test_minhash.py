@@ -91,3 +91,11 @@ def test_counts_of_hot_and_other_keys(spark):
     for most in (1, 5, 10_000):  # no key is hot, one is, all are
         got = with_counts(rows, "key", "c", most_hot=most)
         assert sorted((r.key, r.uid, r.c) for r in got.collect()) == want
+
+
+def test_unlike_rows_of_one_id_all_stay(spark):
+    text = lambda k: " ".join(f"x{k}y{j}" for j in range(20))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4)), (9, text(4)), (None, text(3)), (None, ""), (None, None), (8, ""), (8, "")]
+    kept = minhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (None, ""), (None, ""), (8, "")], key=str)
