@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,30 +43,125 @@ def audit(mvs: DataFrame) -> DataFrame:
     )
 
 
-def rasterised(mvs: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
-    """frame_id, y, x, dx, dy: blocks painted in record order, the last one stays; cells without a block are absent.
+FRAMES_AT_ONCE = 128  # frames whose fields a task holds side by side
+
 
-    A block stands around its dst point, half open and cut to the grid.  Painting is a maximum
-    by record number, which is formed before the shuffle.
+def painted(mvs: DataFrame, grid_w: int, grid_h: int, fn: Callable, schema: str, layer: Column | None = None, layers: int = 1) -> DataFrame:
+    """What fn makes of the dense fields of frames; the records of a frame meet in one task, nothing is exploded.
+
+    fn(ids, dx, dy) gets frame numbers [n] and fields [layers, n, grid_h, grid_w], NaN where no block lies, and
+    returns the columns of `schema` as arrays.  Blocks stand around their dst point, half open and cut to
+    the grid, and are painted in record order, the last one stays.  `layer` tells the field of a record.
+    Records with a null frame_id, mv_idx, place, size or motion paint nothing; a frame with no others is absent.
     """
-    p = projected(mvs)
-    lo = lambda c, size: F.greatest(F.col(c) - F.floor(F.col(size) / 2), F.lit(0)).cast("int")
-    hi = lambda c, size, most: F.least(F.col(c) - F.floor(F.col(size) / 2) + F.col(size), F.lit(most)).cast("int")
-    p = p.withColumn("x0", lo("dst_x", "w")).withColumn("x1", hi("dst_x", "w", grid_w)).withColumn("y0", lo("dst_y", "h")).withColumn("y1", hi("dst_y", "h", grid_h))
-    wide = F.col("x1") - F.col("x0")
-    blocks = p.where("x1 > x0 and y1 > y0").select("frame_id", "mv_idx", "dx", "dy", "x0", "y0", wide.alias("bw"), (wide * (F.col("y1") - F.col("y0"))).alias("n"))
-    cells = blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cells = cells.select("frame_id", "mv_idx", "dx", "dy", F.expr("y0 + cast(k div bw as int)").alias("y"), F.expr("x0 + k % bw").alias("x"))
-    # two maxima over plain numbers stay in a hash aggregate; one over a struct would sort all cells
-    return cells.groupBy("frame_id", "y", "x").agg(F.max_by("dx", "mv_idx").alias("dx"), F.max_by("dy", "mv_idx").alias("dy"))
-
-
-def motion_signal(flow: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
+    used = ["dst_x", "dst_y", "w", "h", "motion_x", "motion_y"]
+    own = mvs.dropna(subset=["frame_id", "mv_idx", *used]).withColumn("layer", (F.lit(0) if layer is None else layer).cast("int"))
+    own = projected(own.where(f"layer >= 0 and layer < {layers}")).select(F.col("frame_id").cast("long").alias("frame_id"), F.col("mv_idx").cast("long").alias("mv_idx"), *[F.col(c).cast("long").alias(c) for c in used[:4]], "layer", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"))
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def fields(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        frame, _, cx, cy, w, h, z, dx, dy = (rows.column(c).to_numpy() for c in own_columns)
+        x0, y0 = cx - w // 2, cy - h // 2
+        box = [np.clip(v, 0, most) for v, most in ((x0, grid_w), (x0 + w, grid_w), (y0, grid_h), (y0 + h, grid_h))]
+        ids, at = np.unique(frame, return_inverse=True)  # frames come in order
+        for lo in range(0, len(ids), FRAMES_AT_ONCE):
+            n = min(FRAMES_AT_ONCE, len(ids) - lo)
+            out = np.full((2, layers, n, grid_h, grid_w), np.nan)
+            s = slice(*np.searchsorted(at, (lo, lo + n)))
+            for k, c, xa, xb, ya, yb, vx, vy in zip((at[s] - lo).tolist(), z[s].tolist(), *(v[s].tolist() for v in box), dx[s].tolist(), dy[s].tolist(), strict=True):
+                out[0, c, k, ya:yb, xa:xb], out[1, c, k, ya:yb, xa:xb] = vx, vy
+            cols = fn(ids[lo : lo + n], out[0], out[1])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    own_columns = own.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the frame that may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = int(np.searchsorted(b.column("frame_id").to_numpy(), b.column("frame_id")[b.num_rows - 1].as_py()))
+            first = b.column("frame_id")[0].as_py()
+            if held and held[0].column("frame_id")[0].as_py() != first:
+                yield from fields(pa.Table.from_batches(held))
+                held = []
+            if last:
+                yield from fields(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from fields(pa.Table.from_batches(held))
+
+    return own.repartition("frame_id").sortWithinPartitions("frame_id", "mv_idx").mapInArrow(run, schema)
+
+
+def rasterised(mvs: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
+    """frame_id, y, x, dx, dy: the covered cells of each frame's field."""
+
+    def cells(ids, dx, dy):
+        k, y, x = np.nonzero(np.isfinite(dx[0]))
+        return ids[k], y.astype(np.int32), x.astype(np.int32), dx[0][k, y, x], dy[0][k, y, x]
+
+    return painted(mvs, grid_w, grid_h, cells, "frame_id long, y int, x int, dx double, dy double")
+
+
+def field_sums(mvs: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
+    """Per frame: covered cells and the sums of dx, dy and of the magnitude over them; frames without a covered cell are absent."""
+
+    def sums(ids, dx, dy):
+        n = np.isfinite(dx[0]).sum((1, 2))
+        own = n > 0
+        total = lambda v: np.nansum(v, axis=(1, 2))[own]
+        return ids[own], n[own], total(dx[0]), total(dy[0]), total(np.hypot(dx[0], dy[0]))
+
+    return painted(mvs, grid_w, grid_h, sums, "frame_id long, cells long, dx_sum double, dy_sum double, mag_sum double")
+
+
+def motion_signal(mvs: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
     """Per frame: covered cells, mean magnitude over them, share of cells without a vector."""
-    mag = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    return flow.groupBy("frame_id").agg(
-        F.count(F.lit(1)).alias("covered"), F.avg(mag).alias("mag_mean"), (1.0 - F.count(F.lit(1)) / F.lit(grid_w * grid_h)).alias("intra")
-    )
+    n = F.col("cells")
+    return field_sums(mvs, grid_w, grid_h).select("frame_id", n.alias("covered"), (F.col("mag_sum") / n).alias("mag_mean"), (1.0 - n / F.lit(grid_w * grid_h)).alias("intra"))
+
+
+def layer_overlap(mvs: DataFrame, layer: Column, grid_w: int, grid_h: int) -> DataFrame:
+    """Per frame: cells that both layers (0 and 1) cover, only the first, only the second, and neither."""
+
+    def overlap(ids, dx, dy):
+        a, b = np.isfinite(dx)
+        both, only_a, only_b = (m.sum((1, 2)) for m in (a & b, a & ~b, b & ~a))
+        own = both + only_a + only_b > 0
+        return ids[own], both[own], only_a[own], only_b[own], (grid_w * grid_h - both - only_a - only_b)[own]
+
+    return painted(mvs, grid_w, grid_h, overlap, "frame_id long, both long, first_only long, second_only long, neither long", layer, 2)
+
+
+def fast_boxes(mvs: DataFrame, least: float, pad: int, grid_w: int, grid_h: int) -> DataFrame:
+    """Smallest box (half open) around the cells of each frame that move by `least` or more, padded and cut to the grid; frames without one are absent."""
+
+    def boxes(ids, dx, dy):
+        fast = dx[0] ** 2 + dy[0] ** 2 >= least * least  # NaN is not
+        xs, ys = fast.any(1), fast.any(2)
+        own = xs.any(1)
+        ends = [(v[own].argmax(1), v.shape[1] - v[own][:, ::-1].argmax(1), most) for v, most in ((xs, grid_w), (ys, grid_h))]
+        return ids[own], *(v.astype(np.int32) for a, b, most in ends for v in (np.maximum(a - pad, 0), np.minimum(b + pad, most)))
+
+    return painted(mvs, grid_w, grid_h, boxes, "frame_id long, x0 int, x1 int, y0 int, y1 int")
+
+
+def tile_sums(mvs: DataFrame, sizes: list[int], grid_w: int, grid_h: int) -> DataFrame:
+    """frame_id, size, ty, tx, cells and the largest squared magnitude of each size x size tile of each frame that has a covered cell."""
+
+    def tiles(ids, dx, dy):
+        mag, parts = dx[0] ** 2 + dy[0] ** 2, []
+        for s in sizes:
+            wide = np.pad(mag, ((0, 0), (0, -grid_h % s), (0, -grid_w % s)), constant_values=np.nan)
+            v = wide.reshape(len(ids), wide.shape[1] // s, s, wide.shape[2] // s, s)
+            n = np.isfinite(v).sum((2, 4))
+            k, ty, tx = np.nonzero(n)
+            parts.append((ids[k], np.full(len(k), s, np.int32), ty.astype(np.int32), tx.astype(np.int32), n[k, ty, tx], np.nan_to_num(v, nan=-1.0).max((2, 4))[k, ty, tx]))
+        return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+    return painted(mvs, grid_w, grid_h, tiles, "frame_id long, size int, ty int, tx int, cells long, most double")
 
 
 def camera_verdict(mvs: DataFrame, clip: Column, static: float = 0.6, least: int = 1) -> DataFrame:
@@ -73,13 +172,22 @@ def camera_verdict(mvs: DataFrame, clip: Column, static: float = 0.6, least: int
     return out.withColumn("verdict", verdict)
 
 
-def motion_map(flow: DataFrame, grid_w: int, grid_h: int, spark=None) -> DataFrame:
-    """y, x, mean_mag of every cell of the grid over the frames that cover it; 0 where none does."""
-    spark = spark or flow.sparkSession
-    mag = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    seen = flow.groupBy("y", "x").agg(F.avg(mag).alias("m"), F.count(F.lit(1)).alias("n"))
-    grid = spark.range(grid_w * grid_h).select((F.col("id") / grid_w).cast("int").alias("y"), (F.col("id") % grid_w).cast("int").alias("x"))
-    return grid.join(F.broadcast(seen), ["y", "x"], "left").select("y", "x", F.coalesce("m", F.lit(0.0)).alias("mean_mag"), F.coalesce("n", F.lit(0)).alias("n"))  # grid_w * grid_h rows
+def motion_map(mvs: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
+    """y, x, mean_mag of every cell of the grid over the frames that cover it, n of them; 0 where none does.
+
+    Tasks give sums over runs of frames, so a row a cell and run is shuffled."""
+
+    def sums(ids, dx, dy):
+        mag = np.hypot(dx[0], dy[0])
+        n = np.isfinite(mag).sum(0).ravel()
+        some = np.flatnonzero(n)
+        return some, np.nansum(mag, axis=0).ravel()[some], n[some]
+
+    seen = painted(mvs, grid_w, grid_h, sums, "cell long, s double, k long").groupBy("cell").agg((F.sum("s") / F.sum("k")).alias("m"), F.sum("k").alias("n"))
+    grid = mvs.sparkSession.range(grid_w * grid_h).withColumnRenamed("id", "cell")
+    both = grid.join(F.broadcast(seen), "cell", "left")  # grid_w * grid_h rows
+    y, x = (F.col("cell") / grid_w).cast("int").alias("y"), (F.col("cell") % grid_w).cast("int").alias("x")
+    return both.select(y, x, F.coalesce("m", F.lit(0.0)).alias("mean_mag"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def region_bands(cells: DataFrame, pct_static: float = 40.0, pct_dynamic: float = 75.0) -> DataFrame:
@@ -88,11 +196,3 @@ def region_bands(cells: DataFrame, pct_static: float = 40.0, pct_dynamic: float
     t = t.withColumn("t_dynamic", F.greatest("t_high", F.col("t_static") + 1e-3)).drop("t_high")
     both = cells.crossJoin(F.broadcast(t))  # one row of limits
     return both.withColumn("is_static", F.col("mean_mag") <= F.col("t_static")).withColumn("is_dynamic", F.col("mean_mag") >= F.col("t_dynamic"))
-
-
-def bounding_box(cells: DataFrame, key: list[str], pad: int, grid_w: int, grid_h: int) -> DataFrame:
-    """Smallest box around the cells of each group, padded and cut to the grid (half open); groups without cells are absent."""
-    return cells.groupBy(*key).agg(
-        F.greatest(F.min("x") - pad, F.lit(0)).alias("x0"), F.least(F.max("x") + 1 + pad, F.lit(grid_w)).alias("x1"),
-        F.greatest(F.min("y") - pad, F.lit(0)).alias("y0"), F.least(F.max("y") + 1 + pad, F.lit(grid_h)).alias("y1"),
-    )

@@ -74,11 +74,9 @@ def latency_stats(rows: DataFrame, key: list[str], order: str, ms: str) -> DataF
     return rows.groupBy(*key).agg(F.max_by(ms, order).alias("last_ms"), F.avg(ms).alias("mean_ms"), F.median(ms).alias("median_ms"), F.count(ms).alias("n"))
 
 
-def tile_coverage(cells: DataFrame, value: str, sizes: list[int], key: list[str], eps: float) -> DataFrame:
-    """Per group and tile size: the share of tiles (that have cells) with a value above eps."""
-    rows = cells.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    tiles = rows.groupBy(*key, "size", F.floor(F.col("y") / F.col("size")).alias("ty"), F.floor(F.col("x") / F.col("size")).alias("tx")).agg(F.max(value).alias("m"))
-    return tiles.groupBy(*key, "size").agg(F.count(F.lit(1)).alias("tiles"), F.avg((F.col("m") > eps).cast("double")).alias("share"))
+def tile_coverage(tiles: DataFrame, value: str, key: list[str], eps: float) -> DataFrame:
+    """Per group of tiles: how many they are and the share with a value above eps."""
+    return tiles.groupBy(*key).agg(F.count(F.lit(1)).alias("tiles"), F.avg((F.col(value) > eps).cast("double")).alias("share"))
 
 
 def unequal(a: DataFrame, b: DataFrame, key: str, exact: list[str], close: list[str], tolerance: float = 1e-6) -> DataFrame:

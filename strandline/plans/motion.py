@@ -20,17 +20,17 @@ def mv_audit(spark: SparkSession, d: str) -> DataFrame:
     return motion.audit(views.mvs(spark, d))
 
 
-def _flow(spark: SparkSession, d: str) -> DataFrame:
-    return motion.rasterised(motion.direction(views.mvs(spark, d), "past"), W, H)
+def _past(spark: SparkSession, d: str) -> DataFrame:
+    return motion.direction(views.mvs(spark, d), "past")
 
 
 def flow_raster(spark: SparkSession, d: str) -> DataFrame:
     """Cells and sums of each frame's dense field; vectors are quarters, so sums are exact."""
-    return _flow(spark, d).groupBy("frame_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("dx").alias("dx_sum"), F.sum("dy").alias("dy_sum"))
+    return motion.field_sums(_past(spark, d), W, H).drop("mag_sum")
 
 
 def motion_signal(spark: SparkSession, d: str) -> DataFrame:
-    return motion.motion_signal(_flow(spark, d), W, H)
+    return motion.motion_signal(_past(spark, d), W, H)
 
 
 def camera_verdict(spark: SparkSession, d: str) -> DataFrame:
@@ -38,37 +38,33 @@ def camera_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def motion_map(spark: SparkSession, d: str) -> DataFrame:
-    return motion.motion_map(_flow(spark, d), W, H)
+    return motion.motion_map(_past(spark, d), W, H)
 
 
 def motion_bands(spark: SparkSession, d: str) -> DataFrame:
-    out = motion.region_bands(motion.motion_map(_flow(spark, d), W, H))
+    out = motion.region_bands(motion.motion_map(_past(spark, d), W, H))
     return out.select("y", "x", "is_static", "is_dynamic")
 
 
 def mask_algebra(spark: SparkSession, d: str) -> DataFrame:
     """Per frame: cells that only past, only future, both or no records cover."""
     m = views.mvs(spark, d)
-    cells = lambda want: motion.rasterised(motion.direction(m, want), W, H).select("frame_id", "y", "x")
-    both = cells("past").withColumn("p", F.lit(1)).join(cells("future").withColumn("f", F.lit(1)), ["frame_id", "y", "x"], "full_outer")
-    p, f = F.col("p").isNotNull(), F.col("f").isNotNull()
-    out = both.groupBy("frame_id").agg(F.count_if(p & f).alias("both"), F.count_if(p & ~f).alias("past_only"), F.count_if(f & ~p).alias("future_only"))
-    return out.withColumn("neither", F.lit(W * H) - F.col("both") - F.col("past_only") - F.col("future_only"))
+    out = motion.layer_overlap(m, F.when(F.col("source") < 0, 0).when(F.col("source") > 0, 1), W, H)
+    return out.withColumnsRenamed({"first_only": "past_only", "second_only": "future_only"})
 
 
 def fast_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Box around the cells of each frame that move by 5 pixels or more, padded by 2."""
-    fast = _flow(spark, d).where("dx * dx + dy * dy >= 25")
-    return motion.bounding_box(fast, ["frame_id"], 2, W, H)
+    return motion.fast_boxes(_past(spark, d), 5.0, 2, W, H)
 
 
 def tile_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Per frame: 8x8 grid tiles that covered cells touch, and how many of the fullest hold nine tenths of them."""
     from pyspark.sql import Window
 
-    tiles = _flow(spark, d).groupBy("frame_id", F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx")).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("frame_id").orderBy(F.desc("c"), "ty", "tx")
-    run = tiles.withColumn("upto", F.sum("c").over(order)).withColumn("k", F.row_number().over(order)).withColumn("all", F.sum("c").over(Window.partitionBy("frame_id")))
+    tiles = motion.tile_sums(_past(spark, d), [8], W, H)
+    order = Window.partitionBy("frame_id").orderBy(F.desc("cells"), "ty", "tx")
+    run = tiles.withColumn("upto", F.sum("cells").over(order)).withColumn("k", F.row_number().over(order)).withColumn("all", F.sum("cells").over(Window.partitionBy("frame_id")))
     return run.groupBy("frame_id").agg(F.count(F.lit(1)).alias("touched"), F.min(F.when(F.col("upto") >= 0.9 * F.col("all"), F.col("k"))).alias("for_90"))
 
 

@@ -62,8 +62,8 @@ def latency_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def texture_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Shares of 8, 16 and 32 cell tiles of each sampled frame that hold fast motion."""
-    cells = motion.rasterised(motion.direction(views.mvs(spark, d), "past"), W, H).withColumn("m", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    return selection.tile_coverage(cells, "m", [8, 16, 32], ["frame_id"], 20.0)
+    tiles = motion.tile_sums(motion.direction(views.mvs(spark, d), "past"), [8, 16, 32], W, H)
+    return selection.tile_coverage(tiles, "most", ["frame_id", "size"], 20.0)
 
 
 def signal_equivalence(spark: SparkSession, d: str) -> DataFrame:
