@@ -2,33 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views
-from ..shared import shared_path
 from ..streaming import online
 from .streams import CUTS
 
 
 def stream_cuts(spark: SparkSession, d: str) -> DataFrame:
-    """The online detector over frames that come in three batches."""
-    f = views.frames(spark, d).persist()
-    try:
-        most = (f.agg(F.max("frame_idx")).first()[0] or 0) + 1
-        stream = online.staged_in_order(spark, f, 3, most, "clip_id long, frame_idx int, ptype string, luma double")
-    finally:
-        f.unpersist()
-    return online.run_to_end(spark, online.online_cuts(stream), "cuts").where("is_cut").select("clip_id", "frame_idx", "diff", "ptype")
+    """The online detector over frames that come in three batches, a third of each clip in each."""
+    clip = Window.partitionBy("clip_id")
+    f = views.frames(spark, d).withColumn("n", F.count(F.lit(1)).over(clip))
+    third = F.floor(3 * F.col("frame_idx") / F.col("n"))
+    rows = f.withColumn("third", third).select("clip_id", "frame_idx", "ptype", "luma", "third")
+    out = online.in_batches(spark, rows, F.col("third"), 3, online.online_cuts, "cuts")
+    return out.where("is_cut").select("clip_id", "frame_idx", "diff", "ptype")
 
 
 def stream_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Events by type and hour, over a stream in complete windows; the last hours stay open."""
-    path = shared_path(spark, "events")
-    events = views.table(spark, d, "events")
-    events.select("ts", "event_type").orderBy("ts").coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("ts timestamp_ntz, event_type string").parquet(path)
-    out = online.run_to_end(spark, online.windowed_rates(stream, "1 hour", "1 hour"), "rates")
+    """Events by type and hour, over a stream that comes in three ranges of time; the last hours stay open."""
+    events = views.table(spark, d, "events").select("ts", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where("us is not null")
+    ends = events.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+    third = F.floor(3 * (F.col("us") - F.lit(ends["lo"] or 0)) / F.lit((ends["hi"] or 0) - (ends["lo"] or 0) + 1))
+    out = online.in_batches(spark, events, third, 3, lambda s: online.windowed_rates(s, "1 hour", "1 hour"), "rates")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 

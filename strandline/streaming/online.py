@@ -6,10 +6,10 @@ any order, so they are sorted there; batches must come in display order, as a de
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -56,9 +56,8 @@ def online_cuts(frames: DataFrame, rules: CutRules = CutRules(), soft_cap: int =
     return frames.groupBy("clip_id").transformWithStateInPandas(CutProcessor(rules, soft_cap), OUT, "append", "none")
 
 
-def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over what its source has now, into a table in the shared folder, and reads that."""
-    out = shared_path(spark, name)
+def run_to_end(spark: SparkSession, stream: DataFrame, out: str) -> None:
+    """Runs a stream over what its source has now into the table `out`; a later call goes on from there."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
@@ -69,16 +68,29 @@ def run_to_end(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return spark.read.schema(stream.schema).parquet(out)
 
 
-def staged_in_order(spark: SparkSession, frames: DataFrame, parts: int, most: int, schema: str) -> DataFrame:
-    """Frames written as `parts` tables by ranges of frame numbers and read as a stream, one range a batch."""
-    path = shared_path(spark, "frames")
-    size = -(-most // parts)
+def in_batches(spark: SparkSession, rows: DataFrame, part: Column, parts: int, operator: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What a streaming operator makes of rows that arrive in `parts` batches, in order of `part` (0 to parts - 1).
+
+    One pass writes all batches, each as many files as there are tasks; a batch's folder is then moved
+    under the stream's source, by name, and the stream runs over it.  Batches without rows are left out.
+    """
+    base, out = shared_path(spark, f"{name}-in"), shared_path(spark, name)
+    rows.withColumn("__part", part.cast("int")).write.partitionBy("__part").parquet(f"{base}/waiting")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{base}/live"))
+    stream = None
     for k in range(parts):
-        frames.where(F.col("frame_idx").between(k * size, (k + 1) * size - 1)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        if not fs.exists(path(f"{base}/waiting/__part={k}")):
+            continue
+        fs.rename(path(f"{base}/waiting/__part={k}"), path(f"{base}/live/{k}"))
+        stream = operator(spark.readStream.schema(rows.schema).parquet(f"{base}/live/*"))
+        run_to_end(spark, stream, out)
+    if stream is None:
+        return spark.createDataFrame([], operator(rows).schema)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def windowed_rates(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:

@@ -124,6 +124,6 @@ def test_rules(spark):
 def test_streamed_cuts_equal_batch(spark):
     f = frames(spark, clips(4, 80, 6)).drop("chroma")
     batch = segment.gop_chunks(segment.scene_cuts(f), 10).select("clip_id", "frame_idx", "is_cut", "chunk_id")
-    stream = online.staged_in_order(spark, f, 3, 80, "clip_id long, frame_idx int, ptype string, luma double")
-    live = online.run_to_end(spark, online.online_cuts(stream, soft_cap=10), "live").select("clip_id", "frame_idx", "is_cut", "chunk_id")
+    live = online.in_batches(spark, f, F.floor(F.col("frame_idx") / 27), 4, lambda s: online.online_cuts(s, soft_cap=10), "live")
+    live = live.select("clip_id", "frame_idx", "is_cut", "chunk_id")
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, batch.collect()))
