@@ -72,3 +72,13 @@ def even_sample(s0: Column, s1: Column, most: int) -> Column:
 def layered_cost(n: Column, sample: float, matte: float, refresh: Column, fg: float, composite: float, grain: float, plate: float) -> Column:
     """ms a frame of the layered mode: per frame work, a matte every `refresh` frames, one plate a scene."""
     return sample + matte / refresh + fg + composite + grain + plate / n
+
+
+def beta_maps(texture: Column, detail: Column, disagreement: Column, texture_span: tuple[float, float], detail_span: tuple[float, float], gap_span: tuple[float, float], floor: float) -> dict[str, Column]:
+    """Blend factors from `floor` to 1: high on texture; low only where it is smooth and detail is left; low only where it is smooth and both agree."""
+    rough = ramp(texture, *texture_span)
+    return {
+        "by_texture": floor + (1.0 - floor) * rough,
+        "by_degradation": 1.0 - (1.0 - rough) * ramp(detail, *detail_span) * (1.0 - floor),
+        "by_disagreement": 1.0 - (1.0 - rough) * (1.0 - ramp(disagreement, *gap_span)) * (1.0 - floor),
+    }

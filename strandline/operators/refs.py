@@ -79,3 +79,19 @@ def ema(frames: DataFrame, value: str, alpha: float, reset: str | None = None, k
         return (s[0],)
 
     return ordered_fold(own, "clip_id", ["frame_idx"], [value, "__r", "__k"], lambda: [None], step, "ema double").drop("__r", "__k")
+
+
+def chain_comparison(frames: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Per clip: frames whose reference in display order is not the one on the backbone, and the hops since the last
+    I frame (or the clip's start) summed over both chains."""
+    order = Window.partitionBy(key).orderBy("frame_idx")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ref = F.last(F.when(on_backbone(), F.col("frame_idx")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    own = frames.withColumn("shown", F.lag("frame_idx").over(order)).withColumn("ref", ref)
+    own = own.withColumn("anchor", F.max(F.when((F.col("ptype") == "I") | F.col("shown").isNull(), F.col("frame_idx"))).over(upto))
+    own = own.withColumn("b", F.sum(on_backbone().cast("int")).over(upto))
+    hops = F.col("b") - F.first("b").over(Window.partitionBy(key, "anchor").orderBy("frame_idx"))
+    own = own.withColumn("hops", hops)
+    return own.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("shown").eqNullSafe(F.col("ref"))).alias("differing"), F.sum(F.col("frame_idx") - F.col("anchor")).alias("hops_shown"), F.sum("hops").alias("hops_ref")
+    )

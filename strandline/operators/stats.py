@@ -98,3 +98,12 @@ def calmest_window(frames: DataFrame, key: str, size: int, luma: str = "diff", c
     cost = F.max(luma).over(ahead) + (0.5 * F.max(chroma).over(ahead) if chroma else F.lit(0.0))
     own = frames.withColumn("cost", cost).withColumn("have", F.count(F.lit(1)).over(ahead)).where(F.col("have") == size - 1)
     return own.groupBy(key).agg(F.min(F.struct("cost", "frame_idx")).alias("b")).select(key, F.col("b.frame_idx").alias("start"), F.col("b.cost").alias("cost"))
+
+
+def before_after(rows: DataFrame, key: list[str], base: str = "before") -> DataFrame:
+    """Per variant: number, mean, median and ninth decile of ms, and the mean quality against the base variant's on the same key."""
+    ref = rows.where(F.col("variant") == base).select(*key, F.col("quality").alias("__base"))
+    own = rows.join(ref, key).withColumn("delta", F.col("quality") - F.col("__base"))
+    return own.groupBy("variant").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean_ms"), F.median("ms").alias("median_ms"), F.percentile("ms", 0.9).alias("p90_ms"), F.avg("delta").alias("quality_delta")
+    )

@@ -120,3 +120,63 @@ def blockiness(tiles: DataFrame, side: int = SIDE, q: int = 4) -> DataFrame:
     row = Window.partitionBy("scene", "frame_idx", F.floor(F.col("pos") / side)).orderBy("pos")
     step = tiles.withColumn("step", F.abs(F.lead("luma").over(row) - F.col("luma"))).withColumn("x", F.col("pos") % side)
     return step.groupBy("scene", "frame_idx").agg((F.avg(F.when(F.col("x") % q == q - 1, F.col("step"))) / (F.avg("step") + 1e-6)).alias("blockiness"))
+
+
+def patched(rows: DataFrame, skip: DataFrame, limit: float) -> DataFrame:
+    """rows (scene, frame_idx, pos, hole, heavy, cheap) with value and patched: frames with a share of holes above the
+    limit take the heavy value exactly inside their holes; frames of skip (scene, frame_idx) and others stay cheap."""
+    key = ["scene", "frame_idx"]
+    share = F.avg(F.col("hole").cast("int")).over(Window.partitionBy(*key))
+    own = rows.join(skip.select(*key, F.lit(True).alias("__skip")).distinct(), key, "left").withColumn("__share", share)
+    own = own.withColumn("patched", F.col("hole") & F.col("__skip").isNull() & (F.col("__share") > limit))
+    return own.withColumn("value", F.when(F.col("patched"), F.col("heavy")).otherwise(F.col("cheap"))).drop("__skip", "__share")
+
+
+def registered_change(tiles: DataFrame, columns: Column, side: int = SIDE) -> DataFrame:
+    """Per frame: mean |difference| to the frame before in its scene moved right by whole `columns`; places that the
+    frame before does not reach are left out, and frames without any are absent."""
+    order = Window.partitionBy("scene").orderBy("frame_idx")
+    links = tiles.select("scene", "frame_idx").distinct().withColumn("before", F.lag("frame_idx").over(order)).where("before is not null")
+    x = F.col("pos") % side - columns
+    own = tiles.withColumn("at", (F.col("pos") - columns).cast("int")).where((x >= 0) & (x < side)).join(links, ["scene", "frame_idx"])
+    prev = tiles.select("scene", F.col("frame_idx").alias("before"), F.col("pos").alias("at"), F.col("luma").alias("old"))
+    both = own.join(prev, ["scene", "before", "at"])
+    return both.groupBy("scene", "frame_idx").agg(F.avg(F.abs(F.col("luma") - F.col("old"))).alias("change"), F.count(F.lit(1)).alias("n"))
+
+
+def best_crop(tiles: DataFrame, size: int, stride: int, side: int = SIDE) -> DataFrame:
+    """scene, frame_idx, y, x and sharpness of the crop of each tile whose inner Laplacian varies most; the first (y, x) on ties."""
+    row = Window.partitionBy("scene", "frame_idx").orderBy("pos")
+    near = F.lag("luma", 1).over(row) + F.lead("luma", 1).over(row) + F.lag("luma", side).over(row) + F.lead("luma", side).over(row)
+    starts = range(0, side - size + 1, stride)
+    crops = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in starts for x in starts])
+    lap = tiles.withColumn("lap", near - 4 * F.col("luma")).withColumn("c", F.explode(crops))
+    px, py = F.col("pos") % side - F.col("c.x"), F.floor(F.col("pos") / side) - F.col("c.y")
+    inner = lap.where((px >= 1) & (px <= size - 2) & (py >= 1) & (py <= size - 2))
+    v = inner.groupBy("scene", "frame_idx", "c.y", "c.x").agg(F.var_pop("lap").alias("sharpness"))
+    best = v.groupBy("scene", "frame_idx").agg(F.min_by(F.struct("y", "x", "sharpness"), F.struct(-F.col("sharpness"), "y", "x")).alias("b"))
+    return best.select("scene", "frame_idx", "b.*")
+
+
+def sampled_plate(plate: DataFrame, shift: DataFrame, side: int = SIDE) -> DataFrame:
+    """scene, frame_idx, pos, value: each frame's view of its scene's plate (scene, pos, value), moved by whole dx, dy of
+    shift (scene, frame_idx, dx, dy; 0 stands still), the border repeated."""
+    clip = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(side - 1))
+    rows = shift.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
+    at = clip(F.floor(F.col("pos") / side) + F.col("dy")) * side + clip(F.col("pos") % side + F.col("dx"))
+    return rows.withColumn("at", at.cast("int")).join(plate.select("scene", F.col("pos").alias("at"), "value"), ["scene", "at"]).select("scene", "frame_idx", "pos", "value")
+
+
+def agreeing(base: Column, own: Column, other: Column, gain: float) -> Column:
+    """base with the other's high frequency added where both have one sign; rounded half to even and cut to 0..255."""
+    out = F.when(F.signum(own) == F.signum(other), base + gain * other).otherwise(base)
+    return F.least(F.greatest(F.bround(out), F.lit(0.0)), F.lit(255.0))
+
+
+def layered(rows: DataFrame, plate: DataFrame, guard: DataFrame) -> DataFrame:
+    """rows (scene, frame_idx, pos, luma, alpha) with value and layered: laid over the scene's plate, or kept where the
+    frame's plate is bad (guard: scene, frame_idx, bad)."""
+    both = rows.join(plate, ["scene", "pos"]).join(guard, ["scene", "frame_idx"])
+    own = F.floor("luma").cast("double")
+    value = F.when(F.col("bad"), own.cast("int")).otherwise(composed(own, F.col("plate").cast("double"), F.col("alpha")))
+    return both.withColumn("value", value).withColumn("layered", ~F.col("bad"))
