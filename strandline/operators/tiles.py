@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .refs import ema
+
 SIDE = 8
 
 
@@ -180,3 +184,25 @@ def layered(rows: DataFrame, plate: DataFrame, guard: DataFrame) -> DataFrame:
     own = F.floor("luma").cast("double")
     value = F.when(F.col("bad"), own.cast("int")).otherwise(composed(own, F.col("plate").cast("double"), F.col("alpha")))
     return both.withColumn("value", value).withColumn("layered", ~F.col("bad"))
+
+
+#: What a distrusted place is drawn to, by policy: the cheap value, the heavy one, or the cheap one with smoothed high frequencies.
+SOFT_POLICIES: dict[str, Callable[[], Column]] = {
+    "cheap": lambda: F.col("cheap"),
+    "heavy": lambda: F.col("heavy"),
+    "smoothed": lambda: F.col("cheap") + F.col("ema"),
+}
+
+
+def soft_patched(rows: DataFrame, policy: Callable[[], Column], gain: float = 0.6, beta: float = 0.85) -> DataFrame:
+    """rows (scene, frame_idx, pos, cheap, heavy, value, anchor, run, feather, trust) with patched and soft.
+
+    High frequencies (heavy less cheap) of each place are smoothed along the scene over the frames that
+    run, anew from each anchor.  A frame that runs and is no anchor is drawn to the policy's value by
+    gain * feather * trust; the others keep their value.
+    """
+    own = rows.withColumn("clip_id", F.struct("scene", "pos")).withColumn("hf", F.col("heavy") - F.col("cheap"))
+    own = ema(own, "hf", 1.0 - beta, reset="anchor", keep="run").withColumn("patched", F.col("run") & ~F.col("anchor"))
+    a = F.least(F.greatest(gain * F.col("feather") * F.col("trust"), F.lit(0.0)), F.lit(1.0))
+    drawn = F.least(F.greatest((1.0 - a) * F.col("value") + a * policy(), F.lit(0.0)), F.lit(255.0))
+    return own.withColumn("soft", F.when(F.col("patched"), drawn).otherwise(F.col("value"))).drop("clip_id", "hf")

@@ -89,7 +89,7 @@ def buffer_sim(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minimal_buffers(spark: SparkSession, d: str) -> DataFrame:
-    """Smallest buffer without a late frame; no SQL twin beyond the simulation's own."""
+    """Smallest buffer without a late frame."""
     g = schedule.parameter_grid(spark, (0.125, 1.0), (16.0, 25.0), (0.0078125, 0.03125), (24, 48), (False, True))
     return schedule.minimal_buffer(g, 60, 120).select("latency", "fps", "cost", "every", "dedicated", "min_buffer")
 
@@ -171,6 +171,19 @@ r AS (
   FROM (SELECT *, CASE WHEN made2 > shown[len(shown)] + 1.0::DOUBLE / fps + 1e-9 THEN made2 ELSE shown[len(shown)] + 1.0::DOUBLE / fps END AS greatest_time
         FROM (SELECT *, (CASE WHEN i + 1 < buffer THEN made ELSE greatest(made, shown[i + 2 - buffer]) END) + (CASE WHEN (i + 1) % every = 0 THEN cost + latency ELSE cost END) AS made2 FROM r WHERE i < 95)))
 SELECT latency, fps, cost, every, buffer, stalls, CAST(floor(start * 1000000 + 0.5) AS BIGINT) AS start_us, CAST(floor(shown[len(shown)] * 1000000 + 0.5) AS BIGINT) AS last_us FROM r WHERE i = 95""",
+    "minimal_buffers": """WITH RECURSIVE g AS (SELECT latency, fps, cost, every, dedicated, CASE WHEN dedicated THEN greatest(fps * cost, fps / every * latency) ELSE fps * cost + fps / every * latency END <= 1 + 1e-9 AS ok
+  FROM (SELECT unnest([0.125, 1.0]::DOUBLE[]) AS latency), (SELECT unnest([16.0, 25.0]::DOUBLE[]) AS fps), (SELECT unnest([0.0078125, 0.03125]::DOUBLE[]) AS cost), (SELECT unnest([24, 48]) AS every), (SELECT unnest([false, true]) AS dedicated)),
+b AS (SELECT row_number() OVER () AS id, g.*, least(buffer, 120) AS buffer FROM g, (SELECT unnest(range(1, 61)) AS buffer) WHERE ok),
+r AS (
+  SELECT id, 0 AS i, latency + cost AS made, CASE WHEN buffer = 1 THEN [latency + cost] ELSE []::DOUBLE[] END AS shown, 0 AS late, latency, fps, cost, every, dedicated, buffer FROM b
+  UNION ALL
+  SELECT id, i + 1, made2, CASE WHEN i + 1 < buffer - 1 THEN shown WHEN i + 1 = buffer - 1 THEN list_transform(range(buffer), lambda k: made2 + k * (1.0::DOUBLE / fps)) ELSE list_append(shown, CASE WHEN slow THEN made2 ELSE due END) END,
+    late + CASE WHEN i + 1 >= buffer AND slow THEN 1 ELSE 0 END, latency, fps, cost, every, dedicated, buffer
+  FROM (SELECT *, made2 > due + 1e-9 AS slow FROM (SELECT *, shown[len(shown)] + 1.0::DOUBLE / fps AS due,
+      CASE WHEN (i + 1) % every = 0 AND dedicated THEN greatest(ready, ((i + 1) // every + 1) * latency) ELSE ready END + cost + CASE WHEN (i + 1) % every = 0 AND NOT dedicated THEN latency ELSE 0 END AS made2
+    FROM (SELECT *, CASE WHEN i + 1 < buffer THEN made ELSE greatest(made, shown[i + 2 - buffer]) END AS ready FROM r WHERE i < 119)))),
+m AS (SELECT latency, fps, cost, every, dedicated, min(buffer) AS min_buffer FROM r WHERE i = 119 AND late = 0 GROUP BY ALL)
+SELECT g.latency, g.fps, g.cost, g.every, g.dedicated, CAST(m.min_buffer AS INTEGER) AS min_buffer FROM g LEFT JOIN m USING (latency, fps, cost, every, dedicated)""",
     "grid_search": f"""WITH {views.SCORES}, c AS (SELECT win, degrade, avg(metric) AS m, min(metric) AS least FROM scores GROUP BY ALL),
 g AS (SELECT lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM (SELECT unnest([500, 1000, 2000, 4000]) AS lo), (SELECT unnest([1000, 2000, 4000, 8000]) AS hi) WHERE lo < hi),
 b AS (SELECT *, least(greatest((m - lo) / (hi - lo), 0), 1) AS beta FROM c, g), t AS (SELECT lo, hi, beta * (m - least) / 1000 - beta * beta AS gain FROM b),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import columns
-from ..operators import motion, refs, routing, stats, tiles
+from ..operators import motion, refs, routing, segment, stats, tiles
 from ..sources import readers, sinks
 from .pixels import GATE, P3, plate_median, tile_blockiness, tile_psnr
 
@@ -208,6 +208,39 @@ def layered_frames(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("scene", "frame_idx").agg(F.max("layered").alias("layered"), F.sum("value").cast("bigint").alias("total"))
 
 
+def soft_patches(spark: SparkSession, d: str) -> DataFrame:
+    """High frequencies smoothed over a scene and added inside feathered, distrusted places; anchors reset and seed the smoothing."""
+    both = views.tiles(spark, d).join(plate_median(spark, d).select("scene", "pos", F.col("plate").cast("double").alias("cheap")), ["scene", "pos"])
+    line = Window.partitionBy("scene", "pos").orderBy("frame_idx")
+    near = Window.partitionBy("scene", "frame_idx", F.floor(F.col("pos") / 8)).orderBy("pos").rowsBetween(-1, 1)
+    rows = both.withColumn("k", (F.row_number().over(line) - 1).cast("int")).withColumn("before", F.lag("luma").over(line))
+    rows = rows.withColumn("anchor", F.col("k") % 12 == 0).withColumn("run", F.col("anchor") | (F.col("k") % 4 != 3))
+    rows = rows.withColumn("feather", F.avg((F.col("luma") > 160).cast("int")).over(near))
+    rows = rows.withColumn("trust", columns.ramp(F.abs(F.col("luma") - F.col("before")), 10.0, 60.0))
+    out = tiles.soft_patched(rows.withColumn("heavy", F.floor("luma").cast("double")).withColumn("value", F.col("cheap") + 4), tiles.SOFT_POLICIES["smoothed"])
+    return out.groupBy("scene", "frame_idx").agg(F.count_if("patched").alias("patched"), F.sum("soft").alias("total"))
+
+
+def chroma_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Cuts by four rules, the last one by a chroma plane; fired_by is the first rule that held."""
+    f = views.frames(spark, d).withColumn("chroma", F.abs(F.col("luma") - 250) / 2 + F.when(F.col("frame_idx") % 29 == 28, 150.0).otherwise(0.0)).withColumn("luma", F.col("luma") / 8)
+    return segment.scene_cuts(f, chroma="chroma").where("fired_by is not null").select("clip_id", "frame_idx", "diff", "is_cut", "fired_by")
+
+
+def combined_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Variants of the cut rules over one difference, luma plus a weight times chroma: cuts of each clip by weight."""
+    f = views.frames(spark, d)
+    line = Window.partitionBy("clip_id").orderBy("frame_idx")
+    step = lambda c: F.coalesce(F.abs(c - F.lag(c).over(line)), F.lit(0.0))
+    # the running sum of the differences has just these differences
+    rows = f.withColumn("dl", step(F.col("luma") / 8)).withColumn("dc", step(F.col("luma") % 64))
+    weights = rows.withColumn("w", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    own = weights.withColumn("clip", F.col("clip_id")).withColumn("clip_id", F.col("clip_id") * 3 + F.col("w"))
+    own = own.withColumn("luma", F.sum(F.floor(F.col("dl") + F.col("w") * F.col("dc"))).over(line).cast("double")).drop("dl", "dc")
+    cuts = segment.scene_cuts(own)
+    return cuts.groupBy("clip", "w").agg(F.count_if("is_cut").alias("cuts"), F.max("diff").alias("most"))
+
+
 def legacy_chain(spark: SparkSession, d: str) -> DataFrame:
     """References in display order against those on the backbone: how many frames' references differ, and the hops of both chains."""
     return refs.chain_comparison(views.frames(spark, d))
@@ -248,7 +281,7 @@ QUERIES = {
     for f in (
         probed, clip_catalog, picture_types, packed_records, frames_with_motion, json_results, rounding_report, plate_guard, deblock_gates, best_modes, layered_costs, beta_select, occluded_vectors,
         colour_clamp, rgb_luma, masked_sharpness, band_change, background_psnr, leaf_patches, registered_change, best_crops, plate_samples, blend_family, beta_maps, layered_frames, legacy_chain,
-        bench_table, doubled_frames, muxed, output_check,
+        bench_table, doubled_frames, muxed, output_check, soft_patches, chroma_cuts, combined_cuts,
     )
 }
 
@@ -343,4 +376,35 @@ SELECT clip_id, count(*) AS n, CAST(sum(lft) AS BIGINT) AS left_sum, max(frame_i
     "muxed": f"WITH {views.PACKETS}, p AS (SELECT rank, t / 1e6::DOUBLE AS t FROM packets WHERE t < 3.0e14) SELECT rank, count(*) AS n, max(t) AS last, min(t) AS first FROM p WHERE rank = 0 OR t < 86400 * 90 / 25.0 GROUP BY rank",
     "output_check": FRAMES + """, n AS (SELECT clip_id AS clip, count(*) AS n FROM frames GROUP BY clip_id)
 SELECT clip, clip % 7 <> 0 AS count_ok, clip % 11 <> 0 OR n = 1 AS size_ok, clip % 4 = 0 OR clip % 3 <> 0 AS sync_ok FROM n""",
+    "soft_patches": P3.replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT t.scene, t.frame_idx, t.pos, t.luma, trunc(p.value) AS cheap, floor(t.luma) AS heavy FROM tiles t JOIN plate p USING (scene, pos)),
+n AS (SELECT *, row_number() OVER l - 1 AS k, abs(luma - lag(luma) OVER l) AS gap, avg((luma > 160)::INT) OVER (PARTITION BY scene, frame_idx, pos // 8 ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS feather
+  FROM r WINDOW l AS (PARTITION BY scene, pos ORDER BY frame_idx)),
+mm AS MATERIALIZED (SELECT *, k % 12 = 0 AS anchor, k % 12 = 0 OR k % 4 <> 3 AS run FROM n),
+e AS (SELECT scene, pos, k, heavy - cheap AS ema FROM mm m WHERE k = 0
+  UNION ALL SELECT m.scene, m.pos, m.k, CASE WHEN m.anchor THEN m.heavy - m.cheap WHEN NOT m.run THEN e.ema ELSE 0.15::DOUBLE * (m.heavy - m.cheap) + 0.85::DOUBLE * e.ema END
+  FROM e JOIN mm m ON m.scene = e.scene AND m.pos = e.pos AND m.k = e.k + 1),
+s AS (SELECT m.scene, m.frame_idx, NOT anchor AND run AS patched, cheap, ema, least(greatest(0.6 * feather * least(greatest((gap - 10) / 50.0::DOUBLE, 0), 1), 0), 1) AS a FROM mm m JOIN e ON e.scene = m.scene AND e.pos = m.pos AND e.k = m.k)
+SELECT scene, frame_idx, count(*) FILTER (WHERE patched) AS patched, sum(CASE WHEN patched THEN least(greatest((1 - a) * (cheap + 4) + a * (cheap + ema), 0), 255) ELSE cheap + 4 END) AS total FROM s GROUP BY scene, frame_idx""",
+    "chroma_cuts": f"""WITH RECURSIVE {views.FRAMES},
+n AS MATERIALIZED (SELECT clip_id, frame_idx, ptype, luma / 8 AS y, abs(luma - 250) / 2 + CASE WHEN frame_idx % 29 = 28 THEN 150.0::DOUBLE ELSE 0.0::DOUBLE END AS c FROM frames),
+f AS (
+  SELECT clip_id, frame_idx, y, c, CAST(NULL AS DOUBLE) AS base, CAST(NULL AS DOUBLE) AS cbase, frame_idx AS last, CAST(NULL AS DOUBLE) AS diff, false AS is_cut, CAST(NULL AS VARCHAR) AS fired_by FROM n WHERE frame_idx = 0
+  UNION ALL
+  SELECT clip_id, frame_idx, y, c, CASE WHEN cut THEN NULL WHEN base IS NULL THEN d ELSE 0.3::DOUBLE * d + (1.0::DOUBLE - 0.3::DOUBLE) * base END,
+    CASE WHEN cut THEN NULL WHEN cbase IS NULL THEN dc ELSE 0.3::DOUBLE * dc + (1.0::DOUBLE - 0.3::DOUBLE) * cbase END, CASE WHEN cut THEN frame_idx ELSE last END, d, cut, fired
+  FROM (SELECT *, fired IS NOT NULL AND frame_idx - last >= 24 AS cut FROM (SELECT *,
+    CASE WHEN d > 60 THEN 'absolute' WHEN ptype = 'I' AND d > 45 THEN 'intra' WHEN base IS NOT NULL AND d > 40 AND d > 8 * base THEN 'relative'
+      WHEN dc > 1.1::DOUBLE * d AND (dc > 60 OR (cbase IS NOT NULL AND dc > 22 AND dc > 6 * cbase)) THEN 'chroma' END AS fired
+    FROM (SELECT n.*, f.base, f.cbase, f.last, abs(n.y - f.y) AS d, abs(n.c - f.c) AS dc FROM f JOIN n ON n.clip_id = f.clip_id AND n.frame_idx = f.frame_idx + 1))))
+SELECT clip_id, frame_idx, diff, is_cut, fired_by FROM f WHERE fired_by IS NOT NULL""",
+    "combined_cuts": f"""WITH RECURSIVE {views.FRAMES},
+s AS (SELECT clip_id, frame_idx, ptype, coalesce(abs(luma / 8 - lag(luma / 8) OVER l), 0) AS dl, coalesce(abs(luma % 64 - lag(luma % 64) OVER l), 0) AS dc FROM frames WINDOW l AS (PARTITION BY clip_id ORDER BY frame_idx)),
+n AS MATERIALIZED (SELECT clip_id, frame_idx, ptype, w, floor(dl + w * dc) AS d FROM s, (SELECT unnest([0, 1, 2]) AS w)),
+f AS (
+  SELECT clip_id, w, frame_idx, CAST(NULL AS DOUBLE) AS base, frame_idx AS last, CAST(NULL AS DOUBLE) AS diff, false AS is_cut FROM n WHERE frame_idx = 0
+  UNION ALL
+  SELECT clip_id, w, frame_idx, CASE WHEN cut THEN NULL WHEN base IS NULL THEN d ELSE 0.3::DOUBLE * d + (1.0::DOUBLE - 0.3::DOUBLE) * base END, CASE WHEN cut THEN frame_idx ELSE last END, d, cut
+  FROM (SELECT n.*, f.base, f.last, (n.d > 60 OR (n.ptype = 'I' AND n.d > 45) OR (f.base IS NOT NULL AND n.d > 40 AND n.d > 8 * f.base)) AND n.frame_idx - f.last >= 24 AS cut
+        FROM f JOIN n ON n.clip_id = f.clip_id AND n.w = f.w AND n.frame_idx = f.frame_idx + 1))
+SELECT clip_id AS clip, w, count(*) FILTER (WHERE is_cut) AS cuts, max(diff) AS most FROM f GROUP BY clip_id, w""",
 }
