@@ -68,6 +68,7 @@ def ms_ssim(a: np.ndarray, b: np.ndarray, weights: tuple[float, ...] = (0.0448,
     return float(out)
 
 
+NOWHERE = 1e6
 SOBEL = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], float)
 LAPLACE = np.array([[0, 1, 0], [1, -4, 1], [0, 1, 0]], float)
 NOISE = np.array([[1, -2, 1], [-2, 4, -2], [1, -2, 1]], float)
@@ -108,6 +109,13 @@ def remap(x: np.ndarray, at_x: np.ndarray, at_y: np.ndarray) -> np.ndarray:
     return (x[y0, x0] * (1 - fx) + x[y0, x1] * fx) * (1 - fy) + (x[y1, x0] * (1 - fx) + x[y1, x1] * fx) * fy
 
 
+def sampled(x: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, constant: float) -> np.ndarray:
+    """Bilinear samples of a plane that is `constant` everywhere beyond its border."""
+    h, w = x.shape
+    p = np.pad(x.astype(float), 1, constant_values=constant)
+    return remap(p, np.clip(at_x, -1, w) + 1, np.clip(at_y, -1, h) + 1)
+
+
 def backward_warp(x: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
     """x sampled at each pixel plus its vector; a missing vector (NaN) is no motion."""
     h, w = dx.shape
@@ -116,11 +124,14 @@ def backward_warp(x: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
 
 
 def splat(value: np.ndarray, dx: np.ndarray, dy: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Softmax forward splat of a plane; NaN where nothing lands."""
+    """Softmax forward splat of a plane; pixels without a vector or a weight go nowhere, NaN where nothing lands."""
     h, w = value.shape
     yy, xx = np.mgrid[:h, :w]
     tx, ty = xx + np.nan_to_num(dx), yy + np.nan_to_num(dy)
-    e = np.exp(weight - np.nanmax(weight))
+    goes = np.isfinite(dx) & np.isfinite(dy) & np.isfinite(weight)
+    if not goes.any():
+        return np.full((h, w), np.nan)
+    e = np.where(goes, np.exp(np.where(goes, weight, 0.0) - weight[goes].max()), 0.0)
     x0, y0 = np.floor(tx).astype(int), np.floor(ty).astype(int)
     total, norm = np.zeros(h * w), np.zeros(h * w)
     for ox in (0, 1):
@@ -205,9 +216,11 @@ def occlusion(dx: np.ndarray, dy: np.ndarray, cur: np.ndarray, prev: np.ndarray,
     if mode == "reactive" or (mode == "adaptive" and mask.mean() <= adaptive):
         return mask
     w = -np.abs(cur.astype(float) - backward_warp(prev, dx, dy))
-    bx, by = splat(-np.nan_to_num(dx), dx, dy, w), splat(-np.nan_to_num(dy), dx, dy, w)
-    fx, fy = backward_warp(np.nan_to_num(bx), dx, dy), backward_warp(np.nan_to_num(by), dx, dy)
+    # where nothing lands, and beyond the border, the reverse vector is far too long to fit
+    fit = [np.nan_to_num(splat(-v, dx, dy, w), nan=NOWHERE) for v in (dx, dy)]
     x, y = np.nan_to_num(dx), np.nan_to_num(dy)
+    yy, xx = np.mgrid[: x.shape[0], : x.shape[1]]
+    fx, fy = (sampled(v, xx + x, yy + y, NOWHERE) for v in fit)
     return mask | ((x + fx) ** 2 + (y + fy) ** 2 > 0.01 * (x * x + y * y + fx * fx + fy * fy) + 0.5)
 
 
@@ -302,3 +315,137 @@ def signal_battery(x: np.ndarray) -> dict[str, float]:
         "edge_density": float((g > 100).mean()), "var_laplacian": var_laplacian(x), "noise": float(noise), "noise_flat": float(1.4826 * np.median(np.abs(d[flat] - np.median(d[flat])))),
         "spectrum": spectrum_share(x, power=False), "tenengrad": float((g * g).mean()), "local_std": float(local.mean()),
     }
+
+
+def distance_to(mask: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each pixel to the nearest true one; infinite without one.  Columns first, then rows."""
+    h, w = mask.shape
+    rows = np.where(mask, 0.0, np.inf)
+    for order in (range(1, h), range(h - 2, -1, -1)):
+        step = -1 if order.step == 1 else 1
+        for y in order:
+            rows[y] = np.minimum(rows[y], rows[y + step] + 1)
+    across = np.abs(np.arange(w)[:, None] - np.arange(w)[None])
+    return np.sqrt(((rows * rows)[:, None, :] + across[None] ** 2).min(2))
+
+
+def signed_distance(alpha: np.ndarray) -> np.ndarray:
+    """Distance from the contour of one half: positive outside the subject, negative inside."""
+    inside = alpha >= 0.5
+    return distance_to(inside) - distance_to(~inside)
+
+
+def seam_ratio(x: np.ndarray, alpha: np.ndarray) -> float:
+    """Laplacian variance in the ring just inside the subject over that in the ring just outside; NaN where a ring is flat or empty."""
+    lap = correlate(x.astype(float), LAPLACE)
+    inner, outer = lap[(alpha > 0.8) & (alpha < 0.98)], lap[(alpha > 0.02) & (alpha < 0.2)]
+    return float(inner.var() / outer.var()) if inner.size and outer.size and outer.var() > 1e-6 else float("nan")
+
+
+def halo_profile(x: np.ndarray, alpha: np.ndarray, most: int = 40, size: int = 9) -> dict[int, float]:
+    """Mean local sharpness by whole signed distance from the subject's contour, up to `most` pixels; distances without pixels are absent."""
+    sharp = box(np.abs(correlate(x.astype(float), LAPLACE)), size)
+    d = signed_distance(alpha)
+    near = np.rint(np.clip(d, -most - 1, most + 1)).astype(int)
+    return {int(b): float(sharp[near == b].mean()) for b in np.unique(near) if abs(b) <= most}
+
+
+def halo_width(profile: dict[int, float], most: int = 40, times: float = 1.3, far: int = 10) -> int:
+    """Pixels from the contour outwards over which a profile stays `times` above its mean at the far end; gaps are skipped."""
+    end = [v for b, v in profile.items() if most - far <= b <= most]
+    if not end:
+        return 0
+    width, limit = 0, times * sum(end) / len(end)
+    for b in sorted(b for b in profile if b >= 1):
+        if profile[b] < limit:
+            break
+        width = b
+    return width
+
+
+def feathered(alpha: np.ndarray, sigma: float = 4.0, lift: float = 0.35) -> np.ndarray:
+    """A matte with a wider, lifted ramp where its edge is soft; hard edges and the core stay."""
+    a = alpha.astype(float)
+    slope, edge = gradient(a), (a > 0.02) & (a < 0.98)
+    steep = max(float(np.percentile(slope[edge], 90)), 1e-3) if edge.any() else 1e-3
+    soft = gaussian(np.clip(1.0 - slope / steep, 0, 1) * edge, 2.0)
+    wide = soft * gaussian(a, sigma) + (1 - soft) * a
+    raised = np.clip(wide, 0, 1) ** (1.0 / (1.0 + lift)) if lift > 0 else wide
+    return np.clip(soft * raised + (1 - soft) * wide, 0, 1)
+
+
+def ring_restored(plate: np.ndarray, alpha: np.ndarray, strength: float = 0.5, amount: float = 0.6, sigma: float = 2.0) -> np.ndarray:
+    """A plate sharpened in the band just outside the subject, by `strength`; 0 changes nothing."""
+    p = plate.astype(float)
+    if strength <= 0:
+        return p
+    band = np.where((alpha < 0.015) | (alpha > 0.55), 0.0, np.exp(-(((alpha - 0.22) / 0.18) ** 2)))
+    sharp = np.floor(np.clip(p + amount * gaussian(band, 2.0) * (p - gaussian(p, sigma)), 0, 255))
+    return np.rint((1.0 - strength) * p + strength * sharp)
+
+
+def tile_box(mask: np.ndarray, scale: int, halo: int = 12) -> tuple[int, int, int, int] | None:
+    """x0, y0, x1, y1 of the small-plane tile around the true pixels of a large mask, with a halo and cut to the plane; None without any."""
+    ys, xs = np.nonzero(mask)
+    if not len(ys):
+        return None
+    h, w = mask.shape[0] // scale, mask.shape[1] // scale
+    lo = lambda v: max(int(v.min()) // scale - halo, 0)
+    hi = lambda v, most: min(-(-(int(v.max()) + 1) // scale) + halo, most)
+    return lo(xs), lo(ys), hi(xs, w), hi(ys, h)
+
+
+def tile_patched(large: np.ndarray, small: np.ndarray, mask: np.ndarray, scale: int, halo: int = 12) -> np.ndarray:
+    """large with the mask's pixels taken from the small plane, of which only the tile around them is upscaled."""
+    at = tile_box(mask, scale, halo)
+    if at is None:
+        return large
+    x0, y0, x1, y1 = at
+    up = resized(small[y0:y1, x0:x1], (y1 - y0) * scale, (x1 - x0) * scale)
+    out, view = large.astype(float).copy(), (slice(y0 * scale, y1 * scale), slice(x0 * scale, x1 * scale))
+    out[view] = np.where(mask[view], up, out[view])
+    return out
+
+
+def turned_mean(x: np.ndarray, fn, n: int = 8) -> np.ndarray:
+    """Mean of fn over n turned and mirrored views of a plane (1: as it is, 2: mirrored too, 4: mirrored both ways, 8: all), turned back."""
+    total = np.zeros(1)
+    views = [(0, False), (0, True), (2, False), (2, True), (1, False), (1, True), (3, False), (3, True)][:n]
+    for turn, flip in views:
+        v = fn(np.rot90(x[:, ::-1] if flip else x, turn))
+        back = np.rot90(v, -turn)
+        total = total + (back[:, ::-1] if flip else back)
+    return levels(np.rint(total / len(views)))
+
+
+def between(before: np.ndarray, after: np.ndarray, forward: tuple[np.ndarray, np.ndarray], backward: tuple[np.ndarray, np.ndarray], share: float = 0.5, distrust: tuple[np.ndarray | None, np.ndarray | None] = (None, None)) -> dict[str, np.ndarray]:
+    """Guesses of a left-out frame: the one before, a mean, both warps, and their blend.
+
+    The blend takes the mean of both warps, the other one where a side has no vector or is distrusted, and the plain mean where both are out.
+    """
+    mean = (1 - share) * before + share * after
+    warps = [backward_warp(v, *field) for v, field in ((before, forward), (after, backward))]
+    dead = [~np.isfinite(field[0]) | (False if d is None else d) for field, d in zip((forward, backward), distrust, strict=True)]
+    blend = np.where(dead[0], np.where(dead[1], mean, warps[1]), np.where(dead[1], warps[0], (1 - share) * warps[0] + share * warps[1]))
+    return {"before": before.astype(float), "mean": mean, "forward": warps[0], "backward": warps[1], "blend": blend}
+
+
+def degraded(x: np.ndarray, mode: str, frame: int = 0) -> np.ndarray:
+    """A plane at half size: `clean` (area means), or `real` (blurred first, blocked and noisy after; the frame number seeds the noise)."""
+    h, w = x.shape[0] // 2, x.shape[1] // 2
+    if mode == "clean":
+        return levels(resized(x, h, w, "area")).astype(float)
+    if mode != "real":
+        raise ValueError(f"unknown mode {mode!r}")
+    small = resized(gaussian(x, 0.8), h, w, "area")
+    blocks = resized(resized(small, -(-h // 4), -(-w // 4), "area"), h, w, "nearest")
+    return levels(blocks + np.rint((small - blocks) / 8) * 8 + grain(h, w, frame, 2.0)).astype(float)
+
+
+#: Upscalers without weights.
+RESTORERS = {
+    "nearest": lambda x, h, w: resized(x, h, w, "nearest"),
+    "bilinear": lambda x, h, w: resized(x, h, w, "bilinear"),
+    "bicubic": lambda x, h, w: resized(x, h, w),
+    "sharpened": lambda x, h, w: unsharp(resized(x, h, w), 0.6, 1.0),
+}

@@ -8,19 +8,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import arrow, kernels
 
 ROWS = "scene int, chunk_id int, frame_idx long, ptype string, is_anchor boolean, hole_frac double, hops int, psnr double"
+PICTURES = ROWS + ", picture array<int>"
 
 
-def reconstructed(side: int, scale: int, occlusion: str = "reactive"):
-    """A grouped function over the frames of a chunk (plane, mvs) that gives a metric row per frame.
+def reconstructed(side: int, scale: int, occlusion: str = "reactive", pictures: bool = False):
+    """A grouped function over the frames of a chunk (plane, mvs) that gives a metric row per frame, with its picture if asked for.
 
-    The upscaler is bicubic; a frame without any reference is upscaled on its own.
+    The upscaler is bicubic; a frame without any reference is upscaled on its own.  A column `mode` of
+    `quality` makes every frame an anchor.
     """
 
     def warp(ref: np.ndarray, ref_lr: np.ndarray, cur_lr: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +46,9 @@ def reconstructed(side: int, scale: int, occlusion: str = "reactive"):
         done: dict[int, np.ndarray] = {}
         hole, hops, anchor = np.zeros(n), [None] * n, [False] * n
         big = lambda m: kernels.resized(m.astype(float), side * scale, side * scale, "nearest") > 0.5
-        for at, i in enumerate(backbone):
-            if kinds[i] == "I" or at == 0:
+        alone = "mode" in rows and rows["mode"].iloc[0] == "quality"
+        for at, i in enumerate(range(n) if alone else backbone):
+            if alone or kinds[i] == "I" or at == 0:
                 done[i], anchor[i], hops[i] = up[i], True, 0
                 continue
             j = backbone[at - 1]
@@ -66,43 +69,59 @@ def reconstructed(side: int, scale: int, occlusion: str = "reactive"):
         quality = [kernels.psnr(kernels.levels(kernels.resized(done[i], side, side, "area")), kernels.levels(planes[i])) for i in range(n)]
         out = rows[["scene", "chunk_id", "frame_idx", "ptype"]].copy()
         out["is_anchor"], out["hole_frac"], out["hops"], out["psnr"] = anchor, hole, pd.array(hops, "Int32"), quality
+        if pictures:
+            out["picture"] = [kernels.levels(done[i]).ravel().astype(int) for i in range(n)]
         return out
 
     return run
 
 
-def _planes(spark: SparkSession, d: str) -> DataFrame:
+def planes(spark: SparkSession, d: str) -> DataFrame:
     """Tiles as planes: every 12th frame of a scene is I, every third P, the rest B; 12 frames a chunk."""
-    from pyspark.sql import Window
-
     e = views.table(spark, d, "embeddings").where("embedding is not null and label is not null")
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    # numbers come from narrow rows; planes meet them by frame, not by scene
+    k = e.select("vec_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("k"))
     plane = F.transform("embedding", lambda v: F.least(F.greatest(v.cast("double") * 255 + 128, F.lit(0.0)), F.lit(255.0)))
-    own = e.select(F.col("label").alias("scene"), F.col("vec_id").alias("frame_idx"), plane.alias("plane"), k.alias("k"))
+    own = e.select("vec_id", "label", plane.alias("plane")).join(k, ["vec_id", "label"]).select(F.col("label").alias("scene"), F.col("vec_id").alias("frame_idx"), "plane", "k")
     kind = F.when(F.col("k") % 12 == 0, "I").when(F.col("k") % 3 == 0, "P").otherwise("B")
     return own.select("scene", F.floor(F.col("k") / 12).cast("int").alias("chunk_id"), "frame_idx", kind.alias("ptype"), "plane")
 
 
-def chunk_reconstruct(spark: SparkSession, d: str) -> DataFrame:
+def with_neighbours(own: DataFrame, sides: list[str]) -> DataFrame:
+    """own (scene, frame_idx, plane) with the planes of the frames `before` and `after` in the scene; frames that lack one are left out.
+
+    The neighbours' numbers come from narrow rows, so no task holds the planes of a scene."""
+    line = Window.partitionBy("scene").orderBy("frame_idx")
+    step = {"before": F.lag("frame_idx"), "after": F.lead("frame_idx")}
+    links = own.select("scene", "frame_idx").withColumns({f"{s}_idx": step[s].over(line) for s in sides})
+    out = own.join(links, ["scene", "frame_idx"])
+    for s in sides:
+        out = out.join(own.select("scene", F.col("frame_idx").alias(f"{s}_idx"), F.col("plane").alias(s)), ["scene", f"{s}_idx"])
+    return out
+
+
+def small_motion(spark: SparkSession, d: str) -> DataFrame:
+    """frame_idx, mvs: the motion records of each frame, in order, made to fit 8x8 planes."""
     m = views.mvs(spark, d)
     small = m.select(
         F.col("frame_id").alias("frame_idx"), F.struct("mv_idx", "source", F.lit(4).alias("w"), F.lit(4).alias("h"), (F.col("dst_x") % 8).alias("dst_x"), (F.col("dst_y") % 8).alias("dst_y"), "motion_x", "motion_y", F.lit(8).alias("motion_scale")).alias("r")
     )
-    held = small.groupBy("frame_idx").agg(F.sort_array(F.collect_list("r")).alias("mvs"))
-    frames = _planes(spark, d).join(held, "frame_idx", "left")
+    return small.groupBy("frame_idx").agg(F.sort_array(F.collect_list("r")).alias("mvs"))
+
+
+def chunk_reconstruct(spark: SparkSession, d: str) -> DataFrame:
+    frames = planes(spark, d).join(small_motion(spark, d), "frame_idx", "left")
     return frames.groupBy("scene", "chunk_id").applyInPandas(reconstructed(8, 2), ROWS)
 
 
 def tile_signals(spark: SparkSession, d: str) -> DataFrame:
     """The signal battery of every tile."""
-    return _planes(spark, d).withColumn("s", arrow.signals(8)("plane")).select("scene", "frame_idx", "s.*")
+    return planes(spark, d).withColumn("s", arrow.signals(8)("plane")).select("scene", "frame_idx", "s.*")
 
 
 def tile_similarity(spark: SparkSession, d: str) -> DataFrame:
     """SSIM, gradient fidelity and PSNR of every tile against the one before in its scene."""
-    from pyspark.sql import Window
-
-    own = _planes(spark, d).withColumn("before", F.lag("plane").over(Window.partitionBy("scene").orderBy("frame_idx"))).where("before is not null")
+    own = with_neighbours(planes(spark, d), ["before"])
     metric = lambda fn: arrow.pair_metric(fn, 8)("plane", "before")
     return own.select("scene", "frame_idx", metric(kernels.ssim).alias("ssim"), metric(kernels.gradient_fidelity).alias("gradient"), metric(kernels.psnr).alias("psnr"))
 

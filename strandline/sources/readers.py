@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Columns of exported motion records; framenum counts from 1, flags are hexadecimal text.
 MV_CSV = "framenum int, source int, blockw int, blockh int, srcx int, srcy int, dstx int, dsty int, flags string, motion_x int, motion_y int, motion_scale int"
@@ -17,8 +18,9 @@ RESULT_MARK = "RESULT_JSON "
 def motion_csv(spark: SparkSession, path: str, clip: str) -> DataFrame:
     """Motion records of a clip from CSV with a header, frame numbers counted from 0, in file order by mv_idx."""
     rows = spark.read.schema(MV_CSV).csv(path, header=True)
-    place = F.monotonically_increasing_id()
-    own = rows.withColumn("__at", place).withColumn("mv_idx", F.row_number().over(Window.partitionBy("framenum").orderBy("__at")) - 1)
+    # ids grow along a split; splits are told apart by file and by where they start in it
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    own = rows.withColumn("__at", at).withColumn("mv_idx", F.row_number().over(Window.partitionBy("framenum").orderBy("__at")) - 1)
     return own.select(
         F.lit(clip).alias("clip"), (F.col("framenum") - 1).alias("frame_idx"), "mv_idx", "source", F.col("blockw").alias("w"), F.col("blockh").alias("h"),
         F.col("srcx").alias("src_x"), F.col("srcy").alias("src_y"), F.col("dstx").alias("dst_x"), F.col("dsty").alias("dst_y"),
@@ -63,25 +65,84 @@ def resolved(catalog: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def synthetic_clip(spark: SparkSession, n: int = 24, h: int = 36, w: int = 64, scale: int = 3, speed: float = 1.5, seed: int = 7) -> DataFrame:
-    """frame_idx, ptype, plane (h*w) and truth (scaled): a textured canvas that pans behind a faster block; same for any partitioning."""
+KINDS = ("pan", "fast", "graphics", "dark", "still", "cut", "odd")
+
+
+def clip_frame(kind: str, i: int, n: int, h: int, w: int, scale: int = 1, speed: float = 1.5, seed: int = 7) -> np.ndarray:
+    """Frame i of a made-up clip of n, [h * scale, w * scale]: a textured canvas that pans behind a faster block, and variants.
+
+    fast: four times the speed; graphics: a title that stands still; dark: an eighth of the light, with noise;
+    still: only the block moves; cut: another canvas from the middle on; odd: a size that no block divides.
+    """
+    from ..functions import kernels
+
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind {kind!r}")
+    if kind == "odd":
+        h, w = h - 1, w - 3
+    speed = 4 * speed if kind == "fast" else 0.0 if kind == "still" else speed
+    rng = np.random.default_rng(seed + (1 if kind == "cut" and i >= n // 2 else 0))
+    canvas = kernels.gaussian(rng.random((h * scale, w * scale + int(n * speed * scale) + 8)), 1.2) * 255
+    x = int(round(i * speed * scale))
+    out = canvas[:, x : x + w * scale].copy()
+    at = int(i * 2 * max(speed, 1.0) * scale) % (w * scale)
+    out[h * scale // 3 : 2 * h * scale // 3, at : at + h * scale // 3] = 230
+    if kind == "graphics":
+        out[: h * scale // 8, : w * scale // 2] = 255.0 * (np.arange(w * scale // 2) // 2 % 2)
+    if kind == "dark":
+        out = np.clip(out / 8 + np.random.default_rng([seed, i]).normal(0, 3, out.shape), 0, 255)
+    return out
+
+
+def synthetic_clip(spark: SparkSession, n: int = 24, h: int = 36, w: int = 64, scale: int = 3, speed: float = 1.5, seed: int = 7, kind: str = "pan") -> DataFrame:
+    """frame_idx, ptype, plane (h*w) and truth (scaled) of a made-up clip; same for any partitioning."""
     from ..functions import kernels
 
     schema = "frame_idx int, ptype string, plane array<double>, truth array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(seed)
-        canvas = kernels.gaussian(rng.random((h * scale, w * scale + int(n * speed * scale) + 8)), 1.2) * 255
         for b in batches:
             out = []
             for i in b.column("id").to_pylist():
-                x = int(round(i * speed * scale))
-                truth = canvas[:, x : x + w * scale].copy()
-                at = int(i * 2 * speed * scale) % (w * scale)
-                truth[h : 2 * h, at : at + h] = 230
-                plane = kernels.resized(truth, h, w, "area")
+                truth = clip_frame(kind, i, n, h, w, scale, speed, seed)
+                plane = kernels.resized(truth, truth.shape[0] // scale, truth.shape[1] // scale, "area")
                 out.append((i, "I" if i == 0 else "P", plane.ravel(), truth.ravel()))
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64())), strict=True)], ["frame_idx", "ptype", "plane", "truth"])
 
     return spark.range(n).mapInArrow(run, schema)
+
+
+class ClipSource(DataSource):
+    """spark.read.format("clip"): frames [startFrame, startFrame + maxFrames) of a made-up clip, `chunk` frames a task.
+
+    Options: kind, frames (of the clip), height, width, seed, startFrame, maxFrames, chunk.  Frames outside the window are never made.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "clip"
+
+    def schema(self) -> str:
+        return "frame_idx int, ptype string, plane array<double>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ClipReader(self.options)
+
+
+class _ClipReader(DataSourceReader):
+    def __init__(self, options: dict):
+        whole = lambda name, value: int(options.get(name, value))
+        self.kind, self.n, self.h, self.w, self.seed = options.get("kind", "pan"), whole("frames", 24), whole("height", 36), whole("width", 64), whole("seed", 7)
+        if self.kind not in KINDS:
+            raise ValueError(f"unknown kind {self.kind!r}")
+        start = max(whole("startFrame", 0), 0)
+        self.span, self.chunk = (start, min(self.n, start + whole("maxFrames", self.n))), max(whole("chunk", 16), 1)
+
+    def partitions(self) -> list[InputPartition]:
+        lo, hi = self.span
+        return [InputPartition((s, min(s + self.chunk, hi))) for s in range(lo, hi, self.chunk)] or [InputPartition((0, 0))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for i in range(*partition.value):
+            yield i, "I" if i == 0 else "P", clip_frame(self.kind, i, self.n, self.h, self.w, seed=self.seed).ravel().tolist()

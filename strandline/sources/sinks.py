@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_path
+
 
 def metrics_csv(rows: DataFrame, path: str) -> None:
     """Metric rows as CSV with a header; nulls are empty fields."""
@@ -47,3 +50,29 @@ def with_trailing_copy(frames: DataFrame, key: str = "clip_id") -> DataFrame:
     own = frames.withColumn("left", F.lag("frame_idx").over(order)).withColumn("__last", F.lead("frame_idx").over(order).isNull())
     copy = own.where("__last").withColumn("left", F.col("frame_idx")).withColumn("frame_idx", F.col("frame_idx") + 1)
     return own.unionByName(copy).drop("__last")
+
+
+@contextmanager
+def spilled(plates: DataFrame, name: str = "plates", key: str = "scene") -> Iterator[DataFrame]:
+    """Plates written once, a folder a scene, and read back inside the block; the files go at its end, also after an error."""
+    spark, path = plates.sparkSession, shared_path(plates.sparkSession, name)
+    try:
+        plates.repartition(key).write.partitionBy(key).parquet(path)
+        yield spark.read.schema(plates.schema).parquet(path)
+    finally:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def export_chunk(frames: DataFrame, flow: DataFrame, path: str, size: int = 16, key: str = "clip_id") -> None:
+    """The first `size` frames of each clip, a folder a clip: planes and dense vectors by cell; a cell without one is absent, not marked.
+
+    frames: key, frame_idx and planes; flow: key, frame_idx, y, x, dx, dy."""
+    own = frames.where(F.col("frame_idx") < size)
+    own.repartition(key).sortWithinPartitions("frame_idx").write.partitionBy(key).parquet(f"{path}/frames")
+    flow.join(own.select(key, "frame_idx"), [key, "frame_idx"], "left_semi").repartition(key).sortWithinPartitions("frame_idx", "y", "x").write.partitionBy(key).parquet(f"{path}/flow")
+
+
+def frames_out(frames: DataFrame, path: str, key: str = "scene") -> None:
+    """Finished frames in display order, a folder a clip."""
+    frames.repartition(key, F.floor(F.col("frame_idx") / 4096)).sortWithinPartitions(key, "frame_idx").write.partitionBy(key).parquet(path)
