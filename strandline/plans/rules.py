@@ -9,7 +9,9 @@ from .. import views
 from ..functions import columns
 from ..operators import motion, refs, routing, segment, stats, tiles
 from ..sources import readers, sinks
+from .motion import RASTER
 from .pixels import GATE, P3, plate_median, tile_blockiness, tile_psnr
+from .streams import CUTS
 
 
 def probed(spark: SparkSession, d: str) -> DataFrame:
@@ -276,12 +278,103 @@ def output_check(spark: SparkSession, d: str) -> DataFrame:
     return sinks.verified(f, sound, want)
 
 
+def hole_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cells without a vector and of distrusted ones by clip of frames."""
+    f = motion.motion_signal(motion.direction(views.mvs(spark, d), "past"), views.GRID_W, views.GRID_H)
+    return f.groupBy((F.col("frame_id") % 20).cast("int").alias("clip")).agg(F.avg("intra").alias("hole_frac"), F.count_if(F.col("intra") > 0.9).alias("over"), F.count(F.lit(1)).alias("n"))
+
+
+def chunk_state(spark: SparkSession, d: str) -> DataFrame:
+    """A smoothed signal that starts anew at each scene of a clip, and the value that each chunk takes over from the one before."""
+    cut = segment.scene_cuts(views.frames(spark, d))
+    own = refs.ema(cut.withColumn("again", F.col("is_cut") | (F.col("ptype") == "I")), "luma", 0.25, "again")
+    line = Window.partitionBy("clip_id").orderBy("frame_idx")
+    own = own.withColumn("carried", F.lag("ema").over(line)).where("frame_idx % 16 = 0")
+    return own.select("clip_id", "frame_idx", "carried", "ema")
+
+
+def interp_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of neighbouring frames between which a middle frame may be made: no cut between them and few cells without vectors."""
+    line = Window.partitionBy("clip_id").orderBy("frame_idx")
+    f = segment.scene_cuts(views.frames(spark, d)).withColumn("next_cut", F.lead("is_cut").over(line)).withColumn("next_luma", F.lead("luma").over(line))
+    hole = F.abs(F.col("next_luma") - F.col("luma")) / 500.0
+    own = f.where("next_cut is not null").withColumn("made", ~F.col("next_cut") & (hole <= 0.5))
+    return own.groupBy("clip_id").agg(F.count_if("made").alias("made"), F.count_if(~F.col("made")).alias("copied"), F.sum(F.when(F.col("made"), (F.col("luma") + F.col("next_luma")) / 2).otherwise(F.col("luma"))).alias("total"))
+
+
+def detail_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Sharpness by distance from the last anchor, with propagation alone and with a cache every fourth frame, and each curve's half-life."""
+    sharp = tiles.var_laplacian(views.tiles(spark, d))
+    k = F.row_number().over(Window.partitionBy("scene").orderBy("frame_idx")) - 1
+    own = sharp.withColumn("k", k)
+    rows = own.select("scene", F.explode(F.array(F.struct(F.lit("propagated").alias("model"), (F.col("k") % 12).alias("dist")), F.struct(F.lit("cached").alias("model"), (F.col("k") % 4).alias("dist")))).alias("m"), "sharpness")
+    curve = rows.groupBy("m.model", "m.dist").agg(F.avg(F.col("sharpness") / (1 + F.col("m.dist"))).alias("gap"))
+    return stats.half_life(curve, ["model"])
+
+
+def region_table(spark: SparkSession, d: str) -> DataFrame:
+    """Three blends of tiles with their plate: mean value and temporal change by variant and region."""
+    plate = plate_median(spark, d).select("scene", "pos", F.col("value"))
+    both = views.tiles(spark, d).join(plate, ["scene", "pos"]).withColumn("region", F.when(F.col("pos") < 32, "upper").otherwise("lower"))
+    aware = F.when(F.col("region") == "upper", F.col("luma")).otherwise((F.col("luma") + F.col("value")) / 2)
+    options = {"light": F.col("value"), "heavy": F.col("luma"), "aware": aware}
+    rows = both.withColumn("v", F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), e.alias("value")) for n, e in options.items()]))).select("scene", "frame_idx", "pos", "region", "v.variant", F.col("v.value").alias("x"))
+    change = F.abs(F.col("x") - F.lag("x").over(Window.partitionBy("scene", "pos", "variant").orderBy("frame_idx")))
+    return rows.withColumn("change", change).groupBy("variant", "region").agg(F.avg("x").alias("mean"), F.avg("change").alias("change"), F.count("change").alias("n"))
+
+
+def residual_add(spark: SparkSession, d: str) -> DataFrame:
+    """Each tile from its plate: the moved plate plus what the moved plate lacks, cut to whole levels."""
+    plate = plate_median(spark, d).select("scene", "pos", "value")
+    moved = plate.select("scene", F.col("pos").alias("at"), F.col("value").alias("moved"))
+    own = views.tiles(spark, d).withColumn("at", F.when(F.col("pos") % 8 < 7, F.col("pos") + 1).otherwise(F.col("pos")).cast("int")).join(moved, ["scene", "at"])
+    rest = F.floor((F.col("luma") - F.col("moved")) / 2) * 2
+    value = F.least(F.greatest(F.col("moved") + rest, F.lit(0.0)), F.lit(255.0)).cast("int")
+    return own.groupBy("scene", "frame_idx").agg(F.sum(value).alias("total"), F.max(F.abs(F.col("luma") - value)).alias("worst"))
+
+
+def channel_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Samples from rows to columns, from doubles to bytes and to the range from 0 to 1, and back: the digest of each form."""
+    byte = F.floor("luma").cast("int")
+    t = views.tiles(spark, d).select("scene", "frame_idx", "pos", byte.alias("b"), (F.col("pos") % 8 * 8 + F.floor(F.col("pos") / 8)).cast("int").alias("turned"))
+    back = F.bround(F.col("b") / 255.0 * 255.0).cast("int")
+    joined = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "b"))), lambda r: r["b"].cast("string")), ",")
+    return t.groupBy("scene", "frame_idx").agg(F.md5(joined("pos")).alias("by_row"), F.md5(joined("turned")).alias("by_column"), F.count_if(back != F.col("b")).alias("lost"))
+
+
+def deblocked_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Small steps across a grid of four columns spread over the two samples beside them, and a median of three along rows."""
+    row = Window.partitionBy("scene", "frame_idx", F.floor(F.col("pos") / 8)).orderBy("pos")
+    t = views.tiles(spark, d).withColumn("l", F.lag("luma").over(row)).withColumn("r", F.lead("luma").over(row))
+    x, small = F.col("pos") % 8, lambda a, b: F.abs(a - b) <= 24
+    c = F.col
+    moved = F.when((x == 4) & small(c("luma"), c("l")), c("luma") - (c("luma") - c("l")) / 4).when((x == 3) & small(c("r"), c("luma")), c("luma") + (c("r") - c("luma")) / 4).otherwise(c("luma"))
+    middle = F.when(c("l").isNull() | c("r").isNull(), c("luma")).otherwise(F.greatest(F.least("luma", "l"), F.least(F.greatest("luma", "l"), "r")))
+    return t.groupBy("scene", "frame_idx").agg(F.avg(F.abs(moved - c("luma"))).alias("moved"), F.avg(middle).alias("median"), F.max(F.abs(middle - c("luma"))).alias("most"))
+
+
+def fg_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Foreground cells of each tile as a matte: at least a limit, grown by one place along rows and columns."""
+    row = Window.partitionBy("scene", "frame_idx", F.floor(F.col("pos") / 8)).orderBy("pos").rowsBetween(-1, 1)
+    column = Window.partitionBy("scene", "frame_idx", F.col("pos") % 8).orderBy("pos").rowsBetween(-1, 1)
+    t = views.tiles(spark, d).withColumn("on", (F.col("luma") >= 150).cast("int"))
+    t = t.withColumn("grown", F.greatest(F.max("on").over(row), F.max("on").over(column))).withColumn("soft", columns.ramp(F.col("luma"), 100.0, 200.0))
+    return t.groupBy("scene", "frame_idx").agg(F.sum("on").alias("on"), F.sum("grown").alias("grown"), F.sum("soft").alias("soft"))
+
+
+def sampled_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A window of each clip's frames and how many of them are distinct by type and level: the scan is cut by the filter."""
+    own = readers.frame_window(views.frames(spark, d), 8, 24)
+    return own.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ptype").alias("types"), F.count_distinct(F.floor(F.col("luma") / 16)).alias("levels"), F.min("frame_idx").alias("first"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         probed, clip_catalog, picture_types, packed_records, frames_with_motion, json_results, rounding_report, plate_guard, deblock_gates, best_modes, layered_costs, beta_select, occluded_vectors,
         colour_clamp, rgb_luma, masked_sharpness, band_change, background_psnr, leaf_patches, registered_change, best_crops, plate_samples, blend_family, beta_maps, layered_frames, legacy_chain,
         bench_table, doubled_frames, muxed, output_check, soft_patches, chroma_cuts, combined_cuts,
+        hole_shares, chunk_state, interp_guard, detail_drift, region_table, residual_add, channel_layout, deblocked_steps, fg_gate, sampled_scan,
     )
 }
 
@@ -407,4 +500,36 @@ f AS (
   FROM (SELECT n.*, f.base, f.last, (n.d > 60 OR (n.ptype = 'I' AND n.d > 45) OR (f.base IS NOT NULL AND n.d > 40 AND n.d > 8 * f.base)) AND n.frame_idx - f.last >= 24 AS cut
         FROM f JOIN n ON n.clip_id = f.clip_id AND n.w = f.w AND n.frame_idx = f.frame_idx + 1))
 SELECT clip_id AS clip, w, count(*) FILTER (WHERE is_cut) AS cuts, max(diff) AS most FROM f GROUP BY clip_id, w""",
+    "hole_shares": RASTER + """, n AS (SELECT frame_id, 1.0::DOUBLE - count(*) / 2048.0::DOUBLE AS intra FROM flow GROUP BY frame_id)
+SELECT CAST(frame_id % 20 AS INTEGER) AS clip, avg(intra) AS hole_frac, count(*) FILTER (WHERE intra > 0.9) AS over, count(*) AS n FROM n GROUP BY 1""",
+    "chunk_state": CUTS + """, g AS (SELECT *, is_cut OR ptype = 'I' AS again FROM f),
+e AS (SELECT clip_id, frame_idx, luma AS ema, CAST(NULL AS DOUBLE) AS carried FROM g WHERE frame_idx = 0
+  UNION ALL SELECT g.clip_id, g.frame_idx, CASE WHEN g.again THEN g.luma ELSE 0.25::DOUBLE * g.luma + 0.75::DOUBLE * e.ema END, e.ema FROM e JOIN (SELECT * FROM g) g ON g.clip_id = e.clip_id AND g.frame_idx = e.frame_idx + 1)
+SELECT clip_id, frame_idx, carried, ema FROM e WHERE frame_idx % 16 = 0""",
+    "interp_guard": CUTS + """, p AS (SELECT *, lead(is_cut) OVER l AS next_cut, lead(luma) OVER l AS next_luma FROM f WINDOW l AS (PARTITION BY clip_id ORDER BY frame_idx)),
+m AS (SELECT *, NOT next_cut AND abs(next_luma - luma) / 500.0 <= 0.5 AS made FROM p WHERE next_cut IS NOT NULL)
+SELECT clip_id, count(*) FILTER (WHERE made) AS made, count(*) FILTER (WHERE NOT made) AS copied, sum(CASE WHEN made THEN (luma + next_luma) / 2 ELSE luma END) AS total FROM m GROUP BY clip_id""",
+    "detail_drift": BLOCKS + """, k AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY frame_idx) - 1 AS k FROM sh),
+r AS (SELECT 'propagated' AS model, k % 12 AS dist, sharpness FROM k UNION ALL SELECT 'cached', k % 4, sharpness FROM k),
+c AS (SELECT model, dist, avg(sharpness / (1 + dist)) AS gap FROM r GROUP BY ALL),
+p AS (SELECT *, first_value(gap) OVER w AS g0, lag(dist) OVER w AS px, lag(gap) OVER w AS py FROM c WINDOW w AS (PARTITION BY model ORDER BY dist)),
+h AS (SELECT *, CASE WHEN px IS NULL OR py = gap THEN dist ELSE px + (py - g0 / 2) / (py - gap) * (dist - px) END AS hit FROM p)
+SELECT model, CASE WHEN first(g0) <= 0 THEN NULL ELSE coalesce(arg_min(hit, dist) FILTER (WHERE gap <= g0 / 2), max(dist))::DOUBLE END AS half_life FROM h GROUP BY model""",
+    "region_table": P3 + """, b AS (SELECT t.scene, t.frame_idx, t.pos, t.luma, p.value, CASE WHEN t.pos < 32 THEN 'upper' ELSE 'lower' END AS region FROM tiles t JOIN plate p USING (scene, pos)),
+r AS (SELECT *, unnest(['light', 'heavy', 'aware']) AS variant, unnest([value, luma, CASE WHEN region = 'upper' THEN luma ELSE (luma + value) / 2 END]) AS x FROM b),
+c AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY scene, pos, variant ORDER BY frame_idx)) AS change FROM r)
+SELECT variant, region, avg(x) AS mean, avg(change) AS change, count(change) AS n FROM c GROUP BY variant, region""",
+    "residual_add": P3 + """, o AS (SELECT t.scene, t.frame_idx, t.luma, p.value AS moved FROM tiles t JOIN plate p ON p.scene = t.scene AND p.pos = CASE WHEN t.pos % 8 < 7 THEN t.pos + 1 ELSE t.pos END),
+v AS (SELECT *, trunc(least(greatest(moved + floor((luma - moved) / 2) * 2, 0), 255)) AS value FROM o)
+SELECT scene, frame_idx, CAST(sum(value) AS BIGINT) AS total, max(abs(luma - value)) AS worst FROM v GROUP BY scene, frame_idx""",
+    "channel_layout": TILES + """, b AS (SELECT scene, frame_idx, pos, CAST(floor(luma) AS INTEGER) AS b, pos % 8 * 8 + pos // 8 AS turned FROM tiles)
+SELECT scene, frame_idx, md5(string_agg(b::VARCHAR, ',' ORDER BY pos)) AS by_row, md5(string_agg(b::VARCHAR, ',' ORDER BY turned)) AS by_column, count(*) FILTER (WHERE round_even(b / 255.0::DOUBLE * 255.0, 0) <> b) AS lost FROM b GROUP BY scene, frame_idx""",
+    "deblocked_steps": TILES + """, n AS (SELECT *, lag(luma) OVER w AS l, lead(luma) OVER w AS r FROM tiles WINDOW w AS (PARTITION BY scene, frame_idx, pos // 8 ORDER BY pos)),
+m AS (SELECT *, CASE WHEN pos % 8 = 4 AND abs(luma - l) <= 24 THEN luma - (luma - l) / 4 WHEN pos % 8 = 3 AND abs(r - luma) <= 24 THEN luma + (r - luma) / 4 ELSE luma END AS moved,
+  CASE WHEN l IS NULL OR r IS NULL THEN luma ELSE greatest(least(luma, l), least(greatest(luma, l), r)) END AS middle FROM n)
+SELECT scene, frame_idx, avg(abs(moved - luma)) AS moved, avg(middle) AS median, max(abs(middle - luma)) AS most FROM m GROUP BY scene, frame_idx""",
+    "fg_gate": TILES + """, o AS (SELECT *, (luma >= 150)::INT AS o FROM tiles),
+g AS (SELECT *, greatest(max(o) OVER (PARTITION BY scene, frame_idx, pos // 8 ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), max(o) OVER (PARTITION BY scene, frame_idx, pos % 8 ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS grown FROM o)
+SELECT scene, frame_idx, CAST(sum(o) AS BIGINT) AS "on", CAST(sum(grown) AS BIGINT) AS grown, sum(least(greatest((luma - 100) / 100.0, 0), 1)) AS soft FROM g GROUP BY scene, frame_idx""",
+    "sampled_scan": FRAMES + " SELECT clip_id, count(*) AS n, count(DISTINCT ptype) AS types, count(DISTINCT floor(luma / 16)) AS levels, min(frame_idx) AS first FROM frames WHERE frame_idx >= 8 AND frame_idx < 32 GROUP BY clip_id",
 }
