@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir; in a temporary folder where that is unset, as in local tests."""
+    """A fresh path in spark.checkpoint.dir; in a temporary folder where that is unset and all tasks run in this process, as in tests.
+
+    On a cluster without that setting this is an error: no other folder is known to be shared."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
         sc.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Columns of exported motion records; framenum counts from 1, flags are hexadecimal text.
 MV_CSV = "framenum int, source int, blockw int, blockh int, srcx int, srcy int, dstx int, dsty int, flags string, motion_x int, motion_y int, motion_scale int"
 RESULT_MARK = "RESULT_JSON "
+MOST_MODES = 100
 
 
 def motion_csv(spark: SparkSession, path: str, clip: str) -> DataFrame:
@@ -50,8 +51,10 @@ def result_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def source_catalog(files: DataFrame, modes: DataFrame) -> DataFrame:
     """One row per name and mode: the file of the first folder that has it, with an estimated time.
 
-    files: name, folder_rank, n_frames, fps; modes: mode, ms_frame (a few rows, broadcast).
+    files: name, folder_rank, n_frames, fps; modes: mode, ms_frame, at most MOST_MODES rows, which are broadcast.
     """
+    if modes.limit(MOST_MODES + 1).count() > MOST_MODES:
+        raise ValueError(f"more than {MOST_MODES} modes")
     first = files.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("folder_rank"))).where("k = 1").drop("k")
     return first.crossJoin(F.broadcast(modes)).withColumn("seconds", F.bround(F.col("n_frames") * F.col("ms_frame") / 1000).cast("bigint")).withColumn("duration", F.try_divide("n_frames", "fps"))
 
