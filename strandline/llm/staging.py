@@ -2,40 +2,66 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where it is unset, as in local tests."""
+    """The folder in spark.checkpoint.dir; a temporary one where it is unset and all tasks run in this process, as in tests.
+
+    On a cluster without that setting this is an error: no other folder is known to be shared."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        held = sc.getCheckpointDir()
-        found = held or tempfile.mkdtemp(prefix="strandline-")
-        if not held:
-            sc.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="strandline-")
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-_made: list[str] = []
+_made: set[str] = set()  # by this process, and not deleted yet
+_inside: ContextVar[list[str] | None] = ContextVar("inside", default=None)  # by the scratch block of this thread
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    if (inside := _inside.get()) is not None:
+        inside.append(path)
+    return path
+
+
+#: Bytes of a batch of rows on its way to Python; whole texts travel, and a task holds a batch on either side.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside send batches of at most BATCH bytes, or a row, to Python."""
+    before = {c: spark.conf.get(c) for c in BATCH}
+    try:
+        for c, v in BATCH.items():
+            spark.conf.set(c, v)
+        yield
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows once and reads them back, so that later jobs and lost executors do not
     repeat the work and row numbers given before stay as they are."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -46,16 +72,22 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-        _made.remove(path)
+        _made.discard(path)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Tables staged inside go at the end, but for those that the block puts into the list."""
-    start, kept = len(_made), []
-    yield kept
-    stay = {df.staged_path for df in kept}
-    _delete(spark, [p for p in _made[start:] if p not in stay])
+    """Tables staged inside, by this thread, go at the end, but for those that the block puts into the list."""
+    kept: list[DataFrame] = []
+    outer, token = _inside.get(), _inside.set([])
+    try:
+        yield kept
+        stay = {df.staged_path for df in kept}
+        _delete(spark, [p for p in _inside.get() if p in _made and p not in stay])
+        if outer is not None:
+            outer += stay
+    finally:
+        _inside.reset(token)
 
 
 #: Plan nodes over a scan of parquet files that leave each row its file and place.
@@ -63,10 +95,11 @@ STEADY = ("FileScan parquet", "Project", "Filter", "ColumnarToRow")
 
 
 def steady(df: DataFrame) -> DataFrame:
-    """df if it only scans parquet files and projects, so that a row has a file and a place in it; else its rows, written once."""
-    lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    """df if it only scans parquet files and projects, the same on each pass, so that a row has a file and a place in it; else its rows, written once."""
+    query = df._jdf.queryExecution()
+    lines = query.sparkPlan().toString().splitlines()
     nodes = [line.lstrip(" :+-*()0123456789") for line in lines if line.strip()]
-    return df if all(n.startswith(STEADY) for n in nodes) else staged(df, "rows")
+    return df if query.analyzed().deterministic() and all(n.startswith(STEADY) for n in nodes) else staged(df, "rows")
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -89,4 +122,4 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
 
 def cleaned(spark: SparkSession) -> None:
     """Deletes every table that this process has staged; results read from them before must be written first."""
-    _delete(spark, list(_made))
+    _delete(spark, sorted(_made))

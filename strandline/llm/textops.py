@@ -67,7 +67,7 @@ class Words(NamedTuple):
     data: np.ndarray
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about `most` bytes: first text, end, offsets, bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
