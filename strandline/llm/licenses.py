@@ -3,10 +3,12 @@
 One Aho-Corasick automaton over the folded words of a text finds notice phrases and the words
 of the tag ``SPDX-License-Identifier``.  What follows a tag is parsed by a shunting-yard parser
 (``with`` binds before ``and``, ``and`` before ``or``) and evaluated: the result names the
-licences, and whether a policy of allowed licences can be met.
+licences, and whether a policy of allowed licences can be met.  ``with`` stands between one
+licence and one exception.  Names are those of ``LICENSES`` and ``EXCEPTIONS`` (``+`` may follow a
+licence) and ``LicenseRef-...``, ``DocumentRef-...:LicenseRef-...``, ``AdditionRef-...``.
 
-Nulls and empty texts have no words and no finds.  A tag without a valid expression gives no
-label.  Repeated rows each get their own result.  Other columns are ignored.
+Nulls and empty texts have no words and no finds.  An expression ends before the first word that
+can't go on with it; a tag without a valid expression, or with an unknown name, gives no label.  Repeated rows each get their own result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +46,32 @@ MORE = {
     "creative commons attribution": "cc-by",
     "public domain dedication": "public-domain",
 }
+#: Identifiers of licences, in lower case.
+LICENSES = frozenset(
+    """
+    0bsd afl-3.0 agpl-1.0 agpl-1.0-only agpl-1.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0
+    artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0
+    busl-1.1 bzip2-1.0.6 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0
+    cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cecill-b cecill-c cpal-1.0 cpl-1.0 curl ecl-2.0 efl-2.0 epl-1.0 epl-2.0
+    eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.1-only gfdl-1.1-or-later gfdl-1.2-only gfdl-1.2-or-later gfdl-1.3-only gfdl-1.3-or-later gpl-1.0 gpl-1.0-only
+    gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg intel ipl-1.0 isc json lgpl-2.0
+    lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng libpng-2.0 libtiff
+    lppl-1.3c mit mit-0 mit-cmu mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa ntp odbl-1.0 odc-by-1.0 ofl-1.0
+    ofl-1.1 openssl osl-3.0 pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 python-2.0.1 qpl-1.0 ruby sgi-b-2.0 sleepycat sspl-1.0 tcl
+    unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
+    """.split()
+)
+#: Identifiers of exceptions, in lower case.
+EXCEPTIONS = frozenset(
+    """
+    autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 ecos-exception-2.0 font-exception-2.0
+    gcc-exception-2.0 gcc-exception-3.1 gpl-3.0-linking-exception gpl-cc-1.0 gstreamer-exception-2008 libtool-exception linux-syscall-note
+    llvm-exception ocaml-lgpl-linking-exception openjdk-assembly-exception-1.0 openssl-exception qt-gpl-exception-1.0 swift-exception
+    universal-foss-exception-1.0 wxwindows-exception-3.1
+    """.split()
+)
+REFERENCE = re.compile(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+ADDITION = re.compile(r"(documentref-[a-z0-9.-]+:)?additionref-[a-z0-9.-]+")
 TAG = "spdx license identifier"
 ALLOWED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense", "zlib", "cc-by-4.0"})
 RANK = {"or": 1, "and": 2, "with": 3}
@@ -51,13 +79,21 @@ TAG_IN_TEXT = re.compile(rb"spdx[-_ ]license[-_ ]identifier\s*:?[ \t]*([^\r\n]*)
 PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
+def is_license(name: str) -> bool:
+    return name.removesuffix("+") in LICENSES or REFERENCE.fullmatch(name) is not None
+
+
+def is_exception(name: str) -> bool:
+    return name in EXCEPTIONS or ADDITION.fullmatch(name) is not None
+
+
 def postfix(expression: str) -> list[str] | None:
     """The expression's operands and operators in postfix order, lower-cased; None if it is not valid.
 
-    The longest leading run of well-formed tokens counts; comment ends after it are ignored.
+    The longest leading run of well-formed tokens counts; comment ends and words after it are ignored.
     """
     out, stack, operand = [], [], True
-    place = 0
+    place, simple = 0, False  # simple: the last token was a licence, which an exception may follow
     while place < len(expression):
         if expression[place] in " \t":
             place += 1
@@ -66,9 +102,12 @@ def postfix(expression: str) -> list[str] | None:
         if not m:
             break
         part = m[0].lower()
+        excepted = bool(stack) and stack[-1] == "with" and operand
         if part == "(":
-            if not operand:
+            if excepted:
                 return None
+            if not operand:
+                break
             stack.append(part)
         elif part == ")":
             if operand:
@@ -78,18 +117,21 @@ def postfix(expression: str) -> list[str] | None:
             if not stack:
                 break
             stack.pop()
+            simple = False
         elif part in RANK:
-            if operand:
+            if operand or (part == "with" and not simple):
                 return None
             while stack and stack[-1] != "(" and RANK[stack[-1]] >= RANK[part]:
                 out.append(stack.pop())
             stack.append(part)
-            operand = True
+            operand, simple = True, False
         else:
             if not operand:
                 break
+            if not (is_exception(part) if excepted else is_license(part)):
+                return None
             out.append(part)
-            operand = False
+            operand, simple = False, not excepted
         place = m.end()
     if operand or "(" in stack:
         return None
@@ -98,18 +140,16 @@ def postfix(expression: str) -> list[str] | None:
 
 def evaluated(parts: list[str], allowed: frozenset = ALLOWED) -> tuple[list[str], bool]:
     """Licences named (an exception stays with its licence) and whether the allowed ones meet the expression."""
-    stack: list[tuple[frozenset, bool]] = []
+    # an exception comes behind its licence, then `with`
+    names = {f"{p} with {parts[k + 1]}" if parts[k + 2 : k + 3] == ["with"] else p for k, p in enumerate(parts) if is_license(p)}
+    stack: list[bool] = []
     for p in parts:
         if p not in RANK:
-            stack.append((frozenset({p}), p.rstrip("+") in allowed))
+            stack.append(p.removesuffix("+") in allowed)
             continue
-        (right, ok_r), (left, ok_l) = stack.pop(), stack.pop()
-        if p == "with":
-            stack.append((frozenset(f"{x} with {y}" for x in left for y in right), ok_l))
-        else:
-            stack.append((left | right, ok_l and ok_r if p == "and" else ok_l or ok_r))
-    names, ok = stack.pop()
-    return sorted(names), ok
+        right, left = stack.pop(), stack.pop()
+        stack.append(left if p == "with" else left and right if p == "and" else left or right)
+    return sorted(names), stack.pop()
 
 
 def automaton(base: dict[str, str] = BASE, more: dict[str, str] = MORE) -> ahocorasick.Automaton:

@@ -17,13 +17,22 @@ from strandline.llm.textops import ALNUM_WORD
         ("MIT or (Apache-2.0 and GPL-3.0-only)", ["apache-2.0", "gpl-3.0-only", "mit"], True),
         ("MIT AND GPL-2.0+ WITH Classpath-exception-2.0 OR ISC", ["gpl-2.0+ with classpath-exception-2.0", "isc", "mit"], True),
         ("MIT */ trailing", ["mit"], True),
+        ("MIT (see file)", ["mit"], True),
+        ("GPL-2.0 WITH llvm-exception AND GPL-2.0 OR LicenseRef-own.1", ["gpl-2.0", "gpl-2.0 with llvm-exception", "licenseref-own.1"], False),
     ],
 )
 def test_expressions(text, names, ok):
     assert licenses.evaluated(licenses.postfix(text)) == (names, ok)
 
 
-@pytest.mark.parametrize("text", ["", "AND MIT", "MIT OR", "(MIT", "MIT OR )", "( )", "WITH"])
+WIDE = " with ".join(f"(a{k} or b{k})" for k in range(40))
+GROUPS = " with ".join(["(MIT or ISC)"] * 40)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", "AND MIT", "MIT OR", "(MIT", "MIT OR )", "( )", "WITH", "see LICENSE file", "MIT with ISC", "MIT with (llvm-exception)", "MIT with llvm-exception with llvm-exception", "(MIT or ISC) with llvm-exception", "llvm-exception", WIDE, GROUPS],
+)
 def test_invalid_expressions(text):
     assert licenses.postfix(text) is None
 
@@ -31,6 +40,7 @@ def test_invalid_expressions(text):
 TEXTS = [
     None, "", "Under the MIT License. And the mit-license", "GNU General\nPublic License; gnu general public general public license", "cc by cc BY-NC", "admit license",
     "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\ncode", "SPDX-License-Identifier:", "mit licensé", "x " * 40000 + "Apache License", "ccby cc  by 4.0",
+    "SPDX-License-Identifier: see LICENSE file", f"SPDX-License-Identifier: {WIDE}", f"SPDX-License-Identifier: {' and '.join(['MIT'] * 3000)}",
 ]
 
 
@@ -45,6 +55,7 @@ def test_places_equal_plain_search(spark):
         assert r.base_labels == ",".join(sorted({p[1] for p in places}))
         assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     assert got[6].labels == "apache-2.0,bsd-3-clause,mit" and got[6].allowed and got[6].score == 1.0
+    assert [(got[k].labels, got[k].score) for k in (11, 12, 13)] == [("", 0.0), ("", 0.0), ("mit", 1.0)]
     assert got[7].labels == "" and got[4].labels == "cc-by,cc-by-nc"
 
 
