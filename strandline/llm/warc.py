@@ -6,7 +6,8 @@ with Spark's commit of tasks.  Of records with equal payloads one is a response,
 revisit it.
 
 Reading: the magic ``WARC/1.0`` is the line separator of Spark's text reader, so each row
-begins at a candidate record.  A task adds up offsets, parses the candidate's header and emits the
+begins at a candidate record.  An archive, gzip or plain, is read by one task from its start (the
+reader gets a session of its own whose scans are not split).  A task adds up offsets, parses the candidate's header and emits the
 offset where its successor must begin; a payload with the magic inside goes on over the
 rows that follow, its digest being formed as they pass.  Pointer jumping over the
 table of (file, offset, successor) marks what can be reached from the start of the file; in
@@ -148,6 +149,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     file, place, open_ = None, 0, []
     for b in batches:
         done, values = [], b.column("value")
+        if (b.column("start").to_numpy() > 0).any():
+            raise ValueError("an archive was split; offsets count from its start")
         for k, name in enumerate(b.column("file").to_pylist()):
             seg = values[k].as_py()
             if name != file:  # what stands before the first magic
@@ -162,10 +165,21 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(done)
 
 
+#: Settings of scans that read each file as a whole.
+WHOLE = {"spark.sql.files.maxPartitionBytes": str(1 << 50), "spark.sql.files.openCostInBytes": str(1 << 50)}
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place of the magic with what a record there would be; none where the file ends before the record does."""
-    text = spark.read.option("lineSep", MAGIC).text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_candidates, CANDIDATES)
+    """Every place of the magic with what a record there would be, written once; none where the file ends before the record does.
+
+    Offsets count from a file's start, so no scan may begin inside one: a plain text file would else be split."""
+    own = spark.newSession()
+    for name, value in WHOLE.items():
+        own.conf.set(name, value)
+    text = own.read.option("lineSep", MAGIC).text(path)
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
+    held = staged(rows.mapInArrow(_candidates, CANDIDATES), "candidates")
+    return spark.read.schema(held.schema).parquet(held.staged_path)
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -186,7 +200,7 @@ def reachable(found: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under path: columns of CANDIDATES."""
-    found = staged(candidates(spark, path), "candidates")
+    found = candidates(spark, path)
     return found.withColumn("f", F.xxhash64("file")).join(reachable(found), ["f", "offset"], "left_semi").select(found.columns)
 
 

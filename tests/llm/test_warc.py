@@ -43,3 +43,22 @@ def test_threshold_and_empty_table(spark):
     p = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc")], "page_id long, url string, html string")
     assert {r.record_type for r in warc.round_trip(p, least=4).collect()} == {"response"}
     assert warc.round_trip(p.where("false")).count() == 0
+
+
+def test_plain_archives_are_read_from_their_start_under_small_splits(spark, tmp_path):
+    p = spark.createDataFrame([(k, "u", f"<p>{k}</p>" * (k % 30) + (TRAP if k % 50 == 0 else "")) for k in range(700)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "plain")
+    warc.records(p).write.option("lineSep", "\r\n\r\n").text(path)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "4096")
+        found = warc.candidates(spark, path)
+        places = found.select("file", "offset").collect()
+        got = warc.read_archives(spark, path).select("page_id", "payload_bytes").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(places) == len(set(places)) > 700
+    size = lambda k: len(f"<p>{k}</p>" * (k % 30) + (TRAP if k % 50 == 0 else ""))
+    assert sorted(map(tuple, got)) == [(k, size(k)) for k in range(700)]
