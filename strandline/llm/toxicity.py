@@ -7,7 +7,9 @@ Learning, from labelled rows whose crc32(doc_id as text) modulo 5 is not 0:
    ratio test ties most to toxic documents are the features; a token of a toxic document with
    a feature of precision ``PRECISE`` or more is labelled 1, every other token 0.
 2. The field (two states, transitions, a bias and a weight per feature) is fitted by gradient
-   ascent on windows of the texts of at most ``SAMPLE`` labelled rows.
+   ascent on windows of ``WINDOW`` tokens.  The texts of at most ``SAMPLE`` labelled rows are cut
+   into windows as wholes; of the windows of toxic and of clean rows the ``SAMPLE_WINDOWS`` that stand
+   first by a hash of row and place are taken.
 3. Rows with remainder 1, at most ``SAMPLE``, calibrate the document score: a logistic
    function of the sum of the marginals, its share of the tokens and the largest one.
 
@@ -17,7 +19,7 @@ is at least 0.5.  The model (at most MOST_FEATURES weights) travels with the fun
 
 Nulls and texts without words have no marginals and get the calibrated score of that.  Labels
 with a null doc_id or toxic value teach nothing; a doc_id labelled more than once counts as
-toxic if any label says so.  Without a label of each kind the score is the smoothed share of
+toxic if any label says so, and all rows of a repeated doc_id teach.  Without a label of each kind the score is the smoothed share of
 toxic labels.  Repeated rows each get their score.
 """
 
@@ -31,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rowsets import picked, split
+from .staging import numbered, staged
 from .textops import ALNUM_FOLD, text_bytes
 
-MOST_FEATURES, SAMPLE, SAMPLE_CHARS = 5000, 2000, 3000
-BROADCAST_LABELS = 1_000_000  # labelled rows that go to every task (about 20 MB); more meet the texts in a shuffle
+MOST_FEATURES, SAMPLE, SAMPLE_WINDOWS = 5000, 2000, 6000
 HEADS = (4, 5, 6, 7, 8)
 LEAST_RATIO, PRECISE = 12.0, 0.8
 WINDOW, STEPS, RATE, PENALTY = 96, 60, 0.4, 1e-3
@@ -44,8 +47,8 @@ TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def tokens(text: bytes) -> list[str]:
-    """Runs of letters, digits and non-ASCII characters, lower-cased."""
-    return text.translate(ALNUM_FOLD).decode("utf-8", "replace").lower().split()
+    """Runs of letters, digits and non-ASCII characters (white space beyond ASCII too, as in TOKEN), lower-cased."""
+    return [w for w in text.translate(ALNUM_FOLD).decode("utf-8", "replace").lower().split(" ") if w]
 
 
 def features_of(word: str) -> list[str]:
@@ -71,6 +74,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts as windows of WINDOW tokens."""
+    for b in batches:
+        for uid, toxic, text in zip(b.column("uid").to_pylist(), b.column("toxic").to_pylist(), b.column("text"), strict=True):
+            words = tokens(text.as_py())
+            at = range(0, len(words), WINDOW)
+            for s in range(0, len(at), 1000):
+                own = at[s : s + 1000]
+                cols = [pa.array([x] * len(own), t) for x, t in ((uid, pa.int64()), (toxic, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(own, pa.int32()), pa.array([words[k : k + WINDOW] for k in own], pa.list_(pa.string()))], ["uid", "toxic", "at", "words"])
+
+
 class Field:
     """Weights of the features, bias of state 1 and transition scores [from, to]."""
 
@@ -119,13 +134,9 @@ class Field:
 
 
 def fitted(texts: list[list[str]], labels: list[list[int]], features: list[str]) -> Field:
-    """A field for token rows and their 0/1 labels, by full-batch gradient ascent on the log-likelihood."""
+    """A field for rows of at most some hundred tokens and their 0/1 labels, by full-batch gradient ascent on the log-likelihood."""
     number = {f: k for k, f in enumerate(features)}
-    rows, ys = [], []
-    for words, y in zip(texts, labels, strict=True):
-        for s in range(0, len(words), WINDOW):
-            rows.append(words[s : s + WINDOW])
-            ys.append(y[s : s + WINDOW])
+    rows, ys = [t for t in texts if t], [y for t, y in zip(texts, labels, strict=True) if t]
     if not rows:
         return Field({}, -4.0, np.zeros((2, 2)))
     longest = max(map(len, rows))
@@ -192,15 +203,16 @@ def calibrated(x: np.ndarray, y: np.ndarray, penalty: float = 0.02) -> np.ndarra
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[Field, np.ndarray]:
     """The field and the calibration from labelled rows; docs: doc_id, text; labels: doc_id, toxic."""
-    told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    side = F.broadcast(told) if told.count() <= BROADCAST_LABELS else told
-    rest = F.crc32(F.col("doc_id").cast("string")) % 5
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text")).where(rest != 0)
-    known = own.join(side, "doc_id").withColumn("fold", rest.cast("int"))
-    names = own.select("doc_id").join(side, "doc_id").distinct().withColumn("fold", rest.cast("int"))
+    docs = numbered(docs)
+    told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
+    rest = (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int")
+    rows = docs.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id")).where(rest != 0)
+    # numbers of labelled rows: narrow, so texts are never shuffled for their labels
+    marks = staged(rows.join(told, "doc_id").select("uid", "toxic", rest.alias("fold")), "marks")
+    texts = docs.select(F.col("__uid").alias("uid"), text_bytes(F.col("text")).alias("text"))
     count: dict[tuple[bool, bool], int] = {}
-    for r in names.groupBy("toxic", "fold").count().collect():
-        key = r["toxic"] > 0, r["fold"] == 1
+    for r in marks.groupBy("toxic", "fold").count().collect():
+        key = r["toxic"], r["fold"] == 1
         count[key] = count.get(key, 0) + r["count"]
     n1, n0 = count.get((True, False), 0), count.get((False, False), 0)
     every1 = n1 + count.get((True, True), 0)
@@ -208,7 +220,10 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Field, np.ndarray]:
     base = np.array([np.log((every1 + 0.5) / (every - every1 + 0.5)), 0.0, 0.0, 0.0])
     if not n1 or not n0:
         return Field({}, -4.0, np.zeros((2, 2))), base
-    counts = known.where("fold <> 1").select("text", "toxic").mapInArrow(_counted, "feature string, toxic long, clean long")
+    some = picked(texts, marks.where("fold <> 1").select("uid"), "uid")
+    toxic, clean = split(some, marks.where("toxic").select("uid"), "uid")
+    known = toxic.select("text", F.lit(True).alias("toxic")).union(clean.select("text", F.lit(False).alias("toxic")))
+    counts = known.mapInArrow(_counted, "feature string, toxic long, clean long")
     sums = counts.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where("a >= 2")
     n, m = F.col("a") + F.col("b"), float(n1 + n0)
     part = lambda x, share: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * F.lit(share)))).otherwise(0.0)
@@ -218,20 +233,20 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Field, np.ndarray]:
     features = [r["feature"] for r in best]
 
     def sample(rows: DataFrame, k: int) -> DataFrame:
-        """doc_id, text and toxic of the k rows that stand first by a hash: ids first, then their texts."""
-        ids = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(k).select("doc_id", F.col("toxic").cast("int").alias("toxic")).collect()
-        few = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "doc_id long, toxic int")
-        return own.join(F.broadcast(few), "doc_id")  # k rows
+        """uid, text and toxic of the k rows that stand first by a hash: numbers first, then their texts."""
+        first = rows.orderBy(F.xxhash64("uid"), "uid").limit(k).select("uid", F.col("toxic").cast("int").alias("toxic"))
+        few = docs.sparkSession.createDataFrame([tuple(r) for r in first.collect()], "uid long, toxic int")
+        return texts.join(F.broadcast(few), "uid").select("uid", "toxic", "text")  # k rows
 
     train = []
-    for toxic in (True, False):
-        rows = sample(names.where("fold <> 1").where(F.col("toxic") > 0 if toxic else F.col("toxic") <= 0), SAMPLE // 2)
-        train += rows.groupBy("doc_id", "toxic").agg(F.min(F.expr(f"substring(text, 1, {SAMPLE_CHARS})")).alias("text")).orderBy("doc_id").collect()
-    texts = [tokens(bytes(r["text"])) for r in train]
-    marks = [[int(r["toxic"] > 0 and any(f in precise for f in features_of(w))) for w in t] for r, t in zip(train, texts, strict=True)]
-    field = fitted(texts, marks, features)
-    held = sample(names.where("fold = 1"), SAMPLE).select("doc_id", "toxic", "text").mapInArrow(_gathered(field), "doc_id long, toxic int, total double, share double, top double")
-    x = held.groupBy("doc_id", "toxic").agg(*[F.max(c).alias(c) for c in ("total", "share", "top")]).orderBy("doc_id").collect()
+    for of in ("toxic", "not toxic"):
+        windows = sample(marks.where("fold <> 1").where(of), SAMPLE // 2).mapInArrow(_windows, "uid long, toxic int, at int, words array<string>")
+        train += windows.orderBy(F.xxhash64("uid", "at"), "uid", "at").limit(SAMPLE_WINDOWS).collect()
+    rows = [r["words"] for r in train]
+    ys = [[int(r["toxic"] > 0 and any(f in precise for f in features_of(w))) for w in r["words"]] for r in train]
+    field = fitted(rows, ys, features)
+    held = sample(marks.where("fold = 1"), SAMPLE).select("uid", "toxic", "text").mapInArrow(_gathered(field), "uid long, toxic int, total double, share double, top double")
+    x = held.orderBy("uid").collect()
     if not x or len({r["toxic"] > 0 for r in x}) < 2:
         return field, base
     return field, calibrated(np.array([[r["total"], r["share"], r["top"]] for r in x]), np.array([float(r["toxic"] > 0) for r in x]))
@@ -263,8 +278,8 @@ def _gathered(field: Field):
         for b in batches:
             for lo, texts in _runs(b.column("text")):
                 x = np.array([gathered(p) for p in _marginals(field, texts, memo)])
-                own = [b.column(c).slice(lo, len(texts)) for c in ("doc_id", "toxic")]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x[:, k]) for k in range(3))], ["doc_id", "toxic", "total", "share", "top"])
+                own = [b.column(c).slice(lo, len(texts)) for c in ("uid", "toxic")]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x[:, k]) for k in range(3))], ["uid", "toxic", "total", "share", "top"])
 
     return run
 
