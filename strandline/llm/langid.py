@@ -7,8 +7,10 @@ runner-up within ``CLOSE`` a thorough level decides.  A text whose runner-up is
 ``margin`` of the winner (as a share of its bytes) is rejected.
 
 The dictionaries are fitted on a bounded sample of labelled rows: of each language the
-``SAMPLE_ROWS`` rows that stand first by a hash of doc_id and text, ``SAMPLE_CHARS`` characters of
-each, at most ``MOST_LANGUAGES`` languages (more is an error), so the driver holds a few MB.
+``SAMPLE_ROWS`` rows that stand first by a hash of doc_id and text, of each ``SAMPLE_CHARS`` characters
+from a place that the hash picks in the whole text, at most ``MOST_LANGUAGES`` languages (more is an
+error), so the driver holds a few MB.  Dictionaries are as long as the median language allows; a
+language with less text keeps all of it, in a shorter dictionary.
 
 Nulls and texts without a letter are `und` with score 0 and rejected.  A null lang teaches nothing.
 Without any training row every prediction is `und`.  Ties go to the language with more training
@@ -42,9 +44,10 @@ def letters(text: Column) -> Column:
 
 
 def dictionaries(training: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, most: int = MOST_LANGUAGES) -> dict[str, bytes]:
-    """A dictionary of equal size for each language of training (doc_id, text, lang), the language with most rows first."""
-    known = training.where("lang is not null and text is not null").select("lang", "doc_id", "text", F.substring(letters(F.col("text")), 1, chars).alias("piece"))
-    first = known.withColumn("h", F.xxhash64("doc_id", "text")).select("lang", "doc_id", "piece", "h")
+    """A dictionary for each language of training (doc_id, text, lang), the language with most rows first."""
+    known = training.where("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("h"), letters(F.col("text")).alias("w"))
+    start = F.lit(1) + F.pmod(F.col("h"), F.greatest(F.length("w") - chars, F.lit(0)) + 1).cast("int")
+    first = known.select("lang", "doc_id", F.substr("w", start, F.lit(chars)).alias("piece"), "h")
     first = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= rows)
     texts: dict[str, list[bytes]] = {}
     for r in first.orderBy("lang", "k").collect():
@@ -53,7 +56,7 @@ def dictionaries(training: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMP
         raise ValueError(f"{len(texts)} languages; at most {most} fit the bound of the sample")
     rows_of = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()} if texts else {}
     whole = {lang: b"".join(t) for lang, t in sorted(texts.items(), key=lambda x: (-rows_of[x[0]], x[0]))}
-    size = max(1 << 13, min((len(t) for t in whole.values()), default=0))
+    size = max(1 << 13, sorted(len(t) for t in whole.values())[len(whole) // 2] if whole else 0)
     return {lang: t[:size] for lang, t in whole.items()}
 
 

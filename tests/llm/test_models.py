@@ -77,6 +77,56 @@ def test_forward_recursion_sums_all_segmentations(word):
     assert abs(pieces - known) < 1e-9
 
 
+def by_pieces(word, scores):
+    """Sum over segmentations by recursion on the first piece, without a lattice."""
+    from functools import cache
+
+    @cache
+    def rest(text):
+        if not text:
+            return 1.0
+        total = sum(math.exp(scores[text[:k]]) * rest(text[k:]) for k in range(1, len(text) + 1) if text[:k] in scores)
+        if text[0] not in scores:
+            total += math.exp(sum(scores[f"\0{b:02x}"] for b in text[0].encode())) * rest(text[1:])
+        return total
+
+    return math.log(rest("▁" + word))
+
+
+@pytest.mark.skipif(not os.path.exists(lattice.VOCABULARY), reason="no vocabulary file")
+def test_text_scores_equal_brute_force(spark):
+    """Expected counts of one round and text scores from listed segmentations alone."""
+    rng = random.Random(4)
+    words = ["the", "of", "ab", "é", "no", "zq7"]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 6)))) for k in range(30)]
+    first = lattice.vocabulary()
+    train = [t.split() for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1]
+    counts, seen = Counter(w for t in train for w in t), Counter()
+
+    def cuts(text):
+        if not text:
+            yield (), 0.0
+        for k in range(1, len(text) + 1):
+            own = [text[:k]] if text[:k] in first else [f"\0{b:02x}" for b in text[0].encode()] if k == 1 else None
+            if own:
+                for more, s in cuts(text[k:]):
+                    yield (*own, *more), s + sum(first[p] for p in own)
+
+    for w, c in counts.items():
+        every = list(cuts("▁" + w))
+        total = sum(math.exp(s) for _, s in every)
+        for pieces, s in every:
+            for p in pieces:
+                seen[p] += c * math.exp(s) / total
+    whole, prior = sum(seen.values()), max(1.0, lattice.SMOOTH * len(first))
+    scores = {p: math.log((seen[p] + prior * math.exp(s)) / (whole + prior)) for p, s in first.items()}
+    end = (len(train) + 0.5) / (sum(map(len, train)) + len(train) + 1)
+    got = {r.doc_id: r.score for r in lattice.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        want = sum(by_pieces(w, scores) for w in t.split()) + len(t.split()) * math.log1p(-end) + math.log(end)
+        assert abs(got[k] - want / math.log(10)) < 1e-6
+
+
 @pytest.mark.skipif(not os.path.exists(lattice.VOCABULARY), reason="no vocabulary file")
 @pytest.mark.parametrize("hot", [lattice.HOT, 3])
 def test_scores_equal_plain_python(spark, hot):
@@ -121,6 +171,71 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(p, one / total) if len(e) else len(p) == 0
 
 
+@pytest.mark.parametrize("text", ["good day\u00a0vile x", "a\u3000b c", "\u0085 x", "", "--", "İx é-ö", "tab\tand\x1fsep"])
+def test_tokens_stand_where_spans_say(text):
+    spans = [m.span() for m in toxicity.TOKEN.finditer(text)]
+    assert toxicity.tokens(text.encode()) == [text[a:b].lower() for a, b in spans]
+
+
+def test_windows_cover_whole_texts():
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(1000))
+    b = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([1, 0], pa.int32()), pa.array([text.encode(), b""])], ["uid", "toxic", "text"])
+    rows = [r for x in toxicity._windows(iter([b])) for r in x.to_pylist()]
+    assert [w for r in rows for w in r["words"]] == text.split() and {r["uid"] for r in rows} == {7}
+    assert all(len(r["words"]) <= toxicity.WINDOW for r in rows)
+
+
+def test_document_scores_equal_enumeration(spark):
+    """The score of a text from the learned field: all label sequences, their marginals, then the calibration."""
+    rng = random.Random(8)
+    plain, bad = [f"w{k}o" for k in range(80)], ["vile", "rottenthing"]
+    rows = [(k, " ".join(rng.choices(plain, k=rng.randint(1, 7)) + rng.choices(bad, k=2 * (k % 3 == 0)))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(400)], "doc_id long, toxic int")
+    field, w = toxicity.learned(docs, marks)
+    assert field.weights
+    text = dict(rows)
+    for r in toxicity.toxicity(docs, marks).where("doc_id < 60").collect():
+        e = field.emissions(toxicity.tokens(text[r.doc_id].encode()), {})
+        total, one = 0.0, np.zeros(len(e))
+        for y in itertools.product((0, 1), repeat=len(e)):
+            p = math.exp(sum(x for x, s in zip(e, y, strict=True) if s) + sum(field.step[a, b] for a, b in itertools.pairwise(y)))
+            total, one = total + p, one + p * np.array(y)
+        p = one / total
+        z = w @ [1.0, math.log(p.sum() + 0.05), math.log((p.sum() + 0.05) / (len(p) + 20)), p.max()]
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_labels_beyond_the_bit_sets(spark, monkeypatch):
+    rows = [(k, ("vile " if k % 2 else "kind ") + f"w{k % 9}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    run = lambda: sorted((r.doc_id, round(r.score, 9), r.predicted) for r in toxicity.toxicity(docs, marks).collect())
+    whole = run()
+    from strandline.llm import rowsets
+
+    monkeypatch.setattr(rowsets, "MOST_SETS", 0)
+    assert run() == whole
+
+
+def test_rare_language_does_not_cut_the_others(spark):
+    rng = random.Random(3)
+    makers = [language(rng, k) for k in range(3)]
+    rows = [(k, makers[k % 2](3000), f"l{k % 2}") for k in range(60)] + [(999, makers[2](5), "l2")]
+    dicts = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(dicts["l0"]) == len(dicts["l1"]) > 20000 > len(dicts["l2"]) > 0
+
+
+def test_one_language_ties_and_one_row(spark):
+    docs = spark.createDataFrame([(k, "same words here", lang) for k, lang in enumerate(["b", "a", "a", "b"] * 5)], "doc_id long, text string, lang string")
+    got = langid.predicted(docs).collect()
+    assert len({(r.lang_pred, r.score) for r in got}) == 1 and all(r.rejected and r.margin == 0 for r in got)
+    one = langid.predicted(docs.where("lang = 'a' and doc_id = 1")).collect()
+    assert [(r.lang_pred, r.score) for r in one] == [("a", 1.0)]
+
+
 def test_toxic_documents_are_found(spark):
     rng = random.Random(5)
     plain, bad = [f"w{k}o" for k in range(300)], ["vile", "rottenthing", "Scoundrel"]
