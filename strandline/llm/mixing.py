@@ -11,7 +11,9 @@
 3. The block draws of all sources are dealt to output shards of equal size: a tree halves the
    shards and draws from a multivariate hypergeometric distribution how many draws of each
    source go left.  Every node of the tree has a seed of its own, so any task can follow it.
-4. In its shard a document's place is a hash of shard, draw and document: a local shuffle.
+   There is a shard for each ``SHARD_WORDS`` words of the mix.
+4. In its shard a document's place is a hash of shard, draw and document: a local shuffle.  Rows are
+   dealt to tasks by ranges of (shard, place), so a task's rows don't depend on a shard's size.
 
 Nulls: a null text has size 0; a null source is a source of its own.  A null doc_id is like
 any other value.  Repeated rows are documents of their own; rows equal in doc_id, source and
@@ -32,8 +34,10 @@ from .textops import SPACED_WORD
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCK_ROWS, MOST_BLOCKS = 64, 4096  # rows a block where blocks are few, blocks a source where rows are many
-SHARDS, SEED = 64, 20240607
+SEED = 20240607
+SHARD_WORDS, LEAST_SHARDS = 10_000_000, 16  # words of an output shard, about; shards of a small mix
 MOST_SOURCES = 100_000
+MOST_QUOTAS = 20_000_000  # sources times shards of the splitting tree, 8 bytes each on the driver
 BROADCAST_BLOCKS = 200_000  # rows of the draws by block that go to every task; more meet the documents in a shuffle
 
 
@@ -61,7 +65,15 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return levels.select("source_key", "n_rows", "source_size", target.alias("target"))
 
 
-def quotas(draws: dict[int, int], shards: int = SHARDS, seed: int = SEED) -> dict[int, np.ndarray]:
+def shards_for(words: float, sources: int) -> int:
+    """Output shards of a mix of so many words: a power of two, doubled while shards hold over SHARD_WORDS and quotas fit."""
+    shards = LEAST_SHARDS
+    while shards * SHARD_WORDS < words and 2 * shards * max(sources, 1) <= MOST_QUOTAS:
+        shards *= 2
+    return shards
+
+
+def quotas(draws: dict[int, int], shards: int, seed: int = SEED) -> dict[int, np.ndarray]:
     """Draws of each source for each shard: {source: counts by shard}; shards differ by one draw at most.
 
     draws: {source number: block draws}.  The tree has 2 * shards nodes, each with a vector over sources.
@@ -96,9 +108,9 @@ def _key(source):
     return F.struct(source.isNull().alias("missing"), F.coalesce(source, F.lit("")).alias("name"))
 
 
-def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The columns of docs (doc_id, text, source), and for each row __size, __source_size, __target,
-    __draws: array of (pass, shard, place) for each time that the mix takes the document."""
+    __draws: array of (pass, shard, place) for each time that the mix takes the document.  shards: None for as many as shards_for says."""
     spark = docs.sparkSession
     spread = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), word_count(F.col("text")))
     sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__key", _key(F.col("source").cast("string"))).withColumn("__h", spread)
@@ -123,6 +135,8 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     lines = lined.count()
     part = lined.where("room > 0 and room < words")  # one block a source at most
     drawn = lined.groupBy("number").agg(F.sum(F.col("passes") + (F.col("room") > 0).cast("int")).cast("long").alias("draws")).collect()  # a row a source
+    if shards is None:
+        shards = shards_for(sources.agg(F.sum("target")).first()[0] or 0.0, n)
     dealt = quotas({r["number"]: r["draws"] for r in drawn}, shards, seed)
     ends = spark.createDataFrame([(s, np.cumsum(q).tolist()) for s, q in dealt.items()], "number int, ends array<long>")
     # draw p * used + turn of a source belongs to the shard whose quota it falls into
@@ -161,4 +175,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     own = [c for c in docs.columns if c not in ("mix_pass", "mix_shard")]
     out = mixture(docs, **options).withColumn("__draw", F.explode("__draws"))
     rows = out.select(*own, F.col("__draw.pass").alias("mix_pass"), F.col("__draw.shard").alias("mix_shard"), F.col("__draw.place").alias("__place"))
-    return rows.repartition("mix_shard").sortWithinPartitions("mix_shard", "__place").drop("__place")
+    return rows.repartitionByRange("mix_shard", "__place").sortWithinPartitions("mix_shard", "__place").drop("__place")

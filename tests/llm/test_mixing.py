@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandline.llm import mixing
 
@@ -59,6 +60,19 @@ def test_mix_has_a_row_for_each_take(spark):
     assert mixed.count() == sum(len(r.shards) for r in mixing.mix_digest(docs, shards=8).collect())
 
 
+def test_shards_grow_with_the_words():
+    at = [mixing.shards_for(w, 3) for w in (0, 1e7, 1e9, 1e11)]
+    assert at[0] == mixing.LEAST_SHARDS and at == sorted(at) and at[2] * mixing.SHARD_WORDS >= 1e9 and at[3] * mixing.SHARD_WORDS >= 1e11
+    assert mixing.shards_for(1e14, 100_000) * 100_000 <= mixing.MOST_QUOTAS
+
+
+def test_large_shards_spread_over_tasks(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, source string, size int, target string")
+    out = mixing.mixed(docs, shards=1).withColumn("task", F.spark_partition_id())
+    assert out.select("task").distinct().count() > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert {r.mix_shard for r in out.collect()} == {0}
+
+
 def test_splitting_tree_is_exact_and_even():
     draws = {0: 100, 1: 37, 2: 1, 3: 0}
     q = mixing.quotas(draws, shards=8, seed=1)
