@@ -10,8 +10,8 @@ Search: a neighbour at distance r moves by a normal deviate of scale r on each a
 has a chance to hold it.  A query visits buckets of a table in the order of these chances, the
 own bucket and perturbed ones, until they sum to the table's share of ``RECALL``.  Tasks
 hold the probes of a bucket and stream its vectors past them; the candidates of all tables are
-merged and ranked by exact distance in double precision.  Large buckets are split by a
-salt, their probes go to each part.  A query that finds too few is compared with all rows, in blocks.
+merged and ranked by exact distance in double precision.  The vectors and the probes of large buckets
+are both split by a salt and each part of the one meets each part of the other.  A query that finds too few is compared with all rows, in blocks.
 
 Rows with a null vec_id, with a vector that is null, zero, of another length than most, or that
 holds null or non-finite components take no part.  Rows of one vec_id count as one candidate, the
@@ -34,7 +34,8 @@ from .staging import staged
 TABLES, NEAREST, RECALL = 2, 10, 0.97
 WIDTH = 2.0  # of a cell, in deviations of a projection
 SAMPLE, PROBES = 2000, 64
-LARGE, MOST_LARGE = 4096, 50_000  # rows of a bucket that is split; such buckets at most
+LARGE, MOST_LARGE = 1024, 50_000  # vectors or probes of a bucket that is split; such buckets at most
+STEP = 512  # vectors that meet the probes of a bucket at a time
 BLOCK = 2000  # queries that meet all rows at a time
 FLUSH = 100_000  # queries whose best candidates a task holds
 SEED = 7
@@ -193,7 +194,7 @@ def _visits(k: int, d: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "bucket", "salt", "probe", "id")]
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "bucket", "salt", "probe", "id")]  # salt: part of the vectors and of the probes
             x = _matrix(b.column("v"), d)
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
             for lo, hi in zip(np.append(0, new), np.append(new, b.num_rows), strict=True):
@@ -203,7 +204,8 @@ def _visits(k: int, d: int):
                 if cols[3][lo]:
                     ids, q = np.concatenate((ids, cols[4][lo:hi])), np.concatenate((q, x[lo:hi]))
                 elif len(ids):
-                    best.add(ids, cols[4][lo:hi], distances(q, x[lo:hi]))
+                    for at in range(lo, hi, STEP):
+                        best.add(ids, cols[4][at : min(at + STEP, hi)], distances(q, x[at : min(at + STEP, hi)]))
             if len(best.held) > FLUSH:
                 yield best.rows()
         yield best.rows()
@@ -221,6 +223,13 @@ def fitted(vectors: DataFrame, n: int, k: int = NEAREST, **options) -> Index:
     return Index(sample, n, r, **options)
 
 
+def _parts(entries: DataFrame, name: str) -> DataFrame:
+    """t, bucket and the number of parts that each large bucket is split into, MOST_LARGE rows at most."""
+    large = F.greatest(F.lit(LARGE), F.lit(entries.count() // MOST_LARGE))
+    sizes = entries.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > large)
+    return sizes.select("t", "bucket", F.ceil(F.col("c") / large).cast("int").alias(name))
+
+
 def search(rows: DataFrame, is_query: Column, k: int = NEAREST, ident: str = "vec_id", vector: str = "embedding", **options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each row for which is_query (over `id`) holds."""
     spark = rows.sparkSession
@@ -232,12 +241,19 @@ def search(rows: DataFrame, is_query: Column, k: int = NEAREST, ident: str = "ve
     index = fitted(vectors, n, k, **options)
     d = index.a.shape[2]
     entries = staged(vectors.mapInArrow(_entries(index, False), ENTRIES), "entries")
-    large = max(LARGE, index.tables * n // MOST_LARGE)
-    sizes = entries.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > large)
-    parts = F.broadcast(sizes.select("t", "bucket", F.ceil(F.col("c") / large).cast("int").alias("parts")))  # MOST_LARGE rows at most
-    salted = entries.join(parts, ["t", "bucket"], "left").withColumn("salt", F.coalesce(F.expr("cast(pmod(xxhash64(id), parts) as int)"), F.lit(0)))
-    probes = queries.mapInArrow(_entries(index, True), ENTRIES).join(parts, ["t", "bucket"], "left")
-    probes = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    probed = staged(queries.mapInArrow(_entries(index, True), ENTRIES), "probes")
+    parts = _parts(entries, "parts").join(_parts(probed, "blocks"), ["t", "bucket"], "full")
+    parts = F.broadcast(staged(parts.na.fill(1, ["parts", "blocks"]), "parts"))  # 2 * MOST_LARGE rows at most
+    own, other = F.expr("cast(pmod(xxhash64(id), own) as int)"), F.explode(F.sequence(F.lit(0), F.col("other") - 1))
+
+    def dealt(rows: DataFrame, mine: str, theirs: str) -> DataFrame:
+        """rows with the part of their own kind and a copy for each part of the other kind."""
+        known = rows.join(parts, ["t", "bucket"], "left").withColumn("own", F.coalesce(mine, F.lit(1))).withColumn("other", F.coalesce(theirs, F.lit(1)))
+        return known.withColumn("mine", own).withColumn("theirs", other)
+
+    salted = dealt(entries, "parts", "blocks").withColumn("salt", F.struct(F.col("mine").alias("i"), F.col("theirs").alias("j")))
+    probes = dealt(probed, "blocks", "parts").withColumn("salt", F.struct(F.col("theirs").alias("i"), F.col("mine").alias("j")))
+    salted, probes = (x.withColumn("salt", F.expr("shiftleft(cast(salt.i as bigint), 32) + salt.j")) for x in (salted, probes))
     cols = ["t", "bucket", "salt", "probe", "id", "v"]
     met = salted.select(cols).union(probes.select(cols)).repartition("t", "bucket", "salt")
     found = met.sortWithinPartitions("t", "bucket", "salt", F.desc("probe")).mapInArrow(_visits(k, d), FOUND)

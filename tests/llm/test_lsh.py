@@ -37,6 +37,19 @@ def test_recall_and_scores(spark):
     assert [i for i, _ in (got[0][k] for k in range(1, 11))] == list(range(1700, 1710))
 
 
+def test_split_buckets_give_the_same_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((900, 8)).astype(np.float32)
+    x[:500] = x[0]  # one vector holds more than half of all rows, and most queries
+    ids, every = np.arange(900), F.col("id") % 3 == 0
+    run = lambda: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in lsh.search(frame(spark, ids, x), every).collect())
+    whole = run()
+    for name, value in (("LARGE", 20), ("STEP", 7)):
+        monkeypatch.setattr(lsh, name, value)
+    assert run() == whole and len(whole) == 3000
+    assert [r[2] for r in whole if r[0] == 3] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
+
+
 def test_odd_rows_and_small_tables(spark):
     rows = [(0, [1.0, 0.0], 1), (100, [0.0, 1.0], 1), (1, [1.0, 1.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [float("nan"), 1.0], 1), (5, [None, 1.0], 1), (6, [1.0], 1), (None, [1.0, 2.0], 1), (7, [float("inf"), 0.0], 1), (1, [1.0, 1.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int")
