@@ -11,9 +11,13 @@ The job runs in these steps, each a Spark stage over narrow rows:
 4. Short lists give their pairs, long lists the pairs of each member with the first one.
 5. The union of two sketches estimates the likeness; pairs far below the limit are dropped.
    The rest is confirmed on the full sets of both texts, and confirmed links are joined up.
-6. A long list whose members have all met in one component is done.  The others are cut into
-   blocks of bounded size, and each pair of blocks is a task that compares all full sets in
-   numpy and gives a forest of links, so no pair is skipped and few rows are made.
+6. A long list whose members have all met in one component is done.  The members of the others
+   get inverted lists anew, of the rarest quarter of their full sets: two sets as alike as 0.75
+   share a value there, without a chance of error, while a notice that many documents hold is
+   outside it unless it is three quarters of them.  Steps 4 and 5 run again over these lists.
+7. What is left are documents that mostly consist of what a dozen other, unlike ones hold.  They are dealt
+   by size, as sets of unlike sizes are unlike, and in blocks of bounded size; each pair of
+   blocks is a task that compares all full sets in numpy and gives a forest of links.
 
 Nulls: a null text is an empty text; empty texts have no shingles and no links.  A null
 doc_id takes part like any other and never is a component's name unless all of its ids are null.
@@ -29,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .skew import with_counts
+from .components import components, joined
+from .rowsets import picked
+from .skew import looked_up, with_counts
 from .staging import numbered, scratch, staged
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
@@ -38,7 +43,7 @@ SHINGLE, PERCENT, SKETCH = 5, 75, 64
 SHARE = 0.42  # of a sketch; 27 of 64, over six deviations under the expected 48
 ESTIMATE = 0.48  # five deviations under 0.75 for 64 values
 SHORT = 12  # members of a list that gives all its pairs
-BROADCAST_IDS = 1_000_000  # classes whose texts are asked for by a broadcast; more meet the texts in a shuffle
+FEW = 2000  # documents in long lists that meet block by block at once, which gives the same links
 BLOCK_SHINGLES, BLOCK_DOCS = 200_000, 800  # of a block of members, about
 
 
@@ -145,12 +150,6 @@ def _one(text: bytes, size: int) -> np.ndarray:
     return _sets(np.array([0, len(text)], np.int64), np.frombuffer(text, np.uint8), size)[1]
 
 
-def narrowed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts (cid, text) whose cid is among ids (cid), so that no other text is shuffled."""
-    ids = ids.distinct()
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "cid", "left_semi")
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are alike enough; texts: cid, text."""
     side = lambda x: texts.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}"))
@@ -158,11 +157,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(size, percent), "a long, b long")
 
 
-def _keys(reps: DataFrame, share: float) -> DataFrame:
-    """(v, cid, n): entries of the inverted lists, for each class its rarest retained values."""
-    entries = reps.select("cid", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
+def _keys(entries: DataFrame, least: str) -> DataFrame:
+    """(v, cid, n): entries of the inverted lists, for each class the rarest values of its set that can't all be
+    missed by a set like it.
+
+    entries: cid, n, held (values of the class) and v, a row a value; least: how many of `held` values such a set shares."""
     common = with_counts(entries, "v", "df").groupBy("cid", "n", "held").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    room = F.expr(f"held - cast(floor({share} * held) as int) + 1 - (held - size(vs))")
+    room = F.expr(f"held - cast({least} as int) + 1 - (held - size(vs))")
     return (
         common.withColumn("room", room)
         .where("room > 0")
@@ -171,6 +172,22 @@ def _keys(reps: DataFrame, share: float) -> DataFrame:
     )
 
 
+def _values(size: int):
+    """A row for each value of the full set of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cid = b.column("cid").to_numpy()
+            for lo, hi, offsets, data in chunks(b.column("text")):
+                doc, value = _sets(offsets, data, size)
+                n = np.bincount(doc, minlength=hi - lo).astype(np.int32)
+                for s in range(0, len(doc), 100_000):
+                    d = doc[s : s + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[lo:hi][d]), pa.array(n[d]), pa.array(value[s : s + 100_000])], ["cid", "held", "v"])
+
+    return run
+
+
 def _block_links(size: int, percent: int):
     """Links within a group of two blocks, from all pairs of full sets; a forest of them is enough."""
 
@@ -223,28 +240,27 @@ def _block_links(size: int, percent: int):
     return run
 
 
-def _apart_links(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _block_pairs(rest: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links among members of long lists that hold several components.
 
-    Lists that share members are one group.  A group is cut into blocks of bounded size by a hash;
-    each pair of blocks is a task of its own that compares full sets, so nothing is estimated.
+    Lists that share members are one group, which is dealt by the size of its sets: a band of sizes
+    meets itself and the next one.  A band is cut into blocks of bounded size by a hash; each pair
+    of blocks is a task of its own that compares full sets, so nothing is estimated.
     """
-    pivot = rest.groupBy("v").agg(F.min("cid").alias("b"))
-    groups = components(rest.join(pivot, "v").select(F.col("cid").alias("a"), "b").distinct())
+    groups = components(rest.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct())
+    band = F.floor(F.log("n") / np.log(100 / percent)).cast("int")
     members = rest.select("cid", "n", "label").distinct().join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid")
-    sizes = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("k"))
+    members = staged(members.withColumn("band", F.explode(F.array(band, band - 1))), "members")
+    sizes = members.groupBy("g", "band").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)).cast("int").alias("k"))
     mine = F.expr("cast(pmod(xxhash64(cid), k) as int)")
-    spread = members.join(sizes, "g").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = spread.select("g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "label").join(texts, "cid")
+    spread = looked_up(members, sizes, ["g", "band"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    key = F.xxhash64("g", "band").alias("g")
+    dealt = spread.select(key, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "label").join(texts, "cid")
     return dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_block_links(size, percent), "a long, b long")
 
 
-def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
-    """Components over classes: (node, label) for each class with a link to another.
-
-    reps: cid, n, sketch of each class; texts: cid and text of its representative, and of others.
-    """
-    keys = staged(_keys(reps, share), "lists")
+def _met(keys: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to look at: all of short lists, each member with the first one in long lists; and the entries of long lists."""
     listed = staged(with_counts(keys, "v", "c", F.min("cid").alias("pivot")), "listed")
     short = listed.where(f"c <= {SHORT}").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("m"))
     pairs = (
@@ -256,16 +272,41 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
     )
     long = listed.where(f"c > {SHORT}")
     first = long.where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
-    likely = staged(estimated(pairs.union(first).distinct(), reps, percent, k, ESTIMATE), "likely")
-    wanted = narrowed(texts, likely.select(F.col("a").alias("cid")).union(likely.select("b")))
-    found = staged(confirmed(likely, wanted, size, percent), "found")
-    labels = components(found)
+    return pairs.union(first).distinct(), long
+
+
+def _apart(long: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of long lists whose members are in several components, with their labels."""
     active = long.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    split = active.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    rest = staged(active.select("v", "cid", "n", "label").join(split, "v", "left_semi"), "rest")
+    active = staged(active.select("v", "cid", "n", "pivot", "label"), "active")
+    split = active.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v", F.lit(True).alias("apart"))
+    return staged(looked_up(active, split, "v").where("apart").drop("apart"), "rest")
+
+
+def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
+    """Components over classes: (node, label) for each class with a link to another.
+
+    reps: cid, n, sketch of each class; texts: cid and text of its representative, and of others.
+    """
+    entries = reps.select("cid", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
+    pairs, long = _met(staged(_keys(entries, f"floor({share} * held)"), "lists"), percent)
+    likely = staged(estimated(pairs, reps, percent, k, ESTIMATE), "likely")
+    found = staged(confirmed(likely, picked(texts, likely.select(F.explode(F.array("a", "b")).alias("id")), "cid"), size, percent), "found")
+    labels = components(found)
+    rest = _apart(long, labels)
+    if not rest.limit(1).count():
+        return labels
+    own = staged(picked(texts, rest.select("cid"), "cid"), "texts")
+    if own.count() <= FEW:
+        return joined(labels, staged(_block_pairs(rest, own, size, percent), "found"))
+    values = staged(own.mapInArrow(_values(size), "cid long, held int, v long"), "values")
+    pairs, long = _met(staged(_keys(values.withColumn("n", F.col("held").cast("long")), f"ceil({percent} * cast(held as long) / 100)"), "lists"), percent)
+    more = staged(confirmed(pairs, own, size, percent), "found")
+    labels = joined(labels, more)
+    rest = _apart(long, labels)
     if not rest.limit(1).count():
         return labels
-    return components(found.union(staged(_apart_links(rest, narrowed(texts, rest.select("cid")), size, percent), "found")))
+    return joined(labels, staged(_block_pairs(rest, picked(own, rest.select("cid"), "cid"), size, percent), "found"))
 
 
 def _labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
@@ -278,12 +319,11 @@ def _labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: i
     with scratch(docs.sparkSession) as kept:
         labels = links(reps.select("cid", "n", "sketch"), texts, size, percent, k, share)
         kept.append(labels)
-    named = reps.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = staged(reps.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid")).drop("sketch"), "named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = named.select("d1", "d2", "n", "label").join(least, "label").select("d1", "d2", "n", "label", "component_id")
+    classes = looked_up(named.select("d1", "d2", "n", "label"), least, "label")
     return (
-        own.select("uid", "doc_id", "n", "d1", "d2")
-        .join(classes, ["d1", "d2", "n"], "left")
+        looked_up(own.select("uid", "doc_id", "n", "d1", "d2"), classes, ["d1", "d2", "n"])
         .select(
             "uid",
             "doc_id",
@@ -312,4 +352,4 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
         # kept rows of a component all have its least id
         found = staged(rows.groupBy(*by).agg(F.min("uid").alias("uid")), "kept")
         kept.append(found)
-    return docs.join(found.select(F.col("uid").alias("__uid")), "__uid", "left_semi").drop("__uid")
+    return picked(docs, found.select("uid"), "__uid").drop("__uid")

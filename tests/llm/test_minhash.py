@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import minhash
@@ -15,7 +16,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(rows):
+def brute(rows, percent=75):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -26,7 +27,7 @@ def brute(rows):
 
     for a, b in itertools.combinations(range(len(rows)), 2):
         common = len(sets[a] & sets[b])
-        if sets[a] and sets[b] and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+        if sets[a] and sets[b] and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     least = {}
@@ -99,3 +100,21 @@ def test_unlike_rows_of_one_id_all_stay(spark):
     kept = minhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
     assert got == sorted([(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (None, ""), (None, ""), (8, "")], key=str)
+
+
+@pytest.mark.parametrize(("few", "short", "docs", "percent"), [(0, 2, 3, 75), (0, 2, 800, 75), (0, 12, 800, 60)])
+def test_lists_of_full_sets_and_blocks_equal_brute_force(spark, monkeypatch, few, short, docs, percent):
+    """A notice that makes up from half to all of many documents, and near copies among these."""
+    for name, value in (("FEW", few), ("SHORT", short), ("BLOCK_DOCS", docs)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(6)
+    words, rows = [f"w{k}" for k in range(5000)], []
+    notice = " ".join(rng.choices(words, k=60))
+    for k in range(70):
+        own = rng.choices(words, k=rng.choice([3, 8, 11, 14, 18, 25, 60]))
+        rows.append((k, f"{notice} {' '.join(own)}"))
+        if k % 3 == 0:
+            own[rng.randrange(len(own))] = "other"
+            rows.append((500 + k, f"{notice} {' '.join(own)}"))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent, share=0.42 if percent == 75 else 0.25).collect()), key=str)
+    assert got == brute(rows, percent)
