@@ -36,7 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rowsets import split
 from .skew import with_counts
+from .spans import merged
 from .staging import dropped, numbered, staged
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
@@ -263,13 +265,7 @@ def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     met = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_copies(least, key), FOUND)
     met = staged(met, "matches")
     both = met.where("window is null").select("uid", "lo", "hi", "other", "again").union(_met(met, least))
-    merged = F.expr(
-        """aggregate(array_sort(collect_list(struct(lo, hi, other))), cast(array() as array<struct<lo:bigint,hi:bigint,other:bigint>>),
-           (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).hi >= x.lo,
-                          concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).lo as lo, greatest(element_at(acc, -1).hi, x.hi) as hi, element_at(acc, -1).other as other))),
-                          concat(acc, array(x))))"""
-    )
-    out = both.groupBy("uid", "again").agg(merged.alias("m")).select("uid", "again", F.explode("m").alias("m")).select("uid", "again", "m.lo", "m.hi", "m.other")
+    out = merged(both, ["uid", "again"], "other")
     out = staged(out, "passages")
     dropped(spark, places, met)
     return out
@@ -288,12 +284,14 @@ def repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
 def without_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """docs with later copies of passages cut from `text`, with the white space after them; rows that lose all their words go."""
     columns, docs = docs.columns, numbered(docs)
-    again = passages(docs, least, key).where("again").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__cut"))
-    rows = docs.join(again.withColumnRenamed("uid", "__uid"), "__uid", "left")
+    again = staged(passages(docs, least, key).where("again").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__cut")), "cuts")
+    # only texts with a cut are shuffled
+    some, rest = split(docs, again.select("uid"), "__uid")
+    rows = some.join(again.withColumnRenamed("uid", "__uid"), "__uid")
     # a word with the white space after it; no expression over the whole text may stand inside the filter
     space = r"[\x20\x09-\x0D]"
-    rows = rows.withColumn("__words", F.when(F.col("__cut").isNotNull(), F.regexp_extract_all(F.col("text"), F.lit(rf"[^\x20\x09-\x0D]+{space}*"), F.lit(0))))
+    rows = rows.withColumn("__words", F.regexp_extract_all(F.col("text"), F.lit(rf"[^\x20\x09-\x0D]+{space}*"), F.lit(0)))
     ahead = F.regexp_extract("text", rf"^{space}*", 0)
     kept = F.concat(ahead, F.array_join(F.expr("filter(__words, (w, j) -> not exists(__cut, s -> j >= s.lo and j < s.hi))"), ""))
-    text = rows.withColumn("__kept", F.when(F.col("__cut").isNotNull(), kept).otherwise(F.col("text")))
-    return text.where(F.col("__cut").isNull() | F.regexp_like(F.col("__kept"), F.lit(r"[^\x20\x09-\x0D]"))).withColumn("text", F.col("__kept")).select(*columns)
+    some = rows.withColumn("text", kept).where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
+    return some.select(*columns).union(rest.select(*columns))
