@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rowsets import split
+from .spans import merged
 from .staging import numbered, scratch, staged
 from .textops import ALNUM_WORD, folded
 
 WINDOW = 10
 BROADCAST_GRAMS = 200_000
-MOST_BITS = 1 << 21
+MOST_BITS = 1 << 24  # 2 MB; 64 bits for each of up to 262,144 windows
 NO_ITEMS = "array<string>"
 
 
@@ -102,13 +104,10 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_gram
     places = staged(candidates(docs, lengths, _bit_set(windows, bits)), "places")
     few = F.broadcast(grams) if size <= broadcast_grams else grams
     met = places.where("size(places) > 0").select("uid", F.explode("places").alias("p")).select("uid", "p.*").join(few, ["length", "gram"])
-    merged = F.expr(
-        """aggregate(array_sort(collect_list(struct(at, at + length as end))), cast(array() as array<struct<lo:int,hi:int>>),
-           (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).hi >= x.at,
-                          concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).lo as lo, greatest(element_at(acc, -1).hi, x.end) as hi))),
-                          concat(acc, array(struct(x.at as lo, x.end as hi)))))"""
-    )
-    by_doc = met.groupBy("uid").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    met = staged(met.select("uid", F.col("at").alias("lo"), (F.col("at") + F.col("length")).alias("hi"), "items"), "met")
+    spans = merged(met.select("uid", "lo", "hi"), ["uid"]).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
+    own = met.select("uid", F.explode("items").alias("item")).groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    by_doc = spans.join(own, "uid")
     return places.select("uid", "doc_id", "n_words").join(by_doc, "uid", "left")
 
 
@@ -133,12 +132,13 @@ def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadc
         spans = hits(docs, items, window, broadcast_grams).where("spans is not null")
         found = staged(spans.select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"), F.col("n_words").alias("__n")), "spans")
         kept.append(found)
-    rows = docs.join(found, "__uid", "left")
+    # only texts with hits are shuffled
+    some, rest = split(docs, found.select("__uid"), "__uid")
+    rows = some.join(found, "__uid")
     separator, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     # a word with what follows it; no expression over the whole text may stand inside the filter
     units = F.regexp_extract_all(F.col("text"), F.lit(f"{word}+{separator}*"), F.lit(0))
     ahead = F.regexp_extract("text", f"^{separator}*", 0)
     clean = F.concat(ahead, F.array_join(F.expr("filter(__words, (w, j) -> not exists(__spans, s -> j >= s.lo and j < s.hi))"), ""))
-    left = F.expr("__spans is null or aggregate(__spans, 0, (s, x) -> s + x.hi - x.lo) < __n")
-    cut = rows.where(left).withColumn("__words", F.when(F.col("__spans").isNotNull(), units))
-    return cut.withColumn("text", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col("text"))).select(*columns)
+    cut = rows.where("aggregate(__spans, 0, (s, x) -> s + x.hi - x.lo) < __n").withColumn("__words", units)
+    return cut.withColumn("text", clean).select(*columns).union(rest.select(*columns))
