@@ -24,10 +24,11 @@ Empty tables give empty results.  All choices are hashes with a seed: reruns agr
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import local_table, staged
 from .textops import SPACED_WORD
 
 #: Fixed values of the mix: weights by rank, share of all words, most passes over a source.
@@ -138,7 +139,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     if shards is None:
         shards = shards_for(sources.agg(F.sum("target")).first()[0] or 0.0, n)
     dealt = quotas({r["number"]: r["draws"] for r in drawn}, shards, seed)
-    ends = spark.createDataFrame([(s, np.cumsum(q).tolist()) for s, q in dealt.items()], "number int, ends array<long>")
+    ends = local_table(spark, {"number": pa.array(list(dealt), pa.int32()), "ends": pa.array([np.cumsum(q) for q in dealt.values()], pa.list_(pa.int64()))})
     # draw p * used + turn of a source belongs to the shard whose quota it falls into
     shard = lambda p: F.expr(f"size(filter(ends, e -> e <= {p} * used + turn))")
     lined = lined.join(F.broadcast(ends), "number")  # as many rows as sources

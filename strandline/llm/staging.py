@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,11 @@ def steady(df: DataFrame) -> DataFrame:
     return df if query.analyzed().deterministic() and all(n.startswith(STEADY) for n in nodes) else staged(df, "rows")
 
 
+def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A few rows of the driver, sent by Arrow: a list of tuples would start Python workers to take it apart."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """df with a number `__uid` of each row, from its file (in order of paths) and its place in the file.
 
@@ -111,7 +117,7 @@ def numbered(df: DataFrame) -> DataFrame:
     df = steady(df)
     rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     paths = sorted(r[0] for r in rows.select("__file").distinct().collect())  # a row for each file
-    files = df.sparkSession.createDataFrame([(p, k << 40) for k, p in enumerate(paths)], "__file string, __base long")
+    files = local_table(df.sparkSession, {"__file": pa.array(paths, pa.string()), "__base": pa.array([k << 40 for k in range(len(paths))], pa.int64())})
     return rows.join(F.broadcast(files), "__file").select(*df.columns, (F.col("__base") + F.col("__row")).alias("__uid"))
 
 

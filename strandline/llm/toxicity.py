@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rowsets import picked, split
-from .staging import numbered, staged
+from .staging import local_table, numbered, staged
 from .textops import ALNUM_FOLD, text_bytes
 
 MOST_FEATURES, SAMPLE, SAMPLE_WINDOWS = 5000, 2000, 6000
@@ -235,7 +235,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[Field, np.ndarray]:
     def sample(rows: DataFrame, k: int) -> DataFrame:
         """uid, text and toxic of the k rows that stand first by a hash: numbers first, then their texts."""
         first = rows.orderBy(F.xxhash64("uid"), "uid").limit(k).select("uid", F.col("toxic").cast("int").alias("toxic"))
-        few = docs.sparkSession.createDataFrame([tuple(r) for r in first.collect()], "uid long, toxic int")
+        got = first.collect()
+        few = local_table(docs.sparkSession, {"uid": pa.array([r["uid"] for r in got], pa.int64()), "toxic": pa.array([r["toxic"] for r in got], pa.int32())})
         return texts.join(F.broadcast(few), "uid").select("uid", "toxic", "text")  # k rows
 
     train = []
