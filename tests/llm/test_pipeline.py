@@ -35,3 +35,16 @@ def test_pipeline(spark, tmp_path):
     mix = corpus_pipeline.run(spark, str(tmp_path))
     assert mix.columns == [*corpus_pipeline.COLUMNS, "mix_pass", "mix_shard"]
     assert {r.doc_id for r in mix.collect()} <= set(left)
+
+
+def test_pipeline_over_empty_tables_and_repeated_ids(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(2)
+    make = language(rng, 0)
+    rows = [(7, make(60), "l0", "s", 0) for _ in range(6)] + [(None, make(40), "l0", None, 0) for _ in range(3)] + [(7, None, None, None, None)]
+    for name, table, items in (("none", [], []), ("no-items", rows, []), ("repeated", rows, [(1, None), (None, "zz yy")])):
+        spark.createDataFrame(table, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        # unlike texts of one id are documents of their own; rows without a text go
+        assert {r.text for r in out} <= {r[1] for r in table if r[1]} and (not table or out)
