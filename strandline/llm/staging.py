@@ -57,12 +57,12 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(c, v)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes the rows once and reads them back, so that later jobs and lost executors do not
-    repeat the work and row numbers given before stay as they are."""
+    repeat the work and row numbers given before stay as they are.  options: of the parquet writer."""
     path = fresh_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
