@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, langid, lattice, licenses, lsh, minhash, mixing, suffix_dedup, toxicity, warc
+from . import alignment, decontam, langid, lattice, licenses, lsh, minhash, mixing, ranking, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_table(spark, sf_dir, "documents")).select(columns)
 
 
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_lattice": op1_lattice,
     "op2_toxicity": op2_toxicity,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash": op10_minhash,
     "op11_alignment": op11_alignment,
+    "op13_ranking": op13_ranking,
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,5 +122,24 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN c USING (u) LEFT JOIN m USING (u)
 """
 
+_OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS u, doc_id,
+    regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+q AS (
+  SELECT DISTINCT u, item_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS u, * FROM benchmark WHERE text IS NOT NULL)),
+p AS (
+  SELECT u, doc_id, n, term, count(*) AS tf FROM (SELECT u, doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY u, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+r AS (
+  SELECT q.u, q.item_id, p.doc_id, CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (100 - 50 + (50 * p.n * s.n) // s.l)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY q.u, q.item_id, p.u, p.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY u ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM r
+WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY u ORDER BY score DESC, doc_id NULLS LAST) <= 50
+"""
+
 #: The others train models, draw at random or follow chains of links; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_warc": _OP4, "op8_decontamination": _OP8}
+ORACLE_SQL: dict[str, str] = {"op4_warc": _OP4, "op8_decontamination": _OP8, "op13_ranking": _OP13}
