@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, langid, lattice, licenses, lsh, minhash, mixing, ranking, suffix_dedup, toxicity, warc
+from . import alignment, decontam, langid, lattice, licenses, lsh, minhash, mixing, quality, ranking, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(_table(spark, sf_dir, "documents")).select(columns)
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_minhash": op10_minhash,
     "op11_alignment": op11_alignment,
+    "op12_quality": op12_quality,
     "op13_ranking": op13_ranking,
 }
 
