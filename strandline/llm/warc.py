@@ -6,14 +6,19 @@ with Spark's commit of tasks.  Of records with equal payloads one is a response,
 revisit it.
 
 Reading: the magic ``WARC/1.0`` is the line separator of Spark's text reader, so each row
-begins at a candidate record.  An archive, gzip or plain, is read by one task from its start (the
-reader gets a session of its own whose scans are not split).  A task adds up offsets, parses the candidate's header and emits the
-offset where its successor must begin; a payload with the magic inside goes on over the
-rows that follow, its digest being formed as they pass.  Pointer jumping over the
+begins at a candidate record.  An archive is read by one task from its start, in one linear pass with a
+bounded state (the reader gets a session of its own whose scans are not split; gzip can't be split anyway, and
+the writer's files are bounded by Spark's partitions).  The task adds up offsets and emits for every candidate,
+from its header alone, the offset where its successor must begin.  Headers that go on over the
+magics that follow are parsed once, from their common end backwards.  Pointer jumping over the
 table of (file, offset, successor) marks what can be reached from the start of the file; in
 each round the marked records mark their targets and every pointer doubles its reach.
 Candidates that are not reached stood inside payloads and are left out.
 
+Digests need a payload's bytes in order, so they are formed in the same pass, of one candidate at a time: one
+whose magic stands inside the block of another such candidate has none.  Every reached record has one,
+as the first is at the start of the file and the block of each ends before its successor begins.
+
 Nulls: a null html is an empty payload, a null url an empty URI.  A null page_id is written
 as `null` and comes back as null; it is the response only if all equal payloads have null
 ids.  Rows that repeat the page_id and payload of a response are responses too.
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +39,6 @@ from pyspark.sql import functions as F
 from .staging import dropped, fresh_path, staged
 
 LEAST_BYTES = 0
-RECORDS_PER_FILE = 1000
 BROADCAST_ROWS = 100_000
 MAGIC = "WARC/1.0\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -77,92 +82,147 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes the pages as WARC files (gzip) of at most per_file records."""
+def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES, per_file: int = 0) -> None:
+    """Writes the pages as WARC files (gzip), one for each of Spark's partitions, whose bytes its settings bound; per_file: of at most so many records, if not 0."""
     records(pages, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 HEADER_BYTES = 1 << 16  # a longer header makes no record
+END = b"\r\n\r\n"
+#: The named fields of a record that are read.
+FIELDS = (b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-target-uri", b"warc-payload-digest", b"content-length")
+
+CANDIDATES = (
+    "file string, offset long, next long, record_type string, page_id long, refers_to long, uri string, payload_bytes long, payload_digest string"
+)
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+
+
+def fields_of(head: bytes) -> dict[bytes, bytes]:
+    """The FIELDS among the lines of a header; of repeated ones the last."""
+    pairs = (x.partition(b":") for x in head.split(b"\r\n"))
+    return {k: v.strip() for name, _, v in pairs if (k := name.strip().lower()) in FIELDS}
+
 
+def _number(value: bytes) -> int | None:
+    value = value.removeprefix(b"<urn:page:").removesuffix(b">")
+    return int(value) if value.removeprefix(b"-").isdigit() else None
 
-class _Open:
-    """A candidate whose header or block has not ended yet."""
 
-    def __init__(self, offset: int, seg: bytes):
-        self.offset, self.head, self.fields, self.need, self.dead = offset, b"", None, 0, False
-        self.http, self.held, self.size, self.sha = None, b"", 0, hashlib.sha1()
-        self.add(seg)
+class _Block:
+    """The block of a candidate as it passes: size and digest of what follows its HTTP header."""
 
-    @property
-    def ended(self) -> bool:
-        return self.dead or (self.fields is not None and not self.need)
+    def __init__(self, row: list, need: int):
+        self.row, self.need, self.http, self.held, self.size, self.sha = row, need, None, bytearray(), 0, hashlib.sha1()
 
     def add(self, part: bytes) -> None:
-        if self.fields is None:
-            self.head += part
-            head, found, part = self.head.partition(b"\r\n\r\n")
-            if not found:
-                self.dead = len(self.head) > HEADER_BYTES
-                return
-            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n") if b": " in x)
-            length = fields.get(b"Content-Length", b"")
-            if not length.isdigit() or len(length) > 18:
-                self.dead = True
-                return
-            self.fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in fields.items()}
-            self.need, self.head = int(length), b""
-            self.next = self.offset + len(MAGIC) + len(head) + 4 + self.need + 4
         part = part[: self.need]
         self.need -= len(part)
         if self.http is None:
+            seen = max(len(self.held) - len(END) + 1, 0)
             self.held += part
-            head, found, rest = self.held.partition(b"\r\n\r\n")
-            if not found and self.need and len(self.held) <= HEADER_BYTES:
+            at = self.held.find(END, seen)
+            if at < 0 and self.need and len(self.held) <= HEADER_BYTES:
                 return
             # a block without an HTTP header is all payload
-            self.http, part, self.held = (head, rest, b"") if found else (b"", self.held, b"")
+            self.http, part = (bytes(self.held[:at]), bytes(self.held[at + len(END) :])) if at >= 0 else (b"", bytes(self.held))
         self.size += len(part)
         self.sha.update(part)
 
-    def row(self, file: str) -> tuple:
-        kind = self.fields.get("warc-type", "")
-        size, digest = self.size, base64.b32encode(self.sha.digest()).decode()
-        if kind == "revisit":  # its payload is that of the record it refers to
+    def done(self, digest: bytes) -> list:
+        """The candidate's row; the payload of a revisit is that of the record it refers to."""
+        size, own = self.size, base64.b32encode(self.sha.digest()).decode()
+        if self.row[3] == "revisit":
             stated = [x.split(b":")[1].strip() for x in (self.http or b"").split(b"\r\n") if x.lower().startswith(b"content-length:")]
             size = int(stated[0]) if stated and stated[0].isdigit() else 0
-            digest = self.fields.get("warc-payload-digest", "").removeprefix("sha1:")
-        number = lambda v: int(v) if (v := v.removeprefix("<urn:page:").removesuffix(">")).lstrip("-").isdigit() else None
-        return (file, self.offset, self.next, kind, number(self.fields.get("warc-record-id", "")), number(self.fields.get("warc-refers-to", "")), self.fields.get("warc-target-uri"), size, digest)
-
-
-CANDIDATES = (
-    "file string, offset long, next long, record_type string, page_id long, refers_to long, uri string, payload_bytes long, payload_digest string"
-)
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            own = digest.decode("utf-8", "replace").removeprefix("sha1:")
+        return [*self.row, size, own]
+
+
+class Archive:
+    """One pass over an archive, given as what stands before the first magic and behind each."""
+
+    def __init__(self, file: str, place: int):
+        self.file, self.place = file, place
+        self.held, self.start, self.heads = bytearray(), 0, deque()  # bytes from the first open header on, their offset, and the offsets of open candidates
+        self.seen = 0  # bytes of held in which no header ends
+        self.block, self.digest, self.free = None, b"", 0  # free: where the last such block ends
+
+    def add(self, seg: bytes) -> Iterator[list]:
+        """Rows of the candidates whose headers or blocks end in a segment, which a magic stands before."""
+        if self.block is not None:
+            yield from self._passed(MAGIC.encode() + seg)
+        if self.heads:
+            self.held += MAGIC.encode()
+        else:
+            self.held, self.start, self.seen = bytearray(), self.place + len(MAGIC), 0
+        self.heads.append(self.place)
+        self.held += seg
+        self.place += len(MAGIC) + len(seg)
+        while self.heads:
+            first = self.heads[0] + len(MAGIC) - self.start
+            at = self.held.find(END, max(first, self.seen - len(END) + 1))
+            ends = at if at >= 0 else len(self.held)
+            while self.heads and ends - (self.heads[0] + len(MAGIC) - self.start) > HEADER_BYTES:
+                self.heads.popleft()  # too long
+            if at < 0:
+                self.seen = len(self.held)
+                break
+            yield from self._headed(at)
+        if not self.heads:
+            self.held, self.seen = bytearray(), 0
+        elif (gone := self.heads[0] + len(MAGIC) - self.start) > HEADER_BYTES:
+            del self.held[:gone]
+            self.start, self.seen = self.start + gone, max(self.seen - gone, 0)
+
+    def _headed(self, at: int) -> Iterator[list]:
+        """Candidates whose header ends at that place of `held`: of lines that several share, each looks at them once."""
+        own = []
+        while self.heads and self.heads[0] + len(MAGIC) - self.start <= at:
+            own.append(self.heads.popleft())
+        fields, to, rows = {}, at, []
+        for offset in reversed(own):
+            lo = offset + len(MAGIC) - self.start
+            fields = fields_of(bytes(self.held[lo:to])) | fields
+            to = lo
+            length = fields.get(b"content-length", b"")
+            if length.isdigit() and len(length) <= 18:
+                rows.append((offset, int(length), fields))
+        block_at = self.start + at + len(END)
+        for offset, length, fields in reversed(rows):
+            text = lambda c: fields.get(c, b"").decode("utf-8", "replace")  # noqa: E731, B023
+            row = [self.file, offset, block_at + length + len(END), text(b"warc-type"), _number(fields.get(b"warc-record-id", b"")), _number(fields.get(b"warc-refers-to", b"")), text(b"warc-target-uri") if b"warc-target-uri" in fields else None]
+            if offset >= self.free:
+                self.free = block_at + length
+                self.block, self.digest = _Block(row, length), fields.get(b"warc-payload-digest", b"")
+                yield from self._passed(bytes(self.held[at + len(END) :]))
+            else:
+                yield [*row, None, None]
+
+    def _passed(self, part: bytes) -> Iterator[list]:
+        self.block.add(part)
+        if not self.block.need:
+            yield self.block.done(self.digest)
+            self.block = None
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(done: list[tuple]) -> pa.RecordBatch:
-        cols = zip(*done, strict=True) if done else [[]] * len(_TYPES)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], [c.split()[0] for c in CANDIDATES.split(", ")])
-
-    file, place, open_ = None, 0, []
+    names = [c.split()[0] for c in CANDIDATES.split(", ")]
+    archive = None
     for b in batches:
         done, values = [], b.column("value")
         if (b.column("start").to_numpy() > 0).any():
             raise ValueError("an archive was split; offsets count from its start")
         for k, name in enumerate(b.column("file").to_pylist()):
             seg = values[k].as_py()
-            if name != file:  # what stands before the first magic
-                file, place, open_ = name, len(seg), []
-                continue
-            for c in open_:
-                c.add(MAGIC.encode() + seg)
-            open_.append(_Open(place, seg))
-            done += [c.row(file) for c in open_ if c.ended and not c.dead]
-            open_ = [c for c in open_ if not c.ended]
-            place += len(MAGIC) + len(seg)
-        yield rows(done)
+            if archive is None or name != archive.file:  # what stands before the first magic
+                archive = Archive(name, len(seg))
+            else:
+                done += archive.add(seg)
+            if len(done) >= 10_000 or k == len(values) - 1:
+                cols = zip(*done, strict=True) if done else [[]] * len(_TYPES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names)
+                done = []
 
 
 #: Settings of scans that read each file as a whole.
@@ -170,7 +230,7 @@ WHOLE = {"spark.sql.files.maxPartitionBytes": str(1 << 50), "spark.sql.files.ope
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place of the magic with what a record there would be, written once; none where the file ends before the record does.
+    """Every place of the magic with what a record there would be, written once; size and digest of those that no other such record holds and that end before the file does.
 
     Offsets count from a file's start, so no scan may begin inside one: a plain text file would else be split."""
     own = spark.newSession()
@@ -201,7 +261,8 @@ def reachable(found: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under path: columns of CANDIDATES."""
     found = candidates(spark, path)
-    return found.withColumn("f", F.xxhash64("file")).join(reachable(found), ["f", "offset"], "left_semi").select(found.columns)
+    whole = found.where("payload_digest is not null")  # a reached record without one ends after its file does
+    return whole.withColumn("f", F.xxhash64("file")).join(reachable(found), ["f", "offset"], "left_semi").select(found.columns)
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
