@@ -4,11 +4,18 @@ One Aho-Corasick automaton over the folded words of a text finds notice phrases
 of the tag ``SPDX-License-Identifier``.  What follows a tag is parsed by a shunting-yard parser
 (``with`` binds before ``and``, ``and`` before ``or``) and evaluated: the result names the
 licences, and whether a policy of allowed licences can be met.  ``with`` stands between one
-licence and one exception.  Names are those of ``LICENSES`` and ``EXCEPTIONS`` (``+`` may follow a
-licence) and ``LicenseRef-...``, ``DocumentRef-...:LicenseRef-...``, ``AdditionRef-...``.
+licence and one exception.
+
+Names of licences are identifiers that end in a version (and ``-only``, ``-or-later`` or a variant), such as
+every versioned one of the public list, those of ``UNVERSIONED`` or of a list of one's own, and
+``LicenseRef-...``, ``DocumentRef-...:LicenseRef-...``; ``+`` may follow.  Names of exceptions hold the word
+exception, or are among ``EXCEPTIONS`` or ``AdditionRef-...``.  Punctuation and comment ends behind a name do not
+belong to it.  Other names are unknown: they give no label and meet no policy, but the known names of their
+expression count.
 
 Nulls and empty texts have no words and no finds.  An expression ends before the first word that
-can't go on with it; a tag without a valid expression, or with an unknown name, gives no label.  Repeated rows each get their own result.  Other columns are ignored.
+can't go on with it; a tag without a valid expression, or with unknown names alone, gives no label.
+Repeated rows each get their own result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,30 +53,24 @@ MORE = {
     "creative commons attribution": "cc-by",
     "public domain dedication": "public-domain",
 }
-#: Identifiers of licences, in lower case.
-LICENSES = frozenset(
-    """
-    0bsd afl-3.0 agpl-1.0 agpl-1.0-only agpl-1.0-or-later agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.0 apache-1.1 apache-2.0 apsl-2.0
-    artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0
-    busl-1.1 bzip2-1.0.6 cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0 cc-by-nd-4.0
-    cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cecill-b cecill-c cpal-1.0 cpl-1.0 curl ecl-2.0 efl-2.0 epl-1.0 epl-2.0
-    eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.1-only gfdl-1.1-or-later gfdl-1.2-only gfdl-1.2-or-later gfdl-1.3-only gfdl-1.3-or-later gpl-1.0 gpl-1.0-only
-    gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg intel ipl-1.0 isc json lgpl-2.0
-    lgpl-2.0-only lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later libpng libpng-2.0 libtiff
-    lppl-1.3c mit mit-0 mit-cmu mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa ntp odbl-1.0 odc-by-1.0 ofl-1.0
-    ofl-1.1 openssl osl-3.0 pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 python-2.0.1 qpl-1.0 ruby sgi-b-2.0 sleepycat sspl-1.0 tcl
-    unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1
-    """.split()
-)
-#: Identifiers of exceptions, in lower case.
-EXCEPTIONS = frozenset(
+#: Identifiers of licences without a version, in lower case.
+UNVERSIONED = frozenset(
     """
-    autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 ecos-exception-2.0 font-exception-2.0
-    gcc-exception-2.0 gcc-exception-3.1 gpl-3.0-linking-exception gpl-cc-1.0 gstreamer-exception-2008 libtool-exception linux-syscall-note
-    llvm-exception ocaml-lgpl-linking-exception openjdk-assembly-exception-1.0 openssl-exception qt-gpl-exception-1.0 swift-exception
-    universal-foss-exception-1.0 wxwindows-exception-3.1
+    0bsd aal abstyles adobe-glyph adsl afmparse aladdin amdplpa aml ampas antlr-pd apafml app-s2p bahyph barr beerware blessing
+    bsd-protection bsd-source-code caldera checkmk clartistic crossword crystalstacker cube curl diffmark doc dotseqn dsdp dvipdfm
+    egenix entessa eudatagrid eurosym fair freeimage fsfap fsful fsfullr ftl giftware gl2ps glide glulxe gnuplot hpnd htmltidy ibm-pibs icu ijg imagemagick
+    imatix info-zip intel intel-acpi isc jasper json latex2e leptonica libpng libtiff linux-openib makeindex mirot mit mit-advertising mit-cmu mit-enna
+    mit-feh mit-festival mit-modern-variant mitnfa motosoto mpich2 ms-lpl ms-pl ms-rl mtll mup naumen ncsa net-snmp netcdf newsletr ngpl nist-pd nlpl
+    noweb nrl ntp ogtsl oml openssl parity pil plexus postgresql psfrag psutils qhull rdisc ruby saxpath scea sendmail sgp4 sissl sleepycat smlnj smppl snia
+    ssh-openssh ssh-short swl tapr-ohl tcl tcp-wrappers tmate tosl unlicense vim vostrom w3c wsuipa wtfpl x11 xerox xinetd xnet xpp xskat
+    zed zlib zlib-acknowledgement
     """.split()
 )
+#: Identifiers of exceptions that don't say so, in lower case.
+EXCEPTIONS = frozenset("bootloader-exception gpl-cc-1.0 gstreamer-exception-2005 linux-syscall-note qwt-exception-1.0 u-boot-exception-2.0".split())
+LONGEST = 100  # characters of a name
+#: A name, a version and what may follow it: mit-0, mpl-2.0-no-copyleft-exception, cc-by-nc-sa-3.0-de, bsd-3-clause-clear, unicode-dfs-2016.
+VERSIONED = re.compile(r"[a-z][a-z0-9_.]*(-[a-z0-9_.]+)*?-v?\d+(\.\d+)*[a-z]?(-[a-z0-9.]+)*|(python|unicode|bzip2)-\d[\d.]*")
 REFERENCE = re.compile(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 ADDITION = re.compile(r"(documentref-[a-z0-9.-]+:)?additionref-[a-z0-9.-]+")
 TAG = "spdx license identifier"
@@ -79,16 +80,19 @@ TAG_IN_TEXT = re.compile(rb"spdx[-_ ]license[-_ ]identifier\s*:?[ \t]*([^\r\n]*)
 PART = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
-def is_license(name: str) -> bool:
-    return name.removesuffix("+") in LICENSES or REFERENCE.fullmatch(name) is not None
+def is_exception(name: str) -> bool:
+    return name in EXCEPTIONS or "exception" in name.split("-") or ADDITION.fullmatch(name) is not None
 
 
-def is_exception(name: str) -> bool:
-    return name in EXCEPTIONS or ADDITION.fullmatch(name) is not None
+def is_license(name: str, own: frozenset = UNVERSIONED) -> bool:
+    name = name.removesuffix("+")
+    if len(name) > LONGEST:
+        return False
+    return name in own or REFERENCE.fullmatch(name) is not None or (VERSIONED.fullmatch(name) is not None and name not in EXCEPTIONS and (not is_exception(name) or "no" in name.split("-")))
 
 
 def postfix(expression: str) -> list[str] | None:
-    """The expression's operands and operators in postfix order, lower-cased; None if it is not valid.
+    """The expression's operands and operators in postfix order, lower-cased; None if it is not valid or names no known licence.
 
     The longest leading run of well-formed tokens counts; comment ends and words after it are ignored.
     """
@@ -101,7 +105,7 @@ def postfix(expression: str) -> list[str] | None:
         m = PART.match(expression, place)
         if not m:
             break
-        part = m[0].lower()
+        part = m[0].lower().rstrip(".:-")  # an end of a sentence or comment
         excepted = bool(stack) and stack[-1] == "with" and operand
         if part == "(":
             if excepted:
@@ -128,12 +132,12 @@ def postfix(expression: str) -> list[str] | None:
         else:
             if not operand:
                 break
-            if not (is_exception(part) if excepted else is_license(part)):
+            if is_exception(part) != excepted and (excepted or not is_license(part)):
                 return None
             out.append(part)
             operand, simple = False, not excepted
-        place = m.end()
-    if operand or "(" in stack:
+        place = m.start() + len(part)
+    if operand or "(" in stack or not any(map(is_license, out)):
         return None
     return out + stack[::-1]
 

@@ -18,6 +18,18 @@ from strandline.llm.textops import ALNUM_WORD
         ("MIT AND GPL-2.0+ WITH Classpath-exception-2.0 OR ISC", ["gpl-2.0+ with classpath-exception-2.0", "isc", "mit"], True),
         ("MIT */ trailing", ["mit"], True),
         ("MIT (see file)", ["mit"], True),
+        ("MIT-->", ["mit"], True),
+        ("Apache-2.0.", ["apache-2.0"], True),
+        ("MIT: see file", ["mit"], True),
+        ("GPL-2.0+.", ["gpl-2.0+"], False),
+        ("(MIT OR ISC)-->", ["isc", "mit"], True),
+        ("EUDatagrid", ["eudatagrid"], False),
+        ("Zend-2.0 OR ZPL-2.1", ["zend-2.0", "zpl-2.1"], False),
+        ("CC-BY-NC-SA-3.0-DE and MPL-2.0-no-copyleft-exception and BSD-3-Clause-Clear", ["bsd-3-clause-clear", "cc-by-nc-sa-3.0-de", "mpl-2.0-no-copyleft-exception"], False),
+        ("MIT OR Foo", ["mit"], True),
+        ("Foo AND MIT", ["mit"], False),
+        ("GPL-2.0-only WITH Linux-syscall-note", ["gpl-2.0-only with linux-syscall-note"], False),
+        ("GPL-3.0 with GCC-exception-3.1 or own-thing", ["gpl-3.0 with gcc-exception-3.1"], False),
         ("GPL-2.0 WITH llvm-exception AND GPL-2.0 OR LicenseRef-own.1", ["gpl-2.0", "gpl-2.0 with llvm-exception", "licenseref-own.1"], False),
     ],
 )
@@ -31,7 +43,7 @@ GROUPS = " with ".join(["(MIT or ISC)"] * 40)
 
 @pytest.mark.parametrize(
     "text",
-    ["", "AND MIT", "MIT OR", "(MIT", "MIT OR )", "( )", "WITH", "see LICENSE file", "MIT with ISC", "MIT with (llvm-exception)", "MIT with llvm-exception with llvm-exception", "(MIT or ISC) with llvm-exception", "llvm-exception", WIDE, GROUPS],
+    ["", "AND MIT", "MIT OR", "(MIT", "MIT OR )", "( )", "WITH", "see LICENSE file", "MIT with ISC", "MIT with (llvm-exception)", "MIT with llvm-exception with llvm-exception", "(MIT or ISC) with llvm-exception", "llvm-exception", "Foo", "Foo or Bar", "MIT with Foo", "...", "-->", WIDE, GROUPS],
 )
 def test_invalid_expressions(text):
     assert licenses.postfix(text) is None
@@ -61,3 +73,8 @@ def test_places_equal_plain_search(spark):
 
 def test_empty_table(spark):
     assert licenses.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("end", "label"), [("MIT-->", "mit"), ("MIT -->", "mit"), ("Apache-2.0.", "apache-2.0"), ("MIT:", "mit"), ("ISC */", "isc"), ("0BSD#}", "0bsd"), ("MIT, see", "mit"), ("MIT;", "mit"), ('MIT"', "mit")])
+def test_ends_of_tags(end, label):
+    assert licenses.scanned(f"<!-- SPDX-License-Identifier: {end}".encode(), licenses.automaton())[5:7] == (label, 1.0)
