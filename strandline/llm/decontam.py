@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .rowsets import split
 from .spans import merged
-from .staging import numbered, scratch, staged
+from .skew import looked_up
+from .staging import numbered, scratch, staged, texts_of
 from .textops import ALNUM_WORD, folded
 
 WINDOW = 10
@@ -73,8 +74,7 @@ def candidates(docs: DataFrame, lengths: list[int], bit_words: list[int]) -> Dat
     bits = 64 * len(bit_words)
     held = F.split(F.lit(",".join(map(str, bit_words))), ",").cast("array<bigint>")
     w = F.col("w")
-    uid = F.col("__uid") if "__uid" in docs.columns else F.monotonically_increasing_id()  # written with its places
-    base = docs.select(uid.alias("uid"), F.col("doc_id"), words(F.col("text")).alias("w"))
+    base = docs.select("uid", "doc_id", words(F.col("text")).alias("w"))
 
     found = None
     for length in lengths:
@@ -92,53 +92,60 @@ def candidates(docs: DataFrame, lengths: list[int], bit_words: list[int]) -> Dat
     return base.select("uid", "doc_id", F.size("w").cast("long").alias("n_words"), found.alias("places"))
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
-    """For every row of docs: uid, doc_id, n_words, spans (disjoint [lo, hi) of hit words), items (sorted ids)."""
+def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_grams: int = BROADCAST_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """For every row of docs (uid, doc_id, text): uid, doc_id, n_words, spans (disjoint [lo, hi) of hit words) and found, the number of a set of items; and the sets: found, items (sorted ids).
+
+    Documents with the same windows share a set, so a window that many items and many documents hold costs
+    their sum, not their product."""
     windows = staged(item_windows(items, window), "windows")
-    grams = windows.groupBy("length", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    grams = staged(windows.groupBy("length", "gram").agg(F.count(F.lit(1)).alias("c")).select("length", "gram", F.monotonically_increasing_id().alias("g")), "grams")
     size = grams.count()
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most `window` rows
     bits = 1 << 14
     while bits < min(64 * size, MOST_BITS):
         bits *= 2
     places = staged(candidates(docs, lengths, _bit_set(windows, bits)), "places")
-    few = F.broadcast(grams) if size <= broadcast_grams else grams
-    met = places.where("size(places) > 0").select("uid", F.explode("places").alias("p")).select("uid", "p.*").join(few, ["length", "gram"])
-    met = staged(met.select("uid", F.col("at").alias("lo"), (F.col("at") + F.col("length")).alias("hi"), "items"), "met")
+    some = places.where("size(places) > 0").select("uid", F.explode("places").alias("p")).select("uid", "p.*")
+    if size <= broadcast_grams:
+        met = some.join(F.broadcast(grams), ["length", "gram"])
+    else:
+        met = looked_up(staged(some, "some"), grams, ["length", "gram"]).where("g is not null")
+    met = staged(met.select("uid", F.col("at").alias("lo"), (F.col("at") + F.col("length")).alias("hi"), "g"), "met")
     spans = merged(met.select("uid", "lo", "hi"), ["uid"]).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    own = met.select("uid", F.explode("items").alias("item")).groupBy("uid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    by_doc = spans.join(own, "uid")
-    return places.select("uid", "doc_id", "n_words").join(by_doc, "uid", "left")
+    own = met.groupBy("uid").agg(F.array_sort(F.collect_set("g")).alias("gs"))
+    own = staged(own.select("uid", "gs", F.sha2(F.array_join(F.col("gs").cast("array<string>"), ","), 256).alias("found")), "sets")
+    distinct = own.groupBy("found").agg(F.first("gs").alias("gs")).select("found", F.explode("gs").alias("g"))
+    of = windows.join(grams, ["length", "gram"]).select("g", "item").distinct()
+    sets = distinct.join(of, "g").groupBy("found").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    by_doc = spans.join(own.select("uid", "found"), "uid")
+    return places.select("uid", "doc_id", "n_words").join(by_doc, "uid", "left"), staged(sets, "items")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every row of docs."""
-    ids = F.coalesce("items", F.array().cast(NO_ITEMS))
+    texts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")  # read once, and written with its places
+    found, sets = hits(texts, items, window, broadcast_grams)
+    digests = sets.select("found", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     n_hit = F.coalesce(F.expr("aggregate(spans, 0L, (s, x) -> s + x.hi - x.lo)"), F.lit(0).cast("long"))
-    return hits(docs, items, window, broadcast_grams).select(
-        "doc_id",
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-        (n_hit > 0).alias("contaminated"),
-    )
+    some = looked_up(staged(found.where("found is not null").select("doc_id", "n_words", n_hit.alias("n_hit"), "found"), "hit"), digests, "found")
+    rest = found.where("found is null").select("doc_id", "n_words", n_hit.alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit("").cast("binary"), 256).alias("items_sha256"))
+    return some.select(rest.columns).union(rest).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def without_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """docs with hit words and what follows them up to the next word cut from `text`; rows that lose all words go, rows that had none stay."""
-    columns, docs = docs.columns, numbered(docs)
+    every = numbered(docs)
     with scratch(docs.sparkSession) as kept:
-        spans = hits(docs, items, window, broadcast_grams).where("spans is not null")
-        found = staged(spans.select(F.col("uid").alias("__uid"), F.col("spans").alias("__spans"), F.col("n_words").alias("__n")), "spans")
+        spans = hits(texts_of(every), items, window, broadcast_grams)[0].where("spans is not null")
+        found = staged(spans.select("uid", "spans", "n_words"), "spans")
         kept.append(found)
     # only texts with hits are shuffled
-    some, rest = split(docs, found.select("__uid"), "__uid")
-    rows = some.join(found, "__uid")
+    some, rest = split(every, found.select("uid"), "uid")
+    rows = some.join(found, "uid")
     separator, word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     # a word with what follows it; no expression over the whole text may stand inside the filter
-    units = F.regexp_extract_all(F.col("text"), F.lit(f"{word}+{separator}*"), F.lit(0))
-    ahead = F.regexp_extract("text", f"^{separator}*", 0)
-    clean = F.concat(ahead, F.array_join(F.expr("filter(__words, (w, j) -> not exists(__spans, s -> j >= s.lo and j < s.hi))"), ""))
-    cut = rows.where("aggregate(__spans, 0, (s, x) -> s + x.hi - x.lo) < __n").withColumn("__words", units)
-    return cut.withColumn("text", clean).select(*columns).union(rest.select(*columns))
+    units = F.regexp_extract_all(F.col("row.text"), F.lit(f"{word}+{separator}*"), F.lit(0))
+    ahead = F.regexp_extract("row.text", f"^{separator}*", 0)
+    clean = F.concat(ahead, F.array_join(F.expr("filter(words, (w, j) -> not exists(spans, s -> j >= s.lo and j < s.hi))"), ""))
+    cut = rows.where("aggregate(spans, 0, (s, x) -> s + x.hi - x.lo) < n_words").withColumn("words", units)
+    return cut.select(F.col("row").withField("text", clean).alias("row")).select("row.*").union(rest.select("row.*"))

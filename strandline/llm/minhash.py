@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .components import components, joined
 from .rowsets import picked
 from .skew import looked_up, with_counts
-from .staging import numbered, scratch, staged
+from .staging import numbered, scratch, staged, texts_of
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
 SHINGLE, PERCENT, SKETCH = 5, 75, 64
@@ -99,18 +99,10 @@ def _sketch(size: int, k: int):
     return run
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    """A number for every row; the same on each pass."""
-    return numbered(docs).select(F.col("__uid").alias("uid"), "doc_id", "text")
-
-
-def sketches(docs: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """uid, doc_id, n (size of the set), d1 and d2 (its name), sketch (its k least hashes)."""
-    return (
-        with_uid(docs)
-        .select("uid", F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
-        .mapInArrow(_sketch(size, k), "uid long, doc_id long, n long, d1 long, d2 long, sketch array<long>")
-    )
+def sketches(texts: DataFrame, size: int = SHINGLE, k: int = SKETCH) -> DataFrame:
+    """uid, doc_id, n (size of the set), d1 and d2 (its name), sketch (its k least hashes) of texts (uid, doc_id, text)."""
+    own = texts.select("uid", F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
+    return own.mapInArrow(_sketch(size, k), "uid long, doc_id long, n long, d1 long, d2 long, sketch array<long>")
 
 
 def _near_in_size(percent: int):
@@ -309,13 +301,13 @@ def links(reps: DataFrame, texts: DataFrame, size: int = SHINGLE, percent: int =
     return joined(labels, staged(_block_pairs(rest, picked(own, rest.select("cid"), "cid"), size, percent), "found"))
 
 
-def _labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
-    """near_duplicates with label, the row number that stands for the component; null without shingles."""
-    docs = numbered(docs)
+def _labelled(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: int = SKETCH, share: float = SHARE) -> DataFrame:
+    """near_duplicates of numbered rows, with label, the row number that stands for the component; null without shingles."""
+    docs = texts_of(rows)
     own = staged(sketches(docs, size, k), "sketches")
     some = own.where("n > 0")
     reps = staged(some.groupBy("d1", "d2", "n").agg(F.min("uid").alias("cid"), F.min_by("sketch", "uid").alias("sketch"), F.min("doc_id").alias("least")), "classes")
-    texts = with_uid(docs).select(F.col("uid").alias("cid"), text_bytes(F.col("text")).alias("text"))
+    texts = docs.select(F.col("uid").alias("cid"), text_bytes(F.col("text")).alias("text"))
     with scratch(docs.sparkSession) as kept:
         labels = links(reps.select("cid", "n", "sketch"), texts, size, percent, k, share)
         kept.append(labels)
@@ -337,19 +329,19 @@ def _labelled(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, k: i
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """uid, doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text)."""
-    return _labelled(docs, **options).drop("label")
+    return _labelled(numbered(docs), **options).drop("label")
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without those that repeat an earlier document; of each component the row with least (doc_id, uid) stays, null ids last.
 
     Rows without shingles have no links: of those with one doc_id one stays, and all with a null one."""
-    docs = numbered(docs)
+    every = numbered(docs)
     with scratch(docs.sparkSession) as kept:
-        rows = _labelled(docs, **options).where("kept")
+        rows = _labelled(every, **options).where("kept")
         alone = F.col("label").isNull()
         by = [F.coalesce("label", F.when(F.col("doc_id").isNull(), F.col("uid"))).alias("label"), F.when(alone, F.col("doc_id")).alias("own")]
         # kept rows of a component all have its least id
         found = staged(rows.groupBy(*by).agg(F.min("uid").alias("uid")), "kept")
         kept.append(found)
-    return picked(docs, found.select("uid"), "__uid").drop("__uid")
+    return picked(every, found.select("uid"), "uid").select("row.*")

@@ -110,12 +110,13 @@ def _key(source):
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, shards: int | None = None, seed: int = SEED) -> DataFrame:
-    """The columns of docs (doc_id, text, source), and for each row __size, __source_size, __target,
-    __draws: array of (pass, shard, place) for each time that the mix takes the document.  shards: None for as many as shards_for says."""
+    """row, a struct of the columns of docs (doc_id, text, source), and for each row size, source_size, target,
+    draws: array of (pass, shard, place) for each time that the mix takes the document.  shards: None for as many as shards_for says."""
     spark = docs.sparkSession
     spread = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), word_count(F.col("text")))
-    sized = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__key", _key(F.col("source").cast("string"))).withColumn("__h", spread)
-    narrow = sized.select(F.col("__key").alias("source_key"), F.col("__size").alias("size"), F.col("__h").alias("h"))
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])  # so that no name of docs meets one of these
+    sized = docs.select(row.alias("row"), word_count(F.col("text")).alias("size"), _key(F.col("source").cast("string")).alias("key"), spread.alias("h"))
+    narrow = sized.select(F.col("key").alias("source_key"), F.col("size").alias("size"), F.col("h").alias("h"))
     sources = targets(narrow.groupBy("source_key").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size")), weights, share, most)
     blocks = F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("n_rows") / BLOCK_ROWS))).cast("int")
     sources = staged(sources.withColumn("number", F.row_number().over(Window.orderBy("source_key")) - 1).withColumn("blocks", blocks), "sources")
@@ -154,26 +155,26 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     last = inner.groupBy("source_key", "block").agg(F.max("h").alias("upto_h"))
     lined = lined.join(last, ["source_key", "block"], "left")
     lined = lined.withColumn("until", F.expr("case when rest is null then null when room >= words then 9223372036854775807 else upto_h end"))
-    out = sized.join(few.select(F.col("source_key").alias("__key"), F.col("blocks").alias("__blocks")), "__key").withColumn("__block", F.pmod("__h", F.col("__blocks")).cast("int"))
-    plan = lined.select(F.col("source_key").alias("__key"), F.col("block").alias("__block"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("rest").alias("__rest"), F.col("until").alias("__until"))
+    out = sized.join(few.select(F.col("source_key").alias("key"), F.col("blocks").alias("blocks")), "key").withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
+    plan = lined.select(F.col("source_key").alias("key"), F.col("block").alias("block"), F.col("source_size").alias("source_size"), F.col("target").alias("target"), F.col("whole").alias("whole"), F.col("rest").alias("rest"), F.col("until").alias("until"))
     if lines <= BROADCAST_BLOCKS:
         plan = F.broadcast(plan)  # so texts are shuffled only on their way to the output shards
-    out = out.join(plan, ["__key", "__block"])
-    taken = F.expr("if(__until is not null and __h <= __until, array_append(__whole, __rest), __whole)")
-    draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), d["shard"], d["pass"], F.col("__h")).alias("place")))
-    return out.withColumn("__draws", draws).select(*[F.col(f"`{c}`") for c in docs.columns], "__size", "__source_size", "__target", "__draws")
+    out = out.join(plan, ["key", "block"])
+    taken = F.expr("if(until is not null and h <= until, array_append(whole, rest), whole)")
+    draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed), d["shard"], d["pass"], F.col("h")).alias("place")))
+    return out.withColumn("draws", draws).select("row", "size", "source_size", "target", "draws")
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs; shards: where its copies go."""
     out = mixture(docs.select("doc_id", "text", "source"), **options)
-    taken = (F.col("__size") * F.size("__draws")).alias("taken")
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken, F.col("__draws.shard").alias("shards"))
+    taken = (F.col("size") * F.size("draws")).alias("taken")
+    return out.select("row.doc_id", "size", "source_size", "target", taken, F.col("draws.shard").alias("shards"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix: a row of docs for each time that it is taken, with mix_pass and mix_shard (which replace columns of that name), each shard in its shuffled order."""
-    own = [c for c in docs.columns if c not in ("mix_pass", "mix_shard")]
-    out = mixture(docs, **options).withColumn("__draw", F.explode("__draws"))
-    rows = out.select(*own, F.col("__draw.pass").alias("mix_pass"), F.col("__draw.shard").alias("mix_shard"), F.col("__draw.place").alias("__place"))
-    return rows.repartitionByRange("mix_shard", "__place").sortWithinPartitions("mix_shard", "__place").drop("__place")
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("mix_pass", "mix_shard")]
+    rows = mixture(docs, **options).select("row", F.explode("draws").alias("draw"))
+    rows = rows.repartitionByRange("draw.shard", "draw.place").sortWithinPartitions("draw.shard", "draw.place")
+    return rows.select(*own, F.col("draw.pass").alias("mix_pass"), F.col("draw.shard").alias("mix_shard"))

@@ -92,15 +92,23 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
 
 
 #: Plan nodes over a scan of parquet files that leave each row its file and place.
-STEADY = ("FileScan parquet", "Project", "Filter", "ColumnarToRow")
+STEADY = ("FileSourceScanExec", "ProjectExec", "FilterExec", "ColumnarToRowExec")
+
+
+def _nodes(plan) -> Iterator:
+    yield plan
+    below = plan.children()
+    for k in range(below.size()):
+        yield from _nodes(below.apply(k))
 
 
 def steady(df: DataFrame) -> DataFrame:
     """df if it only scans parquet files and projects, the same on each pass, so that a row has a file and a place in it; else its rows, written once."""
     query = df._jdf.queryExecution()
-    lines = query.sparkPlan().toString().splitlines()
-    nodes = [line.lstrip(" :+-*()0123456789") for line in lines if line.strip()]
-    return df if query.analyzed().deterministic() and all(n.startswith(STEADY) for n in nodes) else staged(df, "rows")
+    own = [(n, n.getClass().getSimpleName()) for n in _nodes(query.sparkPlan())]
+    scans = [n for n, kind in own if kind == "FileSourceScanExec"]
+    fine = query.analyzed().deterministic() and all(kind in STEADY for _, kind in own) and len(scans) == 1 and scans[0].relation().fileFormat().toString() == "Parquet"
+    return df if fine else staged(df, "rows")
 
 
 def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
@@ -108,17 +116,30 @@ def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with a number `__uid` of each row, from its file (in order of paths) and its place in the file.
+MOST_FILES = 1 << 18  # whose paths the driver numbers; 16 bytes each travel to all tasks
+
+
+def numbered(df: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """row, a struct of all columns of df, whatever their names, and uid, its number: from its file (in order of paths) and its place in the file.
 
-    How a scan is split depends on the cores of that moment; file and place don't."""
-    if "__uid" in df.columns:
-        return df
+    How a scan is split depends on the cores of that moment; file and place don't.  Tables of more than `most` files
+    are written once with their numbers."""
     df = steady(df)
-    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    paths = sorted(r[0] for r in rows.select("__file").distinct().collect())  # a row for each file
-    files = local_table(df.sparkSession, {"__file": pa.array(paths, pa.string()), "__base": pa.array([k << 40 for k in range(len(paths))], pa.int64())})
-    return rows.join(F.broadcast(files), "__file").select(*df.columns, (F.col("__base") + F.col("__row")).alias("__uid"))
+    meta = df.metadataColumn("_metadata")  # also where df has a column of that name
+    path = meta["file_path"]
+    files = df.select(path.alias("path")).distinct().select("path", F.xxhash64("path").alias("file")).limit(most + 1).collect()
+    row = F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")
+    if len(files) > most or len({f["file"] for f in files}) < len(files):
+        return staged(df.select(row, F.monotonically_increasing_id().alias("uid")), "rows")
+    base = {f["file"]: k << 40 for k, f in enumerate(sorted(files, key=lambda f: f["path"]))}
+    known = local_table(df.sparkSession, {"file": pa.array(list(base), pa.int64()), "base": pa.array(list(base.values()), pa.int64())})
+    rows = df.select(row, F.xxhash64(path).alias("file"), meta["row_index"].alias("place"))
+    return rows.join(F.broadcast(known), "file").select("row", (F.col("base") + F.col("place")).alias("uid"))
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """uid, doc_id and text of numbered rows."""
+    return rows.select("uid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
 
 
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:

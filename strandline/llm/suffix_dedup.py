@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .rowsets import split
 from .skew import with_counts
 from .spans import merged
-from .staging import dropped, numbered, staged
+from .staging import dropped, numbered, staged, texts_of
 from .textops import chunks, grams, mix, powers, text_bytes, words_of
 
 LEAST, KEY = 50, 25
@@ -252,11 +252,11 @@ def _met(found: DataFrame, least: int) -> DataFrame:
     return rows.where(again | later).select("uid", "lo", "hi", F.when(again, F.col("first.uid")).otherwise(F.col("last.uid")).alias("other"), again.alias("again"))
 
 
-def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
-    """uid, again, lo, hi, other: disjoint regions [lo, hi) of words of each row of docs that
+def passages(texts: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
+    """uid, again, lo, hi, other: disjoint regions [lo, hi) of words of each of texts (uid, text) that
     stand elsewhere too; again: an earlier copy exists.  other: uid of one other copy."""
-    spark, docs = docs.sparkSession, numbered(docs)
-    rows = docs.select(F.col("__uid").alias("uid"), text_bytes(F.col("text")).alias("text"))
+    spark = texts.sparkSession
+    rows = texts.select("uid", text_bytes(F.col("text")).alias("text"))
     places = staged(rows.mapInArrow(_places(least, key), "key long, uid long, place int, reach short"), "places")
     by_doc = with_counts(places, "key", "c").groupBy("uid").agg(F.collect_list(F.struct("key", "place", "reach")).alias("p"))
     by_doc = by_doc.select("uid", F.col("p.key").alias("keys"), F.col("p.place").alias("places"), F.col("p.reach").alias("reaches"))
@@ -274,24 +274,24 @@ def passages(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
 def repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """doc_id, start_word, end_word, n_words, kept, other_doc_id: each repeated passage of each
     document; kept: no earlier copy of it exists.  other_doc_id holds the passage too."""
-    docs = numbered(docs)
-    found = passages(docs, least, key)
-    ids = docs.select(F.col("__uid").alias("uid"), "doc_id")
+    texts = texts_of(numbered(docs))
+    found = passages(texts, least, key)
+    ids = texts.select("uid", "doc_id")
     own = found.join(ids, "uid").join(ids.select(F.col("uid").alias("other"), F.col("doc_id").alias("other_doc_id")), "other")
     return own.select("doc_id", F.col("lo").alias("start_word"), F.col("hi").alias("end_word"), (F.col("hi") - F.col("lo")).alias("n_words"), (~F.col("again")).alias("kept"), "other_doc_id")
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, key: int = KEY) -> DataFrame:
     """docs with later copies of passages cut from `text`, with the white space after them; rows that lose all their words go."""
-    columns, docs = docs.columns, numbered(docs)
-    again = staged(passages(docs, least, key).where("again").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("__cut")), "cuts")
+    every = numbered(docs)
+    again = staged(passages(texts_of(every), least, key).where("again").groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("cut")), "cuts")
     # only texts with a cut are shuffled
-    some, rest = split(docs, again.select("uid"), "__uid")
-    rows = some.join(again.withColumnRenamed("uid", "__uid"), "__uid")
+    some, rest = split(every, again.select("uid"), "uid")
+    rows = some.join(again, "uid")
     # a word with the white space after it; no expression over the whole text may stand inside the filter
     space = r"[\x20\x09-\x0D]"
-    rows = rows.withColumn("__words", F.regexp_extract_all(F.col("text"), F.lit(rf"[^\x20\x09-\x0D]+{space}*"), F.lit(0)))
-    ahead = F.regexp_extract("text", rf"^{space}*", 0)
-    kept = F.concat(ahead, F.array_join(F.expr("filter(__words, (w, j) -> not exists(__cut, s -> j >= s.lo and j < s.hi))"), ""))
-    some = rows.withColumn("text", kept).where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
-    return some.select(*columns).union(rest.select(*columns))
+    rows = rows.withColumn("words", F.regexp_extract_all(F.col("row.text"), F.lit(rf"[^\x20\x09-\x0D]+{space}*"), F.lit(0)))
+    ahead = F.regexp_extract("row.text", rf"^{space}*", 0)
+    kept = F.concat(ahead, F.array_join(F.expr("filter(words, (w, j) -> not exists(cut, s -> j >= s.lo and j < s.hi))"), ""))
+    some = rows.select(F.col("row").withField("text", kept).alias("row")).where(F.regexp_like("row.text", F.lit(r"[^\x20\x09-\x0D]")))
+    return some.select("row.*").union(rest.select("row.*"))

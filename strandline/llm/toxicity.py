@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rowsets import picked, split
-from .staging import local_table, numbered, staged
+from .staging import local_table, numbered, staged, texts_of
 from .textops import ALNUM_FOLD, text_bytes
 
 MOST_FEATURES, SAMPLE, SAMPLE_WINDOWS = 5000, 2000, 6000
@@ -203,13 +203,13 @@ def calibrated(x: np.ndarray, y: np.ndarray, penalty: float = 0.02) -> np.ndarra
 
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[Field, np.ndarray]:
     """The field and the calibration from labelled rows; docs: doc_id, text; labels: doc_id, toxic."""
-    docs = numbered(docs)
+    every = texts_of(numbered(docs))
     told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     rest = (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int")
-    rows = docs.select(F.col("__uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id")).where(rest != 0)
+    rows = every.select("uid", F.col("doc_id").cast("long").alias("doc_id")).where(rest != 0)
     # numbers of labelled rows: narrow, so texts are never shuffled for their labels
     marks = staged(rows.join(told, "doc_id").select("uid", "toxic", rest.alias("fold")), "marks")
-    texts = docs.select(F.col("__uid").alias("uid"), text_bytes(F.col("text")).alias("text"))
+    texts = every.select("uid", text_bytes(F.col("text")).alias("text"))
     count: dict[tuple[bool, bool], int] = {}
     for r in marks.groupBy("toxic", "fold").count().collect():
         key = r["toxic"], r["fold"] == 1

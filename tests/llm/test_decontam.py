@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from strandline.llm import decontam
 from strandline.llm.textops import ALNUM_WORD
 
@@ -74,3 +76,17 @@ def test_empty_tables(spark):
     none, items = docs.where("false"), spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontam.contamination(docs, items).collect()] == [False]
     assert decontam.contamination(none, items).count() == 0 and decontam.without_hits(docs, items).count() == 1
+
+
+def test_one_window_in_very_many_items_and_documents(spark):
+    """Items and documents that share a window are not multiplied by each other."""
+    shared = " ".join(f"s{k}" for k in range(10))
+    items = spark.range(10_000).select(F.col("id").alias("item_id"), F.concat(F.lit(shared), F.lit(" own"), F.col("id")).alias("text"))
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.lit(shared), F.lit(" c"), F.when(F.col("id") == 7, " s1").otherwise("")).alias("text"))
+    texts = docs.select(F.col("doc_id").alias("uid"), "doc_id", "text")
+    found, sets = decontam.hits(texts, items)
+    assert sets.count() == 1 and found.where("found is not null").count() == 3_000
+    for most in (decontam.BROADCAST_GRAMS, 0):
+        got = decontam.contamination(docs, items, broadcast_grams=most).groupBy("n_hit", "n_items", "items_sha256").count().collect()
+        want = hashlib.sha256(",".join(sorted(map(str, range(10_000)))).encode()).hexdigest()
+        assert [tuple(r) for r in got] == [(10, 10_000, want, 3_000)]
