@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views
-from ..functions import kernels
+from ..functions import flow, kernels
 from .recon import planes, with_neighbours
 
 SIDE = 8
@@ -108,5 +108,33 @@ def seam_metrics(spark: SparkSession, d: str) -> DataFrame:
     return seams(own).groupBy("scene", "variant").agg(F.count(F.lit(1)).alias("n"), F.avg(F.nanvl("seam", F.lit(None).cast("double"))).alias("seam"), F.avg("halo").alias("halo"), F.avg("area").alias("area"))
 
 
-QUERIES = {"held_out_scores": held_out_scores, "degrade_restore": degrade_restore, "seam_metrics": seam_metrics}
+BUDGET = 1 << 22  # values of planes that a task works out side by side
+
+
+def temporal_errors(own: DataFrame, side: int = SIDE) -> DataFrame:
+    """scene, frame_idx, config and tof of planes with the one before them: how far the motion between both after
+    halving and restoring is from the true motion."""
+
+    def run(batches):
+        for rows in batches:
+            step = max(1, BUDGET // (side * side * 8))
+            for lo in range(0, len(rows), step):
+                part = rows.iloc[lo : lo + step]
+                now, before = (np.stack([np.asarray(p, float).reshape(side, side) for p in part[c]]) for c in ("plane", "before"))
+                true = flow.dense_flow(before, now)
+                for config, up in kernels.RESTORERS.items():
+                    again = [np.stack([up(kernels.degraded(p, "clean"), side, side) for p in x]) for x in (before, now)]
+                    dx, dy = flow.dense_flow(*again)
+                    yield pd.DataFrame({"scene": part["scene"], "frame_idx": part["frame_idx"], "config": config, "tof": np.hypot(true[0] - dx, true[1] - dy).mean((1, 2))})
+
+    return own.mapInPandas(run, "scene int, frame_idx long, config string, tof double")
+
+
+def tile_tof(spark: SparkSession, d: str) -> DataFrame:
+    """Mean temporal error by scene and upscaler, over all consecutive tiles of the scene."""
+    own = with_neighbours(planes(spark, d).select("scene", "frame_idx", "plane"), ["before"])
+    return temporal_errors(own).groupBy("scene", "config").agg(F.count(F.lit(1)).alias("n"), F.avg("tof").alias("tof"))
+
+
+QUERIES = {"held_out_scores": held_out_scores, "degrade_restore": degrade_restore, "seam_metrics": seam_metrics, "tile_tof": tile_tof}
 ORACLE_SQL: dict[str, str] = {}
