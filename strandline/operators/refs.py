@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import ordered_fold
+from . import scan
 
 
 def on_backbone(ptype: str = "ptype") -> Column:
@@ -45,40 +45,21 @@ def drift_distance(anchored: DataFrame, key: str = "clip_id") -> DataFrame:
     return own.withColumn("shown_distance", F.when(F.col("ptype") == "B", F.col("frame_idx")).otherwise(F.col("hops"))).drop("__g")
 
 
-def budget_anchors(frames: DataFrame, hole: str, budget: float) -> DataFrame:
+def budget_anchors(frames: DataFrame, hole: str, budget: float, block: int = scan.BLOCK) -> DataFrame:
     """promoted and spent: the share of holes adds up along the backbone and promotes a frame when it reaches the budget.
 
-    I frames and the first backbone frame reset the sum; B frames pass it on unchanged.
+    I frames and the first backbone frame reset the sum; B frames pass it on unchanged.  A clip may be cut into blocks over several tasks.
     """
+    own = frames.where(on_backbone()).withColumn("__forced", F.col("ptype") == "I")
+    out = scan.budget(own, ["clip_id"], "frame_idx", hole, "__forced", budget, block).drop("__forced")
+    rest = frames.where(~F.coalesce(on_backbone(), F.lit(False))).withColumn("promoted", F.lit(False)).withColumn("spent", F.lit(None).cast("double"))
+    return out.unionByName(rest)
 
-    def step(s: list, kind: str, share: float) -> tuple:
-        if kind not in ("I", "P"):
-            return False, None
-        if kind == "I" or not s[1]:
-            s[0], s[1] = 0.0, True
-            return False, 0.0
-        s[0] += share
-        spent = s[0]
-        if spent >= budget:
-            s[0] = 0.0
-            return True, spent
-        return False, spent
 
-    return ordered_fold(frames, "clip_id", ["frame_idx"], ["ptype", hole], lambda: [0.0, False], step, "promoted boolean, spent double")
-
-
-def ema(frames: DataFrame, value: str, alpha: float, reset: str | None = None, keep: str | None = None) -> DataFrame:
-    """ema of a value along a clip: starts anew where `reset` holds, passes rows where `keep` is false unchanged."""
+def ema(frames: DataFrame, value: str, alpha: float, reset: str | None = None, keep: str | None = None, key: str | list[str] = "clip_id", block: int = scan.BLOCK) -> DataFrame:
+    """ema of a value along a clip: starts anew where `reset` holds, passes rows where `keep` is false unchanged.  A clip may be cut into blocks over several tasks."""
     own = frames.withColumn("__r", F.col(reset) if reset else F.lit(False)).withColumn("__k", F.col(keep) if keep else F.lit(True))
-
-    def step(s: list, v: float | None, again: bool, use: bool) -> tuple:
-        if again:
-            s[0] = None
-        if use and v is not None:
-            s[0] = v if s[0] is None else alpha * v + (1.0 - alpha) * s[0]
-        return (s[0],)
-
-    return ordered_fold(own, "clip_id", ["frame_idx"], [value, "__r", "__k"], lambda: [None], step, "ema double").drop("__r", "__k")
+    return scan.ema(own, [key] if isinstance(key, str) else key, "frame_idx", value, alpha, "__r", "__k", block).drop("__r", "__k")
 
 
 def chain_comparison(frames: DataFrame, key: str = "clip_id") -> DataFrame:

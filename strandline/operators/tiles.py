@@ -201,8 +201,8 @@ def soft_patched(rows: DataFrame, policy: Callable[[], Column], gain: float = 0.
     run, anew from each anchor.  A frame that runs and is no anchor is drawn to the policy's value by
     gain * feather * trust; the others keep their value.
     """
-    own = rows.withColumn("clip_id", F.struct("scene", "pos")).withColumn("hf", F.col("heavy") - F.col("cheap"))
-    own = ema(own, "hf", 1.0 - beta, reset="anchor", keep="run").withColumn("patched", F.col("run") & ~F.col("anchor"))
+    own = rows.withColumn("hf", F.col("heavy") - F.col("cheap"))
+    own = ema(own, "hf", 1.0 - beta, reset="anchor", keep="run", key=["scene", "pos"]).withColumn("patched", F.col("run") & ~F.col("anchor"))
     a = F.least(F.greatest(gain * F.col("feather") * F.col("trust"), F.lit(0.0)), F.lit(1.0))
     drawn = F.least(F.greatest((1.0 - a) * F.col("value") + a * policy(), F.lit(0.0)), F.lit(255.0))
-    return own.withColumn("soft", F.when(F.col("patched"), drawn).otherwise(F.col("value"))).drop("clip_id", "hf")
+    return own.withColumn("soft", F.when(F.col("patched"), drawn).otherwise(F.col("value"))).drop("hf")
