@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views
+from ..shared import shared_path
+from ..sources import fragments
 from ..streaming import online
 from .streams import CUTS
 
@@ -29,9 +31,28 @@ def stream_rates(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
-QUERIES = {"stream_cuts": stream_cuts, "stream_rates": stream_rates}
+def fragment_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of all clips with sound of orders, written as fragments and read back: what each fragment holds."""
+    video = views.frames(spark, d).select(F.col("clip_id").alias("clip"), "frame_idx", F.col("frame_idx").alias("id"))
+    o = views.table(spark, d, "orders").where("o_custkey is not null and o_orderkey is not null")
+    audio = o.select(F.col("o_custkey").alias("clip"), (F.col("o_orderkey") % 400 / 40.0).alias("t"), F.col("o_orderkey").alias("id"))
+    path = shared_path(spark, "fragments")
+    spark.dataSource.register(fragments.FragmentSink)
+    fragments.dealt(fragments.laid_out(video, audio, 25.0)).write.format("fragments").option("path", path).mode("append").save()
+    return fragments.read_fragments(spark, path).groupBy("clip", "fragment").agg(
+        F.count_if(F.col("rank") == 0).alias("frames"), F.count_if(F.col("rank") == 1).alias("packets"), F.max(F.when(F.col("rank") == 1, F.col("t"))).alias("sound_to"), F.sum("id").alias("ids")
+    )
+
+
+QUERIES = {"stream_cuts": stream_cuts, "stream_rates": stream_rates, "fragment_sink": fragment_sink}
 
 ORACLE_SQL = {
+    "fragment_sink": f"""WITH {views.FRAMES},
+v AS (SELECT clip_id, frame_idx + 1 AS place, 0 AS rank, NULL::DOUBLE AS t, CAST(frame_idx AS BIGINT) AS id FROM frames),
+a AS (SELECT o_custkey AS clip_id, greatest(CAST(ceil((o_orderkey % 400 / 40.0::DOUBLE - 1.0) * 25.0) AS INTEGER), 1) AS place, 1 AS rank, o_orderkey % 400 / 40.0::DOUBLE AS t, o_orderkey AS id FROM orders),
+b AS (SELECT * FROM v UNION ALL SELECT a.* FROM a JOIN (SELECT clip_id, max(place) AS last FROM v GROUP BY clip_id) e USING (clip_id) WHERE a.place <= e.last)
+SELECT CAST(clip_id AS VARCHAR) AS clip, CAST((place - 1) // 12 AS INTEGER) AS fragment, count(*) FILTER (rank = 0) AS frames, count(*) FILTER (rank = 1) AS packets, max(t) AS sound_to, CAST(sum(id) AS BIGINT) AS ids
+FROM b GROUP BY ALL""",
     "stream_cuts": CUTS + "SELECT clip_id, frame_idx, diff, ptype FROM f WHERE is_cut",
     "stream_rates": """WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT CAST(hour AS TIMESTAMP) AS hour, event_type, n FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Columns of exported motion records; framenum counts from 1, flags are hexadecimal text.
 MV_CSV = "framenum int, source int, blockw int, blockh int, srcx int, srcy int, dstx int, dsty int, flags string, motion_x int, motion_y int, motion_scale int"
@@ -116,10 +118,31 @@ def synthetic_clip(spark: SparkSession, n: int = 24, h: int = 36, w: int = 64, s
     return spark.range(n).mapInArrow(run, schema)
 
 
+MOTION = "array<struct<source:int,w:int,h:int,dst_x:int,dst_y:int,motion_x:int,motion_y:int,motion_scale:int>>"
+
+
+def clip_motion(kind: str, i: int, n: int, h: int, w: int, speed: float = 1.5, size: int = 16) -> list[tuple]:
+    """Motion records of frame i of a made-up clip against the frame before, blocks of `size` over the panning canvas; none for the
+    first frame and the one after a cut."""
+    if i == 0 or (kind == "cut" and i == n // 2):
+        return []
+    if kind == "odd":
+        h, w = h - 1, w - 3
+    speed = 4 * speed if kind == "fast" else 0.0 if kind == "still" else speed
+    step = int(round(i * speed)) - int(round((i - 1) * speed))
+    return [(-1, size, size, x + size // 2, y + size // 2, 4 * step, 0, 4) for y in range(0, h, size) for x in range(0, w, size)]
+
+
 class ClipSource(DataSource):
     """spark.read.format("clip"): frames [startFrame, startFrame + maxFrames) of a made-up clip, `chunk` frames a task.
 
-    Options: kind, frames (of the clip), height, width, seed, startFrame, maxFrames, chunk.  Frames outside the window are never made.
+    Options: kind, frames (of the clip), height, width, seed, startFrame, maxFrames, chunk, motion (true: with the
+    motion records of each frame).  Frames outside the window are never made.
+
+    spark.readStream.format("clip") gives the same frames as they come: fps frames a second from `since` (seconds of
+    the clock) on, all at once where fps is 0, and at most perBatch of them in a batch.  The end of each batch stands in
+    Spark's checkpoint; a stream that is started again goes on behind the last one.  perBatch needs `progress`, a folder
+    that lasts as long as the checkpoint, since a source is not told where a stream stood.
     """
 
     @classmethod
@@ -127,25 +150,93 @@ class ClipSource(DataSource):
         return "clip"
 
     def schema(self) -> str:
-        return "frame_idx int, ptype string, plane array<double>"
+        return "frame_idx int, ptype string, plane array<double>" + (f", mvs {MOTION}" if self.options.get("motion", "false").lower() == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
-        return _ClipReader(self.options)
+        return _ClipReader(dict(self.options))
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _ClipStreamReader(dict(self.options))
+
 
+class _Clip:
+    """Options of a clip, its window of frames, and the rows of a span of them."""
 
-class _ClipReader(DataSourceReader):
     def __init__(self, options: dict):
+        options = {k.lower(): v for k, v in options.items()}
         whole = lambda name, value: int(options.get(name, value))
         self.kind, self.n, self.h, self.w, self.seed = options.get("kind", "pan"), whole("frames", 24), whole("height", 36), whole("width", 64), whole("seed", 7)
         if self.kind not in KINDS:
             raise ValueError(f"unknown kind {self.kind!r}")
-        start = max(whole("startFrame", 0), 0)
-        self.span, self.chunk = (start, min(self.n, start + whole("maxFrames", self.n))), max(whole("chunk", 16), 1)
+        start = min(max(whole("startframe", 0), 0), self.n)
+        self.span, self.chunk = (start, min(self.n, start + whole("maxframes", self.n))), max(whole("chunk", 16), 1)
+        self.motion = options.get("motion", "false").lower() == "true"
+        self.fps, self.since, self.most, self.progress = float(options.get("fps", 0)), float(options.get("since", 0)), whole("perbatch", 0), options.get("progress")
+        if self.most and not self.progress:
+            raise ValueError("perBatch needs a folder for progress")
 
+    def spans(self, lo: int, hi: int) -> list[InputPartition]:
+        return [InputPartition((s, min(s + self.chunk, hi))) for s in range(lo, hi, self.chunk)]
+
+    def rows(self, lo: int, hi: int) -> Iterator[tuple]:
+        for i in range(lo, hi):
+            row = (i, "I" if i == 0 else "P", clip_frame(self.kind, i, self.n, self.h, self.w, seed=self.seed).ravel().tolist())
+            yield (*row, clip_motion(self.kind, i, self.n, self.h, self.w)) if self.motion else row
+
+
+class _ClipReader(_Clip, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
-        lo, hi = self.span
-        return [InputPartition((s, min(s + self.chunk, hi))) for s in range(lo, hi, self.chunk)] or [InputPartition((0, 0))]
+        return self.spans(*self.span) or [InputPartition((0, 0))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.rows(*partition.value)
+
+
+class _ClipStreamReader(_Clip, DataSourceStreamReader):
+    """Offsets name the frame behind the last one of a batch."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.at = self.span[0]  # frames up to here have been admitted
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"frame": self.span[0]}
+
+    def _there(self) -> int:
+        """Frames that exist now."""
+        if self.fps <= 0:
+            return self.span[1]
+        return min(self.span[1], self.span[0] + max(int((time.time() - self.since) * self.fps), 0))
+
+    def _noted(self, end: int | None = None) -> int:
+        """The end of the frames admitted so far, by this run of the stream or an earlier one."""
+        from pyarrow import fs
+
+        files, path = fs.FileSystem.from_uri(self.progress)
+        name = f"{path}/admitted.json"
+        held = self.at
+        if files.get_file_info(name).type != fs.FileType.NotFound:
+            with files.open_input_stream(name) as f:
+                held = max(held, json.loads(f.read())["frame"])
+        if end is not None and end > held:
+            files.create_dir(path, recursive=True)
+            with files.open_output_stream(f"{name}.new") as f:
+                f.write(json.dumps({"frame": end}).encode())
+            files.move(f"{name}.new", name)
+            held = end
+        return held
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        there = self._there()
+        if self.most:
+            # noted before the batch is: after a crash in between, the next batch begins at Spark's own offset and is larger
+            there = self._noted(min(there, self._noted() + self.most))
+        self.at = max(self.at, there)
+        return {"frame": self.at}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.at = max(self.at, end["frame"])
+        return self.spans(start["frame"], end["frame"])
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for i in range(*partition.value):
-            yield i, "I" if i == 0 else "P", clip_frame(self.kind, i, self.n, self.h, self.w, seed=self.seed).ravel().tolist()
+        return self.rows(*partition.value)
