@@ -224,36 +224,6 @@ def occlusion(dx: np.ndarray, dy: np.ndarray, cur: np.ndarray, prev: np.ndarray,
     return mask | ((x + fx) ** 2 + (y + fy) ** 2 > 0.01 * (x * x + y * y + fx * fx + fy * fy) + 0.5)
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """Labels 1.. of four-connected regions, 0 elsewhere, by spreading least numbers."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        p = np.pad(np.where(mask, label, mask.size + 1), 1, constant_values=mask.size + 1)
-        least = np.minimum.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
-        new = np.where(mask, least, 0)
-        if (new == label).all():
-            return np.where(mask, np.searchsorted(np.unique(label[mask]), label) + 1, 0) if mask.any() else label
-        label = new
-
-
-def bimodality(x: np.ndarray, size: int) -> np.ndarray:
-    """Local share of variance between the halves above and below the local mean."""
-    m = box(x, size)
-    high = x >= m
-    n = box(high.astype(float), size)
-    top, low = box(np.where(high, x, 0.0), size), box(np.where(high, 0.0, x), size)
-    gap = top / np.maximum(n, 1e-6) - low / np.maximum(1 - n, 1e-6)
-    var = np.maximum(box(x * x, size) - m * m, 1e-6)
-    return np.where((n > 1e-6) & (n < 1 - 1e-6), n * (1 - n) * gap * gap / var, 0.0)
-
-
-def graphic_mask(x: np.ndarray, mag: np.ndarray, moving: bool, size: int = 9, limit: float = 0.06, motion: float | None = None) -> np.ndarray:
-    """Two-level regions that move (or that stand still): overlays and titles, grown a little."""
-    two = bimodality(x.astype(float), size) > limit
-    still = ~(mag > (motion if motion is not None else 0.25))
-    return dilated(two & (np.nan_to_num(mag) > (motion if motion is not None else 0.6)) if moving else two & still, 9 if moving else 15)
-
-
 def grain(h: int, w: int, frame: int, sigma: float, luma: np.ndarray | None = None, blur: float = 0.8) -> np.ndarray:
     """Film grain of a frame: the frame number seeds it, so partitioning does not change it; weaker in shadows and lights."""
     rng = np.random.default_rng(frame * 2654435761 % 2**32)

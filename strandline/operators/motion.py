@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import regions
+from .choice import medians
+
 
 def direction(mvs: DataFrame, want: str = "all") -> DataFrame:
     """past keeps source < 0, future keeps source > 0, all keeps every record."""
@@ -43,7 +46,7 @@ def audit(mvs: DataFrame) -> DataFrame:
     )
 
 
-FRAMES_AT_ONCE = 128  # frames whose fields a task holds side by side
+FIELD_BYTES = 1 << 26  # of the fields that a task holds side by side
 
 
 def painted(mvs: DataFrame, grid_w: int, grid_h: int, fn: Callable, schema: str, layer: Column | None = None, layers: int = 1) -> DataFrame:
@@ -62,14 +65,26 @@ def painted(mvs: DataFrame, grid_w: int, grid_h: int, fn: Callable, schema: str,
     def fields(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         frame, _, cx, cy, w, h, z, dx, dy = (rows.column(c).to_numpy() for c in own_columns)
         x0, y0 = cx - w // 2, cy - h // 2
-        box = [np.clip(v, 0, most) for v, most in ((x0, grid_w), (x0 + w, grid_w), (y0, grid_h), (y0 + h, grid_h))]
         ids, at = np.unique(frame, return_inverse=True)  # frames come in order
-        for lo in range(0, len(ids), FRAMES_AT_ONCE):
-            n = min(FRAMES_AT_ONCE, len(ids) - lo)
+        turn = np.arange(len(at)) - np.searchsorted(at, at)  # a record's number in its frame
+        most = max(1, FIELD_BYTES // (16 * layers * grid_h * grid_w))
+        for lo in range(0, len(ids), most):
+            n = min(most, len(ids) - lo)
             out = np.full((2, layers, n, grid_h, grid_w), np.nan)
             s = slice(*np.searchsorted(at, (lo, lo + n)))
-            for k, c, xa, xb, ya, yb, vx, vy in zip((at[s] - lo).tolist(), z[s].tolist(), *(v[s].tolist() for v in box), dx[s].tolist(), dy[s].tolist(), strict=True):
-                out[0, c, k, ya:yb, xa:xb], out[1, c, k, ya:yb, xa:xb] = vx, vy
+            # the k-th records of all frames lie in different fields, so those of one size are laid at once
+            order = np.lexsort((h[s], w[s], turn[s]))
+            new = np.ones(len(order), bool)
+            for v in (turn[s], w[s], h[s]):
+                new[1:] &= v[order][1:] == v[order][:-1]
+            new[1:] = ~new[1:]
+            starts = np.append(np.flatnonzero(new), len(order))
+            for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                r = order[i:j] + s.start
+                y, x = y0[r, None] + np.arange(h[r[0]]), x0[r, None] + np.arange(w[r[0]])
+                rows, ys, xs = np.nonzero(((y >= 0) & (y < grid_h))[:, :, None] & ((x >= 0) & (x < grid_w))[:, None, :])
+                place = (z[r[rows]], at[r[rows]] - lo, y[rows, ys], x[rows, xs])
+                out[0][place], out[1][place] = dx[r[rows]], dy[r[rows]]
             cols = fn(ids[lo : lo + n], out[0], out[1])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
@@ -164,10 +179,23 @@ def tile_sums(mvs: DataFrame, sizes: list[int], grid_w: int, grid_h: int) -> Dat
     return painted(mvs, grid_w, grid_h, tiles, "frame_id long, size int, ty int, tx int, cells long, most double")
 
 
+def mask_regions(mvs: DataFrame, least: float, grid_w: int, grid_h: int) -> DataFrame:
+    """Per frame: regions (joined by sides or corners) of the cells that move by `least` or more, share of the largest one, and cells over the
+    area of the regions' boxes; frames without such a cell have zeros."""
+
+    def told(ids, dx, dy):
+        return ids, *regions.Runs(dx[0] ** 2 + dy[0] ** 2 >= least * least).by_frame()
+
+    return painted(mvs, grid_w, grid_h, told, "frame_id long, regions long, largest double, fill double")
+
+
 def camera_verdict(mvs: DataFrame, clip: Column, static: float = 0.6, least: int = 1) -> DataFrame:
     """Per clip: median over frames of the length of the frame's median vector, and STATIC, MOVING or UNKNOWN."""
     frame = projected(mvs).groupBy(clip.alias("clip"), "frame_id").agg(F.median("dx").alias("mx"), F.median("dy").alias("my"))
-    out = frame.groupBy("clip").agg(F.count(F.lit(1)).alias("n_frames"), F.median(F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my"))).alias("camera_px"))
+    n = frame.groupBy("clip").agg(F.count(F.lit(1)).alias("n_frames"))
+    # a frame's records are few, a clip's frames are not
+    middle = medians(frame, ["clip"], F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my")), "camera_px", 0.125).drop("n")
+    out = n.join(middle, "clip", "left")
     verdict = F.when(F.col("n_frames") < least, "UNKNOWN").when(F.col("camera_px") < static, "STATIC").otherwise("MOVING")
     return out.withColumn("verdict", verdict)
 

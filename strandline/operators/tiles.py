@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .choice import medians
 from .refs import ema
 
 SIDE = 8
@@ -17,9 +18,13 @@ def plate_median(tiles: DataFrame, gate: Column, min_samples: int = 1) -> DataFr
 
     A hole takes the median over all frames.  plate is cut to whole levels.
     """
-    open_ = F.when(gate, F.col("luma"))
-    out = tiles.groupBy("scene", "pos").agg(F.median(open_).alias("m"), F.count(open_).alias("coverage"), F.median("luma").alias("every"))
-    out = out.withColumn("hole", F.col("coverage") < min_samples).withColumn("value", F.when(F.col("hole"), F.col("every")).otherwise(F.col("m")))
+    by = ["scene", "pos"]
+    every = tiles.groupBy(*by).agg(F.count(F.when(gate, F.col("luma"))).alias("coverage")).withColumn("hole", F.col("coverage") < min_samples)
+    seen = medians(tiles, by, F.when(gate, F.col("luma")), "m").drop("n")
+    # few places have too few samples: only their rows are looked at again
+    poor = tiles.join(every.where("hole").select(*by), by, "left_semi")
+    rest = medians(poor, by, F.col("luma"), "every").drop("n")
+    out = every.join(seen, by, "left").join(rest, by, "left").withColumn("value", F.when(F.col("hole"), F.col("every")).otherwise(F.col("m")))
     return out.select("scene", "pos", "value", "coverage", "hole", F.col("value").cast("int").alias("plate"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views
-from ..functions import flow, kernels
-from .recon import planes, with_neighbours
+from ..functions import flow, kernels, regions
+from .recon import planes, small_motion, with_neighbours
 
 SIDE = 8
 
@@ -136,5 +136,80 @@ def tile_tof(spark: SparkSession, d: str) -> DataFrame:
     return temporal_errors(own).groupBy("scene", "config").agg(F.count(F.lit(1)).alias("n"), F.avg("tof").alias("tof"))
 
 
-QUERIES = {"held_out_scores": held_out_scores, "degrade_restore": degrade_restore, "seam_metrics": seam_metrics, "tile_tof": tile_tof}
+#: Levels and windows that fit tiles, whose levels lie around 128.
+TILE_OVERLAY = {"both": 0.1, "white": 140, "dark": 116, "size": 3, "motion": 0.6, "grow": 3}
+
+
+def field_of(mvs, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dense dx, dy of a row's motion records, all sources."""
+    names = ("w", "h", "dst_x", "dst_y", "motion_x", "motion_y", "motion_scale")
+    return kernels.painted(np.array([[m[c] for c in names] for m in mvs]) if mvs is not None and len(mvs) else np.zeros((0, 7), int), side, side)
+
+
+def overlays(own: DataFrame, side: int = SIDE, **options) -> DataFrame:
+    """scene, frame_idx, kind (moving, static), area and box of the lettering in each plane (scene, frame_idx, plane, mvs); the box is null without any."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                x, mag = np.asarray(r.plane, float).reshape(side, side), np.hypot(*field_of(r.mvs, side))
+                for kind in ("moving", "static"):
+                    mask = regions.overlay(x, mag, kind == "moving", **options)
+                    out.append((r.scene, r.frame_idx, kind, int(mask.sum()), *(regions.box_of(mask) or (None,) * 4)))
+            got = pd.DataFrame(out, columns=["scene", "frame_idx", "kind", "area", "x0", "y0", "x1", "y1"])
+            yield got.astype({c: "Int32" for c in ("x0", "y0", "x1", "y1")})
+
+    return own.mapInPandas(run, "scene int, frame_idx long, kind string, area int, x0 int, y0 int, x1 int, y1 int")
+
+
+def graphic_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes and areas of lettering in every tile that moves, and that stands still."""
+    own = planes(spark, d).join(small_motion(spark, d), "frame_idx", "left").select("scene", "frame_idx", "plane", "mvs")
+    return overlays(own, **TILE_OVERLAY)
+
+
+def denoised(own: DataFrame, sigma: float = 8.0, side: int = SIDE) -> DataFrame:
+    """scene, frame_idx, method and psnr of each plane with noise (seeded by its frame number) after each denoiser."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                x = np.asarray(r.plane, float).reshape(side, side)
+                noisy = x + np.random.default_rng([7, int(r.frame_idx)]).normal(0, sigma, x.shape)
+                for method, fn in [("none", lambda v: v), *regions.DENOISERS.items()]:
+                    out.append((r.scene, r.frame_idx, method, kernels.psnr(fn(noisy), x)))
+            yield pd.DataFrame(out, columns=["scene", "frame_idx", "method", "psnr"])
+
+    return own.mapInPandas(run, "scene int, frame_idx long, method string, psnr double")
+
+
+def denoised_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Mean quality by scene and denoiser over all tiles."""
+    return denoised(planes(spark, d).select("scene", "frame_idx", "plane")).groupBy("scene", "method").agg(F.count(F.lit(1)).alias("n"), F.avg("psnr").alias("psnr"))
+
+
+def frozen_grain(own: DataFrame, sigma: float = 5.0, side: int = SIDE) -> DataFrame:
+    """scene, chunk_id, frame_idx, mean, deviation and follows (correlation with the carried grain of the frame before) of the grain
+    of each frame of a chunk (plane, mvs), which moves with the motion painted in it.  A chunk is a task's unit; its number seeds the grain."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame_idx", kind="stable").reset_index(drop=True)
+        fields = [field_of(m, side) for m in rows["mvs"]]
+        grain = regions.frozen_grain(fields, sigma, int(rows["chunk_id"][0]) * 1009 + int(rows["scene"][0]))
+        follows = [None, *(float(np.corrcoef(kernels.backward_warp(a, *f).ravel(), b.ravel())[0, 1]) for a, b, f in zip(grain, grain[1:], fields[1:], strict=False))]
+        out = rows[["scene", "chunk_id", "frame_idx"]].copy()
+        out["mean"], out["deviation"], out["follows"] = [float(g.mean()) for g in grain], [float(g.std()) for g in grain], follows
+        return out
+
+    return own.groupBy("scene", "chunk_id").applyInPandas(run, "scene int, chunk_id int, frame_idx long, mean double, deviation double, follows double")
+
+
+def carried_grain(spark: SparkSession, d: str) -> DataFrame:
+    """Grain that is carried along the motion of each chunk of tiles."""
+    return frozen_grain(planes(spark, d).join(small_motion(spark, d), "frame_idx", "left").select("scene", "chunk_id", "frame_idx", "mvs"))
+
+
+QUERIES = {"held_out_scores": held_out_scores, "degrade_restore": degrade_restore, "seam_metrics": seam_metrics, "tile_tof": tile_tof, "graphic_tiles": graphic_tiles, "denoised_tiles": denoised_tiles, "carried_grain": carried_grain}
 ORACLE_SQL: dict[str, str] = {}

@@ -53,6 +53,11 @@ def mask_algebra(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnsRenamed({"first_only": "past_only", "second_only": "future_only"})
 
 
+def fast_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of the cells of each frame that move by 3 pixels or more: how many, the largest one's share, and how full their boxes are."""
+    return motion.mask_regions(_past(spark, d), 3.0, W, H)
+
+
 def fast_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Box around the cells of each frame that move by 5 pixels or more, padded by 2."""
     return motion.fast_boxes(_past(spark, d), 5.0, 2, W, H)
@@ -80,7 +85,7 @@ flow AS (
 
 QUERIES = {
     "mv_project": mv_project, "mv_audit": mv_audit, "flow_raster": flow_raster, "motion_signal": motion_signal, "camera_verdict": camera_verdict, "motion_map": motion_map,
-    "motion_bands": motion_bands, "mask_algebra": mask_algebra, "fast_boxes": fast_boxes, "tile_clusters": tile_clusters,
+    "motion_bands": motion_bands, "mask_algebra": mask_algebra, "fast_boxes": fast_boxes, "fast_regions": fast_regions, "tile_clusters": tile_clusters,
 }
 
 ORACLE_SQL = {

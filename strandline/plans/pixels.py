@@ -88,14 +88,16 @@ def edge_flicker(spark: SparkSession, d: str) -> DataFrame:
     t = views.tiles(spark, d).withColumn("alpha", F.col("luma") / 255.0)
     prev = F.lag("alpha").over(Window.partitionBy("scene", "pos").orderBy("frame_idx"))
     t = t.withColumn("before", prev).where("before is not null").withColumn("c", F.abs(F.col("alpha") - F.col("before")))
-    band = lambda x: (F.col(x) > 0.45) & (F.col(x) < 0.55)
+    band = lambda x: (F.col(x) > 0.05) & (F.col(x) < 0.95)
     return t.groupBy("scene", "frame_idx").agg(F.avg("c").alias("flicker"), F.coalesce(F.avg(F.when(band("alpha") | band("before"), F.col("c"))), F.lit(0.0)).alias("edge_flicker"))
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """A digest of each tile's whole levels and of each scene's tiles in order."""
+    """A digest of each tile's whole levels, and of each scene's tiles in display order: of runs of 4,096 frame numbers, then of the runs, so no group grows with a scene's planes."""
     t = views.tiles(spark, d).groupBy("scene", "frame_idx").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.floor("luma").alias("v")))), lambda x: x["v"].cast("string")), ",")).alias("digest"))
-    return t.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("digest")), "")).alias("digest"))
+    joined = lambda at: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(at, "digest"))), lambda x: x["digest"]), ""))
+    runs = t.groupBy("scene", F.floor(F.col("frame_idx") / 4096).alias("run")).agg(F.count(F.lit(1)).alias("n"), joined("frame_idx").alias("digest"))
+    return runs.groupBy("scene").agg(F.sum("n").alias("n"), joined("run").alias("digest"))
 
 
 PLATE = f"""WITH {views.TILES},
@@ -144,8 +146,9 @@ SELECT scene, frame_idx, avg(step) FILTER (WHERE (pos % 8) % 4 = 3) / (avg(step)
 SELECT scene, frame_idx, avg(abs(p - g)) AS mad, avg(CASE WHEN p >= 0.5 THEN 1.0 ELSE 0.0 END) AS foreground,
   coalesce(count(*) FILTER (WHERE p >= 0.5 AND g >= 0.5) / CAST(nullif(count(*) FILTER (WHERE p >= 0.5 OR g >= 0.5), 0) AS DOUBLE), 1.0) AS iou FROM b GROUP BY ALL""",
     "edge_flicker": f"""WITH {views.TILES}, a AS (SELECT scene, frame_idx, pos, luma / 255.0 AS alpha, lag(luma / 255.0) OVER (PARTITION BY scene, pos ORDER BY frame_idx) AS bef FROM tiles)
-SELECT scene, frame_idx, avg(abs(alpha - bef)) AS flicker, coalesce(avg(abs(alpha - bef)) FILTER (WHERE (alpha > 0.45 AND alpha < 0.55) OR (bef > 0.45 AND bef < 0.55)), 0) AS edge_flicker
+SELECT scene, frame_idx, avg(abs(alpha - bef)) AS flicker, coalesce(avg(abs(alpha - bef)) FILTER (WHERE (alpha > 0.05 AND alpha < 0.95) OR (bef > 0.05 AND bef < 0.95)), 0) AS edge_flicker
 FROM a WHERE bef IS NOT NULL GROUP BY ALL""",
-    "fingerprints": f"""WITH {views.TILES}, t AS (SELECT scene, frame_idx, md5(string_agg(CAST(CAST(floor(luma) AS INTEGER) AS VARCHAR), ',' ORDER BY pos)) AS digest FROM tiles GROUP BY ALL)
-SELECT scene, count(*) AS n, md5(string_agg(digest, '' ORDER BY digest)) AS digest FROM t GROUP BY scene""",
+    "fingerprints": f"""WITH {views.TILES}, t AS (SELECT scene, frame_idx, md5(string_agg(CAST(CAST(floor(luma) AS INTEGER) AS VARCHAR), ',' ORDER BY pos)) AS digest FROM tiles GROUP BY ALL),
+r AS (SELECT scene, frame_idx // 4096 AS run, count(*) AS n, md5(string_agg(digest, '' ORDER BY frame_idx)) AS digest FROM t GROUP BY ALL)
+SELECT scene, CAST(sum(n) AS BIGINT) AS n, md5(string_agg(digest, '' ORDER BY run)) AS digest FROM r GROUP BY scene""",
 }

@@ -19,7 +19,7 @@ def test_kernels():
     assert np.isnan(kernels.splat(x, np.ones(x.shape) * 3, np.zeros(x.shape), np.zeros(x.shape))[:, :3]).all()
     mask = np.zeros((8, 8), bool)
     mask[1:3, 1:3] = mask[5, 5] = mask[6, 6] = True
-    assert kernels.components(mask).max() == 3 and kernels.dilated(mask, 3).sum() > mask.sum()
+    assert kernels.dilated(mask, 3).sum() > mask.sum()
     assert np.allclose(kernels.grain(8, 8, 3, 2.0), kernels.grain(8, 8, 3, 2.0)) and not np.allclose(kernels.grain(8, 8, 3, 2.0), kernels.grain(8, 8, 4, 2.0))
     assert kernels.unsharp(x, 0, 1.0) is not None and np.allclose(kernels.unsharp(x, 0, 1.0), x)
     assert kernels.occlusion(np.full((4, 4), np.nan), np.zeros((4, 4)), np.zeros((4, 4)), np.zeros((4, 4))).all()
