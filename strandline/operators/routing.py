@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import ordered_fold
+
 
 def fallback_limit(ptype: Column, mag: Column, hole: Column, intra: Column, base: float = 0.50, high: float = 0.20, gate: float = 1.0, keyed: bool = False, saturation: float = 0.70, intra_gate: float = 0.80) -> Column:
     """The share of holes from which a frame is worked on: out of reach on saturated noise, lower on motion if keyed."""
@@ -76,3 +80,20 @@ def deblock_gate(mode: str, qp: Column, blockiness: Column, texture: Column | No
 def plate_is_bad(psnr: Column, baseline: Column, floor: float = 24.0, drop: float = 8.0) -> Column:
     """A background PSNR under the floor or far under its baseline; a PSNR that is not finite is trusted."""
     return F.when(psnr.isNull() | F.isnan(psnr) | (F.abs(psnr) == float("inf")), False).otherwise((psnr < floor) | F.coalesce(psnr < baseline - drop, F.lit(False)))
+
+
+def guarded(frames: DataFrame, key: list[str], order: str, psnr: str, floor: float = 24.0, drop: float = 8.0, alpha: float = 0.30) -> DataFrame:
+    """frames with bad and baseline: plate_is_bad against the moving average of the frames before in the stream that passed; the first one has none.
+
+    Which frames join the average depends on the average, so a stream's narrow rows are walked in order."""
+
+    def step(s: list, v: float | None) -> tuple:
+        before = s[0]
+        if v is None or not math.isfinite(v):
+            return False, before
+        bad = v < floor or (before is not None and v < before - drop)
+        if not bad:
+            s[0] = v if before is None else alpha * v + (1.0 - alpha) * before
+        return bad, before
+
+    return ordered_fold(frames, key, [order], [psnr], lambda: [None], step, "bad boolean, baseline double")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views
-from ..functions import flow, kernels, regions
+from ..functions import flow, kernels, regions, tables
 from .recon import planes, small_motion, with_neighbours
 
 SIDE = 8
@@ -211,5 +213,18 @@ def carried_grain(spark: SparkSession, d: str) -> DataFrame:
     return frozen_grain(planes(spark, d).join(small_motion(spark, d), "frame_idx", "left").select("scene", "chunk_id", "frame_idx", "mvs"))
 
 
-QUERIES = {"held_out_scores": held_out_scores, "degrade_restore": degrade_restore, "seam_metrics": seam_metrics, "tile_tof": tile_tof, "graphic_tiles": graphic_tiles, "denoised_tiles": denoised_tiles, "carried_grain": carried_grain}
+def produced(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures of every scene by three producers: frames by source and their mean level."""
+    tables.registered(spark)
+    frames = planes(spark, d).join(small_motion(spark, d), "frame_idx", "left").select(F.col("scene").cast("long").alias("clip"), "frame_idx", "ptype", "plane", "mvs")
+    name = f"frames_{uuid.uuid4().hex}"
+    frames.createOrReplaceTempView(name)
+    call = lambda p: f"SELECT '{p}' AS producer, * FROM produce(TABLE({name}) PARTITION BY clip ORDER BY frame_idx, producer => '{p}', side => 8, scale => 2)"
+    out = spark.sql(" UNION ALL ".join(call(p) for p in sorted(tables.PRODUCERS)))
+    spark.catalog.dropTempView(name)
+    mean = F.aggregate("picture", F.lit(0.0), lambda s, v: s + v) / F.size("picture")
+    return out.groupBy("producer", "clip", "source").agg(F.count(F.lit(1)).alias("n"), F.avg(mean).alias("level"))
+
+
+QUERIES = {"held_out_scores": held_out_scores, "degrade_restore": degrade_restore, "seam_metrics": seam_metrics, "tile_tof": tile_tof, "graphic_tiles": graphic_tiles, "denoised_tiles": denoised_tiles, "carried_grain": carried_grain, "produced": produced}
 ORACLE_SQL: dict[str, str] = {}

@@ -68,9 +68,8 @@ def rounding_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plate_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Frames whose background PSNR is under a floor or far under its scene's mean; a PSNR that is not finite is trusted."""
-    p = tile_psnr(spark, d).withColumn("baseline", F.avg(F.when(F.col("psnr") < float("inf"), F.col("psnr"))).over(Window.partitionBy("scene")))
-    return p.select("scene", "frame_idx", routing.plate_is_bad(F.col("psnr"), F.col("baseline"), 4.0, 1.0).alias("bad"))
+    """Frames whose background PSNR is under a floor or far under the moving average of its scene's frames that passed; a PSNR that is not finite is trusted."""
+    return routing.guarded(tile_psnr(spark, d), ["scene"], "frame_idx", "psnr", 4.0, 0.5).select("scene", "frame_idx", "bad")
 
 
 def deblock_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +85,7 @@ def best_modes(spark: SparkSession, d: str) -> DataFrame:
     """The mode of each clip that its measurements confirm; clips lack some modes."""
     f = views.frames(spark, d)
     mode = F.when(F.col("ptype") == "I", "layered").when(F.col("ptype") == "P", "quality").otherwise("instant")
-    own = f.where("frame_idx < 12").withColumn("mode", mode).groupBy(F.col("clip_id").alias("clip"), "mode").agg(
+    own = f.withColumn("mode", mode).groupBy(F.col("clip_id").alias("clip"), "mode").agg(
         F.max("luma").alias("tof"), F.min("luma").alias("consistency"), (F.min("luma") * 2).alias("ms"), F.lit(True).alias("safe")
     )
     own = own.withColumn("safe", F.col("clip") % 3 != 0)
@@ -115,12 +114,17 @@ def occluded_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def colour_clamp(spark: SparkSession, d: str) -> DataFrame:
-    """Each sample held within one and a half deviations of its place's mean in the scene."""
-    at = Window.partitionBy("scene", "pos")
-    t = views.tiles(spark, d).withColumn("m", F.avg("luma").over(at)).withColumn("s", F.stddev_pop("luma").over(at))
-    held = columns.clamped(F.col("luma"), F.col("m"), F.col("s"), 1.5)
-    own = t.withColumn("held", held)
-    return own.groupBy("scene", "frame_idx").agg(F.count_if(F.abs(F.col("held") - F.col("luma")) > 1).alias("moved"), F.min("held").alias("low"), F.max("held").alias("high"))
+    """What a place showed a frame before, held within one and a half deviations of the 3 x 3 box around the place now."""
+    row = Window.partitionBy("scene", "frame_idx", F.floor(F.col("pos") / 8)).orderBy("pos").rowsBetween(-1, 1)
+    column = Window.partitionBy("scene", "frame_idx", F.col("pos") % 8).orderBy("pos").rowsBetween(-1, 1)
+    history = F.lag("luma").over(Window.partitionBy("scene", "pos").orderBy("frame_idx"))
+    t = views.tiles(spark, d).withColumn("history", history).withColumn("q", F.col("luma") * F.col("luma")).withColumn("one", F.lit(1))
+    for w in (row, column):  # a box is a column of rows
+        t = t.withColumns({f"s_{c}": F.sum(c if w is row else f"s_{c}").over(w) for c in ("luma", "q", "one")})
+    mean = F.col("s_luma") / F.col("s_one")
+    std = F.sqrt(F.greatest(F.col("s_q") / F.col("s_one") - mean * mean, F.lit(0.0)))
+    own = t.where("history is not null").withColumn("held", columns.clamped(F.col("history"), mean, std, 1.5))
+    return own.groupBy("scene", "frame_idx").agg(F.count_if(F.abs(F.col("held") - F.col("history")) > 1).alias("moved"), F.min("held").alias("low"), F.max("held").alias("high"))
 
 
 def rgb_luma(spark: SparkSession, d: str) -> DataFrame:
@@ -264,7 +268,7 @@ def doubled_frames(spark: SparkSession, d: str) -> DataFrame:
 
 def muxed(spark: SparkSession, d: str) -> DataFrame:
     """Picture and sound packets in one order with their places; sound ends with the picture."""
-    p = views.packets(spark, d).where("t < 3.0e14").withColumn("t", F.col("t") / 1e6)
+    p = views.packets(spark, d).withColumn("t", F.col("t") / 1e6)
     video, audio = p.where("rank = 0").select("t", "id"), p.where("rank = 1").select("t", "id")
     out = sinks.mux_order(video, audio, 86400 * 90, 25.0)
     return out.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("last"), F.min("t").alias("first"))
@@ -387,10 +391,15 @@ lp AS (SELECT *, lag(luma) OVER w + lead(luma) OVER w + lag(luma, 8) OVER w + le
 sh AS (SELECT scene, frame_idx, var_pop(lap) FILTER (WHERE pos % 8 BETWEEN 1 AND 6 AND pos // 8 BETWEEN 1 AND 6) AS sharpness FROM lp GROUP BY ALL),
 bs AS (SELECT * FROM bl JOIN sh USING (scene, frame_idx))
 """
-GUARD = P3 + """, e AS (SELECT t.scene, t.frame_idx, avg((t.luma - p.value) * (t.luma - p.value)) AS mse FROM tiles t JOIN plate p USING (scene, pos) GROUP BY t.scene, t.frame_idx),
+GUARD = P3.replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT t.scene, t.frame_idx, avg((t.luma - p.value) * (t.luma - p.value)) AS mse FROM tiles t JOIN plate p USING (scene, pos) GROUP BY t.scene, t.frame_idx),
 q AS (SELECT *, CASE WHEN mse <= 1e-12 THEN 'inf'::DOUBLE ELSE 10 * log10(65025.0 / mse) END AS psnr FROM e),
-r AS (SELECT *, avg(psnr) FILTER (WHERE NOT isinf(psnr)) OVER (PARTITION BY scene) AS baseline FROM q),
-guard AS (SELECT scene, frame_idx, CASE WHEN isinf(psnr) THEN false ELSE psnr < 4 OR coalesce(psnr < baseline - 1, false) END AS bad FROM r)
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY frame_idx) AS k FROM q),
+guard AS (
+  SELECT scene, frame_idx, k, NOT isinf(psnr) AND psnr < 4 AS bad, CASE WHEN isinf(psnr) OR psnr < 4 THEN NULL ELSE psnr END::DOUBLE AS base FROM n WHERE k = 1
+  UNION ALL
+  SELECT scene, frame_idx, k, bad, CASE WHEN bad OR isinf(psnr) THEN base WHEN base IS NULL THEN psnr ELSE 0.3::DOUBLE * psnr + (1.0::DOUBLE - 0.3::DOUBLE) * base END
+  FROM (SELECT n.scene, n.frame_idx, n.k, n.psnr, guard.base, NOT isinf(n.psnr) AND (n.psnr < 4 OR coalesce(n.psnr < guard.base - 0.5::DOUBLE, false)) AS bad
+        FROM guard JOIN n ON n.scene = guard.scene AND n.k = guard.k + 1))
 """
 
 ORACLE_SQL = {
@@ -410,7 +419,7 @@ SELECT v, round_even(v, 0) AS even, CAST(floor(v + 0.5) AS BIGINT) AS half_up, C
     "deblock_gates": BLOCKS + """SELECT scene, frame_idx, true AS always, CASE WHEN frame_idx % 7 = 0 THEN blockiness >= 1.05 ELSE frame_idx % 52 >= 30 END AS by_qp, blockiness >= 1.05 AS by_step,
   CASE WHEN frame_idx % 7 = 0 THEN blockiness >= 1.05 ELSE frame_idx % 52 >= 30 END AND sharpness / 50000.0 < 0.5 AS guarded FROM bs""",
     "best_modes": FRAMES + """, m AS (SELECT clip_id AS clip, max(luma) FILTER (WHERE ptype = 'I') AS lt, max(luma) FILTER (WHERE ptype = 'P') AS qt, max(luma) FILTER (WHERE ptype = 'B') AS it,
-  2 * min(luma) FILTER (WHERE ptype = 'P') AS qm, 2 * min(luma) FILTER (WHERE ptype = 'B') AS im FROM frames WHERE frame_idx < 12 GROUP BY clip_id)
+  2 * min(luma) FILTER (WHERE ptype = 'P') AS qm, 2 * min(luma) FILTER (WHERE ptype = 'B') AS im FROM frames GROUP BY clip_id)
 SELECT clip, CASE WHEN lt IS NOT NULL AND clip % 3 <> 0 AND coalesce(lt, 9) <= coalesce(qt, 9) THEN 'layered' WHEN coalesce(im, 1e9) <= 42 AND coalesce(it, 9) <= 1.5 * coalesce(qt, 9) THEN 'instant'
   WHEN qm IS NOT NULL THEN 'quality' ELSE 'instant' END AS best FROM m""",
     "layered_costs": TILES + """, s AS (SELECT scene, count(DISTINCT frame_idx) AS n FROM tiles GROUP BY scene)
@@ -418,9 +427,13 @@ SELECT scene, refresh, n, 4.0 + 300.0 / refresh + 42.0 + 6.5 + 3.25 + 900.0 / n
     "beta_select": BLOCKS + f"SELECT scene, frame_idx, 0.85 - 0.15 * {_ramp('sharpness', 5000.0, 60000.0)} * {_ramp('blockiness', 0.8, 1.3)} AS beta, 1.0 - {_ramp('(frame_idx % 9)::DOUBLE', 1.5, 6.0)} AS gate FROM bs",
     "occluded_vectors": MVS + """, p AS (SELECT frame_id, motion_x / 4.0 AS dx, motion_y / 4.0 AS dy, lead(motion_x / 4.0) OVER w AS bx, lead(motion_y / 4.0) OVER w AS b FROM mvs WINDOW w AS (PARTITION BY frame_id ORDER BY mv_idx))
 SELECT frame_id, count(*) AS n, count(*) FILTER (WHERE (dx + bx) * (dx + bx) + (dy + b) * (dy + b) > 0.01::DOUBLE * (dx * dx + dy * dy + bx * bx + b * b) + 0.5) AS occluded FROM p WHERE bx IS NOT NULL GROUP BY frame_id""",
-    "colour_clamp": TILES + """, m AS (SELECT *, avg(luma) OVER w AS m, stddev_pop(luma) OVER w AS s FROM tiles WINDOW w AS (PARTITION BY scene, pos)),
-h AS (SELECT *, round_even(least(greatest(luma, m - 1.5 * s), m + 1.5 * s), 0) AS held FROM m)
-SELECT scene, frame_idx, count(*) FILTER (WHERE abs(held - luma) > 1) AS moved, min(held) AS low, max(held) AS high FROM h GROUP BY scene, frame_idx""",
+    "colour_clamp": TILES + """, h AS (SELECT *, lag(luma) OVER (PARTITION BY scene, pos ORDER BY frame_idx) AS history FROM tiles),
+b AS (
+  SELECT a.scene, a.frame_idx, a.pos, any_value(a.history) AS history, avg(n.luma) AS m, sqrt(greatest(avg(n.luma * n.luma) - avg(n.luma) * avg(n.luma), 0)) AS s
+  FROM h a JOIN tiles n ON n.scene = a.scene AND n.frame_idx = a.frame_idx AND abs(n.pos % 8 - a.pos % 8) <= 1 AND abs(n.pos // 8 - a.pos // 8) <= 1
+  WHERE a.history IS NOT NULL GROUP BY a.scene, a.frame_idx, a.pos),
+c AS (SELECT *, round_even(least(greatest(history, m - 1.5 * s), m + 1.5 * s), 0) AS held FROM b)
+SELECT scene, frame_idx, count(*) FILTER (WHERE abs(held - history) > 1) AS moved, min(held) AS low, max(held) AS high FROM c GROUP BY scene, frame_idx""",
     "rgb_luma": TILES + """, n AS (SELECT *, lead(luma, 1) OVER w AS g, lead(luma, 2) OVER w AS b FROM tiles WINDOW w AS (PARTITION BY scene, frame_idx ORDER BY pos))
 SELECT scene, frame_idx, avg(luma * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE) AS y FROM n WHERE pos % 3 = 0 AND b IS NOT NULL GROUP BY scene, frame_idx""",
     "masked_sharpness": BLOCKS + """, v AS (SELECT scene, frame_idx, var_pop(lap) FILTER (WHERE (frame_idx + pos) % 2 = 0 AND pos % 8 BETWEEN 1 AND 6 AND pos // 8 BETWEEN 1 AND 6) AS sharpness FROM lp GROUP BY ALL)
@@ -466,7 +479,7 @@ SELECT variant, count(*) AS n, avg(ms) AS mean_ms, median(ms) AS median_ms, quan
     "doubled_frames": FRAMES + """, a AS (SELECT clip_id, frame_idx, luma, lag(frame_idx) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS lft FROM frames),
 b AS (SELECT * FROM a UNION ALL SELECT clip_id, max(frame_idx) + 1, arg_max(luma, frame_idx), max(frame_idx) FROM a GROUP BY clip_id)
 SELECT clip_id, count(*) AS n, CAST(sum(lft) AS BIGINT) AS left_sum, max(frame_idx) AS last, arg_max(luma, frame_idx) AS last_luma FROM b GROUP BY clip_id""",
-    "muxed": f"WITH {views.PACKETS}, p AS (SELECT rank, t / 1e6::DOUBLE AS t FROM packets WHERE t < 3.0e14) SELECT rank, count(*) AS n, max(t) AS last, min(t) AS first FROM p WHERE rank = 0 OR t < 86400 * 90 / 25.0 GROUP BY rank",
+    "muxed": f"WITH {views.PACKETS}, p AS (SELECT rank, t / 1e6::DOUBLE AS t FROM packets) SELECT rank, count(*) AS n, max(t) AS last, min(t) AS first FROM p WHERE rank = 0 OR t < 86400 * 90 / 25.0 GROUP BY rank",
     "output_check": FRAMES + """, n AS (SELECT clip_id AS clip, count(*) AS n FROM frames GROUP BY clip_id)
 SELECT clip, clip % 7 <> 0 AS count_ok, clip % 11 <> 0 OR n = 1 AS size_ok, clip % 4 = 0 OR clip % 3 <> 0 AS sync_ok FROM n""",
     "soft_patches": P3.replace("WITH", "WITH RECURSIVE", 1) + """, r AS (SELECT t.scene, t.frame_idx, t.pos, t.luma, trunc(p.value) AS cheap, floor(t.luma) AS heavy FROM tiles t JOIN plate p USING (scene, pos)),
