@@ -39,6 +39,66 @@ def test_process_writes_every_frame_and_tells_what_it_did(spark, tmp_path):
     with pytest.raises(ValueError):
         batch.process(frames, motion, str(tmp_path / "none"), mode="other")
     assert batch.process(frames.where("false"), motion, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(ValueError, match="mattes"):
+        batch.process(frames, motion, str(tmp_path / "none"), mode="layered")
+
+
+def people(spark, n=40):
+    """Scenes with a square that walks over a ground: 0 a ground that stays (one frame is lit up), 1 the same without anybody, 2 a ground that is never the same."""
+    rng = np.random.default_rng(2)
+    ground, rows, mattes = rng.random((8, 8)) * 60 + 60, [], []
+    for s in range(3):
+        for k in range(n):
+            alpha = np.zeros((8, 8))
+            if s != 1:
+                alpha[2:6, k % 6 : k % 6 + 3] = 1
+            plane = rng.random((8, 8)) * 200 if s == 2 else ground + (90 if s == 0 and k == 31 else 0)
+            plane = np.where(alpha > 0, 230.0 if s != 2 else plane, plane)
+            rows.append((s, 100 * s + k, "I" if k == 0 else "P", plane.ravel().tolist()))
+            mattes.append((s, 100 * s + k, alpha.ravel().tolist()))
+    frames = spark.createDataFrame(rows, "scene int, frame_idx long, ptype string, plane array<double>")
+    return frames, spark.createDataFrame(mattes, "scene int, frame_idx long, alpha array<double>"), np.floor(ground)
+
+
+MVS = "frame_idx long, mvs array<struct<mv_idx:int,source:int,w:int,h:int,dst_x:int,dst_y:int,motion_x:int,motion_y:int,motion_scale:int>>"
+
+
+def test_auto_layers_a_person_over_one_plate(spark, tmp_path):
+    frames, mattes, ground = people(spark)
+    audio = spark.createDataFrame([(s, k / 10.0, k) for s in (0, 1) for k in range(40 if s == 0 else 10)], "scene int, t double, id long")
+    none = spark.createDataFrame([], MVS)
+    got = {r.scene: r for r in batch.process(frames, none, str(tmp_path / "out"), mattes=mattes, audio=audio).collect()}
+    assert {s: (r.mode, r.reason) for s, r in got.items()} == {0: ("layered", "static person"), 1: ("instant", "no person in view"), 2: ("quality", "background not static")}
+    assert (got[0].layered, got[0].anchors, got[1].layered) == (39, 40, 0)  # the frame that is lit up keeps its own ground
+    assert (got[0].packets, got[0].sync_ok, got[1].packets, got[1].sync_ok, got[2].packets) == (16, True, 10, False, 0)
+    shown = {r.frame_idx: np.array(r.picture).reshape(16, 16) for r in spark.read.parquet(str(tmp_path / "out")).where("scene = 0").collect()}
+    plane = np.array(frames.where("frame_idx = 7").first()["plane"]).reshape(8, 8)
+    alpha = np.array(mattes.where("frame_idx = 7").first()["alpha"]).reshape(8, 8)
+    assert np.array_equal(shown[7], kernels.levels(kernels.resized(np.where(alpha > 0, plane, ground), 16, 16)))
+    lit = np.array(frames.where("frame_idx = 31").first()["plane"]).reshape(8, 8)
+    assert np.array_equal(shown[31], kernels.levels(kernels.resized(np.floor(lit), 16, 16)))
+    assert {r.scene for r in spark.read.parquet(str(tmp_path / "out-sound")).collect()} == {0, 1}
+
+
+def test_signals_of_motion_reach_the_router(spark, tmp_path):
+    frames, mattes, _ = people(spark)
+    block = lambda x, y, mx: (0, -1, 8, 8, x, y, mx, 0, 1)
+    rows = [(100 * s + k, [block(4, 4, 20 if s == 0 else 1)]) for s in range(2) for k in range(1, 40)]
+    rows += [(200 + k, [(0, -1, 2, 2, 1, 1, 0, 0, 1)]) for k in range(1, 40)]
+    got = {r.scene: r.reason for r in batch.process(frames, spark.createDataFrame(rows, MVS), str(tmp_path / "out"), mattes=mattes).collect()}
+    assert got == {0: "high motion or occlusion", 1: "layered unsafe", 2: "noise"}
+
+
+def test_the_command_writes_metrics_of_each_condition(spark, tmp_path):
+    from tests.test_oracles import SF
+
+    batch.main([SF, str(tmp_path / "out"), "--mode", "instant", "--mode", "quality", "--occlusion", "none", "--frames", "60"], spark)
+    rows = spark.read.csv(str(tmp_path / "out" / "metrics"), header=True, inferSchema=True).collect()
+    assert {(r.asked, r.occlusion) for r in rows} == {("instant", "none"), ("quality", "none")} and len(rows) == 2 * len({r.scene for r in rows})
+    tof = {m: {r.scene: r.tof for r in rows if r.asked == m} for m in ("instant", "quality")}
+    assert all(r.count_ok and r.size_ok for r in rows) and np.mean(list(tof["quality"].values())) < np.mean(list(tof["instant"].values()))
+    with pytest.raises(SystemExit):
+        batch.main([SF, str(tmp_path / "x"), "--mode", "other"], spark)
 
 
 def test_made_up_clips(spark):
