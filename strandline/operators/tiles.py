@@ -99,6 +99,30 @@ def warped(tiles: DataFrame, vectors: DataFrame, side: int = SIDE) -> DataFrame:
     return met.groupBy("scene", "frame_idx", "pos").agg(F.sum(F.col("weight") * F.col("luma")).alias("luma"))
 
 
+def residual_added(tiles: DataFrame, vectors: DataFrame, step: float = 2.0, side: int = SIDE) -> DataFrame:
+    """scene, frame_idx, pos, luma, moved and value of every frame with one before it in its scene: the frame before moved along the vectors, plus
+    what it lacks in whole steps, cut to levels."""
+    order = Window.partitionBy("scene").orderBy("frame_idx")
+    links = tiles.select("scene", "frame_idx").distinct().withColumn("before", F.lag("frame_idx").over(order)).where("before is not null")
+    prev = tiles.select("scene", F.col("frame_idx").alias("before"), "pos", "luma").join(links, ["scene", "before"]).select("scene", "frame_idx", "pos", "luma")
+    moved = warped(prev, vectors, side).withColumnRenamed("luma", "moved")
+    both = tiles.join(moved, ["scene", "frame_idx", "pos"])
+    value = F.col("moved") + F.floor((F.col("luma") - F.col("moved")) / step) * step
+    return both.withColumn("value", F.least(F.greatest(value, F.lit(0.0)), F.lit(255.0)).cast("int"))
+
+
+def gated(tiles: DataFrame, limit: float, size: int = 5, factor: int = 2, side: int = SIDE) -> DataFrame:
+    """scene, frame_idx, cell, luma, on and grown of tiles made smaller by `factor`: cells of `limit` or more, and those within an ellipse around one."""
+    small, r = side // factor, size // 2
+    cells = downscaled(tiles, factor, side).withColumn("on", F.col("luma") >= limit)
+    shape = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r]
+    offsets = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in shape])
+    y, x = F.floor(F.col("cell") / small) + F.col("o.dy"), F.col("cell") % small + F.col("o.dx")
+    lit = cells.where("on").withColumn("o", F.explode(offsets)).where((y >= 0) & (y < small) & (x >= 0) & (x < small))
+    near = lit.select("scene", "frame_idx", (y * small + x).cast("int").alias("cell")).distinct().withColumn("grown", F.lit(True))
+    return cells.join(near, ["scene", "frame_idx", "cell"], "left").withColumn("grown", F.coalesce("grown", F.lit(False)))
+
+
 def splatted(tiles: DataFrame, vectors: DataFrame, importance: Column, side: int = SIDE) -> DataFrame:
     """Softmax splat: each sample goes to the four cells around (x + dx, y + dy) with weight exp(importance - most); cells that get nothing are absent."""
     most = F.max("w").over(Window.partitionBy("scene", "frame_idx"))

@@ -50,17 +50,17 @@ def tile_downscale(spark: SparkSession, d: str) -> DataFrame:
     return ops.downscaled(views.tiles(spark, d), 2)
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
+def frame_vectors(spark: SparkSession, d: str) -> DataFrame:
     m = views.mvs(spark, d).where("mv_idx = 0")
     return m.select(F.col("frame_id").alias("frame_idx"), (F.col("motion_x") / 8.0).alias("dx"), (F.col("motion_y") / 4.0).alias("dy"))
 
 
 def tile_warp(spark: SparkSession, d: str) -> DataFrame:
-    return ops.warped(views.tiles(spark, d), _vectors(spark, d))
+    return ops.warped(views.tiles(spark, d), frame_vectors(spark, d))
 
 
 def tile_splat(spark: SparkSession, d: str) -> DataFrame:
-    return ops.splatted(views.tiles(spark, d), _vectors(spark, d), F.col("luma") / 64.0)
+    return ops.splatted(views.tiles(spark, d), frame_vectors(spark, d), F.col("luma") / 64.0)
 
 
 def tile_sharpness(spark: SparkSession, d: str) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import views
-from ..functions import columns
+from ..functions import arrow, columns, kernels
 from ..operators import motion, refs, routing, segment, stats, tiles
 from ..sources import readers, sinks
 from .motion import RASTER
-from .pixels import GATE, P3, plate_median, tile_blockiness, tile_psnr
+from .pixels import GATE, P3, VECTORS, frame_vectors, plate_median, tile_blockiness, tile_psnr
+from .recon import planes
 from .streams import CUTS
 
 
@@ -298,12 +299,16 @@ def chunk_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interp_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of neighbouring frames between which a middle frame may be made: no cut between them and few cells without vectors."""
-    line = Window.partitionBy("clip_id").orderBy("frame_idx")
-    f = segment.scene_cuts(views.frames(spark, d)).withColumn("next_cut", F.lead("is_cut").over(line)).withColumn("next_luma", F.lead("luma").over(line))
-    hole = F.abs(F.col("next_luma") - F.col("luma")) / 500.0
-    own = f.where("next_cut is not null").withColumn("made", ~F.col("next_cut") & (hole <= 0.5))
-    return own.groupBy("clip_id").agg(F.count_if("made").alias("made"), F.count_if(~F.col("made")).alias("copied"), F.sum(F.when(F.col("made"), (F.col("luma") + F.col("next_luma")) / 2).otherwise(F.col("luma"))).alias("total"))
+    """Pairs of neighbouring tiles between which a middle frame may be made: no step like a cut between them, and few cells of the later one without a vector."""
+    line = Window.partitionBy("scene").orderBy("frame_idx")
+    f = views.tiles(spark, d).groupBy("scene", "frame_idx").agg(F.avg("luma").alias("luma"))
+    f = f.withColumn("next_idx", F.lead("frame_idx").over(line)).withColumn("next_luma", F.lead("luma").over(line)).where("next_idx is not null")
+    m = motion.direction(views.mvs(spark, d), "past")
+    small = m.select("frame_id", "mv_idx", (F.col("dst_x") % 8).alias("dst_x"), (F.col("dst_y") % 8).alias("dst_y"), F.lit(4).alias("w"), F.lit(4).alias("h"), "motion_x", "motion_y", "motion_scale")
+    holes = motion.motion_signal(small, 8, 8).select(F.col("frame_id").alias("next_idx"), "intra")
+    hole = F.coalesce("intra", F.lit(1.0))
+    own = f.join(holes, "next_idx", "left").withColumn("made", (F.abs(F.col("next_luma") - F.col("luma")) <= 5.0) & (hole <= 0.75))
+    return own.groupBy("scene").agg(F.count_if("made").alias("made"), F.count_if(~F.col("made")).alias("copied"), F.sum(F.when(F.col("made"), (F.col("luma") + F.col("next_luma")) / 2).otherwise(F.col("luma"))).alias("total"))
 
 
 def detail_drift(spark: SparkSession, d: str) -> DataFrame:
@@ -328,13 +333,9 @@ def region_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def residual_add(spark: SparkSession, d: str) -> DataFrame:
-    """Each tile from its plate: the moved plate plus what the moved plate lacks, cut to whole levels."""
-    plate = plate_median(spark, d).select("scene", "pos", "value")
-    moved = plate.select("scene", F.col("pos").alias("at"), F.col("value").alias("moved"))
-    own = views.tiles(spark, d).withColumn("at", F.when(F.col("pos") % 8 < 7, F.col("pos") + 1).otherwise(F.col("pos")).cast("int")).join(moved, ["scene", "at"])
-    rest = F.floor((F.col("luma") - F.col("moved")) / 2) * 2
-    value = F.least(F.greatest(F.col("moved") + rest, F.lit(0.0)), F.lit(255.0)).cast("int")
-    return own.groupBy("scene", "frame_idx").agg(F.sum(value).alias("total"), F.max(F.abs(F.col("luma") - value)).alias("worst"))
+    """Each tile from the one before it in its scene: moved along its vector, plus the residual in whole steps."""
+    own = tiles.residual_added(views.tiles(spark, d), frame_vectors(spark, d))
+    return own.groupBy("scene", "frame_idx").agg(F.sum("value").cast("bigint").alias("total"), F.max(F.abs(F.col("luma") - F.col("value"))).alias("worst"))
 
 
 def channel_layout(spark: SparkSession, d: str) -> DataFrame:
@@ -347,23 +348,17 @@ def channel_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deblocked_steps(spark: SparkSession, d: str) -> DataFrame:
-    """Small steps across a grid of four columns spread over the two samples beside them, and a median of three along rows."""
-    row = Window.partitionBy("scene", "frame_idx", F.floor(F.col("pos") / 8)).orderBy("pos")
-    t = views.tiles(spark, d).withColumn("l", F.lag("luma").over(row)).withColumn("r", F.lead("luma").over(row))
-    x, small = F.col("pos") % 8, lambda a, b: F.abs(a - b) <= 24
-    c = F.col
-    moved = F.when((x == 4) & small(c("luma"), c("l")), c("luma") - (c("luma") - c("l")) / 4).when((x == 3) & small(c("r"), c("luma")), c("luma") + (c("r") - c("luma")) / 4).otherwise(c("luma"))
-    middle = F.when(c("l").isNull() | c("r").isNull(), c("luma")).otherwise(F.greatest(F.least("luma", "l"), F.least(F.greatest("luma", "l"), "r")))
-    return t.groupBy("scene", "frame_idx").agg(F.avg(F.abs(moved - c("luma"))).alias("moved"), F.avg(middle).alias("median"), F.max(F.abs(middle - c("luma"))).alias("most"))
+    """Tiles with small steps across a grid of four spread over the two samples beside them: how far samples move, and their sum."""
+    own = planes(spark, d).select("scene", "frame_idx", "plane", arrow.plane_map(lambda x: kernels.deblocked(x, 4, 0.5, 24.0), 8)("plane").alias("smooth"))
+    gaps = F.transform(F.arrays_zip("plane", "smooth"), lambda v: F.abs(v["smooth"] - v["plane"]))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    return own.select("scene", "frame_idx", (total(gaps) / 64).alias("moved"), F.array_max(gaps).alias("most"), total(F.col("smooth")).alias("total"))
 
 
 def fg_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Foreground cells of each tile as a matte: at least a limit, grown by one place along rows and columns."""
-    row = Window.partitionBy("scene", "frame_idx", F.floor(F.col("pos") / 8)).orderBy("pos").rowsBetween(-1, 1)
-    column = Window.partitionBy("scene", "frame_idx", F.col("pos") % 8).orderBy("pos").rowsBetween(-1, 1)
-    t = views.tiles(spark, d).withColumn("on", (F.col("luma") >= 150).cast("int"))
-    t = t.withColumn("grown", F.greatest(F.max("on").over(row), F.max("on").over(column))).withColumn("soft", columns.ramp(F.col("luma"), 100.0, 200.0))
-    return t.groupBy("scene", "frame_idx").agg(F.sum("on").alias("on"), F.sum("grown").alias("grown"), F.sum("soft").alias("soft"))
+    """Foreground cells of each tile at half its size as a matte: at least a limit, grown by an ellipse of five cells."""
+    g = tiles.gated(views.tiles(spark, d), 140.0).withColumn("soft", columns.ramp(F.col("luma"), 100.0, 200.0))
+    return g.groupBy("scene", "frame_idx").agg(F.count_if("on").alias("on"), F.count_if("grown").alias("grown"), F.sum("soft").alias("soft"))
 
 
 def sampled_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -519,9 +514,13 @@ SELECT CAST(frame_id % 20 AS INTEGER) AS clip, avg(intra) AS hole_frac, count(*)
 e AS (SELECT clip_id, frame_idx, luma AS ema, CAST(NULL AS DOUBLE) AS carried FROM g WHERE frame_idx = 0
   UNION ALL SELECT g.clip_id, g.frame_idx, CASE WHEN g.again THEN g.luma ELSE 0.25::DOUBLE * g.luma + 0.75::DOUBLE * e.ema END, e.ema FROM e JOIN (SELECT * FROM g) g ON g.clip_id = e.clip_id AND g.frame_idx = e.frame_idx + 1)
 SELECT clip_id, frame_idx, carried, ema FROM e WHERE frame_idx % 16 = 0""",
-    "interp_guard": CUTS + """, p AS (SELECT *, lead(is_cut) OVER l AS next_cut, lead(luma) OVER l AS next_luma FROM f WINDOW l AS (PARTITION BY clip_id ORDER BY frame_idx)),
-m AS (SELECT *, NOT next_cut AND abs(next_luma - luma) / 500.0 <= 0.5 AS made FROM p WHERE next_cut IS NOT NULL)
-SELECT clip_id, count(*) FILTER (WHERE made) AS made, count(*) FILTER (WHERE NOT made) AS copied, sum(CASE WHEN made THEN (luma + next_luma) / 2 ELSE luma END) AS total FROM m GROUP BY clip_id""",
+    "interp_guard": f"""WITH {views.TILES}, {views.MVS}, f AS (SELECT scene, frame_idx, avg(luma) AS luma FROM tiles GROUP BY ALL),
+p AS (SELECT *, lead(frame_idx) OVER l AS next_idx, lead(luma) OVER l AS next_luma FROM f WINDOW l AS (PARTITION BY scene ORDER BY frame_idx)),
+h AS (
+  SELECT frame_id AS next_idx, 1.0 - count(DISTINCT k) / 64.0::DOUBLE AS hole FROM (SELECT *, unnest(range(64)) AS k FROM mvs WHERE source < 0)
+  WHERE k % 8 >= dst_x % 8 - 2 AND k % 8 < dst_x % 8 + 2 AND k // 8 >= dst_y % 8 - 2 AND k // 8 < dst_y % 8 + 2 GROUP BY frame_id),
+m AS (SELECT p.*, abs(next_luma - luma) <= 5 AND coalesce(hole, 1) <= 0.75 AS made FROM p LEFT JOIN h USING (next_idx) WHERE next_idx IS NOT NULL)
+SELECT scene, count(*) FILTER (WHERE made) AS made, count(*) FILTER (WHERE NOT made) AS copied, sum(CASE WHEN made THEN (luma + next_luma) / 2 ELSE luma END) AS total FROM m GROUP BY scene""",
     "detail_drift": BLOCKS + """, k AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY frame_idx) - 1 AS k FROM sh),
 r AS (SELECT 'propagated' AS model, k % 12 AS dist, sharpness FROM k UNION ALL SELECT 'cached', k % 4, sharpness FROM k),
 c AS (SELECT model, dist, avg(sharpness / (1 + dist)) AS gap FROM r GROUP BY ALL),
@@ -532,17 +531,29 @@ SELECT model, CASE WHEN first(g0) <= 0 THEN NULL ELSE coalesce(arg_min(hit, dist
 r AS (SELECT *, unnest(['light', 'heavy', 'aware']) AS variant, unnest([value, luma, CASE WHEN region = 'upper' THEN luma ELSE (luma + value) / 2 END]) AS x FROM b),
 c AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY scene, pos, variant ORDER BY frame_idx)) AS change FROM r)
 SELECT variant, region, avg(x) AS mean, avg(change) AS change, count(change) AS n FROM c GROUP BY variant, region""",
-    "residual_add": P3 + """, o AS (SELECT t.scene, t.frame_idx, t.luma, p.value AS moved FROM tiles t JOIN plate p ON p.scene = t.scene AND p.pos = CASE WHEN t.pos % 8 < 7 THEN t.pos + 1 ELSE t.pos END),
-v AS (SELECT *, trunc(least(greatest(moved + floor((luma - moved) / 2) * 2, 0), 255)) AS value FROM o)
-SELECT scene, frame_idx, CAST(sum(value) AS BIGINT) AS total, max(abs(luma - value)) AS worst FROM v GROUP BY scene, frame_idx""",
+    "residual_add": f"""WITH {views.TILES}, {views.MVS}, {VECTORS},
+o AS (SELECT scene, frame_idx, lag(frame_idx) OVER (PARTITION BY scene ORDER BY frame_idx) AS before FROM (SELECT DISTINCT scene, frame_idx FROM tiles)),
+b AS (SELECT o.scene, o.frame_idx, t.pos, t.luma FROM o JOIN tiles t ON t.scene = o.scene AND t.frame_idx = o.before),
+s AS (SELECT b.scene, b.frame_idx, b.pos, least(greatest(b.pos % 8 + coalesce(v.dx, 0), 0), 7) AS sx, least(greatest(b.pos // 8 + coalesce(v.dy, 0), 0), 7) AS sy FROM b LEFT JOIN v USING (frame_idx)),
+q AS (SELECT *, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM s),
+k AS (SELECT *, unnest([0, 1, 0, 1]) AS ox, unnest([0, 0, 1, 1]) AS oy FROM q),
+w AS (SELECT scene, frame_idx, pos, CAST(least(y0 + oy, 7) * 8 + least(x0 + ox, 7) AS INTEGER) AS at, (CASE WHEN ox = 1 THEN fx ELSE 1 - fx END) * (CASE WHEN oy = 1 THEN fy ELSE 1 - fy END) AS weight FROM k),
+m AS (SELECT w.scene, w.frame_idx, w.pos, sum(w.weight * b.luma) AS moved FROM w JOIN b ON b.scene = w.scene AND b.frame_idx = w.frame_idx AND b.pos = w.at GROUP BY ALL),
+r AS (SELECT t.scene, t.frame_idx, t.luma, trunc(least(greatest(moved + floor((t.luma - moved) / 2) * 2, 0), 255)) AS value FROM m JOIN tiles t USING (scene, frame_idx, pos))
+SELECT scene, frame_idx, CAST(sum(value) AS BIGINT) AS total, max(abs(luma - value)) AS worst FROM r GROUP BY scene, frame_idx""",
     "channel_layout": TILES + """, b AS (SELECT scene, frame_idx, pos, CAST(floor(luma) AS INTEGER) AS b, pos % 8 * 8 + pos // 8 AS turned FROM tiles)
 SELECT scene, frame_idx, md5(string_agg(b::VARCHAR, ',' ORDER BY pos)) AS by_row, md5(string_agg(b::VARCHAR, ',' ORDER BY turned)) AS by_column, count(*) FILTER (WHERE round_even(b / 255.0::DOUBLE * 255.0, 0) <> b) AS lost FROM b GROUP BY scene, frame_idx""",
-    "deblocked_steps": TILES + """, n AS (SELECT *, lag(luma) OVER w AS l, lead(luma) OVER w AS r FROM tiles WINDOW w AS (PARTITION BY scene, frame_idx, pos // 8 ORDER BY pos)),
-m AS (SELECT *, CASE WHEN pos % 8 = 4 AND abs(luma - l) <= 24 THEN luma - (luma - l) / 4 WHEN pos % 8 = 3 AND abs(r - luma) <= 24 THEN luma + (r - luma) / 4 ELSE luma END AS moved,
-  CASE WHEN l IS NULL OR r IS NULL THEN luma ELSE greatest(least(luma, l), least(greatest(luma, l), r)) END AS middle FROM n)
-SELECT scene, frame_idx, avg(abs(moved - luma)) AS moved, avg(middle) AS median, max(abs(middle - luma)) AS most FROM m GROUP BY scene, frame_idx""",
-    "fg_gate": TILES + """, o AS (SELECT *, (luma >= 150)::INT AS o FROM tiles),
-g AS (SELECT *, greatest(max(o) OVER (PARTITION BY scene, frame_idx, pos // 8 ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), max(o) OVER (PARTITION BY scene, frame_idx, pos % 8 ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS grown FROM o)
-SELECT scene, frame_idx, CAST(sum(o) AS BIGINT) AS "on", CAST(sum(grown) AS BIGINT) AS grown, sum(least(greatest((luma - 100) / 100.0, 0), 1)) AS soft FROM g GROUP BY scene, frame_idx""",
+    "deblocked_steps": TILES + """, n AS (SELECT *, lag(luma, 8) OVER w AS u, lead(luma, 8) OVER w AS d FROM tiles WINDOW w AS (PARTITION BY scene, frame_idx ORDER BY pos)),
+a AS (SELECT *, CASE WHEN pos // 8 = 4 AND abs(luma - u) <= 24 THEN luma - (luma - u) / 4 WHEN pos // 8 = 3 AND abs(d - luma) <= 24 THEN luma + (d - luma) / 4 ELSE luma END AS v FROM n),
+b AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM a WINDOW w AS (PARTITION BY scene, frame_idx ORDER BY pos)),
+c AS (SELECT *, CASE WHEN pos % 8 = 4 AND abs(v - l) <= 24 THEN v - (v - l) / 4 WHEN pos % 8 = 3 AND abs(r - v) <= 24 THEN v + (r - v) / 4 ELSE v END AS s FROM b)
+SELECT scene, frame_idx, avg(abs(s - luma)) AS moved, max(abs(s - luma)) AS most, sum(s) AS total FROM c GROUP BY scene, frame_idx""",
+    "fg_gate": TILES + """, c AS (SELECT scene, frame_idx, CAST((pos // 16) * 4 + (pos % 8) // 2 AS INTEGER) AS cell, avg(luma) AS luma FROM tiles GROUP BY ALL),
+o AS (SELECT *, luma >= 140 AS o FROM c),
+g AS (
+  SELECT a.scene, a.frame_idx, a.cell, any_value(a.luma) AS luma, bool_or(n.cell = a.cell AND n.o) AS o, bool_or(n.o) AS grown
+  FROM o a JOIN o n ON n.scene = a.scene AND n.frame_idx = a.frame_idx AND (n.cell % 4 - a.cell % 4) * (n.cell % 4 - a.cell % 4) + (n.cell // 4 - a.cell // 4) * (n.cell // 4 - a.cell // 4) <= 4
+  GROUP BY a.scene, a.frame_idx, a.cell)
+SELECT scene, frame_idx, count(*) FILTER (WHERE o) AS "on", count(*) FILTER (WHERE grown) AS grown, sum(least(greatest((luma - 100) / 100.0, 0), 1)) AS soft FROM g GROUP BY scene, frame_idx""",
     "sampled_scan": FRAMES + " SELECT clip_id, count(*) AS n, count(DISTINCT ptype) AS types, count(DISTINCT floor(luma / 16)) AS levels, min(frame_idx) AS first FROM frames WHERE frame_idx >= 8 AND frame_idx < 32 GROUP BY clip_id",
 }
