@@ -53,7 +53,7 @@ def interpolation_scores(own: DataFrame, side: int = SIDE) -> DataFrame:
 def held_out_scores(spark: SparkSession, d: str) -> DataFrame:
     """Mean scores by scene and method of inner frames that are left out and guessed."""
     v = _vectors(spark, d)
-    f = with_neighbours(planes(spark, d).select("scene", "frame_idx", "plane"), ["before", "after"])
+    f = with_neighbours(planes(spark, d).select("scene", "frame_idx", "plane", "k"), ["before", "after"], "k")
     after = v.select(F.col("frame_idx").alias("after_idx"), F.col("dx").alias("next_dx"), F.col("dy").alias("next_dy"))
     f = f.join(v, "frame_idx", "left").join(after, "after_idx", "left")
     out = interpolation_scores(f)
@@ -134,7 +134,7 @@ def temporal_errors(own: DataFrame, side: int = SIDE) -> DataFrame:
 
 def tile_tof(spark: SparkSession, d: str) -> DataFrame:
     """Mean temporal error by scene and upscaler, over all consecutive tiles of the scene."""
-    own = with_neighbours(planes(spark, d).select("scene", "frame_idx", "plane"), ["before"])
+    own = with_neighbours(planes(spark, d).select("scene", "frame_idx", "plane", "k"), ["before"], "k")
     return temporal_errors(own).groupBy("scene", "config").agg(F.count(F.lit(1)).alias("n"), F.avg("tof").alias("tof"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .. import views
 from ..shared import shared_path
 from ..sources import fragments
-from ..streaming import online
-from .streams import CUTS
+from ..streaming import online, reorder
+from .streams import CHUNKS, CUTS
 
 
 def stream_cuts(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,19 @@ def fragment_sink(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"stream_cuts": stream_cuts, "stream_rates": stream_rates, "fragment_sink": fragment_sink}
+def stream_reordered(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of frames that come out of order: each one up to two batches of eight early or late, by a hash; a clip plays for an hour."""
+    clip = Window.partitionBy("clip_id")
+    f = views.frames(spark, d).withColumn("n", F.count(F.lit(1)).over(clip))
+    part = F.col("frame_idx") / F.col("n")
+    ts = F.timestamp_micros((F.lit(1_700_000_000_000_000) + part * 3_600_000_000).cast("long"))
+    moved = F.floor(8 * part) + F.pmod(F.xxhash64("clip_id", "frame_idx"), F.lit(3)) - 1
+    rows = f.select("clip_id", F.col("frame_idx").cast("int").alias("frame_idx"), "ptype", "luma", ts.alias("ts"), F.least(F.greatest(moved, F.lit(0)), F.lit(7)).cast("int").alias("batch"))
+    out = online.in_batches(spark, rows, F.col("batch"), 8, lambda s: reorder.ordered_chunks(s, soft_cap=12, wait_ms=1_800_000, idle_ms=36_000_000), "reordered")
+    return out.where("not late").select("clip_id", "frame_idx", "chunk_id")
+
+
+QUERIES = {"stream_reordered": stream_reordered, "stream_cuts": stream_cuts, "stream_rates": stream_rates, "fragment_sink": fragment_sink}
 
 ORACLE_SQL = {
     "fragment_sink": f"""WITH {views.FRAMES},
@@ -53,6 +65,7 @@ a AS (SELECT o_custkey AS clip_id, greatest(CAST(ceil((o_orderkey % 400 / 40.0::
 b AS (SELECT * FROM v UNION ALL SELECT a.* FROM a JOIN (SELECT clip_id, max(place) AS last FROM v GROUP BY clip_id) e USING (clip_id) WHERE a.place <= e.last)
 SELECT CAST(clip_id AS VARCHAR) AS clip, CAST((place - 1) // 12 AS INTEGER) AS fragment, count(*) FILTER (rank = 0) AS frames, count(*) FILTER (rank = 1) AS packets, max(t) AS sound_to, CAST(sum(id) AS BIGINT) AS ids
 FROM b GROUP BY ALL""",
+    "stream_reordered": CHUNKS.replace("SELECT clip_id, frame_idx, chunk_id, held - 1 AS place FROM c", "SELECT clip_id, frame_idx, chunk_id FROM c"),
     "stream_cuts": CUTS + "SELECT clip_id, frame_idx, diff, ptype FROM f WHERE is_cut",
     "stream_rates": """WITH h AS (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT CAST(hour AS TIMESTAMP) AS hour, event_type, n FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",

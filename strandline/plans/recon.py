@@ -77,26 +77,27 @@ def reconstructed(side: int, scale: int, occlusion: str = "reactive", pictures:
 
 
 def planes(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles as planes: every 12th frame of a scene is I, every third P, the rest B; 12 frames a chunk."""
+    """Tiles as planes, numbered in their scene by k: every 12th frame is I, every third P, the rest B; 12 frames a chunk."""
     e = views.table(spark, d, "embeddings").where("embedding is not null and label is not null")
     # numbers come from narrow rows; planes meet them by frame, not by scene
     k = e.select("vec_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("k"))
     plane = F.transform("embedding", lambda v: F.least(F.greatest(v.cast("double") * 255 + 128, F.lit(0.0)), F.lit(255.0)))
     own = e.select("vec_id", "label", plane.alias("plane")).join(k, ["vec_id", "label"]).select(F.col("label").alias("scene"), F.col("vec_id").alias("frame_idx"), "plane", "k")
     kind = F.when(F.col("k") % 12 == 0, "I").when(F.col("k") % 3 == 0, "P").otherwise("B")
-    return own.select("scene", F.floor(F.col("k") / 12).cast("int").alias("chunk_id"), "frame_idx", kind.alias("ptype"), "plane")
+    return own.select("scene", F.floor(F.col("k") / 12).cast("int").alias("chunk_id"), "frame_idx", kind.alias("ptype"), "plane", "k")
 
 
-def with_neighbours(own: DataFrame, sides: list[str]) -> DataFrame:
+def with_neighbours(own: DataFrame, sides: list[str], place: str | None = None) -> DataFrame:
     """own (scene, frame_idx, plane) with the planes of the frames `before` and `after` in the scene; frames that lack one are left out.
 
-    The neighbours' numbers come from narrow rows, so no task holds the planes of a scene."""
-    line = Window.partitionBy("scene").orderBy("frame_idx")
-    step = {"before": F.lag("frame_idx"), "after": F.lead("frame_idx")}
-    links = own.select("scene", "frame_idx").withColumns({f"{s}_idx": step[s].over(line) for s in sides})
-    out = own.join(links, ["scene", "frame_idx"])
+    place: a column that numbers the frames of a scene one by one.  Without it the numbers come from narrow rows, so no task holds the planes of a scene."""
+    if place is None:
+        number = own.select("scene", "frame_idx").withColumn("__k", F.row_number().over(Window.partitionBy("scene").orderBy("frame_idx")))
+        return with_neighbours(own.join(number, ["scene", "frame_idx"]), sides, "__k").drop("__k")
+    out = own
     for s in sides:
-        out = out.join(own.select("scene", F.col("frame_idx").alias(f"{s}_idx"), F.col("plane").alias(s)), ["scene", f"{s}_idx"])
+        step = F.col(place) + (1 if s == "before" else -1)
+        out = out.join(own.select("scene", step.alias(place), F.col("frame_idx").alias(f"{s}_idx"), F.col("plane").alias(s)), ["scene", place])
     return out
 
 
@@ -121,7 +122,7 @@ def tile_signals(spark: SparkSession, d: str) -> DataFrame:
 
 def tile_similarity(spark: SparkSession, d: str) -> DataFrame:
     """SSIM, gradient fidelity and PSNR of every tile against the one before in its scene."""
-    own = with_neighbours(planes(spark, d), ["before"])
+    own = with_neighbours(planes(spark, d), ["before"], "k")
     metric = lambda fn: arrow.pair_metric(fn, 8)("plane", "before")
     return own.select("scene", "frame_idx", metric(kernels.ssim).alias("ssim"), metric(kernels.gradient_fidelity).alias("gradient"), metric(kernels.psnr).alias("psnr"))
 

@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import shared_path
 
@@ -16,12 +17,16 @@ def metrics_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("nullValue", "").option("emptyValue", "").csv(path, header=True)
 
 
-def memoised(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path; made and written first where it is missing."""
+def memoised(spark: SparkSession, path: str, make: Callable[[], DataFrame], schema: str | None = None, n: int | None = None) -> DataFrame:
+    """The table at path; made and written first where it is missing, or is not of the schema or the number of rows that it should have."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not p.getFileSystem(conf).exists(p):
-        make().write.mode("overwrite").parquet(path)
+    if p.getFileSystem(conf).exists(p):
+        held = spark.read.parquet(path)
+        kinds = lambda fields: [(f.name, f.dataType.simpleString()) for f in fields]
+        if (schema is None or kinds(held.schema) == kinds(T._parse_datatype_string(schema))) and (n is None or held.count() == n):
+            return held
+    make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

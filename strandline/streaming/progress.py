@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from threading import Lock
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
@@ -77,13 +78,19 @@ def watched(spark: SparkSession, stream: DataFrame, name: str, trigger: str = "0
         query.stop()
 
 
+#: Spark's names for a table whose folder is not there.
+NOTHING_YET = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def wait_for(query: StreamingQuery, rows: Callable[[], DataFrame], least: int, seconds: float = 60.0) -> int:
     """Waits until the finished rows are `least` or more; their number.  A stream that failed raises its error."""
     end = time.monotonic() + seconds
     while True:
         try:
             n = rows().count()
-        except Exception:  # nothing is written yet
+        except AnalysisException as e:
+            if e.getCondition() not in NOTHING_YET:
+                raise
             n = 0
         if n >= least or time.monotonic() > end:
             return n

@@ -66,6 +66,11 @@ def test_readers_and_sinks(spark, tmp_path):
     made = []
     make = lambda: made.append(1) or modes
     assert sinks.memoised(spark, str(tmp_path / "m"), make).count() == sinks.memoised(spark, str(tmp_path / "m"), make).count() == 1 and made == [1]
+    kept = sinks.memoised(spark, str(tmp_path / "m"), make, n=1)
+    assert made == [1] and kept.count() == 1
+    sinks.memoised(spark, str(tmp_path / "m"), make, n=2)  # another number of rows than it should have
+    sinks.memoised(spark, str(tmp_path / "m"), make, schema="other string")
+    assert len(made) == 3
     sinks.metrics_csv(spark.createDataFrame([(1, None), (2, 0.5)], "frame int, psnr double").coalesce(1), str(tmp_path / "csv"))
     text = next((tmp_path / "csv").glob("*.csv")).read_text().split()
     assert text == ["frame,psnr", "1,", "2,0.5"]
