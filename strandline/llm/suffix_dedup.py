@@ -21,6 +21,9 @@ words after it.  The steps:
    first if only later ones do.  The windows of a document are merged, which covers passages
    of any length.
 
+Copies are windows with equal 64-bit hashes, over the 64-bit hash of the key and the 32-bit hashes of the words around
+it; neighbours in suffix order bound how far windows are looked at.  The words themselves are not compared again.
+
 Words are separated by ASCII white space and compared with A-Z in lower case.
 
 Nulls and texts under ``least`` words have no passages.  Repeated rows repeat each other.
