@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from .folds import ordered_fold
 
 BLOCK = 1 << 16  # order numbers of a block
+STEPS = 512
 
 
 def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
@@ -112,6 +113,25 @@ def affine_scan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b
 
 
+def stepped_scan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same row after row, in the order of a walk and so to the last bit, for all runs side by side."""
+    at = np.arange(len(a))
+    place = at - np.maximum.accumulate(np.where(a == 0, at, 0))
+    out, order = b.copy(), np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(place.max(initial=0) + 2))
+    for k in range(1, len(cuts) - 1):
+        rows = order[cuts[k] : cuts[k + 1]]
+        out[rows] = a[rows] * out[rows - 1] + b[rows]
+    return out
+
+
+def scanned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Runs of up to STEPS rows step by step, longer ones by doubling."""
+    starts = np.flatnonzero(a == 0)
+    short = not len(a) or np.diff(np.append(starts, len(a))).max() <= STEPS
+    return stepped_scan(a, b) if short else affine_scan(a, b)
+
+
 def averaged(values: np.ndarray, again: np.ndarray, use: np.ndarray, starts: np.ndarray, entry: np.ndarray, alpha: float) -> np.ndarray:
     """Moving average behind each row: blocks begin at `starts` with the state `entry` (NaN: none), `again` forgets it, rows in use join it."""
     n, at = len(values), np.arange(len(values))
@@ -126,7 +146,7 @@ def averaged(values: np.ndarray, again: np.ndarray, use: np.ndarray, starts: np.
     base = np.where(new & ~again, np.nan_to_num(before), 0.0)
     a = np.where(joins, np.where(first, 0.0, 1.0 - alpha), np.where(use | first | ~held, 0.0, 1.0))
     b = np.where(joins, alpha * v + np.where(first, (1.0 - alpha) * base, 0.0), np.where(use, v, np.where(first, base, 0.0)))
-    return np.where(has, affine_scan(a, b), np.nan)
+    return np.where(has, scanned(a, b), np.nan)
 
 
 def ema(df: DataFrame, key: list[str], order: str, value: str, alpha: float, again: str, use: str, block: int = BLOCK) -> DataFrame:

@@ -85,7 +85,9 @@ def test_scan_of_affine_maps():
     for x, y in zip(a, b):
         state = x * state + y
         want.append(state)
-    assert np.allclose(scan.affine_scan(a, b), want)
+    assert np.allclose(scan.affine_scan(a, b), want) and scan.stepped_scan(a, b).tolist() == want and scan.scanned(a, b).tolist() == want
+    a[1:] = 0.9
+    assert np.allclose(scan.scanned(a, b), scan.stepped_scan(a, b)) and len(scan.scanned(a[:0], b[:0])) == 0
 
 
 def test_empty_table(spark):
