@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import regions
+from ..functions import bits, regions
 from .choice import medians
+from .scan import whole_groups
 
 
 def direction(mvs: DataFrame, want: str = "all") -> DataFrame:
@@ -49,6 +50,20 @@ def audit(mvs: DataFrame) -> DataFrame:
 FIELD_BYTES = 1 << 26  # of the fields that a task holds side by side
 
 
+def dealt(records: DataFrame) -> DataFrame:
+    """Records with `turn`, their number in the frame: a frame's records lie together, in order, in one task.
+
+    The window's own partitioning serves, so records that come dealt by frame are not shuffled again."""
+    return records.withColumn("turn", F.row_number().over(Window.partitionBy("frame_id").orderBy("mv_idx")) - 1)
+
+
+def _geometry(mvs: DataFrame) -> DataFrame:
+    """Records that paint something: frame_id, mv_idx, dst_x, dst_y, w, h as long, dx, dy as double, and the columns that mvs has beside."""
+    used = ["dst_x", "dst_y", "w", "h", "motion_x", "motion_y"]
+    own = projected(mvs.dropna(subset=["frame_id", "mv_idx", *used]))
+    return own.withColumns({c: F.col(c).cast("long") for c in ("frame_id", "mv_idx", *used[:4])} | {c: F.col(c).cast("double") for c in ("dx", "dy")})
+
+
 def painted(mvs: DataFrame, grid_w: int, grid_h: int, fn: Callable, schema: str, layer: Column | None = None, layers: int = 1) -> DataFrame:
     """What fn makes of the dense fields of frames; the records of a frame meet in one task, nothing is exploded.
 
@@ -57,16 +72,14 @@ def painted(mvs: DataFrame, grid_w: int, grid_h: int, fn: Callable, schema: str,
     the grid, and are painted in record order, the last one stays.  `layer` tells the field of a record.
     Records with a null frame_id, mv_idx, place, size or motion paint nothing; a frame with no others is absent.
     """
-    used = ["dst_x", "dst_y", "w", "h", "motion_x", "motion_y"]
-    own = mvs.dropna(subset=["frame_id", "mv_idx", *used]).withColumn("layer", (F.lit(0) if layer is None else layer).cast("int"))
-    own = projected(own.where(f"layer >= 0 and layer < {layers}")).select(F.col("frame_id").cast("long").alias("frame_id"), F.col("mv_idx").cast("long").alias("mv_idx"), *[F.col(c).cast("long").alias(c) for c in used[:4]], "layer", F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"))
+    own = _geometry(mvs.withColumn("layer", (F.lit(0) if layer is None else layer).cast("int"))).where(f"layer >= 0 and layer < {layers}")
+    own = dealt(own.select("frame_id", "mv_idx", "dst_x", "dst_y", "w", "h", "layer", "dx", "dy"))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def fields(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        frame, _, cx, cy, w, h, z, dx, dy = (rows.column(c).to_numpy() for c in own_columns)
+        frame, _, cx, cy, w, h, z, dx, dy, turn = (rows.column(c).to_numpy() for c in own_columns)
         x0, y0 = cx - w // 2, cy - h // 2
         ids, at = np.unique(frame, return_inverse=True)  # frames come in order
-        turn = np.arange(len(at)) - np.searchsorted(at, at)  # a record's number in its frame
         most = max(1, FIELD_BYTES // (16 * layers * grid_h * grid_w))
         for lo in range(0, len(ids), most):
             n = min(most, len(ids) - lo)
@@ -91,23 +104,46 @@ def painted(mvs: DataFrame, grid_w: int, grid_h: int, fn: Callable, schema: str,
     own_columns = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the frame that may go on in the next batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            last = int(np.searchsorted(b.column("frame_id").to_numpy(), b.column("frame_id")[b.num_rows - 1].as_py()))
-            first = b.column("frame_id")[0].as_py()
-            if held and held[0].column("frame_id")[0].as_py() != first:
-                yield from fields(pa.Table.from_batches(held))
-                held = []
-            if last:
-                yield from fields(pa.Table.from_batches([*held, b.slice(0, last)]))
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield from fields(pa.Table.from_batches(held))
-
-    return own.repartition("frame_id").sortWithinPartitions("frame_id", "mv_idx").mapInArrow(run, schema)
+        for rows, _ in whole_groups(batches, ["frame_id"]):
+            yield from fields(rows)
+
+    return own.mapInArrow(run, schema)
+
+
+def covered_centres(mvs: DataFrame, paints: Column, grid_w: int, grid_h: int, keep: list[str]) -> DataFrame:
+    """Columns `keep` of all records with y, x (the block's centre, held inside the grid) and covered: whether a record of the frame for which
+    `paints` holds lies there.
+
+    The records of a frame meet in one task and give a row each; no cell leaves it.  A record without a frame or place is covered by none."""
+    used = ["dst_x", "dst_y", "w", "h", "motion_x", "motion_y"]
+    centre = [F.least(F.greatest(c, F.lit(0)), F.lit(n - 1)).cast("int").alias(a) for a, c, n in (("y", "dst_y", grid_h), ("x", "dst_x", grid_w))]
+    mark = paints
+    for c in ("mv_idx", *used):
+        mark = mark & F.col(c).isNotNull()
+    own = mvs.select(*keep, *centre, (F.col("dst_x").isNotNull() & F.col("dst_y").isNotNull() & F.col("frame_id").isNotNull()).alias("covered"), F.coalesce(mark, F.lit(False)).alias("__paints"), F.col("frame_id").alias("__frame"), F.col("mv_idx").alias("__idx"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"__{c}") for c in used[:4]])
+    rest = own.where("__frame is null").select(*keep, "y", "x", "covered")
+    own = own.where("__frame is not null").withColumn("__turn", F.row_number().over(Window.partitionBy("__frame").orderBy("__idx")))
+    names, schema = rest.columns, rest.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in whole_groups(batches, ["__frame"]):
+            cx, cy, w, h, y, x, placed, marked = (rows.column(c).to_numpy() for c in ("__dst_x", "__dst_y", "__w", "__h", "y", "x", "covered", "__paints"))
+            most = max(1, FIELD_BYTES // (32 * grid_h * -(-grid_w // 64)))
+            ends = np.append(starts, rows.num_rows)
+            hit = np.zeros(rows.num_rows, bool)
+            for lo in range(0, len(starts), most):
+                n = min(most, len(starts) - lo)
+                s = slice(int(ends[lo]), int(ends[lo + n]))
+                at = np.repeat(np.arange(n), np.diff(ends[lo : lo + n + 1]))
+                p = np.flatnonzero(marked[s]) + s.start
+                seen = np.zeros((n, grid_h, -(-grid_w // 64)), np.uint64)
+                own_at = at[p - s.start]
+                for r, cells in bits.laid(own_at, cx[p] - w[p] // 2, cy[p] - h[p] // 2, w[p], h[p], n, grid_w, grid_h):
+                    seen[own_at[r]] |= cells
+                hit[s] = (seen[at, y[s], x[s] // 64] >> (x[s] % 64).astype(np.uint64)) & np.uint64(1) > 0
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in (*keep, "y", "x")), pa.array(hit & placed)], names)
+
+    return own.mapInArrow(run, schema).unionByName(rest)
 
 
 def rasterised(mvs: DataFrame, grid_w: int, grid_h: int) -> DataFrame:
@@ -163,20 +199,70 @@ def fast_boxes(mvs: DataFrame, least: float, pad: int, grid_w: int, grid_h: int)
     return painted(mvs, grid_w, grid_h, boxes, "frame_id long, x0 int, x1 int, y0 int, y1 int")
 
 
+def _tiled(mvs: DataFrame, sizes: list[int], grid_w: int, grid_h: int, fn: Callable, schema: str) -> DataFrame:
+    """What fn makes of the tiles of frames: fn(ids, size, cells, most) gets frame numbers [n], covered cells and the largest squared magnitude
+    [n, rows, columns] of the tiles of one size, and returns the columns of `schema` as arrays.
+
+    Cells are bits, last records first, so no field of numbers is painted; the records of a frame meet in one task."""
+    own = dealt(_geometry(mvs).select("frame_id", "mv_idx", "dst_x", "dst_y", "w", "h", "dx", "dy"))
+    names = [f.split()[0] for f in schema.split(", ")]
+    words = -(-grid_w // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = [(s, bits.Tiles(s, grid_w, grid_h)) for s in sizes]
+        per_frame = 32 * grid_h * words + 16 * sum(t.shape[0] * t.shape[1] for _, t in tiles) + 16 * grid_h * max(t.shape[1] for _, t in tiles) * words
+        step = max(1, FIELD_BYTES // per_frame)
+        for rows, starts in whole_groups(batches, ["frame_id"]):
+            frame, cx, cy, w, h, dx, dy = (rows.column(c).to_numpy() for c in ("frame_id", "dst_x", "dst_y", "w", "h", "dx", "dy"))
+            mag, ends = dx**2 + dy**2, np.append(starts, rows.num_rows)
+            for lo in range(0, len(starts), step):
+                n = min(step, len(starts) - lo)
+                s = slice(int(ends[lo]), int(ends[lo + n]))
+                at = np.repeat(np.arange(n), np.diff(ends[lo : lo + n + 1]))
+                seen, most = np.zeros((n, grid_h, words), np.uint64), [np.full((n, *t.shape), -1.0) for _, t in tiles]
+                for r, cells in bits.laid(at, (cx - w // 2)[s], (cy - h // 2)[s], w[s], h[s], n, grid_w, grid_h):
+                    own_mag = mag[s][r]
+                    cells[~np.isfinite(own_mag)] = 0
+                    seen[at[r]] |= cells
+                    for (_, t), m in zip(tiles, most, strict=True):
+                        m[at[r]] = np.maximum(m[at[r]], np.where(t.touched(cells), own_mag[:, None, None], -1.0))
+                for (size, t), m in zip(tiles, most, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in fn(frame[ends[lo : lo + n]], size, t.counts(seen), m)], names)
+
+    return own.mapInArrow(run, schema)
+
+
 def tile_sums(mvs: DataFrame, sizes: list[int], grid_w: int, grid_h: int) -> DataFrame:
     """frame_id, size, ty, tx, cells and the largest squared magnitude of each size x size tile of each frame that has a covered cell."""
 
-    def tiles(ids, dx, dy):
-        mag, parts = dx[0] ** 2 + dy[0] ** 2, []
-        for s in sizes:
-            wide = np.pad(mag, ((0, 0), (0, -grid_h % s), (0, -grid_w % s)), constant_values=np.nan)
-            v = wide.reshape(len(ids), wide.shape[1] // s, s, wide.shape[2] // s, s)
-            n = np.isfinite(v).sum((2, 4))
-            k, ty, tx = np.nonzero(n)
-            parts.append((ids[k], np.full(len(k), s, np.int32), ty.astype(np.int32), tx.astype(np.int32), n[k, ty, tx], np.nan_to_num(v, nan=-1.0).max((2, 4))[k, ty, tx]))
-        return [np.concatenate(c) for c in zip(*parts, strict=True)]
-
-    return painted(mvs, grid_w, grid_h, tiles, "frame_id long, size int, ty int, tx int, cells long, most double")
+    def told(ids, size, cells, most):
+        k, ty, tx = np.nonzero(cells)
+        return ids[k], np.full(len(k), size, np.int32), ty.astype(np.int32), tx.astype(np.int32), cells[k, ty, tx], most[k, ty, tx]
+
+    return _tiled(mvs, sizes, grid_w, grid_h, told, "frame_id long, size int, ty int, tx int, cells long, most double")
+
+
+def tile_shares(mvs: DataFrame, sizes: list[int], eps: float, grid_w: int, grid_h: int) -> DataFrame:
+    """Per frame and size of tiles: how many have a covered cell, and the share of these whose largest squared magnitude is above eps; frames without any are absent."""
+
+    def told(ids, size, cells, most):
+        n, fast = (cells > 0).sum((1, 2)), (most > eps).sum((1, 2))
+        own = n > 0
+        return ids[own], np.full(own.sum(), size, np.int32), n[own], fast[own] / n[own]
+
+    return _tiled(mvs, sizes, grid_w, grid_h, told, "frame_id long, size int, tiles long, share double")
+
+
+def fullest_tiles(mvs: DataFrame, size: int, tenths: int, grid_w: int, grid_h: int) -> DataFrame:
+    """Per frame: tiles that have a covered cell, and how many of the fullest hold `tenths` tenths of the covered cells; frames without any are absent."""
+
+    def told(ids, size, cells, most):
+        n = np.sort(cells.reshape(len(ids), -1), axis=1)[:, ::-1].cumsum(1)
+        own = n[:, -1] > 0
+        enough = 10 * n >= tenths * n[:, -1:]
+        return ids[own], (cells > 0).sum((1, 2))[own], (enough.argmax(1) + 1).astype(np.int32)[own]
+
+    return _tiled(mvs, [size], grid_w, grid_h, told, "frame_id long, touched long, needed int")
 
 
 def mask_regions(mvs: DataFrame, least: float, grid_w: int, grid_h: int) -> DataFrame:

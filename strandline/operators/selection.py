@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 def gated_records(mvs: DataFrame, gates: DataFrame, grid_w: int, grid_h: int, limit: float = 0.5) -> DataFrame:
     """Records whose block centre, held inside the grid, lies on background (gate under the limit).
 
-    gates: frame_id, y, x, gate.  A frame without a gate at that place counts as background.
+    gates: frame_id, y, x, gate.  A frame without a gate at that place counts as background.  Gates that are made from the records
+    themselves don't need a table of cells: see motion.covered_centres.
     """
     own = mvs.withColumn("y", F.least(F.greatest("dst_y", F.lit(0)), F.lit(grid_h - 1))).withColumn("x", F.least(F.greatest("dst_x", F.lit(0)), F.lit(grid_w - 1)))
-    return own.join(gates, ["frame_id", "y", "x"], "left").where(F.coalesce(F.col("gate"), F.lit(0.0)) < limit)
+    return on_background(own.join(gates, ["frame_id", "y", "x"], "left"), F.col("gate"), limit)
+
+
+def on_background(records: DataFrame, gate: Column, limit: float = 0.5) -> DataFrame:
+    """Records whose gate is under the limit; those without one count as background."""
+    return records.where(F.coalesce(gate, F.lit(0.0)) < limit)
 
 
 def without(frames: DataFrame, skip: DataFrame, on: list[str]) -> DataFrame:

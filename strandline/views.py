@@ -29,11 +29,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mvs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    # numbered by its own frame_id, so that steps by frame find the records dealt
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "frame_id")
+    order = Window.partitionBy("frame_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     block = F.when(F.col("l_linestatus") == "F", 16).otherwise(8)
     return li.select(
-        F.col("l_orderkey").alias("frame_id"),
+        "frame_id",
         (F.row_number().over(order) - 1).alias("mv_idx"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(-1).alias("source"),
         block.alias("w"),
