@@ -65,12 +65,7 @@ def fast_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def tile_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Per frame: 8x8 grid tiles that covered cells touch, and how many of the fullest hold nine tenths of them."""
-    from pyspark.sql import Window
-
-    tiles = motion.tile_sums(_past(spark, d), [8], W, H)
-    order = Window.partitionBy("frame_id").orderBy(F.desc("cells"), "ty", "tx")
-    run = tiles.withColumn("upto", F.sum("cells").over(order)).withColumn("k", F.row_number().over(order)).withColumn("all", F.sum("cells").over(Window.partitionBy("frame_id")))
-    return run.groupBy("frame_id").agg(F.count(F.lit(1)).alias("touched"), F.min(F.when(F.col("upto") >= 0.9 * F.col("all"), F.col("k"))).alias("for_90"))
+    return motion.fullest_tiles(_past(spark, d), 8, 9, W, H).withColumnRenamed("needed", "for_90")
 
 
 RASTER = f"""WITH {views.MVS},

@@ -67,4 +67,4 @@ def test_spans_cross_words():
 
 def test_records_are_dealt_once_and_no_cell_is_shuffled(spark):
     assert exchanges(plans.gated_motion(spark, SF)) <= 3  # records, the unframed ones (pruned), sums of frames
-    assert exchanges(plans.texture_coverage(spark, SF)) == exchanges(motion_plans.flow_raster(spark, SF)) == 1
+    assert exchanges(plans.texture_coverage(spark, SF)) == exchanges(motion_plans.tile_clusters(spark, SF)) == exchanges(motion_plans.flow_raster(spark, SF)) == 1
