@@ -38,11 +38,22 @@ def forced_anchors(frames: DataFrame, key: list[str], every: int | None = None)
 def drift_distance(anchored: DataFrame, key: str = "clip_id") -> DataFrame:
     """hops: backbone frames since the last anchor; shown_distance: the same on the backbone, the display index on B frames."""
     order = Window.partitionBy(key).orderBy("frame_idx")
-    group = F.sum(F.col("is_anchor").cast("int")).over(order)
-    own = anchored.withColumn("__g", group)
-    hops = F.sum(on_backbone().cast("int")).over(Window.partitionBy(key, "__g").orderBy("frame_idx")) - 1
+    own = anchored.withColumn("__b", F.coalesce(F.sum(on_backbone().cast("int")).over(order), F.lit(0)))
+    # backbone frames before the last anchor, so that hops need no group of their own and no other sort
+    before = F.when(F.col("is_anchor"), F.col("__b") - F.coalesce(on_backbone(), F.lit(False)).cast("int"))
+    hops = F.col("__b") - F.coalesce(F.last(before, ignorenulls=True).over(order), F.lit(0)) - 1
     own = own.withColumn("hops", F.when(on_backbone(), hops).cast("int"))
-    return own.withColumn("shown_distance", F.when(F.col("ptype") == "B", F.col("frame_idx")).otherwise(F.col("hops"))).drop("__g")
+    return own.withColumn("shown_distance", F.when(F.col("ptype") == "B", F.col("frame_idx")).otherwise(F.col("hops"))).drop("__b")
+
+
+def anchor_grid(frames: DataFrame, every: list[int], key: str = "clip_id") -> DataFrame:
+    """frames with is_anchor_k and hops_k for each k of `every`, as forced_anchors and drift_distance give them, all from one sort of a clip."""
+    order = Window.partitionBy(key).orderBy("frame_idx")
+    own = frames.withColumn("__b", F.sum(on_backbone().cast("int")).over(order))
+    marks = {f"is_anchor_{k}": (F.col("ptype") == "I") | F.coalesce(on_backbone() & ((F.col("__b") - 1) % k == 0), F.lit(False)) for k in every}
+    own = own.withColumns(marks)
+    hops = {f"hops_{k}": F.when(on_backbone(), F.col("__b") - F.last(F.when(F.col(f"is_anchor_{k}"), F.col("__b")), ignorenulls=True).over(order)).cast("int") for k in every}
+    return own.withColumns(hops).drop("__b")
 
 
 def budget_anchors(frames: DataFrame, hole: str, budget: float, block: int = scan.BLOCK) -> DataFrame:

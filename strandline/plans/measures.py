@@ -37,12 +37,12 @@ def cost_account(spark: SparkSession, d: str) -> DataFrame:
 
 def anchor_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Operating points of every-k anchors: cost against a quality that falls with the distance, and the cheapest within 1 dB."""
-    f = views.frames(spark, d).withColumn("hole", F.floor("luma") / 512.0)
-    points = None
-    for k in (2, 4, 8):
-        own = refs.drift_distance(refs.forced_anchors(f, ["clip_id"], every=k))
-        p = own.groupBy("clip_id").agg(F.avg(40.0 - F.coalesce("hops", F.lit(2)) * 0.25).alias("psnr"), F.avg(F.col("is_anchor").cast("double")).alias("anchor_share")).withColumn("point", F.lit(k))
-        points = p if points is None else points.unionByName(p)
+    ks = (2, 4, 8)
+    own = refs.anchor_grid(views.frames(spark, d).select("clip_id", "frame_idx", "ptype"), list(ks))
+    psnr = [F.avg(40.0 - F.coalesce(f"hops_{k}", F.lit(2)) * 0.25).alias(f"psnr_{k}") for k in ks]
+    share = [F.avg(F.col(f"is_anchor_{k}").cast("double")).alias(f"share_{k}") for k in ks]
+    clips = own.groupBy("clip_id").agg(*psnr, *share)
+    points = clips.select("clip_id", F.inline(F.array(*[F.struct(F.col(f"psnr_{k}").alias("psnr"), F.col(f"share_{k}").alias("anchor_share"), F.lit(k).alias("point")) for k in ks])))
     return stats.within_of_best(points, ["clip_id"], "psnr", "anchor_share", 0.25)
 
 

@@ -20,11 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "clip_id")
+    order = Window.partitionBy("clip_id").orderBy("ts", "event_id")
     kind = F.when(F.col("event_type") == "purchase", "I").when(F.col("event_type").isin("click", "view"), "P").otherwise("B")
     return events.select(
-        F.col("user_id").alias("clip_id"), (F.row_number().over(order) - 1).alias("frame_idx"), kind.alias("ptype"), F.col("value").alias("luma")
+        "clip_id", (F.row_number().over(order) - 1).alias("frame_idx"), kind.alias("ptype"), F.col("value").alias("luma")
     )
 
 
