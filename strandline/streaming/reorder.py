@@ -6,132 +6,156 @@ up to the next gap.  A frame that comes after its place has been passed is told
 behind the watermark.  A clip without frames for `idle` of event time has ended: what waits is flushed, its state
 is deleted, and the same key begins anew.
 
-State holds the frames that came behind a gap; `wait` bounds them.
+State holds the frames that came behind a gap; `wait` bounds them.  It is one row for a pack of clips of neighbouring numbers, read
+once and written once when frames of the pack come, and a pack has one timer, for what is due first: clips are many, and each question
+to the store is a round trip.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.segment import CutRules, CutState, cut_step
+from .online import by_clip, level, packed, told
 
 IN = "clip_id long, frame_idx int, ptype string, luma double, ts timestamp"
-DETECTOR = "luma double, base double, chroma_base double, last int, chunk int, held int, next int"
-FRAME = "ptype string, luma double, ms long"
+KINDS = "long, double, double, double, int, int, int, int, long".split(", ")
+NAMES = "clip, luma, base, chroma_base, last, chunk, held, next, end".split(", ")
+STATE = "timer long, " + ", ".join(f"{n} array<{k}>" for n, k in zip(NAMES, KINDS, strict=True)) + ", w_clip array<long>, w_idx array<int>, w_kind array<string>, w_luma array<double>, w_ms array<long>"
 OUT = "clip_id long, frame_idx int, ptype string, luma double, diff double, is_cut boolean, chunk_id int, late boolean"
 WAIT_MS, IDLE_MS = 10_000, 60_000
 
 
+EPOCH = datetime(1970, 1, 1)
+
+
+def ms_of(ts: datetime | None) -> int:
+    """Milliseconds of a timestamp, of whatever zone; a frame without one counts as the oldest."""
+    if ts is None:
+        return 0
+    own = ts.astimezone(timezone.utc).replace(tzinfo=None) if ts.tzinfo else ts
+    return (own - EPOCH) // timedelta(milliseconds=1)
+
+
+ROW = Row(*(c.split()[0] for c in OUT.split(", ")))
+
+
+class Clip:
+    """State of a clip: its detector, the event time of its end, and what waits: {frame_idx: (ptype, luma, ms)}."""
+
+    def __init__(self) -> None:
+        self.cut, self.chunk, self.n, self.next, self.end = CutState(), 0, 0, 0, None
+        self.waiting: dict[int, tuple] = {}
+
+    def due(self) -> int:
+        """When the clip ends or its first gap is given up."""
+        return min([self.end, *(f[2] for f in self.waiting.values())])
+
+
+def restored(held: tuple | None) -> tuple[int | None, dict[int, Clip]]:
+    """The timer of a pack and its clips."""
+    clips: dict[int, Clip] = {}
+    if held is None:
+        return None, clips
+    timer, *rest = held
+    for clip, luma, base, chroma_base, last, chunk, n, after, end in zip(*rest[: len(NAMES)], strict=True):
+        c = clips[clip] = Clip()
+        c.cut.luma, c.cut.base, c.cut.chroma_base, c.cut.last, c.chunk, c.n, c.next, c.end = luma, base, chroma_base, last, chunk, n, after, end
+    for clip, idx, kind, luma, ms in zip(*rest[len(NAMES) :], strict=True):
+        clips[clip].waiting[idx] = (kind, level(luma), ms)
+    return timer, clips
+
+
+def stored(timer: int, clips: dict[int, Clip]) -> tuple:
+    own = [(i, c.cut.luma, c.cut.base, c.cut.chroma_base, c.cut.last, c.chunk, c.n, c.next, c.end) for i, c in clips.items()]
+    waiting = [(i, idx, *f) for i, c in clips.items() for idx, f in c.waiting.items()]
+    columns = lambda rows, n: [list(v) for v in zip(*rows, strict=True)] or [[] for _ in range(n)]
+    return timer, *columns(own, len(NAMES)), *columns(waiting, 5)
+
+
 class OrderedChunks(StatefulProcessor):
-    """Cuts and chunk numbers of the frames of one clip, whatever the order in which they come."""
+    """Cuts and chunk numbers of the frames of a pack of clips, whatever the order in which they come."""
 
     def __init__(self, rules: CutRules = CutRules(), soft_cap: int = 48, idle_ms: int = IDLE_MS):
         self.rules, self.soft_cap, self.idle_ms = rules, soft_cap, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.step = handle, cut_step(self.rules)
-        self.detector = handle.getValueState("detector", DETECTOR)
-        self.waiting = handle.getMapState("waiting", "frame_idx int", FRAME)
-        self.end = handle.getValueState("end", "ms long")
-
-    def _load(self) -> tuple[CutState, int, int, int]:
-        s = CutState()
-        if not self.detector.exists():
-            return s, 0, 0, 0
-        s.luma, s.base, s.chroma_base, s.last, chunk, held, after = self.detector.get()
-        return s, chunk, held, after
-
-    def _released(self, key, frames: list[tuple], held: tuple) -> tuple[list[tuple], tuple]:
-        """Rows of frames (index, ptype, luma) that go on, in order, and the detector behind them."""
-        s, chunk, n, after = held
+        self.held = handle.getValueState("pack", STATE)
+
+    def _released(self, clip, c: Clip, frames: list[tuple]) -> list[Row]:
+        """Rows of frames (index, ptype, luma) that go on, in order."""
         out = []
         for idx, kind, luma in frames:
-            diff, cut, _ = self.step(s, idx, kind, luma, None)
-            if n and (kind == "I" or cut or (n >= self.soft_cap and kind == "P")):
-                chunk, n = chunk + 1, 0
-            n, after = n + 1, idx + 1
-            out.append((key[0], idx, kind, luma, diff, cut, chunk, False))
-        return out, (s, chunk, n, after)
-
-    def _save(self, held: tuple) -> None:
-        s, chunk, n, after = held
-        self.detector.update((s.luma, s.base, s.chroma_base, s.last, chunk, n, after))
-
-    def _timers(self, first_waiting_ms: int | None, last_ms: int) -> None:
-        """One timer for the gap, if something waits, and one for the end of the clip."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        end = last_ms + self.idle_ms
-        self.end.update((end,))
-        self.handle.registerTimer(end)
-        if first_waiting_ms is not None and first_waiting_ms < end:
-            self.handle.registerTimer(first_waiting_ms)
-
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        flushed: list[tuple] = []
-        if self.end.exists() and timerValues.getCurrentWatermarkInMs() >= self.end.get()[0]:  # its timer comes after these rows
-            flushed = self._ended(key)
-        held = self._load()
-        got = pd.concat(list(rows), ignore_index=True).drop_duplicates("frame_idx").sort_values("frame_idx", kind="stable")
-        ms = got["ts"].astype("datetime64[ms]").astype("int64").tolist()
-        last = max([*ms, self.end.get()[0] - self.idle_ms if self.end.exists() else 0])
-        new = {i: (k, v, t) for i, k, v, t in zip(got["frame_idx"].tolist(), got["ptype"].tolist(), got["luma"].tolist(), ms, strict=True)}
-        late = [(key[0], i, k, v, None, False, None, True) for i, (k, v, _) in new.items() if i < held[3]]
-        ready, at = [], held[3]
-        while True:
-            if at in new:
-                ready.append((at, *new.pop(at)[:2]))
-            elif self.waiting.containsKey((at,)):
-                ready.append((at, *self.waiting.getValue((at,))[:2]))
-                self.waiting.removeKey((at,))
-            else:
-                break
-            at += 1
-        out, held = self._released(key, ready, held)
-        for i, frame in new.items():
-            if i > held[3]:
-                self.waiting.updateValue((i,), frame)
-        self._save(held)
-        self._timers(min((v[2] for _, v in self.waiting.iterator()), default=None), last)
-        if flushed or late or out:
-            yield self._frame(flushed + late + out)
-
-    def _ended(self, key) -> list[tuple]:
-        """Rows of what waits; the clip's state and timers go."""
-        waiting = sorted((k[0], *v) for k, v in self.waiting.iterator())
-        out, _ = self._released(key, [w[:3] for w in waiting], self._load())
-        for held in (self.detector, self.waiting, self.end):
-            held.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+            diff, cut, _ = self.step(c.cut, idx, kind, luma, None)
+            if c.n and (kind == "I" or cut or (c.n >= self.soft_cap and kind == "P")):
+                c.chunk, c.n = c.chunk + 1, 0
+            c.n, c.next = c.n + 1, idx + 1
+            out.append(ROW(clip, idx, kind, told(luma), told(diff), cut, c.chunk, False))
         return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.end.exists():  # another timer of this batch has ended the clip
-            return
-        now, end = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), self.end.get()[0]
-        if now >= end:
-            out = self._ended(key)
-        else:  # gaps are given up: up to the last frame that has waited long enough, and what follows it without a gap
-            held, waiting = self._load(), sorted((k[0], *v) for k, v in self.waiting.iterator())
+    def _save(self, timer: int | None, clips: dict[int, Clip], fired: int | None = None) -> None:
+        """Writes the state and moves the timer; Spark itself drops the one that has fired."""
+        due = min((c.due() for c in clips.values()), default=None)
+        if due != timer:
+            if timer is not None and timer != fired:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if clips:
+            self.held.update(stored(due, clips))
+        else:
+            self.held.clear()
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        timer, clips = restored(self.held.get())
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        for clip, frames in by_clip(rows, lambda r: (r.frame_idx, r.ptype, level(r.luma), ms_of(r.ts))).items():
+            c = clips.setdefault(clip, Clip())
+            if c.end is not None and now >= c.end:  # its timer comes after these rows
+                out += self._ended(clip, c)
+                c = clips[clip] = Clip()
+            new: dict[int, tuple] = {}
+            for idx, *f in frames:
+                new.setdefault(idx, tuple(f))
+                c.end = max(c.end or self.idle_ms, f[2] + self.idle_ms)
+            out += [ROW(clip, i, new[i][0], told(new[i][1]), None, False, None, True) for i in sorted(new) if i < c.next]
+            ready, at = [], c.next
+            while at in new or at in c.waiting:
+                old = c.waiting.pop(at, None)
+                ready.append((at, *new.pop(at, old)[:2]))
+                at += 1
+            out += self._released(clip, c, ready)
+            c.waiting |= {i: f for i, f in new.items() if i > c.next}
+        self._save(timer, clips)
+        return iter(out)
+
+    def _ended(self, clip, c: Clip) -> list[Row]:
+        """Rows of what waits."""
+        return self._released(clip, c, [(i, *f[:2]) for i, f in sorted(c.waiting.items())])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        timer, clips = restored(self.held.get())
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        now, out = max(fired, timerValues.getCurrentWatermarkInMs()), []
+        for clip, c in list(clips.items()):
+            if now >= c.end:
+                out += self._ended(clip, clips.pop(clip))
+                continue
+            # gaps are given up: up to the last frame that has waited long enough, and what follows it without a gap
+            waiting = sorted((i, *f) for i, f in c.waiting.items())
             n = max((k for k, w in enumerate(waiting, 1) if w[3] <= now), default=0)
             while 0 < n < len(waiting) and waiting[n][0] == waiting[n - 1][0] + 1:
                 n += 1
-            out, held = self._released(key, [w[:3] for w in waiting[:n]], held)
-            for w in waiting[:n]:
-                self.waiting.removeKey((w[0],))
-            self._save(held)
-            self._timers(min((w[3] for w in waiting[n:]), default=None), end - self.idle_ms)
-        if out:
-            yield self._frame(out)
+            out += self._released(clip, c, [w[:3] for w in waiting[:n]])
+            c.waiting = {w[0]: w[1:] for w in waiting[n:]}
+        self._save(timer, clips, fired)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -140,4 +164,4 @@ class OrderedChunks(StatefulProcessor):
 def ordered_chunks(frames: DataFrame, rules: CutRules = CutRules(), soft_cap: int = 48, wait_ms: int = WAIT_MS, idle_ms: int = IDLE_MS) -> DataFrame:
     """A streaming DataFrame of frames (IN) with diff, is_cut and chunk_id; late ones come with late = true and no chunk."""
     own = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{wait_ms} milliseconds")
-    return own.groupBy("clip_id").transformWithStateInPandas(OrderedChunks(rules, soft_cap, idle_ms), OUT, "append", "eventTime")
+    return packed(own).transformWithState(OrderedChunks(rules, soft_cap, idle_ms), OUT, "append", "eventTime")

@@ -74,3 +74,11 @@ def test_a_clip_that_ends_is_flushed_and_its_state_is_gone(spark):
     rows = sorted((r.frame_idx, str(r.diff), r.is_cut, r.chunk_id) for r in got)
     old, new = want(spark, first[:10] + gap), want(spark, later)
     assert rows == sorted((i, str(d), c, k) for own in (old, new) for (_, i), (d, c, k) in own.items())
+
+
+def test_calls_serve_packs_of_clips(spark):
+    """State and calls are by pack: many clips, some in one pack, some far apart."""
+    assert {n.split()[0] for n in reorder.STATE.split(", ")} >= {"clip", "w_clip"} and online.STATE.startswith("clip array")
+    rows = clip(1, 30, 7) + clip(2, 25, 8) + clip(-3, 20, 9) + clip(5000, 30, 10)
+    got = run(spark, shuffled(rows, 3, 6, 1), 3, wait_ms=5000, idle_ms=60000)
+    assert {(r.clip_id, r.frame_idx): (r.diff, r.is_cut, r.chunk_id) for r in got} == want(spark, rows)
