@@ -110,7 +110,7 @@ def seam_metrics(spark: SparkSession, d: str) -> DataFrame:
     return seams(own).groupBy("scene", "variant").agg(F.count(F.lit(1)).alias("n"), F.avg(F.nanvl("seam", F.lit(None).cast("double"))).alias("seam"), F.avg("halo").alias("halo"), F.avg("area").alias("area"))
 
 
-BUDGET = 1 << 22  # values of planes that a task works out side by side
+BUDGET = 1 << 19  # values of planes that a task works out side by side: the flow holds some hundred arrays of planes, so this is below 100 MB
 
 
 def temporal_errors(own: DataFrame, side: int = SIDE) -> DataFrame:
