@@ -2,10 +2,13 @@
 
 ``laid_out`` gives every frame and sound packet its fragment and its place in it.  ``format("fragments")`` writes
 the rows of a batch or a stream: a task writes the fragments that it holds below ``_attempts`` and tells the driver
-their names in its commit message; the commit moves them to their places and notes them in a manifest.  Files of
-tasks that failed, or ran twice, are in no message and go with the folder.  A stream's batch that comes
+the names of its files in its commit message; the commit moves them to their places and notes them in a manifest.
+Files of tasks that failed, or ran twice, are in no message and go with the folder.  A stream's batch that comes
 again after its manifest is there changes nothing.
 
+A batch's task writes one file for all its fragments and a list of where each one lies in it, so that the files, and
+the driver's work, grow with the tasks and not with the fragments.  A stream's task writes a file for each fragment.
+
 The path is on a file system that pyarrow reaches and all executors share.
 """
 
@@ -14,8 +17,10 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
@@ -27,8 +32,10 @@ from ..operators.scan import whole_groups
 
 SIZE, AHEAD = 12, 1.0  # frames of a fragment, seconds that the sound runs ahead
 ROWS = "clip string, fragment int, place int, rank int, t double, id long"
+NOTED = "clip string, fragment int, file string, row_group int, first long, frames int, packets int"
 BY = ["clip", "fragment"]
 ORDER = [*BY, "place", "rank", "t", "id"]
+GROUP = 1 << 16  # rows after which a row group ends with its last fragment
 
 
 def laid_out(video: DataFrame, audio: DataFrame, fps: float, size: int = SIZE, ahead: float = AHEAD) -> DataFrame:
@@ -53,11 +60,40 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Fragments of a task: (clip, fragment, file, frames, packets)."""
+    """Fragments of a stream's task: (clip, fragment, file, frames, packets)."""
 
     parts: list = field(default_factory=list)
 
 
+@dataclass
+class Packed(WriterCommitMessage):
+    """Files of a batch's task and their places: (file, place); none if it had no rows."""
+
+    moves: list = field(default_factory=list)
+
+
+def _row_groups(iterator: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole fragments, of GROUP rows and the rest of a table more, and where the fragments start."""
+    held, starts, n = [], [], 0
+    for table, at in whole_groups(iterator, BY):
+        held.append(table)
+        starts.append(at + n)
+        n += table.num_rows
+        if n >= GROUP:
+            yield pa.concat_tables(held), np.concatenate(starts)
+            held, starts, n = [], [], 0
+    if held:
+        yield pa.concat_tables(held), np.concatenate(starts)
+
+
+def _told(table: pa.Table, starts: np.ndarray, file: str, row_group: int) -> pa.Table:
+    """NOTED of the fragments of a row group."""
+    sound = np.add.reduceat(table.column("rank").to_numpy(), starts)
+    columns = {c: table.column(c).take(pa.array(starts)) for c in BY}
+    columns |= {"file": pa.array([file] * len(starts)), "row_group": pa.array([row_group] * len(starts), pa.int32()), "first": pa.array(starts, pa.int64())}
+    return pa.table(columns | {"frames": pa.array(np.diff(starts, append=table.num_rows) - sound, pa.int32()), "packets": pa.array(sound, pa.int32())})
+
+
 class _Files:
     """The sink's folder."""
 
@@ -88,59 +124,81 @@ class _Writer:
             raise ValueError("fragments need a path")
         self.path, self.job, self.overwrite = options["path"], uuid.uuid4().hex, overwrite
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        files, out, task = _Files(self.path), Written(), TaskContext.get()
+    def _attempt(self) -> tuple[_Files, str]:
+        """A fresh folder for what a task writes."""
+        files, task = _Files(self.path), TaskContext.get()
         folder = f"_attempts/{self.job}/{task.partitionId()}-{task.attemptNumber()}-{uuid.uuid4().hex}"
         files.fs.create_dir(f"{files.path}/{folder}", recursive=True)
-        for table, starts in whole_groups(iterator, BY):
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                own = table.slice(lo, hi - lo)
-                clip, fragment = own.column("clip")[0].as_py(), own.column("fragment")[0].as_py()
-                name = f"{folder}/{len(out.parts)}.parquet"
-                with files.fs.open_output_stream(f"{files.path}/{name}") as f:
-                    pq.write_table(own, f)
-                sound = sum(own.column("rank").to_pylist())
-                out.parts.append((clip, fragment, name, own.num_rows - sound, sound))
-        return out
+        return files, folder
 
-    def _settled(self, messages: list, manifest: str, suffix: str) -> None:
-        """Moves the told files to their places, notes them, and drops what else the job has left."""
+    def _settled(self, moves: list, manifest: str, noted: list) -> None:
+        """Moves the told files to their places, puts down the manifest, and drops what else the job has left."""
         files = _Files(self.path)
-        files.fs.create_dir(f"{files.path}/_manifests", recursive=True)
+        for folder in {"fragments", "_manifests", *(to.rpartition("/")[0] for _, to in moves)}:
+            files.fs.create_dir(f"{files.path}/{folder}", recursive=True)
         if not files.there(manifest):
-            noted = []
-            for clip, fragment, name, frames, packets in sorted((p for m in messages if m for p in m.parts), key=lambda p: (str(p[0]), p[1])):
-                folder = f"fragments/{'null' if clip is None else 'clip-' + clip.encode().hex()}"
-                files.fs.create_dir(f"{files.path}/{folder}", recursive=True)
-                to = f"{folder}/{fragment:08d}{suffix}.parquet"
+            for name, to in moves:
                 if files.there(name):  # else an earlier commit of this job, which did not end, has moved it
                     files.fs.move(f"{files.path}/{name}", f"{files.path}/{to}")
-                noted.append({"clip": clip, "fragment": fragment, "file": to, "frames": frames, "packets": packets})
             files.put(manifest, json.dumps(noted))
         files.gone(f"_attempts/{self.job}")
 
 
 class FragmentWriter(_Writer, DataSourceArrowWriter):
+    """A task's fragments lie in one file, each whole in a row group; a list beside the manifest tells where."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Packed:
+        files, folder = self._attempt()
+        part = f"{TaskContext.get().partitionId():06d}.parquet"
+        to = f"fragments/job-{self.job}/{part}"
+        moves = [(f"{folder}/rows.parquet", to), (f"{folder}/list.parquet", f"_manifests/job-{self.job}/{part}")]
+        with ExitStack() as ends:
+            writers: list[pq.ParquetWriter] = []
+            for k, (table, starts) in enumerate(_row_groups(iterator)):
+                both = table, _told(table, starts, to, k)
+                if not writers:
+                    for (name, _), rows in zip(moves, both, strict=True):
+                        out = ends.enter_context(files.fs.open_output_stream(f"{files.path}/{name}"))
+                        writers.append(ends.enter_context(pq.ParquetWriter(out, rows.schema)))
+                for writer, rows in zip(writers, both, strict=True):
+                    writer.write_table(rows, row_group_size=rows.num_rows)
+        return Packed(moves if writers else [])
+
     def commit(self, messages: list) -> None:
         if self.overwrite:
             for name in ("fragments", "_manifests"):
                 _Files(self.path).gone(name)
-        self._settled(messages, f"_manifests/job-{self.job}.json", f"-{self.job}")
+        moves = [x for m in messages if m for x in m.moves]
+        self._settled(moves, f"_manifests/job-{self.job}.json", [{"lists": f"_manifests/job-{self.job}"}] if moves else [])
 
     def abort(self, messages: list) -> None:
         _Files(self.path).gone(f"_attempts/{self.job}")
 
 
 class FragmentStreamWriter(_Writer, DataSourceStreamArrowWriter):
-    """A fragment whose frames come in several batches has a file for each.  A task sorts its part of a micro-batch, which the source's admission bounds."""
+    """A file for each fragment; one whose frames come in several batches has a file for each.  A task sorts its part of a micro-batch, which the source's admission bounds."""
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        batches = list(iterator)
-        own = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in ORDER]) if batches else None
-        return super().write(iter(own.to_batches() if own else []))
+        (files, folder), out, batches = self._attempt(), Written(), list(iterator)
+        rows = pa.Table.from_batches(batches).sort_by([(c, "ascending") for c in ORDER]) if batches else None
+        for table, starts in whole_groups(iter(rows.to_batches() if rows else []), BY):
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                own = table.slice(lo, hi - lo)
+                clip, fragment = own.column("clip")[0].as_py(), own.column("fragment")[0].as_py()
+                name = f"{folder}/{len(out.parts)}.parquet"
+                with files.fs.open_output_stream(f"{files.path}/{name}") as f:
+                    pq.write_table(own, f, row_group_size=own.num_rows)
+                sound = sum(own.column("rank").to_pylist())
+                out.parts.append((clip, fragment, name, own.num_rows - sound, sound))
+        return out
 
     def commit(self, messages: list, batchId: int) -> None:  # noqa: N803
-        self._settled(messages, f"_manifests/batch-{batchId:010d}.json", f"-{batchId:010d}")
+        moves, noted = [], []
+        for clip, fragment, name, frames, packets in sorted((p for m in messages if m for p in m.parts), key=lambda p: (str(p[0]), p[1])):
+            to = f"fragments/{'null' if clip is None else 'clip-' + clip.encode().hex()}/{fragment:08d}-{batchId:010d}.parquet"
+            moves.append((name, to))
+            noted.append({"clip": clip, "fragment": fragment, "file": to, "row_group": 0, "first": 0, "frames": frames, "packets": packets})
+        self._settled(moves, f"_manifests/batch-{batchId:010d}.json", noted)
 
     def abort(self, messages: list, batchId: int) -> None:  # noqa: N803
         _Files(self.path).gone(f"_attempts/{self.job}")
@@ -169,10 +227,13 @@ def swept(path: str) -> None:
 
 
 def manifest(spark, path: str) -> DataFrame:
-    """clip, fragment, file, frames, packets of what has been committed below a path."""
-    return spark.read.schema("clip string, fragment int, file string, frames int, packets int").json(f"{path}/_manifests/*.json")
+    """clip, fragment, file, row_group, first (its first row in that), frames, packets of what has been committed below a path."""
+    noted = spark.read.schema(f"{NOTED}, lists string").json(f"{path}/_manifests/*.json")
+    lists = [f"{path}/{r.lists}" for r in noted.where("lists is not null").select("lists").collect()]  # a folder a job
+    own = noted.where("lists is null").drop("lists")
+    return own.unionByName(spark.read.schema(NOTED).parquet(*lists)) if lists else own
 
 
 def read_fragments(spark, path: str) -> DataFrame:
     """ROWS of the committed fragments below a path."""
-    return spark.read.schema(ROWS).parquet(f"{path}/fragments/*")
+    return spark.read.schema(ROWS).option("recursiveFileLookup", "true").parquet(f"{path}/fragments")
