@@ -25,9 +25,9 @@ def laid(at: np.ndarray, x0: np.ndarray, y0: np.ndarray, w: np.ndarray, h: np.nd
     covered = np.zeros((frames, grid_h, words), np.uint64)
     back = np.searchsorted(at, at, "right") - 1 - np.arange(len(at))
     order = np.argsort(back, kind="stable")
-    ends = np.searchsorted(back[order], np.arange(back.max(initial=-1) + 1), "right")
+    ends = np.searchsorted(back[order], np.arange(back.max(initial=-1) + 1), "right").tolist()  # none without records
     y = np.arange(grid_h)
-    for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+    for lo, hi in zip([0, *ends], ends):
         r = order[lo:hi]
         row = spans(np.clip(x0[r], 0, grid_w), np.clip(x0[r] + w[r], 0, grid_w), words)
         inside = (y >= y0[r, None]) & (y < (y0[r] + h[r])[:, None])

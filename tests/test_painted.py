@@ -44,6 +44,17 @@ def test_a_record_without_frame_or_place_is_background(spark, records):
     assert got.count() == records.count() + 2 and got.where("(frame_id is null or mv_idx = 99) and covered").count() == 0
 
 
+def test_frames_without_painting_records_are_background(spark, records):
+    """A task whose rows, or whose last frame, hold no record that paints."""
+    future = records.withColumn("source", F.lit(1))
+    own = motion.covered_centres(future, F.col("source") < 0, W, H, ["frame_id", "mv_idx"])
+    assert own.count() == records.count() and own.where("covered").count() == 0
+    last = records.withColumn("source", F.when(F.col("frame_id") < 39, F.col("source")).otherwise(1)).coalesce(1)
+    assert motion.covered_centres(last, F.col("source") < 0, W, H, ["frame_id"]).where("frame_id = 39 and covered").count() == 0
+    none = np.zeros(0, np.int64)
+    assert list(bits.laid(none, none, none, none, none, 1, W, H)) == []
+
+
 def test_tiles_by_bits_equal_painted_fields(records):
     past = motion.direction(records, "past")
     cells = motion.rasterised(past, W, H).withColumn("m", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
