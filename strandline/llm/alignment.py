@@ -7,10 +7,12 @@
    both have a token's end, so components are the least groups.  A run of texts of about ``RUN_CHARS``
    is worked out side by side in numpy.
 3. The members of the components give the links as pairs of ids.  A chunk of about ``CHUNK_LINKS`` links
-   is one row: its distinct pairs with their counts, and for each document which of them it holds.
+   is one row: its distinct pairs with their counts, and for each document which of them it holds, packed
+   into bytes that only the task that sums them unpacks.  A task reads ``CHUNKS_HELD`` chunks at a time.
    A pair is in a chunk's list once, so no pair is hot in the shuffle, however common it is.
 4. Pairs are summed over the corpus, rated against the best pair of their B id (a row for each id of
-   the vocabulary at most, broadcast) and sent back to their chunks, which sum them by document.
+   the vocabulary at most, broadcast) and sent back to their chunks, a row each.  Each chunk meets its rows
+   by itself and sums them by document.
 
 Texts longer than ``RUN_CHARS`` are encoded in parts that are cut between a character and a blank with a
 letter after it, where neither tokenizer has a token across; the parts of a text count together.
@@ -37,6 +39,7 @@ from .staging import staged
 
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 RUN_CHARS, CHUNK_LINKS = 1 << 20, 1 << 20
+CHUNKS_HELD = 4  # rows of a row group, which a reader holds whole
 #: Fixed value: the published pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S) (?=[A-Za-z])")
@@ -210,7 +213,7 @@ def _encoded(own: Pair, texts: list[str | None], most: int) -> Iterator[list[tup
 
 
 KINDS = {"uid": "long", "doc_id": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string", "end": "int"}
-CHUNK = ", ".join(f"{c}s array<{t}>" for c, t in KINDS.items()) + ", chunk long, at array<int>, pairs array<long>, counts array<int>"
+CHUNK = ", ".join(f"{c}s array<{t}>" for c, t in KINDS.items()) + ", chunk long, at binary, pairs array<long>, counts array<int>"
 
 
 def _chunks(a_path: str, b_path: str, run_chars: int, chunk_links: int):
@@ -221,13 +224,14 @@ def _chunks(a_path: str, b_path: str, run_chars: int, chunk_links: int):
         rows, keys, held, number = [], [], 0, 0
 
         def row() -> pa.RecordBatch:
-            """The links of all rows as places in the list of distinct pairs, in order and as differences, which take little space."""
+            """The links of all rows as places in the list of distinct pairs, in order and as differences, which take little space packed."""
             all_keys = np.concatenate([np.zeros(0, np.int64), *keys])
             pairs, at, counts = np.unique(all_keys, return_inverse=True, return_counts=True)
             n = np.array([r[-1] for r in rows], np.int64)
-            at = np.sort(at + np.repeat(np.arange(len(rows)) * (len(pairs) + 1), n)) if len(at) else at
+            at = np.sort(at + np.repeat(np.cumsum(n > 0) * (len(pairs) + 1), n))  # rows without links take no numbers, so differences are short
+            packed = pa.compress(np.diff(at, prepend=0).astype(np.int32).tobytes(), codec="zstd", asbytes=True)
             cols = [pa.array([list(x)], pa.list_(kinds[t])) for x, t in zip(zip(*[(*r[:-1], e) for r, e in zip(rows, np.cumsum(n).tolist())]), KINDS.values(), strict=True)]
-            cols += [pa.array([task + number]), *(pa.array([x], pa.list_(t)) for x, t in ((np.diff(at, prepend=0).astype(np.int32), pa.int32()), (pairs, pa.int64()), (counts.astype(np.int32), pa.int32())))]
+            cols += [pa.array([task + number]), pa.array([packed], pa.binary()), pa.array([pairs], pa.list_(pa.int64())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays(cols, [f"{c}s" for c in KINDS] + ["chunk", "at", "pairs", "counts"])
 
         uid = task
@@ -244,7 +248,10 @@ def _chunks(a_path: str, b_path: str, run_chars: int, chunk_links: int):
                     if x is None:
                         if last:
                             rows.append((uid + k, ids[k], 0, 0, 0, 0, "", 0))
-                            keys.append(np.zeros(0, np.int64))
+                            held += len(KINDS)
+                            if held >= chunk_links:
+                                yield row()
+                                rows, keys, held, number = [], [], 0, number + 1
                         continue
                     j += 1
                     n = int(g.n_links[j])
@@ -255,7 +262,7 @@ def _chunks(a_path: str, b_path: str, run_chars: int, chunk_links: int):
                         sha = hashlib.sha256()
                     s = slice(first, first + n)
                     keys.append(g.a[g.left[s]] << 32 | g.b[g.right[s]])
-                    first, held = first + n, held + n
+                    first, held = first + n, held + n + len(KINDS)
                     if held >= chunk_links:
                         yield row()
                         rows, keys, held, number = [], [], 0, number + 1
@@ -269,48 +276,45 @@ def _chunks(a_path: str, b_path: str, run_chars: int, chunk_links: int):
 SUMS = "uid long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parts of documents of each chunk with the sums over their links."""
-    for b in batches:
-        for k in range(b.num_rows):
-            at = lambda c: b.column(c)[k].values  # noqa: E731, B023
-            ends = at("ends").to_numpy()
-            rated = b.column("rated")[k].values
-            if rated is None or not len(rated):
-                best = total = np.zeros(len(ends), np.int64)
-            else:
-                count, top = rated.field("count").to_numpy(), rated.field("top").to_numpy(zero_copy_only=False)
-                places = np.cumsum(at("at").to_numpy(), dtype=np.int64) % (len(count) + 1)
-                sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[ends], prepend=0)
-                best, total = sums(top[places].astype(np.int64)), sums(count[places])
-            cols = {c: at(f"{c}s") for c in KINDS if c != "end"} | {"n_best": pa.array(best), "count_sum": pa.array(total)}
-            yield pa.RecordBatch.from_arrays([cols[c] for c in (s.split()[0] for s in SUMS.split(", "))], [s.split()[0] for s in SUMS.split(", ")])
+def _summed(chunk: pa.Table, rated: pa.Table) -> pa.Table:
+    """The parts of documents of a chunk with the sums over their links; rated: place, count and top of its pairs, in any order."""
+    chunk = chunk.combine_chunks()
+    at = lambda c: chunk.column(c).chunk(0)[0]
+    ends, place = at("ends").values.to_numpy(), rated.column("place").to_numpy()
+    count, top = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    count[place], top[place] = rated.column("count").to_numpy(), rated.column("top").to_numpy()
+    links = np.frombuffer(pa.decompress(at("at").as_py(), 4 * int(ends[-1]), "zstd", asbytes=True), np.int32)
+    places = np.cumsum(links, dtype=np.int64) % (len(place) + 1)
+    sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[places])))[ends], prepend=0)
+    cols = {c: at(f"{c}s").values for c in KINDS if c != "end"} | {"n_best": pa.array(sums(top)), "count_sum": pa.array(sums(count))}
+    return pa.table({c: cols[c] for c in (s.split()[0] for s in SUMS.split(", "))})
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _counted(docs: DataFrame, a_path: str, b_path: str, run_chars: int, chunk_links: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chunks; their pairs (chunk, pair, n); and for each pair of ids its count and whether it is the best of its B id."""
-    chunks = staged(_texts(docs).mapInArrow(_chunks(a_path, b_path, run_chars, chunk_links), CHUNK), "chunks", **{"parquet.block.size": 1 << 24, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
-    listed = chunks.select("chunk", F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("chunk", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
+def _counted(docs: DataFrame, a_path: str, b_path: str, run_chars: int, chunk_links: int) -> tuple[DataFrame, DataFrame]:
+    """Chunks, and for each pair of ids its count and whether it is the best of its B id."""
+    rows = _texts(docs).mapInArrow(_chunks(a_path, b_path, run_chars, chunk_links), CHUNK)
+    chunks = staged(rows, "chunks", **{"parquet.block.row.count.limit": CHUNKS_HELD, "parquet.page.size.row.check.min": 1})
+    listed = chunks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select(F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
     counts = staged(listed.groupBy("pair").agg(F.sum("n").alias("count")), "counts").withColumn("b", F.expr("cast(pair & 4294967295 as int)"))
     best = counts.groupBy("b").agg(F.max("count").alias("best"))  # a row for each id of B's vocabulary at most
-    return chunks, listed, counts.join(F.broadcast(best), "b").select("pair", "count", (F.col("count") == F.col("best")).alias("top"))
+    return chunks, counts.join(F.broadcast(best), "b").select("pair", "count", (F.col("count") == F.col("best")).alias("top"))
 
 
 def pair_counts(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, run_chars: int = RUN_CHARS, chunk_links: int = CHUNK_LINKS) -> DataFrame:
     """a, b (ids of both vocabularies), count (links of the corpus) and top (no pair of that b has more)."""
-    rated = _counted(docs, a_path, b_path, run_chars, chunk_links)[2]
+    rated = _counted(docs, a_path, b_path, run_chars, chunk_links)[1]
     return rated.select(F.expr("cast(shiftright(pair, 32) as int)").alias("a"), F.expr("cast(pair & 4294967295 as int)").alias("b"), "count", "top")
 
 
 def alignment(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, run_chars: int = RUN_CHARS, chunk_links: int = CHUNK_LINKS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of docs (doc_id, text)."""
-    chunks, listed, rated = _counted(docs, a_path, b_path, run_chars, chunk_links)
-    back = listed.select("chunk", "pair").join(rated, "pair").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("pair", "count", "top"))).alias("rated"))
-    rows = chunks.drop("pairs", "counts").join(back, "chunk", "left").mapInArrow(_summed, SUMS)
+    chunks, rated = _counted(docs, a_path, b_path, run_chars, chunk_links)
+    back = chunks.select(F.col("chunk").alias("of"), F.posexplode("pairs").alias("place", "pair")).join(rated, "pair").select("of", "place", "count", "top")
+    rows = chunks.drop("pairs", "counts").groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_summed, SUMS)
     sums = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     return rows.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *sums, F.max("groups_sha256").alias("groups_sha256")).drop("uid")
 

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from strandline.llm import alignment
@@ -90,6 +91,29 @@ def test_empty_table(spark):
     assert {tuple(r)[1:] for r in alignment.alignment(nothing).select(NAMES).collect()} == {(0, 0, 0, 0, 0, 0, "")}
 
 
+def test_few_chunks_are_held_at_once(spark):
+    """Row groups, which readers hold whole, have few chunks; pairs go back a row each, no task gathers lists of them."""
+    docs = spark.createDataFrame([(k, f"{SENTENCES[0]} {k}") for k in range(60)], "doc_id long, text string").coalesce(1)
+    chunks = alignment._counted(docs, alignment.BYTE_BPE, alignment.PIECE_BPE, alignment.RUN_CHARS, 30)[0]
+    files = [pq.ParquetFile(f"{path}/{name}").metadata for path in [chunks.staged_path.removeprefix("file:")] for name in os.listdir(path) if name.endswith(".parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == chunks.count() > 20 and max(groups) <= 4
+    plan = alignment.alignment(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.parametrize("chunk_links", [alignment.CHUNK_LINKS, 1 << 40])
+def test_many_rows_without_tokens(spark, chunk_links):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(20000)) for _ in range(2)]
+    some = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = spark.range(10, 200010).selectExpr("id as doc_id", "cast(null as string) as text").coalesce(1)
+    want = {tuple(r[n] for n in NAMES) for r in alignment.alignment(some).collect()}
+    got = alignment.alignment(some.where("doc_id = 0").union(none).union(some.where("doc_id = 1")).coalesce(1), chunk_links=chunk_links)
+    assert {tuple(r[n] for n in NAMES) for r in got.where("doc_id < 10").collect()} == want
+    assert got.count() == 200002
+
+
 def test_union_find_joins_random_graphs():
     rng = np.random.default_rng(5)
     for n, m in ((1, 0), (5, 3), (200, 150), (300, 900)):
